@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +18,10 @@ from pyspark.sql import functions as F
 
 _RUN = re.compile(r"^ | \s| $")
 _CUT = re.compile(r" (?=\S)")
+#: What a part may be made of that is cut further: runs of Latin letters, runs of ASCII marks, single line ends.
+_PIECES = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+|[!-&(-/:-@\[-`{-~]+|\n")
 #: Parts kept in memory by one worker, longest part kept, and characters handled at once. None changes the ids.
-CACHE, LONGEST, AT_ONCE = 200_000, 64, 500_000
+CACHE, LONGEST, AT_ONCE = 300_000, 64, 500_000
 
 
 class Encoder:
@@ -31,13 +34,50 @@ class Encoder:
         self.tok.encode_special_tokens = True
         self.head: dict[str, bytes] = {}
         self.tail: dict[str, bytes] = {}
-
-    def _learn(self, into: dict, parts: list[str], prefix: str) -> None:
-        for i in range(0, len(parts), 2000):
-            some = parts[i : i + 2000]
-            for part, enc in zip(some, self.tok.encode_batch([prefix + x for x in some], add_special_tokens=False), strict=True):
+        self.old: dict[str, bytes] = {}  # the generation before
+        vocabulary = self.tok.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that begin with a space
+        self.opens[[i for t, i in vocabulary.items() if t[0] == "\u0120"]] = True
+
+    def _each(self, into: dict, parts: list[str], prefix: str) -> None:
+        for i in range(0, len(parts), 1000):
+            some = parts[i : i + 1000]
+            for part, enc in zip(some, self.tok.encode_batch_fast([prefix + x for x in some], add_special_tokens=False), strict=True):
                 into[part] = np.array(enc.ids, "<u4").tobytes()
 
+    def _learn(self, parts: list[str]) -> None:
+        """Encodes parts that follow a space. Many at once, joined by their spaces, are told apart by the tokens that begin with one."""
+        plain = [x for x in parts if " " not in x]
+        self._each(self.tail, [x for x in parts if " " in x], " ")
+        for i in range(0, len(plain), 10_000):
+            some = plain[i : i + 10_000]
+            ids = np.array(self.tok.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            at = np.flatnonzero(self.opens[ids])
+            if len(at) != len(some):
+                self._each(self.tail, some, " ")
+                continue
+            raw, cuts = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
+            self.tail.update(zip(some, map(raw.__getitem__, map(slice, cuts[:-1], cuts[1:])), strict=True))
+
+    def _parts(self, parts: set[str]) -> None:
+        """Encodes parts that follow a space, by their pieces where pre-tokens are sure to end between these."""
+        whole, made = [], []
+        for part in parts:
+            if not part.isalpha() and "\n\n" not in part:
+                pieces = _PIECES.findall(part)
+                if len(pieces) > 1 and sum(map(len, pieces)) == len(part) and len(part) <= LONGEST and pieces[0] != "\n":
+                    made.append((part, pieces))
+                    continue
+            whole.append(part)
+        self._learn(list({p[0] for _, p in made}.difference(self.tail, whole)) + whole)
+        bare: set[str] = set()
+        for _, p in made:
+            bare.update(p[1:])
+        self._each(self.head, list(bare.difference(self.head)), "")
+        tail, head = self.tail, self.head
+        for part, p in made:
+            tail[part] = tail[p[0]] + b"".join([head[x] for x in p[1:]])
+
     def many(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null counts as empty."""
         out, group, size = [], [], 0
@@ -52,16 +92,19 @@ class Encoder:
     def _group(self, texts: list[str]) -> list[bytes]:
         cut = [t.split(" ") if _RUN.search(t) is None else _CUT.split(t) for t in texts]
         if len(self.tail) > CACHE:
-            self.tail.clear()
-        if len(self.head) > CACHE // 4:
+            self.old, self.tail = self.tail, {}
+        if len(self.head) > CACHE // 8:
             self.head.clear()
-        heads = {c[0] for c in cut} - self.head.keys()
+        heads = {c[0] for c in cut}.difference(self.head)
         tails: set[str] = set()
         for c in cut:
             tails.update(c[1:])
-        tails -= self.tail.keys()
-        self._learn(self.head, list(heads), "")
-        self._learn(self.tail, list(tails), " ")
+        tails = tails.difference(self.tail)
+        again = tails.intersection(self.old)
+        self.tail.update(zip(again, map(self.old.__getitem__, again)))
+        tails -= again
+        self._each(self.head, list(heads), "")
+        self._parts(tails)
         get, first = self.tail.__getitem__, self.head
         out = [first[c[0]] + b"".join(map(get, c[1:])) for c in cut]
         for known, new in ((self.head, heads), (self.tail, tails)):
@@ -71,9 +114,15 @@ class Encoder:
         return out
 
 
+@lru_cache(1)
+def encoder(path: str) -> Encoder:
+    """The worker's encoder; what one task has learnt serves the next."""
+    return Encoder(path)
+
+
 def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int | None = 0, rows: int = 512) -> Iterator[tuple[list, list[bytes]]]:
     """(first column, ids of the second column with ``end_id`` after each) of small groups of rows."""
-    enc, end = Encoder(path), b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+    enc, end = encoder(path), b"" if end_id is None else np.array([end_id], "<u4").tobytes()
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             part = batch.slice(at, rows)
@@ -84,7 +133,7 @@ def lengths(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     """One row ``n_tokens`` per document, without an end id."""
 
     def run(batches):
-        enc = Encoder(tokenizer)
+        enc = encoder(tokenizer)
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 got = enc.many(b.column(0).slice(at, 512).to_pylist())
