@@ -61,6 +61,12 @@ def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.line_dedup import line_dedup
 
@@ -75,6 +81,7 @@ QUERIES = {
     "op6_token_counts": op6_token_counts,
     "op7_warc": op7_warc,
     "op8_token_shards": op8_token_shards,
+    "op9_toxicity": op9_toxicity,
     "op10_line_dedup": op10_line_dedup,
 }
 
