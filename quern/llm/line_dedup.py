@@ -68,7 +68,8 @@ def line_dedup(docs: DataFrame, window: int = 2, divisor: int = 4, doc_id: str =
     narrow = docs.select(*key, F.col(text).cast("string").alias("text"))
     cut = _chunked(narrow, "text", window, divisor)
     cut = cut.withColumn("chunks", F.transform("__q_spans", lambda s: F.struct(_text_of(s).alias("chunk"), (s["last"] - s["first"] + 1).alias("n")))).drop("text", "__q_lines")
-    rows = cut.select("d", "th", F.posexplode("chunks").alias("no", "c")).select("d", "th", "no", F.col("c.n").alias("n"), F.col("c.chunk").alias("chunk"))
+    # the outer form, lest Catalyst derive a filter on the array's size and compute all of it again below
+    rows = cut.select("d", "th", F.posexplode_outer("chunks").alias("no", "c")).select("d", "th", "no", F.col("c.n").alias("n"), F.col("c.chunk").alias("chunk"))
     rows = rows.filter((F.col("n") > 1) & F.col("chunk").rlike(r"\S")).withColumns({"h": F.xxhash64("chunk"), "size": F.length("chunk")})
     seen = rows.groupBy("h", "size").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").drop("times")
     candidates = scratch.keep(rows.join(seen, ["h", "size"]), "candidates")
