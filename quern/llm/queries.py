@@ -19,6 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.decontamination import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.packing import pack
 
@@ -74,6 +80,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op3_near_vectors": op3_near_vectors,
     "op2_packing": op2_packing,
     "op4_suffix_dedup": op4_suffix_dedup,

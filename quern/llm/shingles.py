@@ -42,8 +42,15 @@ def _hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return starts, mix((sums[ends] - sums[starts]) * _BACK[starts] + (ends - starts).astype(np.uint64))
 
 
-def words(texts: list[str | None]) -> list[np.ndarray]:
-    """Hashes of the words of each text: runs of bytes other than space and 9 to 13, A-Z in lower case."""
+#: ASCII marks to spaces.
+_MARKS = bytes(32 if 32 < c < 127 and not chr(c).isalnum() else c for c in range(256))
+
+
+def words(texts: list[str | None], marks: bool = True) -> list[np.ndarray]:
+    """Hashes of the words of each text: runs of bytes other than space and 9 to 13, A-Z in lower case.
+
+    Without ``marks``, ASCII marks end words too and are no part of any.
+    """
     out: list[np.ndarray] = []
     group: list[bytes] = []
     size = 0
@@ -59,6 +66,7 @@ def words(texts: list[str | None]) -> list[np.ndarray]:
 
     for t in texts:
         raw = (t or "").encode("utf-8", "surrogatepass").lower()
+        raw = raw if marks else raw.translate(_MARKS)
         if size + len(raw) + 1 > _AT_ONCE:
             flush()
         if len(raw) >= _AT_ONCE:
