@@ -230,3 +230,16 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, sketch_bits: int
     out = rows.join(by_node, "node", "left")
     component = F.when(F.col("lowest").isNull(), F.col("id")).when(F.col("lowest") != NULL_ID, F.col("lowest"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, but one document of each group of :func:`ngram_join`: that of the smallest identifier.
+
+    Documents without words are no group and stay. Of rows equal in identifier and text one stays; rows that
+    share an identifier or have none, but differ in text, stay or go together.
+    """
+    groups = Scratch(docs.sparkSession, "groups").keep(ngram_join(docs, k, percent, doc_id=doc_id, text=text), "groups")
+    stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__q_id"))
+    twice = not stay.groupBy("__q_id").count().filter("count > 1").isEmpty()
+    out = docs.withColumn("__q_id", F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID))).join(stay.distinct(), "__q_id", "left_semi").drop("__q_id")
+    return out.dropDuplicates([doc_id, text]) if twice else out

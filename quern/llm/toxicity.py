@@ -323,3 +323,17 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> DataFr
     """
     model = train(docs, labels.filter(~held_out()), sample)
     return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+def keep_clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that score below 0.5."""
+    held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
+
+    def run(batches):
+        scorer = Scorer(held.value)
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                yield part.filter(pa.array(held.value.probability(scorer.texts(part.column(at).to_pylist())) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
