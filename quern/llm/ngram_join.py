@@ -11,6 +11,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,10 +19,12 @@ from pyspark.sql import functions as F
 from quern.llm.common import NULL_ID, Scratch, partitions
 from quern.llm.components import components
 from quern.llm.embeddings import unite
-from quern.llm.shingles import set_hash, sets
+from quern.llm.shingles import mix, set_hash, sets
 
 #: A block holds at most about so many documents, and so many shingles.
-BLOCK_DOCS, BLOCK_SHINGLES = 256, 200_000
+BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1_000_000
+#: Longest run of one shingle whose members are compared by signature; those of longer ones are taken as candidates.
+LIST = 256
 
 
 def overlaps(found: list[np.ndarray], columns: int = 2048) -> np.ndarray:
@@ -55,7 +58,57 @@ def overlaps(found: list[np.ndarray], columns: int = 2048) -> np.ndarray:
     return out + out.T
 
 
-def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, sketch_bits: int = 22, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _packed(counts: np.ndarray) -> bytes:
+    """A slice of counters: one byte each, or only those above 0 with their places; a count above 255 counts as 255."""
+    at = np.flatnonzero(counts)
+    small = np.minimum(counts, 255).astype(np.uint8)
+    return small.tobytes() if 3 * len(at) >= len(counts) else at.astype("<u2").tobytes() + small[at].tobytes()
+
+
+def _unpack(raw: bytes, into: np.ndarray) -> None:
+    if len(raw) == len(into):
+        into += np.frombuffer(raw, np.uint8)
+    else:
+        n = len(raw) // 3
+        into[np.frombuffer(raw, "<u2", n)] += np.frombuffer(raw, np.uint8, n, 2 * n)
+
+
+def _signature(s: np.ndarray) -> bytes:
+    """How many shingles fall to each part, about eight a part, so large sets have more parts; 255 stands for any more.
+
+    An intersection is at most the sum of the smaller counts.
+    """
+    parts = 1 << min(13, max(6, (len(s) // 8).bit_length()))
+    return np.minimum(np.bincount((s & np.uint64(parts - 1)).astype(np.int64), minlength=parts), 255).astype(np.uint8).tobytes()
+
+
+def _may_link(sig: list[bytes], a: np.ndarray, b: np.ndarray, need: np.ndarray, percent: int) -> np.ndarray:
+    """Whether signatures leave pairs (a, b) an overlap of need / (100 + percent). The finer of two is folded to the coarser."""
+    size = np.array([len(x) for x in sig])
+    full = np.array([b"\xff" in x for x in sig])
+    out, low = full[a] | full[b], np.minimum(size[a], size[b])
+    for parts in np.unique(low).tolist():
+        at = np.flatnonzero((low == parts) & ~out)
+        rows, place = np.unique(np.concatenate([a[at], b[at]]), return_inverse=True)
+        m = np.empty((len(rows), parts), np.uint16)
+        for i, r in enumerate(rows.tolist()):
+            m[i] = np.frombuffer(sig[r], np.uint8).reshape(-1, parts).sum(axis=0)
+        step = max(1, (8 << 20) // parts)
+        for c in range(0, len(at), step):
+            some = slice(c, min(c + step, len(at)))
+            x, y = m[place[: len(at)][some]], m[place[len(at) :][some]]
+            out[at[some]] = (100 + percent) * np.minimum(x, y).sum(axis=1, dtype=np.int64) >= need[at[some]]
+    return out
+
+
+def _levels(counts: np.ndarray) -> np.ndarray:
+    """0 for counters that other shingles' load explains, else the logarithm of what is above the load."""
+    load = float(np.median(counts))
+    over = counts - load
+    return np.where(over >= 4 * math.sqrt(load) + 2, 1 + 2 * np.log2(np.maximum(over, 1)), 0).astype(np.uint8)
+
+
+def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, sketch_bits: int = 24, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, n_links, component_id of every row; links where 100 * intersection >= percent * union.
 
     Words are maximal runs of characters other than space and 9 to 13, A-Z in lower case. A text of fewer than
@@ -64,9 +117,11 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, sketch_bits: int
     1. Documents with equal sets are one node with a weight, so exact copies cost nothing more.
     2. Shingles are ordered by frequency, then hash, so prefixes hold rare ones. Frequencies come from counters
        of a fixed number (2^sketch_bits); any order gives the same links, a good one only fewer candidates.
-    3. Prefix entries are range-sorted by (shingle, size): neighbours of compatible sizes are linked to their
-       run's first, and runs are linked across the partitions' boundaries. A frequent shingle is thus dealt to
-       many tasks and gives a row per entry, never its pairs. The components are the candidate groups.
+    3. Prefix entries are range-sorted by (shingle, size), which makes runs of compatible sizes. Members of a
+       short run are candidates if the sums of their signatures' smaller counts leave a link possible; equal
+       runs count once. All members of a long run are, by edges to its first, linked across the partitions'
+       boundaries: a frequent shingle is dealt to many tasks and gives a row per entry, never its pairs. The
+       components of the candidates are groups.
     4. Groups are multiplied in blocks: large ones are divided by size bands, of which only equal and
        neighbouring ones can hold links, and by hash. A block returns link counts and a spanning forest.
 
@@ -76,34 +131,43 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, sketch_bits: int
     scratch = Scratch(spark, "ngrams")
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     slots, shift = 1 << sketch_bits, np.uint64(64 - sketch_bits)
+    width = min(slots, 1 << 16)
 
     def read(batches):
-        """Rows (id, n, node) of documents, and (slot, n = count, null) of the counters that stand out in this task."""
-        counters, total, waiting = np.zeros(slots, np.int32), 0, []
+        """Rows (id, n, node) of documents, then this task's counters in slices (number of the slice, null, null, counts)."""
+        counters, waiting = np.zeros(slots, np.int32), []
+        names = ["id", "n", "node", "counts", "signature"]
         for b in batches:
             found = sets(b.column(1).to_pylist(), k)
             waiting += found
             if sum(map(len, waiting)) > 500_000:
                 np.add.at(counters, (np.concatenate(waiting) >> shift).astype(np.int64), 1)
                 waiting = []
-            total += sum(map(len, found))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([set_hash(s) if len(s) else None for s in found], pa.int64()), pa.array([False] * len(found))], ["id", "n", "node", "counter"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([set_hash(s) if len(s) else None for s in found], pa.int64()), pa.nulls(len(found), pa.binary()), pa.array([_signature(s) for s in found], pa.binary())], names)
         if waiting:
             np.add.at(counters, (np.concatenate(waiting) >> shift).astype(np.int64), 1)
-        at = np.flatnonzero(counters >= max(8, 4 * total // slots))
-        for i in range(0, len(at), 50_000):
-            some = at[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(counters[some].astype(np.int64)), pa.nulls(len(some), pa.int64()), pa.array(np.ones(len(some), bool))], ["id", "n", "node", "counter"])
-
-    both = scratch.keep(texts.mapInArrow(read, "id long, n long, node long, counter boolean"), "rows")
-    rows = both.filter("not counter").select("id", "n", "node")
-    heavy = both.filter("counter").groupBy("id").agg(F.sum("n").alias("n")).filter("n >= 16")
-    level = np.zeros(slots, np.uint8)  # at most 2^sketch_bits rows, whatever the input
-    got = heavy.select("id", "n").toArrow()
-    if got.num_rows:
-        level[np.asarray(got["id"])] = (np.log2(np.asarray(got["n"]).astype(float)) * 2).astype(np.uint8)
+        for i in range(0, slots, 16 * width):
+            some = [(j // width, _packed(counters[j : j + width])) for j in range(i, min(slots, i + 16 * width), width)]
+            some = [x for x in some if x[1]]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in some], pa.int64()), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64()), pa.array([x[1] for x in some], pa.binary()), pa.nulls(len(some), pa.binary())], names)
+
+    def add_up(batches):
+        """Sums of each slice that this task has, one slice at a time in memory for each."""
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                _unpack(c, sums.setdefault(i, np.zeros(width, np.int64)))
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([int(x.sum()) for x in sums.values()], pa.int64()), pa.array([_levels(x).tobytes() for x in sums.values()], pa.binary())], ["id", "total", "level"])
+
+    both = scratch.keep(texts.mapInArrow(read, "id long, n long, node long, counts binary, signature binary"), "rows")
+    rows = both.filter("counts is null").select("id", "n", "node", "signature")
+    slices = both.filter("counts is not null").select("id", "counts").repartition(partitions(spark), "id").mapInArrow(add_up, "id long, total long, level binary")
+    level = np.zeros(slots, np.uint8)  # of a fixed size, whatever the input
+    for r in slices.select("id", "level").toLocalIterator():
+        level[r["id"] * width : (r["id"] + 1) * width] = np.frombuffer(r["level"], np.uint8)
     levels = spark.sparkContext.broadcast(level)
-    nodes = scratch.keep(rows.filter("n > 0").groupBy("node").agg(F.min(F.coalesce("id", F.lit(NULL_ID))).alias("id"), F.first("n").alias("n"), F.count(F.lit(1)).alias("w")), "nodes")
+    nodes = scratch.keep(rows.filter("n > 0").groupBy("node").agg(F.min(F.coalesce("id", F.lit(NULL_ID))).alias("id"), F.first("n").alias("n"), F.count(F.lit(1)).alias("w"), F.first("signature").alias("signature")), "nodes")
+    rows = rows.drop("signature")
 
     def prefixes(batches):
         ranks, seen = levels.value, set()
@@ -126,54 +190,125 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, sketch_bits: int
     entries = scratch.keep(texts.mapInArrow(prefixes, "h long, n int, node long"), "prefixes")
 
     def runs(batches):
-        """Edges (first of the run, node), and for each end of the partition one row (part, h, n, first of the run)."""
-        part, last, first, pairs = TaskContext.get().partitionId(), None, None, []
-        fields = ["part", "h", "n", "a", "b", "end"]
-
-        def edges():
-            a, b = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
-            pairs.clear()
-            ab = np.unique(np.stack([a, b], 1), axis=0)
-            none = pa.nulls(len(ab), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, pa.array(ab[:, 0]), pa.array(ab[:, 1]), pa.nulls(len(ab), pa.int32())], fields)
-
-        waiting = 0
+        """Rows (part, h, n, a, b, end) of three kinds: edges (a, b); members b, of n shingles, of the list h (end 2);
+        for each end of the partition its run's h, n and first member a (end 0 and 1)."""
+        part, first, last = TaskContext.get().partitionId(), None, None
+        fields, seen, held, out = ["part", "h", "n", "a", "b", "end"], set(), [np.zeros(0, np.int64)] * 3, []
+
+        def emit(final):
+            if out and (final or sum(len(x[0]) for x in out) > 200_000):
+                h, n, a, b, end = (np.concatenate(c) for c in zip(*out, strict=True))
+                out.clear()
+                edge = end < 0
+                keep = pa.array(edge)
+                none = pa.nulls(len(h), pa.int64())
+                columns = [none, pa.compute.if_else(keep, none, pa.array(h)), pa.compute.if_else(keep, none, pa.array(n)), pa.compute.if_else(keep, pa.array(a), none), pa.array(b), pa.compute.if_else(keep, pa.nulls(len(h), pa.int32()), pa.array(end))]
+                yield pa.RecordBatch.from_arrays(columns, fields)
+
+        def put(h, n, a, b, end):
+            out.append((h, n, a, b, np.full(len(b), end, np.int32)))
+
+        def solve(h, n, node, starts, opens, closes):
+            """Takes whole runs; the partition's first and last, which may go on elsewhere, and long ones become edges to their first."""
+            sizes = np.diff(np.r_[starts, len(h)])
+            lists = (sizes > 1) & (sizes <= LIST)
+            stars = sizes > LIST
+            if opens:
+                lists[0], stars[0] = False, True
+            if closes:
+                lists[-1], stars[-1] = False, True
+            run = np.repeat(np.arange(len(starts)), sizes)
+            lead = node[starts][run]
+            at = np.flatnonzero(stars[run] & (lead != node))
+            if len(at):
+                put(h[at], n[at], lead[at], node[at], -1)
+            name = np.add.reduceat(mix(node.view(np.uint64)), starts)
+            fresh = np.zeros(len(starts), bool)
+            for r in np.flatnonzero(lists).tolist():
+                if name[r] not in seen:
+                    seen.add(name[r])
+                    fresh[r] = True
+            at = np.flatnonzero(fresh[run])
+            if len(at):
+                put(name.view(np.int64)[run[at]], n[at], node[at], node[at], 2)
+            return node[starts[-1]]
+
         for b in batches:
-            h, n, node = (np.asarray(c) for c in b.columns)
-            if not len(h):
+            held = [np.concatenate([x, np.asarray(c).astype(np.int64)]) for x, c in zip(held, b.columns, strict=True)]
+            h, n, node = held
+            if len(h) < 100_000:
                 continue
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (100 * n[:-1].astype(np.int64) < percent * n[1:].astype(np.int64))
-            if last is None:
-                first = (h[0], n[0], node[0])
+            new = np.r_[True, (h[1:] != h[:-1]) | (100 * n[:-1] < percent * n[1:])]
+            starts = np.flatnonzero(new)
+            if len(starts) == 1:  # one long run: its first stands for those read
+                put(h[1:], n[1:], np.full(len(h) - 1, node[0]), node[1:], -1)
+                if first is None:
+                    first = (h[0], n[0], node[0])
+                held = [np.r_[x[:1], x[-1:]] for x in held]
             else:
-                new[0] = h[0] != last[0] or 100 * int(last[1]) < percent * int(n[0])
-            lead = np.maximum.accumulate(np.where(new, np.arange(len(h)), -1))
-            leader = np.where(lead >= 0, node[lead], last[2] if last else 0)
-            last = (h[-1], n[-1], leader[-1])
-            apart = leader != node
-            if apart.any():
-                pairs.append((leader[apart], node[apart]))
-                waiting += int(apart.sum())
-                if waiting > 300_000:
-                    yield edges()
-                    waiting = 0
-        if pairs:
-            yield edges()
+                cut = starts[-1]
+                solve(h[:cut], n[:cut], node[:cut], starts[:-1], first is None, False)
+                first = first or (h[0], n[0], node[0])
+                held = [x[cut:] for x in held]
+            yield from emit(False)
+        h, n, node = held
+        if len(h):
+            starts = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (100 * n[:-1] < percent * n[1:])])
+            last = (h[-1], n[-1], solve(h, n, node, starts, first is None, True))
+            first = first or (h[0], n[0], node[0])
+        yield from emit(True)
         if last is not None:
             ends = [(part, int(h), int(n), int(a), None, e) for e, (h, n, a) in enumerate((first, last))]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*ends, strict=True), [pa.int64()] * 5 + [pa.int32()], strict=True)], fields)
 
+    def sift(batches):
+        """Edges inside each list between members whose signatures leave a link possible; a spanning forest of them."""
+        held: list[list] = []
+
+        def solve():
+            name = np.array([x[0] for x in held])
+            n = np.array([x[1] for x in held], np.int64)
+            node = np.array([x[2] for x in held], np.int64)
+            sig = [x[3] for x in held]
+            starts = np.flatnonzero(np.r_[True, name[1:] != name[:-1]])
+            sizes, label = np.diff(np.r_[starts, len(name)]), np.arange(len(name))
+            for size in np.unique(sizes[sizes > 1]).tolist():
+                at = starts[sizes == size]
+                i, j = np.triu_indices(size, 1)
+                for c in range(0, len(at), max(1, 200_000 // len(i))):
+                    some = at[c : c + max(1, 200_000 // len(i))]
+                    a, b = (some[:, None] + i).ravel(), (some[:, None] + j).ravel()
+                    need = percent * (n[a] + n[b])
+                    may = (100 + percent) * np.minimum(n[a], n[b]) >= need
+                    a, b, need = a[may], b[may], need[may]
+                    may = _may_link(sig, a, b, need, percent)
+                    label = unite(label, a[may], b[may])
+            at = np.flatnonzero(label != np.arange(len(name)))
+            return pa.RecordBatch.from_arrays([pa.array(node[label[at]]), pa.array(node[at])], ["a", "b"])
+
+        for b in batches:
+            for x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if len(held) >= 20_000 and x[0] != held[-1][0]:
+                    yield solve()
+                    held = []
+                held.append(x)
+        if held:
+            yield solve()
+
     ordered = entries.repartitionByRange(partitions(spark), "h", "n", "node").sortWithinPartitions("h", "n", "node")
     linked = scratch.keep(ordered.mapInArrow(runs, "part long, h long, n long, a long, b long, end int"), "runs")
     scratch.drop("prefixes")
     before = Window.orderBy("part", "end")  # two rows for each partition
-    ends = linked.filter("end is not null").select("end", "h", "n", "a", F.lag("h").over(before).alias("h0"), F.lag("n").over(before).alias("n0"), F.lag("a").over(before).alias("b"))
+    ends = linked.filter("end < 2").select("end", "h", "n", "a", F.lag("h").over(before).alias("h0"), F.lag("n").over(before).alias("n0"), F.lag("a").over(before).alias("b"))
     across = ends.filter(f"end = 0 and h = h0 and 100 * n0 >= {int(percent)} * n").select("a", "b")
-    groups = components(linked.filter("end is null").select("a", "b").union(across), scratch, "groups").withColumnsRenamed({"component": "g"})
+    lists = linked.filter("end = 2").select("h", F.col("b").alias("node")).distinct().join(nodes, "node")
+    lists = lists.select("h", "n", "node", "signature").repartition(partitions(spark), "h").sortWithinPartitions("h")
+    sifted = scratch.keep(lists.mapInArrow(sift, "a long, b long"), "sifted")
+    groups = components(linked.filter("end is null").select("a", "b").union(across).union(sifted), scratch, "groups").withColumnsRenamed({"component": "g"})
     scratch.drop("runs")
 
     step = math.log(100 / (percent - 0.1))
+    nodes = nodes.drop("signature")
     members = scratch.keep(nodes.join(groups, "node").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / step).cast("int")), "members")
     whole = members.groupBy("g").agg(F.sum("n").alias("gn"), F.count(F.lit(1)).alias("gm")).withColumn("small", (F.col("gm") <= 2 * BLOCK_DOCS) & (F.col("gn") <= 2 * BLOCK_SHINGLES)).select("g", "small")
     members = members.join(whole, "g")
@@ -195,7 +330,7 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, sketch_bits: int
     )
     large = large.select("g", F.explode(jobs).alias("j"), "node", "id", "n", "w").select("g", "j.lo", "j.hi", "j.s", "j.t", "j.side", "node", "id", "n", "w")
     work_rows = scratch.keep(small.union(large), "work")
-    wanted = texts.withColumn("id", F.coalesce("id", F.lit(NULL_ID))).join(work_rows.drop("n"), "id").drop("id")
+    wanted = texts.withColumn("id", F.coalesce("id", F.lit(NULL_ID))).join(work_rows.drop("n").hint("merge"), "id").drop("id")  # either side grows with the input
 
     def multiply(t: pa.Table) -> pa.Table:
         whole_block = (t["lo"][0], t["s"][0]) == (t["hi"][0], t["t"][0])
@@ -211,12 +346,16 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, sketch_bits: int
                     found.append(s)
         nodes_, side, w = np.array(nodes_, np.int64), np.array(side, int), np.array(w, np.int64)
         n = np.array([len(s) for s in found], np.int64)
-        inter = overlaps(found).astype(np.int64)
-        near = (inter > 0) & ((100 + percent) * inter >= percent * (n[:, None] + n[None, :]))
-        if not whole_block:
-            near &= side[:, None] != side[None, :]
-        links, (i, j) = near @ w, np.nonzero(near)
-        label = unite(np.arange(len(n)), i, j)
+        inter = overlaps(found)
+        links, label = np.zeros(len(n), np.int64), np.arange(len(n))
+        for at in range(0, len(n), 256):
+            some = slice(at, at + 256)
+            near = (inter[some] > 0) & ((100 + percent) * inter[some].astype(np.int64) >= percent * (n[some, None] + n[None, :]))
+            if not whole_block:
+                near &= side[some, None] != side[None, :]
+            links[some] = near @ w
+            i, j = np.nonzero(near)
+            label = unite(label, i + at, j)
         some, joined = np.flatnonzero(links), np.flatnonzero(label != np.arange(len(n)))
         return pa.table({"a": pa.array(np.concatenate([nodes_[some], nodes_[joined]]), pa.int64()), "b": pa.array(np.concatenate([links[some], nodes_[label[joined]]]), pa.int64()), "edge": pa.array(np.concatenate([np.zeros(len(some), bool), np.ones(len(joined), bool)]))})
 

@@ -54,9 +54,10 @@ def fixture(n=240, seed=3):
 SCHEMA = "doc_id long, text string"
 
 
-@pytest.mark.parametrize("docs_in_block", [256, 8])
-def test_against_brute_force(spark, monkeypatch, docs_in_block):
+@pytest.mark.parametrize(("docs_in_block", "list_"), [(256, 256), (8, 3), (8, 0)])
+def test_against_brute_force(spark, monkeypatch, docs_in_block, list_):
     monkeypatch.setattr(nj, "BLOCK_DOCS", docs_in_block)
+    monkeypatch.setattr(nj, "LIST", list_)
     rows = fixture()
     got = ngram_join(spark.createDataFrame(rows, SCHEMA).repartition(3), 4, 85)
     assert sorted(tuple(r) for r in got.collect()) == brute(rows, 4, 85)
