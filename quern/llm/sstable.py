@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -77,7 +78,7 @@ class Writer:
 
     def _end(self):
         if self.n:
-            packed = zlib.compress(bytes(self.buf), 1)
+            packed = zstandard.ZstdCompressor(level=1).compress(bytes(self.buf))
             self.index.append([self.first.hex(), self.size, len(packed), self.n])
             self.out.append(packed)
             self.size += len(packed)
@@ -114,7 +115,7 @@ class Reader:
     def block(self, j: int) -> Iterator[tuple[bytes, np.ndarray]]:
         _, at, size, n = self.index[j]
         self.f.seek(at)
-        buf, at, key = zlib.decompress(self.f.read(size)), 0, b""
+        buf, at, key = zstandard.ZstdDecompressor().decompress(self.f.read(size)), 0, b""
         for _ in range(n):
             shared, at = read_varint(buf, at)
             rest, at = read_varint(buf, at)

@@ -13,15 +13,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_RUN = re.compile(r"^ | \s| $")
 _CUT = re.compile(r" (?=\S)")
-#: What a part may be made of that is cut further: runs of Latin letters, runs of ASCII marks, single line ends.
-_PIECES = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+|[!-&(-/:-@\[-`{-~]+|\n")
-#: Parts kept in memory by one worker, longest part kept, and characters handled at once. None changes the ids.
-CACHE, LONGEST, AT_ONCE = 300_000, 64, 500_000
+#: Empty, or beginning with white space of any kind.
+_ODD = r"^$|^[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+#: Parts kept in memory by one worker, longest part kept, and bytes handled at once. None changes the ids.
+CACHE, LONGEST, AT_ONCE = 500_000, 64, 4_000_000
 
 
 class Encoder:
@@ -45,74 +45,92 @@ class Encoder:
             for part, enc in zip(some, self.tok.encode_batch_fast([prefix + x for x in some], add_special_tokens=False), strict=True):
                 into[part] = np.array(enc.ids, "<u4").tobytes()
 
-    def _learn(self, parts: list[str]) -> None:
+    def _learn(self, parts: list[str], into: dict) -> None:
         """Encodes parts that follow a space. Many at once, joined by their spaces, are told apart by the tokens that begin with one."""
         plain = [x for x in parts if " " not in x]
-        self._each(self.tail, [x for x in parts if " " in x], " ")
+        if len(plain) < len(parts):
+            self._each(into, [x for x in parts if " " in x], " ")
         for i in range(0, len(plain), 10_000):
             some = plain[i : i + 10_000]
             ids = np.array(self.tok.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             at = np.flatnonzero(self.opens[ids])
             if len(at) != len(some):
-                self._each(self.tail, some, " ")
+                self._each(into, some, " ")
                 continue
             raw, cuts = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
-            self.tail.update(zip(some, map(raw.__getitem__, map(slice, cuts[:-1], cuts[1:])), strict=True))
-
-    def _parts(self, parts: set[str]) -> None:
-        """Encodes parts that follow a space, by their pieces where pre-tokens are sure to end between these."""
-        whole, made = [], []
-        for part in parts:
-            if not part.isalpha() and "\n\n" not in part:
-                pieces = _PIECES.findall(part)
-                if len(pieces) > 1 and sum(map(len, pieces)) == len(part) and len(part) <= LONGEST and pieces[0] != "\n":
-                    made.append((part, pieces))
-                    continue
-            whole.append(part)
-        self._learn(list({p[0] for _, p in made}.difference(self.tail, whole)) + whole)
-        bare: set[str] = set()
-        for _, p in made:
-            bare.update(p[1:])
-        self._each(self.head, list(bare.difference(self.head)), "")
-        tail, head = self.tail, self.head
-        for part, p in made:
-            tail[part] = tail[p[0]] + b"".join([head[x] for x in p[1:]])
+            into.update(zip(some, map(raw.__getitem__, map(slice, cuts[:-1], cuts[1:])), strict=True))
+
+    def _new(self, parts: set[str]) -> dict[str, bytes]:
+        """Ids of parts that aren't in the younger generation of what is known."""
+        out = {x: v for x in parts if (v := self.old.get(x)) is not None}
+        self._learn([x for x in parts if x not in out], out)
+        return out
 
     def many(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null counts as empty."""
-        out, group, size = [], [], 0
-        for t in texts:
-            group.append(t or "")
-            size += len(group[-1])
-            if size >= AT_ONCE:
-                out += self._group(group)
-                group, size = [], 0
-        return out + self._group(group)
-
-    def _group(self, texts: list[str]) -> list[bytes]:
-        cut = [t.split(" ") if _RUN.search(t) is None else _CUT.split(t) for t in texts]
+        return self.column(pa.array(texts, pa.large_string()))
+
+    def column(self, texts: pa.Array) -> list[bytes]:
+        """The same for an Arrow array, which is cut and deduplicated outside Python."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        ends, out, at = np.cumsum(np.asarray(pc.binary_length(texts))), [], 0
+        while at < len(texts):
+            base = int(ends[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, base + AT_ONCE, "right")))
+            out += self._slice(texts.slice(at, to - at))
+            at = to
+        return out
+
+    def _slice(self, texts: pa.Array) -> list[bytes]:
         if len(self.tail) > CACHE:
             self.old, self.tail = self.tail, {}
         if len(self.head) > CACHE // 8:
             self.head.clear()
-        heads = {c[0] for c in cut}.difference(self.head)
-        tails: set[str] = set()
-        for c in cut:
-            tails.update(c[1:])
-        tails = tails.difference(self.tail)
-        again = tails.intersection(self.old)
-        self.tail.update(zip(again, map(self.old.__getitem__, again)))
-        tails -= again
-        self._each(self.head, list(heads), "")
-        self._parts(tails)
-        get, first = self.tail.__getitem__, self.head
-        out = [first[c[0]] + b"".join(map(get, c[1:])) for c in cut]
-        for known, new in ((self.head, heads), (self.tail, tails)):
-            for part in new:
-                if len(part) > LONGEST:
-                    del known[part]
+        lists = pc.split_pattern(texts, " ")
+        ends = np.cumsum(np.asarray(pc.list_value_length(lists)), dtype=np.int64)
+        firsts = np.r_[0, ends[:-1]]
+        encoded_ = lists.flatten().dictionary_encode()
+        codes, parts = np.asarray(encoded_.indices), encoded_.dictionary.to_numpy(zero_copy_only=False).tolist()
+        odd = np.asarray(pc.match_substring_regex(encoded_.dictionary, _ODD))
+        follows = np.ones(len(codes), bool)
+        follows[firsts] = False
+        slow = np.unique(np.searchsorted(ends, np.flatnonzero(odd[codes] & follows), "right"))  # a space next to white space
+        wanted = np.zeros(len(parts), bool)
+        wanted[codes[follows]] = True
+        ids = list(map(self.tail.get, parts))
+        new = {x for x, v, want in zip(parts, ids, (wanted & ~odd).tolist(), strict=True) if want and v is None}
+        fresh = self._new(new)
+        ids = [v if v is not None else fresh.get(x, b"") for x, v in zip(parts, ids, strict=True)]
+        self.tail.update(fresh)
+        for x in fresh:
+            if len(x) > LONGEST:
+                self.tail.pop(x, None)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        starts = np.cumsum(sizes) - sizes
+        n = np.where(follows, sizes[codes], 0)
+        total = np.cumsum(n)
+        every = np.frombuffer(b"".join(ids), "<u4")
+        raw = every[np.repeat(starts[codes] - (total - n), n) + np.arange(int(total[-1]))].tobytes()
+        heads = [parts[c] for c in codes[firsts].tolist()]
+        self._each(self.head, list(set(heads).difference(self.head)), "")
+        cuts = 4 * np.r_[0, total[ends - 1]]
+        out = [self.head[h] + raw[a:b] for h, a, b in zip(heads, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        for i in slow.tolist():
+            out[i] = self._hard(texts[i].as_py())
+        for h in heads:
+            if len(h) > LONGEST:
+                self.head.pop(h, None)
         return out
 
+    def _hard(self, text: str) -> bytes:
+        """Ids of a text that has a space next to other white space."""
+        first, *rest = _CUT.split(text)
+        known = {x: v for x in set(rest) if (v := self.tail.get(x)) is not None}
+        self._learn([x for x in set(rest) if x not in known], known)
+        head: dict[str, bytes] = {}
+        self._each(head, [first], "")
+        return head[first] + b"".join(map(known.__getitem__, rest))
+
 
 @lru_cache(1)
 def encoder(path: str) -> Encoder:
@@ -120,13 +138,13 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int | None = 0, rows: int = 512) -> Iterator[tuple[list, list[bytes]]]:
+def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int | None = 0, rows: int = 2000) -> Iterator[tuple[list, list[bytes]]]:
     """(first column, ids of the second column with ``end_id`` after each) of small groups of rows."""
     enc, end = encoder(path), b"" if end_id is None else np.array([end_id], "<u4").tobytes()
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             part = batch.slice(at, rows)
-            yield part.column(0).to_pylist(), [x + end for x in enc.many(part.column(1).to_pylist())]
+            yield part.column(0).to_pylist(), [x + end for x in enc.column(part.column(1))]
 
 
 def lengths(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
@@ -135,8 +153,8 @@ def lengths(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     def run(batches):
         enc = encoder(tokenizer)
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                got = enc.many(b.column(0).slice(at, 512).to_pylist())
+            for at in range(0, b.num_rows, 2000):
+                got = enc.column(b.column(0).slice(at, 2000))
                 yield pa.RecordBatch.from_arrays([pa.array([len(x) // 4 for x in got], pa.int64())], ["n_tokens"])
 
     return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "n_tokens long")
