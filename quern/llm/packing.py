@@ -65,7 +65,7 @@ def windows(sizes: list[int], capacity: int) -> list[list[int]]:
         k += max(1, k // 200)
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, piece: int = 256, block: int = 1500, end_id: int = 0, with_ids: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, piece: int = 256, block: int = 700, end_id: int = 0, with_ids: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Packs all documents into sequences of at most ``capacity`` ids; one row per piece.
 
     Each full ``capacity`` of a document is a sequence of its own. What remains of it is cut into pieces of
