@@ -115,3 +115,23 @@ def partitions(spark: SparkSession) -> int:
 def spread(spark: SparkSession, n_rows: int) -> int:
     """How many tasks a small table of work items is dealt to."""
     return max(1, min(n_rows, 4 * partitions(spark)))
+
+
+def let_go(encoder: bool = True) -> None:
+    """Gives back what earlier tasks have left in this Python worker, which Spark uses again for other operators' tasks.
+
+    With ``encoder``, the parts of texts that an encoder remembers go too.
+    """
+    import ctypes
+    import gc
+    import sys
+
+    import pyarrow as pa
+
+    tokens = sys.modules.get("quern.llm.tokens")
+    if encoder and tokens is not None:
+        tokens.encoder.cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only the GNU C library has it
+        ctypes.CDLL(None).malloc_trim(0)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import shingles as sh
+from quern.llm.common import let_go
 from quern.llm.shingles import shingles
 
 K1, B = 1.2, 0.75
@@ -199,6 +200,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
         held = spark.sparkContext.broadcast(s)
 
         def run(batches, held=held):
+            let_go()
             for b in batches:
                 found = [(i, item, *x) for i, m in zip(b.column(0).to_pylist(), held.value.texts(b.column(1).to_pylist()), strict=True) for item, x in m.items()]
                 if found:
@@ -217,6 +219,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", **how)
         held = docs.sparkSession.sparkContext.broadcast(s)
 
         def run(batches, held=held):
+            let_go()
             for b in batches:
                 yield b.filter(pa.array([not m for m in held.value.texts(b.column(at).to_pylist())], pa.bool_()))
 

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import NULL_ID, Scratch, partitions
+from quern.llm.common import NULL_ID, Scratch, let_go, partitions
 from quern.llm.components import components
 from quern.llm.embeddings import unite
 from quern.llm.shingles import mix, set_hash, sets
@@ -135,6 +135,7 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, sketch_bits: int
 
     def read(batches):
         """Rows (id, n, node) of documents, then this task's counters in slices (number of the slice, null, null, counts)."""
+        let_go()
         counters, waiting = np.zeros(slots, np.int32), []
         names = ["id", "n", "node", "counts", "signature"]
         for b in batches:
@@ -170,6 +171,7 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, sketch_bits: int
     rows = rows.drop("signature")
 
     def prefixes(batches):
+        let_go()
         ranks, seen = levels.value, set()
         for b in batches:
             hs, ns, ids = [], [], []

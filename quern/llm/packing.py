@@ -11,6 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.common import let_go
 from quern.llm.tokens import encoded
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -80,6 +81,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, piece: int = 256
     arrow = pa.schema([(n, pa.int64()) for n in SCHEMA.replace(" long", "").split(", ")] + ([("ids", pa.list_(pa.int32()))] if with_ids else []))
 
     def run(batches):
+        let_go(encoder=False)
         sequence = TaskContext.get().partitionId() << 33
         rows: list[tuple] = []
         waiting: list[tuple] = []  # doc_id, start, ids, length of the document

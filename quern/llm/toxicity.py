@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import Scratch
+from quern.llm.common import Scratch, let_go
 from quern.llm.shingles import sets
 
 P, DECAY, SYMBOLS = 3, 0.6, 64
@@ -232,6 +232,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, least: int =
 
     def bags(batches):
         """Each text's words, and its smallest shingle, which copies and near copies nearly always share."""
+        let_go()
         for b in batches:
             text_ = b.column(1).to_pylist()
             low = [int(s[0] >> np.uint64(1)) if len(s) else None for s in sets(text_, 4)]
@@ -301,6 +302,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        let_go()
         scorer = Scorer(held.value)
         for b in batches:
             for at in range(0, b.num_rows, 256):
@@ -330,6 +332,7 @@ def keep_clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
 
     def run(batches):
+        let_go()
         scorer = Scorer(held.value)
         for b in batches:
             for i in range(0, b.num_rows, 256):
