@@ -146,20 +146,37 @@ class Scorer:
         return np.array([max(map(get, b), default=self.model.bias) for b in bags])
 
 
-def _matrix(words: list[str], index: dict[int, int]) -> np.ndarray:
-    out = np.zeros((len(words), len(index)), np.float32)
-    for i, w in enumerate(words):
-        for c, v in features(w).items():
-            if c in index:
-                out[i, index[c]] = v
-    return out
+class Words:
+    """Normalised features of many words, computed once."""
+
+    def __init__(self, words: list[str]):
+        self.size, self.parts = len(words), []
+        by_length: dict[int, list[int]] = {}
+        for i, w in enumerate(words):
+            if len(w) >= P:
+                by_length.setdefault(len(w), []).append(i)
+        for n, rows in by_length.items():
+            codes, weights = _codes([words[i] for i in rows], n), shape(n + 2)[1]
+            self.parts.append((np.array(rows), codes, weights, _norms(codes, weights)))
+
+    def times(self, plane: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.size)
+        for rows, codes, weights, norms in self.parts:
+            out[rows] = (plane[codes] @ weights) / norms
+        return out
+
+    def kernel(self, word: str) -> np.ndarray:
+        """Normalised kernel of every word with one other."""
+        plane = np.zeros(SYMBOLS**P)
+        for c, v in features(word).items():
+            plane[c] = v
+        return self.times(plane)
 
 
 def kernel(a: list[str], b: list[str]) -> np.ndarray:
     """Normalised kernel of every word of ``a`` with every word of ``b``."""
-    fb = [features(w) for w in b]
-    index = {c: j for j, c in enumerate({c for f in fb for c in f})}
-    return (_matrix(a, index) @ _matrix(b, index).T).astype(np.float64)
+    words = Words(a)
+    return np.stack([words.kernel(w) for w in b], axis=1)
 
 
 def fit(positive: list[str], negative: list[str], landmarks: int = 400, penalty: float = 3e-4) -> Model:
@@ -169,10 +186,11 @@ def fit(positive: list[str], negative: list[str], landmarks: int = 400, penalty:
         group = [w for w in dict.fromkeys(group) if len(w) >= P]
         if not group:
             continue
-        own, near = [group[0]], kernel(group, [group[0]])[:, 0]
+        every = Words(group)
+        own, near = [group[0]], every.kernel(group[0])
         while len(own) < most and near.min() < 0.9:  # the word least like those chosen
             own.append(group[int(near.argmin())])
-            near = np.maximum(near, kernel(group, [own[-1]])[:, 0])
+            near = np.maximum(near, every.kernel(own[-1]))
         marks += own
     if not marks:
         return Model(np.zeros(SYMBOLS**P, np.float32), -1.0)
