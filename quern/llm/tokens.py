@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.llm.common import Scratch
+
 _CUT = re.compile(r" (?=\S)")
 #: Empty, or beginning with white space of any kind.
 _ODD = r"^$|^[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
@@ -173,6 +175,7 @@ def length_histogram(docs: DataFrame, tokenizer: str, text: str = "text", bucket
     ``bucket`` lengths, then the lengths of each bucket, so that no task holds all lengths.
     """
     hist = lengths(docs, tokenizer, text).groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
+    hist = Scratch(docs.sparkSession, "lengths").keep(hist, "histogram")  # it is read twice, the texts once
     hist = hist.withColumn("b", F.expr(f"n_tokens div {int(bucket)}")).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
     top = hist.groupBy("b").agg(F.sum("n_docs").alias("bd"), F.sum("tokens").alias("bt"))
     after = Window.orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, -1)
