@@ -93,6 +93,54 @@ def line_dedup(docs: DataFrame, window: int = 2, divisor: int = 4, doc_id: str =
     return met.select(*out)
 
 
+def _paired(docs: DataFrame, text: str) -> DataFrame:
+    """Adds ``__q_lines`` and ``__q_pairs``, (first, last) of every two neighbouring lines that aren't blank, with the blank lines between them."""
+    df = docs.withColumn("__q_lines", _lines(F.col(text)))
+    marked = F.transform("__q_lines", lambda x, i: F.when(x.rlike(r"\S"), i))
+    df = df.withColumn("__q_full", F.filter(marked, lambda x: x.isNotNull()))
+    size = F.greatest(F.size("__q_full") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("__q_full", F.lit(1), size), F.slice("__q_full", F.lit(2), size), lambda a, b: F.struct(a.alias("first"), b.alias("last")))
+    return df.withColumn("__q_pairs", pairs).drop("__q_full")
+
+
+def passage_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", counts: bool = True) -> DataFrame:
+    """Removes every repeated passage of two or more lines, whatever is around it; returns all rows and columns.
+
+    Every two neighbouring lines are a window, so no boundary hangs on the lines before a passage: a line goes if
+    it lies in a window that occurs earlier, in the order of (doc_id, hash of the text, line). Windows of one
+    text that overlap are no copies of each other. The first occurrence of each line stays, and so does a line that
+    repeats alone. Windows are keyed by their SHA-256, so each is a narrow row however long its lines are. Nulls, equal
+    rows and ``counts`` are as in :func:`line_dedup`; n_removed counts the lines that go and chunks_removed their runs.
+    """
+    scratch = Scratch(docs.sparkSession, "passages")
+    key = [F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("d"), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("th")]
+    narrow = _paired(docs.select(*key, F.col(text).cast("string").alias("text")), "text")
+    # the windows with their digests are one column, so that Catalyst computes them once
+    cut = narrow.select("d", "th", F.transform("__q_pairs", lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last"), F.unhex(F.sha2(_text_of(s), 256)).alias("h"))).alias("chunks"))
+    rows = cut.select("d", "th", F.explode_outer("chunks").alias("c")).select("d", "th", F.col("c.first").alias("no"), F.col("c.last").alias("to"), F.col("c.h").alias("h"))
+    rows = scratch.keep(rows.filter("h is not null"), "windows")
+    first = rows.groupBy("h").agg(F.min(F.struct("d", "th", "no", "to")).alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1").drop("times")
+    later = F.struct("d", "th") != F.struct("first.d", "first.th")
+    extra = rows.join(first, "h").filter(later | (F.col("no") > F.col("first.to")))
+    gone = scratch.keep(extra.groupBy("d", "th").agg(F.collect_set(F.struct("no", "to")).alias("__q_gone")), "gone")
+    scratch.drop("windows")
+
+    old = [c for c in docs.columns if not counts or c not in ("n_lines", "n_removed", "chunks_removed")]
+    all_rows = docs.select(*[F.col(f"`{c}`") for c in old], key[0].alias("__q_d"), key[1].alias("__q_th"))
+    met = all_rows.join(gone.withColumnsRenamed({"d": "__q_d", "th": "__q_th"}).hint("merge"), ["__q_d", "__q_th"], "left")  # either side grows with the input
+    met = met.withColumn("__q_lines", _lines(F.col(text)))
+    cut = F.array_sort(F.array_distinct(F.flatten(F.transform("__q_gone", lambda s: F.sequence(s["no"], s["to"])))))
+    met = met.withColumn("__q_cut", F.coalesce(cut, F.array().cast("array<int>")))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("__q_lines") - 1), F.col("__q_cut"))
+    met = met.withColumn("__q_stay", stay)
+    new = F.array_join(F.transform("__q_stay", lambda i: F.col("__q_lines")[i]), "\n")
+    out = [F.when(F.size("__q_cut") > 0, new).otherwise(F.col(text)).alias(c) if c == text else F.col(f"`{c}`") for c in old]
+    if counts:
+        runs = F.size(F.array_except(F.col("__q_cut"), F.transform("__q_cut", lambda i: i + 1)))
+        out += [F.size("__q_lines").cast("long").alias("n_lines"), F.size("__q_cut").cast("long").alias("n_removed"), runs.cast("long").alias("chunks_removed")]
+    return met.select(*out)
+
+
 ORACLE = """
     WITH d AS (SELECT doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
     u AS (SELECT doc_id, unnest(ls) AS x, unnest(range(1, len(ls) + 1)) AS i FROM d),

@@ -79,6 +79,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_line_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.line_dedup import passage_dedup
+
+    return passage_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op3_near_vectors": op3_near_vectors,
@@ -90,6 +96,7 @@ QUERIES = {
     "op8_token_shards": op8_token_shards,
     "op9_toxicity": op9_toxicity,
     "op10_line_dedup": op10_line_dedup,
+    "op10_line_passages": op10_line_passages,
 }
 
 ORACLES = {

@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from quern.llm.line_dedup import line_dedup
+from quern.llm.line_dedup import line_dedup, passage_dedup
 
 SCHEMA = "doc_id long, text string"
 
@@ -79,3 +79,43 @@ def test_an_insertion_moves_only_near_boundaries():
 def test_no_python_in_the_plan(spark):
     plan = line_dedup(spark.createDataFrame(fixture(), SCHEMA))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def passages(rows):
+    """Brute force of passage_dedup for distinct ids."""
+    first, out = {}, []
+    for d, t in sorted(rows, key=lambda r: r[0]):
+        lines, gone = (t or "").split("\n"), set()
+        full = [i for i, x in enumerate(lines) if re.search(r"[^ \t\n\x0b\f\r]", x)]
+        for a, b in zip(full, full[1:]):
+            at = first.setdefault("\n".join(lines[a : b + 1]), (d, b))
+            if at != (d, b) and (at[0] != d or a > at[1]):
+                gone |= set(range(a, b + 1))
+        kept = "\n".join(x for i, x in enumerate(lines) if i not in gone)
+        out.append((d, kept if gone else t, len(lines), len(gone), len(gone - {i + 1 for i in gone})))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_passages_against_brute_force(spark, seed):
+    rows = fixture(seed) + [(300, "a\na\na\na\na"), (301, "p q\n\n\nr s\nt"), (302, "x\np q\n\n\nr s\nu")]
+    got = passage_dedup(spark.createDataFrame(rows, SCHEMA).repartition(3))
+    assert got.columns == ["doc_id", "text", "n_lines", "n_removed", "chunks_removed"]
+    assert sorted(tuple(r) for r in got.collect()) == passages(rows)
+    assert not re.search("Python|Pandas|Arrow", got._jdf.queryExecution().toString())
+
+
+def test_planted_passages_in_different_documents_go(spark):
+    r = random.Random(3)
+    line = lambda: " ".join(r.choice("abcdefgh") * 3 + str(r.randrange(1000)) for _ in range(40))
+    rows, left = [], {}
+    for n in range(2, 7):
+        for _ in range(10):
+            planted = [line() for _ in range(n)]
+            for copy in range(2):
+                around = [line() for _ in range(r.randrange(2, 8))]
+                at, d = r.randrange(1, len(around)), len(rows)
+                rows.append((d, "\n".join(around[:at] + planted + around[at:])))
+                left[d] = "\n".join(around) if copy else rows[-1][1]
+    got = passage_dedup(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {x.doc_id: x.text for x in got} == left
