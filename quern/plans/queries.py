@@ -136,6 +136,17 @@ def changed_chars(spark, sf):
     return d.select("doc_id", S.changed_chars(diff).cast("bigint").alias("changed"), S.distance_below("a", "b", 50).alias("reformat"))
 
 
+@query()
+def changed_chars_whole(spark, sf):
+    """Every line of a whole text against the next (the last against nothing)."""
+    d = table(spark, sf, "documents").select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
+    d = d.select("doc_id", F.posexplode(F.zip_with("lines", F.slice("lines", F.lit(2), F.size("lines")), lambda a, b: F.struct(a.alias("a"), F.coalesce(b, F.lit("")).alias("b")))).alias("line_no", "p"))
+    side = lambda c: F.regexp_replace(F.col(f"p.{c}"), "[^a-zA-Z]", "")
+    d = d.select("doc_id", "line_no", side("a").alias("a"), side("b").alias("b"))
+    diff = F.concat(F.lit("+"), "a", F.lit("\n context\n-"), "b")
+    return d.select("doc_id", "line_no", S.changed_chars(diff).cast("bigint").alias("changed"), S.distance_below("a", "b", 50).alias("reformat"))
+
+
 @query()
 def chunks(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")

@@ -56,3 +56,21 @@ def test_stream_of_events(spark, tmp_path):
     got = spark.sql("select sum(n) as n, round(sum(total), 3) as t from ev").first()
     want = spark.read.parquet(f"{SF}/events.parquet").agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("t")).first()
     assert (got.n, got.t) == (want.n, want.t)
+
+
+def test_changed_chars_of_whole_texts(spark, tmp_path):
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    rows = [(1, "\n".join(["abc " * 200 + "x", "abd " * 190, "", "q1w2e3"])), (2, "one"), (3, ""), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = []
+    for d, t in rows:
+        lines = ["".join(c for c in x if c.isascii() and c.isalpha()) for x in (t or "").split("\n")]
+        want += [(d, i, k := distance(a, b), k < 50) for i, (a, b) in enumerate(zip(lines, [*lines[1:], ""]))]
+    assert sorted(tuple(r) for r in QUERIES["changed_chars_whole"](spark, str(tmp_path)).collect()) == want
