@@ -75,11 +75,17 @@ def skill_names(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 
 def user_label(users: DataFrame, author: str = "author", most: int = 255) -> DataFrame:
-    """One row ``label``: a single user as is, else users by domain in order, those of one domain in brackets."""
+    """One row ``label``: a single user as is, else users by domain in order, those of one domain in brackets.
+
+    Each string and its comma take a character at least, so the first ``most + 2`` users of a domain, and domains,
+    are all that the label can show; no more are gathered.
+    """
     rows = users.select(F.col(author).alias("u")).distinct().withColumn("d", F.element_at(F.split("u", "@"), 2))
+    rows = rows.withColumn("_no", F.row_number().over(Window.partitionBy("d").orderBy("u"))).filter(F.col("_no") <= most + 2)
     groups = rows.groupBy("d").agg(F.array_join(F.array_sort(F.collect_list("u")), ",").alias("us"), F.count(F.lit(1)).alias("n"))
     shown = F.when(F.col("n") == 1, F.col("us")).otherwise(F.concat(F.lit("("), F.col("us"), F.lit(")@"), F.col("d")))
-    out = groups.agg(F.array_sort(F.collect_list(F.struct("d", shown.alias("s")))).alias("g")).select(F.array_join(F.transform("g", lambda x: x["s"]), ",").alias("label"))
+    groups = groups.select("d", shown.alias("s")).orderBy("d").limit(most + 2)
+    out = groups.agg(F.array_sort(F.collect_list(F.struct("d", "s"))).alias("g")).select(F.array_join(F.transform("g", lambda x: x["s"]), ",").alias("label"))
     return out.select(F.when(F.length("label") > most, F.concat(F.substring("label", 1, most - 3), F.lit("..."))).otherwise(F.col("label")).alias("label"))
 
 

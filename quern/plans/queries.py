@@ -353,6 +353,18 @@ def user_group_label(spark, sf):
     return R.user_label(c.select(F.concat(F.lower(F.replace("c_name", F.lit("#"), F.lit(""))), F.lit("@"), F.lower("n_name")).alias("author")))
 
 
+@query(
+    """
+    WITH u AS (SELECT lower(replace(c_name, '#', '')) || '@' || lower(n_name) AS u, lower(n_name) AS d FROM customer JOIN nation ON c_nationkey = n_nationkey),
+    g AS (SELECT d, string_agg(u, ',' ORDER BY u) AS us, count(*) AS n FROM u GROUP BY d),
+    l AS (SELECT string_agg(CASE WHEN n = 1 THEN us ELSE '(' || us || ')@' || d END, ',' ORDER BY d) AS label FROM g)
+    SELECT CASE WHEN length(label) > 255 THEN left(label, 252) || '...' ELSE label END AS label FROM l"""
+)
+def user_group_label_whole(spark, sf):
+    c = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return R.user_label(c.select(F.concat(F.lower(F.replace("c_name", F.lit("#"), F.lit(""))), F.lit("@"), F.lower("n_name")).alias("author")))
+
+
 # -- scalars ----------------------------------------------------------------------------------------------
 @query(
     """

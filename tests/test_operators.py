@@ -228,3 +228,14 @@ def test_small_files(spark, tmp_path):
     assert FS.decompress(FS.compress(b"x")) == b"x"
     assert FS.sign(str(tmp_path / "v.tsv"), "a@x", str(tmp_path)).endswith(".json.gz")
     assert FS.file_hashes(spark, str(tmp_path / "v.tsv")).first()["sha256"] == FS.file_hash(str(tmp_path / "v.tsv"))
+
+
+def test_user_label_gathers_no_more_than_it_shows(spark):
+    names = [f"u{i:05d}@d{i % 600:03d}.org" for i in range(3000)] + ["@a.org", "z@zz.org"]
+    df = R.user_label(spark.createDataFrame([(x,) for x in names], "author string"))
+    groups = {}
+    for x in sorted(names):
+        groups.setdefault(x.split("@")[1], []).append(x)
+    want = ",".join(g[0] if len(g) == 1 else f"({','.join(g)})@{d}" for d, g in sorted(groups.items()))
+    assert df.first()["label"] == want[:252] + "..."
+    assert "WindowGroupLimit" in df._jdf.queryExecution().executedPlan().toString()
