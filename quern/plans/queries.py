@@ -105,6 +105,13 @@ def commit_log_parse(spark, sf):
     return A.parse_commits(lines).filter("c_custkey % 3 = 0 or c_mktsegment = 'BUILDING'").select("author", "ts")
 
 
+@query("SELECT lower(trim('  ' || c_name || ' ')) AS author, CAST(c_custkey AS BIGINT) AS ts FROM customer")
+def commit_log_parse_whole(spark, sf):
+    c = table(spark, sf, "customer")
+    lines = c.select(F.concat_ws("\x01", F.concat(F.lit("\t "), "c_name", F.lit("  ")), F.col("c_custkey").cast("string"), F.sha1(F.col("c_name"))).alias("line"))
+    return A.parse_commits(lines).select("author", "ts")
+
+
 @query("""
     SELECT p_partkey AS k, regexp_replace('src/{old => ' || p_brand || '}/' || p_partkey || '.py', '(.*)\\{.* => (.*)\\}(.*)', '\\1\\2\\3') AS path, CAST(p_size AS BIGINT) AS added, CAST(p_partkey % 3 AS BIGINT) AS deleted, 'py' AS ext
     FROM part WHERE p_partkey % 5 <> 0""")

@@ -58,6 +58,11 @@ def test_stream_of_events(spark, tmp_path):
     assert (got.n, got.t) == (want.n, want.t)
 
 
+def test_whole_queries_have_every_row(spark):
+    n = spark.read.parquet(f"{SF}/customer.parquet").count()
+    assert QUERIES["commit_log_parse_whole"](spark, SF).count() == n > QUERIES["commit_log_parse"](spark, SF).count()
+
+
 def test_changed_chars_of_whole_texts(spark, tmp_path):
     def distance(a, b):
         row = list(range(len(b) + 1))
