@@ -25,6 +25,8 @@ from quern.llm.shingles import mix, set_hash, sets
 BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1_000_000
 #: Longest run of one shingle whose members are compared by signature; those of longer ones are taken as candidates.
 LIST = 256
+#: A task solves the runs it has read when it holds so many entries.
+HELD = 100_000
 
 
 def overlaps(found: list[np.ndarray], columns: int = 2048) -> np.ndarray:
@@ -108,6 +110,84 @@ def _levels(counts: np.ndarray) -> np.ndarray:
     return np.where(over >= 4 * math.sqrt(load) + 2, 1 + 2 * np.log2(np.maximum(over, 1)), 0).astype(np.uint8)
 
 
+def edges_of_runs(batches, percent: int, part: int):
+    """Rows (part, h, n, a, b, end) of three kinds: edges (a, b); members b, of n shingles, of the list h (end 2);
+    for each end of the partition its run's h, n and first member a (end 0 and 1)."""
+    first, last, starred = None, None, False  # starred: the held run's first and last stand for members that are edges already
+    fields, seen, held, out = ["part", "h", "n", "a", "b", "end"], set(), [np.zeros(0, np.int64)] * 3, []
+
+    def emit(final):
+        if out and (final or sum(len(x[0]) for x in out) > 200_000):
+            h, n, a, b, end = (np.concatenate(c) for c in zip(*out, strict=True))
+            out.clear()
+            edge = end < 0
+            keep = pa.array(edge)
+            none = pa.nulls(len(h), pa.int64())
+            columns = [none, pa.compute.if_else(keep, none, pa.array(h)), pa.compute.if_else(keep, none, pa.array(n)), pa.compute.if_else(keep, pa.array(a), none), pa.array(b), pa.compute.if_else(keep, pa.nulls(len(h), pa.int32()), pa.array(end))]
+            yield pa.RecordBatch.from_arrays(columns, fields)
+
+    def put(h, n, a, b, end):
+        out.append((h, n, a, b, np.full(len(b), end, np.int32)))
+
+    def solve(h, n, node, starts, opens, closes, starred):
+        """Takes whole runs; the partition's first and last, which may go on elsewhere, one that is a star already, and long ones become edges to their first."""
+        sizes = np.diff(np.r_[starts, len(h)])
+        lists = (sizes > 1) & (sizes <= LIST)
+        stars = sizes > LIST
+        if opens or starred:
+            lists[0], stars[0] = False, True
+        if closes:
+            lists[-1], stars[-1] = False, True
+        run = np.repeat(np.arange(len(starts)), sizes)
+        lead = node[starts][run]
+        at = np.flatnonzero(stars[run] & (lead != node))
+        if len(at):
+            put(h[at], n[at], lead[at], node[at], -1)
+        name = np.add.reduceat(mix(node.view(np.uint64)), starts)
+        fresh = np.zeros(len(starts), bool)
+        for r in np.flatnonzero(lists).tolist():
+            if name[r] not in seen:
+                seen.add(name[r])
+                fresh[r] = True
+        at = np.flatnonzero(fresh[run])
+        if len(at):
+            put(name.view(np.int64)[run[at]], n[at], node[at], node[at], 2)
+        return node[starts[-1]]
+
+    def begins(h, n):
+        new = np.r_[True, (h[1:] != h[:-1]) | (100 * n[:-1] < percent * n[1:])]
+        if starred:
+            new[1] = False
+        return np.flatnonzero(new)
+
+    for b in batches:
+        held = [np.concatenate([x, np.asarray(c).astype(np.int64)]) for x, c in zip(held, b.columns, strict=True)]
+        h, n, node = held
+        if len(h) < HELD:
+            continue
+        starts = begins(h, n)
+        if len(starts) == 1:  # one long run: its first stands for those read
+            put(h[1:], n[1:], np.full(len(h) - 1, node[0]), node[1:], -1)
+            if first is None:
+                first = (h[0], n[0], node[0])
+            held, starred = [np.r_[x[:1], x[-1:]] for x in held], True
+        else:
+            cut = starts[-1]
+            solve(h[:cut], n[:cut], node[:cut], starts[:-1], first is None, False, starred)
+            first = first or (h[0], n[0], node[0])
+            held, starred = [x[cut:] for x in held], False
+        yield from emit(False)
+    h, n, node = held
+    if len(h):
+        starts = begins(h, n)
+        last = (h[-1], n[-1], solve(h, n, node, starts, first is None, True, starred))
+        first = first or (h[0], n[0], node[0])
+    yield from emit(True)
+    if last is not None:
+        ends = [(part, int(h), int(n), int(a), None, e) for e, (h, n, a) in enumerate((first, last))]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*ends, strict=True), [pa.int64()] * 5 + [pa.int32()], strict=True)], fields)
+
+
 def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, sketch_bits: int = 24, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, n_links, component_id of every row; links where 100 * intersection >= percent * union.
 
@@ -192,76 +272,7 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, sketch_bits: int
     entries = scratch.keep(texts.mapInArrow(prefixes, "h long, n int, node long"), "prefixes")
 
     def runs(batches):
-        """Rows (part, h, n, a, b, end) of three kinds: edges (a, b); members b, of n shingles, of the list h (end 2);
-        for each end of the partition its run's h, n and first member a (end 0 and 1)."""
-        part, first, last = TaskContext.get().partitionId(), None, None
-        fields, seen, held, out = ["part", "h", "n", "a", "b", "end"], set(), [np.zeros(0, np.int64)] * 3, []
-
-        def emit(final):
-            if out and (final or sum(len(x[0]) for x in out) > 200_000):
-                h, n, a, b, end = (np.concatenate(c) for c in zip(*out, strict=True))
-                out.clear()
-                edge = end < 0
-                keep = pa.array(edge)
-                none = pa.nulls(len(h), pa.int64())
-                columns = [none, pa.compute.if_else(keep, none, pa.array(h)), pa.compute.if_else(keep, none, pa.array(n)), pa.compute.if_else(keep, pa.array(a), none), pa.array(b), pa.compute.if_else(keep, pa.nulls(len(h), pa.int32()), pa.array(end))]
-                yield pa.RecordBatch.from_arrays(columns, fields)
-
-        def put(h, n, a, b, end):
-            out.append((h, n, a, b, np.full(len(b), end, np.int32)))
-
-        def solve(h, n, node, starts, opens, closes):
-            """Takes whole runs; the partition's first and last, which may go on elsewhere, and long ones become edges to their first."""
-            sizes = np.diff(np.r_[starts, len(h)])
-            lists = (sizes > 1) & (sizes <= LIST)
-            stars = sizes > LIST
-            if opens:
-                lists[0], stars[0] = False, True
-            if closes:
-                lists[-1], stars[-1] = False, True
-            run = np.repeat(np.arange(len(starts)), sizes)
-            lead = node[starts][run]
-            at = np.flatnonzero(stars[run] & (lead != node))
-            if len(at):
-                put(h[at], n[at], lead[at], node[at], -1)
-            name = np.add.reduceat(mix(node.view(np.uint64)), starts)
-            fresh = np.zeros(len(starts), bool)
-            for r in np.flatnonzero(lists).tolist():
-                if name[r] not in seen:
-                    seen.add(name[r])
-                    fresh[r] = True
-            at = np.flatnonzero(fresh[run])
-            if len(at):
-                put(name.view(np.int64)[run[at]], n[at], node[at], node[at], 2)
-            return node[starts[-1]]
-
-        for b in batches:
-            held = [np.concatenate([x, np.asarray(c).astype(np.int64)]) for x, c in zip(held, b.columns, strict=True)]
-            h, n, node = held
-            if len(h) < 100_000:
-                continue
-            new = np.r_[True, (h[1:] != h[:-1]) | (100 * n[:-1] < percent * n[1:])]
-            starts = np.flatnonzero(new)
-            if len(starts) == 1:  # one long run: its first stands for those read
-                put(h[1:], n[1:], np.full(len(h) - 1, node[0]), node[1:], -1)
-                if first is None:
-                    first = (h[0], n[0], node[0])
-                held = [np.r_[x[:1], x[-1:]] for x in held]
-            else:
-                cut = starts[-1]
-                solve(h[:cut], n[:cut], node[:cut], starts[:-1], first is None, False)
-                first = first or (h[0], n[0], node[0])
-                held = [x[cut:] for x in held]
-            yield from emit(False)
-        h, n, node = held
-        if len(h):
-            starts = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (100 * n[:-1] < percent * n[1:])])
-            last = (h[-1], n[-1], solve(h, n, node, starts, first is None, True))
-            first = first or (h[0], n[0], node[0])
-        yield from emit(True)
-        if last is not None:
-            ends = [(part, int(h), int(n), int(a), None, e) for e, (h, n, a) in enumerate((first, last))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*ends, strict=True), [pa.int64()] * 5 + [pa.int32()], strict=True)], fields)
+        return edges_of_runs(batches, percent, TaskContext.get().partitionId())
 
     def sift(batches):
         """Edges inside each list between members whose signatures leave a link possible; a spanning forest of them."""

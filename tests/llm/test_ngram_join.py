@@ -4,6 +4,7 @@ import re
 import string
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quern.llm import ngram_join as nj
@@ -92,3 +93,14 @@ def test_overlaps():
         for j in range(60):
             if i != j:
                 assert got[i, j] == len(np.intersect1d(found[i], found[j]))
+
+
+@pytest.mark.parametrize("sizes", [[100] * 12, [100] * 5 + [110, 120, 130, 140, 150, 160, 170]])
+def test_a_run_that_is_a_star_stays_one(monkeypatch, sizes):
+    """The held run shrinks to its first and last; what follows still gets edges to its first."""
+    monkeypatch.setattr(nj, "HELD", 4)
+    rows = [(1, 50, 1)] + [(5, n, 10 + i) for i, n in enumerate(sizes)] + [(9, 50, 90)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i : i + 4], strict=True)], ["h", "n", "node"]) for i in range(0, len(rows), 4)]
+    got = [r for b in nj.edges_of_runs(batches, 85, 0) for r in b.to_pylist()]
+    assert {(r["a"], r["b"]) for r in got if r["end"] is None} == {(10, 10 + i) for i in range(1, len(sizes))}
+    assert not [r for r in got if r["end"] == 2]
