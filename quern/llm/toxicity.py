@@ -7,6 +7,7 @@ carry its label as a bag: a text is toxic if one of its words is. A text's score
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from itertools import combinations
 
@@ -24,6 +25,8 @@ LONGEST = 24
 #: Words whose decision one worker remembers. The bound changes no score.
 CACHE = 400_000
 _STRIP = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+#: Three or more words in a row of one or two characters: what gaps of white space make of a word.
+_GAPPED = re.compile(r"(?<!\S)\S{1,2}(?:\s+\S{1,2}){2,}(?!\S)")
 _SHAPES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -101,9 +104,13 @@ def decisions(words: list[str], plane: np.ndarray, bias: float) -> np.ndarray:
 
 
 def tokens(text: str | None) -> set[str]:
-    """Distinct words of a whole text, in lower case without marks at their ends; long ones as overlapping pieces."""
-    out = set()
-    for w in set((text or "").lower().split()):
+    """Distinct words of a whole text, in lower case without marks at their ends; long ones as overlapping pieces.
+
+    Words of fewer than three characters have no features of their own, so runs of them count joined, too.
+    """
+    out, low = set(), (text or "").lower()
+    joined = ("".join(w.strip(_STRIP) for w in run.split()) for run in _GAPPED.findall(low))
+    for w in {*low.split(), *joined}:
         w = w.strip(_STRIP)
         if len(w) <= LONGEST:
             out.add(w)

@@ -106,3 +106,12 @@ def test_keep_clean_keeps_columns(spark):
     m = Model(np.zeros(64**3, np.float32), -1.0, 4.0, -2.0)
     df = spark.createDataFrame([(1, "a b", "x"), (2, None, "y")], "score int, text string, label string")
     assert sorted(tuple(r) for r in keep_clean(df, m).collect()) == [(1, "a b", "x"), (2, None, "y")]
+
+
+def test_words_gapped_by_white_space(spark, corpus):
+    docs, labels = corpus
+    m = train(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS))
+    assert "xidiot" in tokens("an x i d i o t".replace("an", "and"))
+    rows = ["b l o c k h e a d", "\n".join("numbskull"), "so  ha lf wi t there", "b. l. o. c. k. h. e. a. d."]
+    got = score(spark.createDataFrame(list(enumerate(rows)), DOCS), m).collect()
+    assert all(r.score >= 0.5 for r in got), got
