@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import Scratch, let_go
-from quern.llm.shingles import sets
+from quern.llm.shingles import set_hash, sets
 
 P, DECAY, SYMBOLS = 3, 0.6, 64
 #: Longest word; longer ones are cut into overlapping pieces of this length, each of which counts.
@@ -244,7 +244,7 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, least: int = 4, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> Model:
     """Fits a model on at most ``sample`` labelled texts of each class (those of smallest hash of the identifier).
 
-    Words are counted over the sample's texts, near copies as one. Words seen in at least ``least`` toxic texts
+    Words are counted over the sample's texts, copies of one label as one. Words seen in at least ``least`` toxic texts
     and hardly in others explain them: the fewest that cover all toxic texts, words of that kind that are like
     these, and those seen twice as often are the positive examples, with variants of the first. Negative examples are words of clean texts; after a first fit,
     those it likes best are added and it is fitted again. Without a label of each kind every word scores low.
@@ -256,15 +256,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, least: int =
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "id")
 
     def bags(batches):
-        """Each text's words, and its smallest shingle, which copies and near copies nearly always share."""
+        """Each text's words, and the hash of its set of shingles, which copies share."""
         let_go()
         for b in batches:
             text_ = b.column(1).to_pylist()
-            low = [int(s[0] >> np.uint64(1)) if len(s) else None for s in sets(text_, 4)]
-            yield pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), b.column(0), pa.array([sorted(tokens(t)) for t in text_], pa.list_(pa.string()))], ["copy", "y", "words"])
+            copy = [set_hash(s) if len(s) else None for s in sets(text_, 4)]
+            yield pa.RecordBatch.from_arrays([pa.array(copy, pa.int64()), b.column(0), pa.array([sorted(tokens(t)) for t in text_], pa.list_(pa.string()))], ["copy", "y", "words"])
 
     every = texts.select("y", "text").mapInArrow(bags, "copy long, y int, words array<string>")
-    bag = Scratch(spark, "toxicity").keep(every.groupBy("copy").agg(F.max("y").alias("y"), F.max("words").alias("words")), "bags")
+    bag = Scratch(spark, "toxicity").keep(every.groupBy("copy", "y").agg(F.max("words").alias("words")).select("y", "words"), "bags")
     counts = bag.select("y", F.explode("words").alias("w")).groupBy("w").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
     total = {r["y"]: r["count"] for r in bag.groupBy("y").count().collect()}
     if not total.get(0) or not total.get(1):

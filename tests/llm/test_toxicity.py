@@ -111,7 +111,16 @@ def test_keep_clean_keeps_columns(spark):
 def test_words_gapped_by_white_space(spark, corpus):
     docs, labels = corpus
     m = train(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS))
-    assert "xidiot" in tokens("an x i d i o t".replace("an", "and"))
+    assert "xidiot" in tokens("and x i d i o t")
     rows = ["b l o c k h e a d", "\n".join("numbskull"), "so  ha lf wi t there", "b. l. o. c. k. h. e. a. d."]
     got = score(spark.createDataFrame(list(enumerate(rows)), DOCS), m).collect()
     assert all(r.score >= 0.5 for r in got), got
+
+
+def test_texts_that_share_a_passage_are_no_copies(spark):
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("aeioubcdfglmnprst") for _ in range(6))
+    opening, clean = " ".join(word() for _ in range(60)), [word() for _ in range(40)]
+    docs = [(i, f"{opening} {r.choice(clean)} {r.choice(clean)} {'blockhead' if i % 4 == 0 else r.choice(clean)}") for i in range(160)]
+    d, l = spark.createDataFrame(docs, DOCS), spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in docs], LABELS)  # noqa: E741
+    assert {(r.doc_id % 4 == 0, r.predicted) for r in toxicity(d, l).collect()} == {(True, 1), (False, 0)}
