@@ -1,13 +1,15 @@
 """Leaks of benchmark items against brute force."""
 
+import io
 import math
 import string
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from quern.llm import decontamination as dc
-from quern.llm.decontamination import decontaminate, leaks, searchers
+from quern.llm.decontamination import build, decontaminate, leaks
 
 
 def plain(text):
@@ -30,30 +32,45 @@ def bm25(items):
 
 
 def brute(docs, items, threshold=0.7):
+    """(document, item): (score, question's overlap, answer's overlap, passage) of the best passage."""
     w, weight = bm25(items)
-    stride = max(64, max(map(len, w.values())))
     found = {}
     for d, text in docs:
         x = plain(text)
-        for p in range(max(1, -(-len(x) // stride) - 1)):
-            passage = x[p * stride : (p + 2) * stride]
-            have = set(passage)
-            for i, weights in weight.items():
-                if sum(v for t, v in weights.items() if t in have) >= threshold:
+        for i, weights in weight.items():
+            stride = 64
+            while stride < len(w[i]):
+                stride *= 2
+            for p in range(max(1, -(-len(x) // stride) - 1)):
+                passage = x[p * stride : (p + 2) * stride]
+                have = set(passage)
+                score = sum(v for t, v in weights.items() if t in have)
+                if score >= threshold - 1e-9:
                     cut = max(1, 3 * len(w[i]) // 4)
                     q, a = w[i][:cut], w[i][cut:]
                     k = min(5, len(q))
                     grams = {tuple(q[j : j + k]) for j in range(len(q) - k + 1)}
                     seen = {tuple(passage[j : j + k]) for j in range(len(passage) - k + 1)}
-                    if len(grams & seen) / len(grams) >= 0.8 and (not a or len(set(a) & have) / len(set(a)) >= 0.6):
-                        found[d, i] = True
-    return sorted(found)
+                    q, a = len(grams & seen) / len(grams), len(set(a) & have) / len(set(a)) if a else 1.0
+                    if q >= 0.8 and a >= 0.6:
+                        found[d, i] = max(found.get((d, i), (0,)), (round(score, 6), q, a, -p * stride))
+    return {k: (*v[:3], -v[3]) for k, v in found.items()}
+
+
+def as_found(rows):
+    return {(r.doc_id, r.item_id): (r.score, r.question_overlap, r.answer_overlap, r.passage) for r in rows}
+
+
+def same(got, want):
+    assert got.keys() == want.keys()
+    for k, v in want.items():
+        assert got[k] == pytest.approx(v, abs=2e-6)
 
 
 def fixture(seed=2):
     rng = np.random.default_rng(seed)
     vocabulary = np.array(["".join(rng.choice(list("abcdé"), int(rng.integers(2, 5)))) for _ in range(400)])
-    items = [(i, " ".join(rng.choice(vocabulary, int(rng.integers(3, 60)))) + ".") for i in range(30)] + [(30, None), (31, "")]
+    items = [(i, " ".join(rng.choice(vocabulary, int(rng.integers(3, 60) if i % 5 else rng.integers(60, 2000)))) + ".") for i in range(30)] + [(30, None), (31, "")]
     docs = []
     for d in range(120):
         t = list(rng.choice(vocabulary, int(rng.integers(0, 500))))
@@ -74,21 +91,53 @@ def test_against_brute_force(spark):
     d, i = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
     want = brute(docs, items)
     assert len(want) > 15
-    assert sorted((r.doc_id, r.item_id) for r in leaks(d, i).collect()) == want
+    same(as_found(leaks(d, i).collect()), want)
     kept = decontaminate(d.withColumn("score", d.doc_id), i)
     assert kept.columns == ["doc_id", "text", "score"]
     assert sorted(r.doc_id for r in kept.collect()) == sorted({x for x, _ in docs} - {x for x, _ in want})
 
 
-def test_several_indexes_and_passes_find_the_same(spark, monkeypatch):
+def test_several_shards_find_the_same_and_no_item_changes_another(spark):
     docs, items = fixture(4)
     d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    monkeypatch.setattr(dc, "INDEX_ITEMS", 7)
-    monkeypatch.setattr(dc, "PASS_BYTES", 2500)
-    assert len(searchers(i)) > 1
-    w, _ = bm25(items)
-    if max(map(len, w.values())) <= 64:  # else strides differ between indexes
-        assert sorted((r.doc_id, r.item_id) for r in leaks(d, i).collect()) == brute(docs, items)
+    want = brute(docs, items)
+    assert any(dc.stride_of(len(plain(t))) > 64 for _, t in items if t) and len(want) > 15
+    assert len(build(i).shards) < len(build(i, postings=100).shards)
+    same(as_found(leaks(d, i, postings=100).collect()), want)
+
+
+def test_block_max_and_pivots_lose_nothing(monkeypatch):
+    """The index against sums over all items, where hardly anything is above the threshold and where much is."""
+    rng = np.random.default_rng(3)
+    vocabulary = rng.integers(0, 2**63, 200).astype(np.uint64) * np.uint64(2)
+    made = []
+    for j in range(100):
+        terms = np.unique(rng.choice(vocabulary, int(rng.integers(1, 40)), p=np.arange(200, 0, -1) / 20100))
+        impacts = rng.random(len(terms)) + 0.01
+        made.append(dc.Item(j, terms, impacts / impacts.sum(), terms, terms[:0]))
+    h = rng.choice(np.r_[vocabulary, vocabulary + np.uint64(1)], 6000)
+    starts = np.arange(0, 5900, 30)
+    ends = np.minimum(starts + 60, 6000)
+    monkeypatch.setattr(dc, "ENTRIES", 500)
+    shard = dc.Shard.of(made, 64)
+    again = dc.Shard.load(io.BytesIO(shard.dump()))
+    for threshold in (0.2, 0.5, 0.8):
+        want = {(p, j): x for p, (s, e) in enumerate(zip(starts, ends, strict=True)) for j, item in enumerate(made) if (x := item.impacts[np.isin(item.terms, h[s:e])].sum()) >= threshold}
+        got = {(p, j): x for p, j, x in again.search(h, starts, ends, threshold)}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_long_texts_equal_rows_and_clashing_columns(spark):
+    rng = np.random.default_rng(8)
+    item = " ".join(f"w{x}" for x in rng.integers(0, 300, 40))
+    long = " ".join(f"v{x}" for x in rng.integers(0, 5000, 200_000))
+    docs = [(1, long + " " + item + " " + long, 5), (1, long + " " + item + " " + long, 5), (2, long, 6), (None, item.upper(), None)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, item_id long").withColumn("score", dc.F.lit(1)).withColumn("terms", dc.F.lit("x"))
+    i = spark.createDataFrame([(9, item, 3), (9, item, 3), (None, "  .", 1)], "item_id long, text string, row long").withColumn("q", dc.F.lit(1))
+    got = leaks(d, i).collect()
+    assert sorted((r.doc_id or 0, r.item_id, r.score) for r in got) == [(0, 9, 1.0), (1, 9, 1.0), (1, 9, 1.0)]
+    kept = decontaminate(d, i)
+    assert kept.columns == ["doc_id", "text", "item_id", "score", "terms"] and [r.doc_id for r in kept.collect()] == [2]
 
 
 def test_own_question_and_answer_columns_nulls_and_empty_tables(spark):
