@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -12,52 +13,106 @@ from pyspark.sql import functions as F
 from quern.llm.common import Scratch
 from quern.llm.components import components
 
-#: Added to every bound, for rounding; a pair that a bound lets through is decided by its cosine.
+#: Added to every bound, for rounding; a pair that a bound leaves open is decided by its cosine.
 SLACK = 1e-7
-LEAF, FAN = 48, 64
+#: Pairs of nodes looked at in one go, and the size from which the children of two nodes are multiplied as matrices.
+PAIRS, DENSE = 1 << 18, 1 << 12
+#: Points that may become centres of a level in one go.
+BATCH = 256
 
 
-class Node:
-    """A ball around one of its points: all points of ``rows`` lie within ``radius`` of row ``centre``."""
+def chords(dots: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * dots))
 
-    __slots__ = ("centre", "children", "radius", "rows")
 
-    def __init__(self, centre, radius, rows, children=()):
-        self.centre, self.radius, self.rows, self.children = centre, radius, rows, children
+class CoverTree:
+    """Cover tree over unit vectors, by chords: nested nets whose radii halve from level to level.
 
+    The net of level l is the first ``sizes[l]`` points of ``order``. Nesting: each net holds the one before.
+    Covering: every point lies within ``radii[l]`` of its node's centre, and a centre that is new within
+    ``radii[l - 1]`` of its parent's. Separation: centres of one net are more than ``radii[l]`` apart. The root
+    covers everything; the last level is the first below ``floor``, or that where all points are centres.
+    ``node[l]`` has each point's node of level l, ``reach[l]`` each node's true covering radius: the largest
+    distance to a point below it.
+    """
 
-def distances(x: np.ndarray, rows: np.ndarray, centre: int) -> np.ndarray:
-    return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (x[rows] @ x[centre])))
+    def __init__(self, x: np.ndarray, floor: float):
+        n = len(x)
+        self.x, self.radii, self.sizes = x, [2.0], [1]
+        place = np.full(n, -1)  # of a centre in the order
+        order, parent, owner = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], np.zeros(n, np.int64)
+        place[0], size = 0, 1
+        dot = x @ x[0]
+        while size < n and self.radii[-1] >= floor:
+            r = self.radii[-1] / 2
+            least = 1.0 - r * r / 2
+            rest = np.flatnonzero(place < 0)
+            loose = rest[dot[rest] < least]
+            centres, before = np.concatenate(order), owner.copy()
+            for at in range(0, len(centres), BATCH * 8):
+                loose = self._take(loose, centres[at : at + BATCH * 8], at, least, owner, dot)
+            while len(loose):
+                first, loose = loose[:BATCH], loose[BATCH:]
+                near = x[first] @ x[first].T >= least
+                free, new = np.ones(len(first), bool), []
+                for i in range(len(first)):
+                    if free[i]:
+                        new.append(i)
+                        free &= ~near[i]
+                new = first[new]
+                place[new] = np.arange(size, size + len(new))
+                order.append(new)
+                parent.append(before[new])
+                left = self._take(first[place[first] < 0], new, size, least, owner, dot)
+                assert not len(left)
+                loose = self._take(loose, new, size, least, owner, dot)
+                owner[new], dot[new] = place[new], 1.0
+                size += len(new)
+            self.radii.append(r)
+            self.sizes.append(size)
+        self.order, parent = np.concatenate(order), np.concatenate(parent)
+        at, self.node, self.reach, self.child = owner, [], [], []
+        for level in range(len(self.sizes) - 1, -1, -1):
+            inside = at < self.sizes[level]
+            at = np.where(inside, at, parent[at])
+            self.node.append(at)
+            far = np.zeros(self.sizes[level])
+            np.maximum.at(far, at, chords(np.einsum("ij,ij->i", x, x[self.order[at]])))
+            alone = np.bincount(at, minlength=self.sizes[level]) == 1
+            far[alone] = 0.0
+            self.reach.append(far)
+        self.node.reverse()
+        self.reach.reverse()
+        for level, upto in enumerate(self.sizes[1:]):
+            up = np.r_[np.arange(self.sizes[level]), parent[self.sizes[level] : upto]]
+            kids = np.argsort(up, kind="stable")
+            self.child.append((np.r_[0, np.cumsum(np.bincount(up, minlength=self.sizes[level]))], kids))
+        members = np.argsort(self.node[-1], kind="stable")
+        self.child.append((np.r_[0, np.cumsum(np.bincount(self.node[-1], minlength=self.sizes[-1]))], members))
 
+    def _take(self, points, centres, first, least, owner, dot):
+        """Gives each point within the radius of a centre to the nearest; returns the others."""
+        for at in range(0, len(points), 8192):
+            some = points[at : at + 8192]
+            d = self.x[some] @ self.x[centres].T
+            best = d.argmax(axis=1)
+            value = d[np.arange(len(some)), best]
+            good = value >= least
+            owner[some[good]], dot[some[good]] = first + best[good], value[good]
+        return points[dot[points] < least] if len(points) else points
 
-def build(x: np.ndarray, rows: np.ndarray) -> Node:
-    """Cover tree over unit vectors: each level covers a ball with balls of half its radius, nested in its points.
+    @property
+    def depth(self) -> int:
+        return len(self.sizes)
 
-    A ball stays a leaf when it has few points, or when more than FAN smaller balls would be needed: then the
-    points are so far from each other that smaller balls prune nothing that the leaf's own bound doesn't.
-    """
-    root, todo = None, [(rows, None)]
-    while todo:
-        rows, parent = todo.pop()
-        d = distances(x, rows, rows[0])
-        node = Node(rows[0], float(d.max()), rows)
-        if parent is None:
-            root = node
-        else:
-            parent.children.append(node)
-        if len(rows) <= LEAF or node.radius < 1e-3:
-            continue
-        half, rest, parts = node.radius / 2, rows, []
-        near = d <= half
-        while len(rest) and len(parts) < FAN:
-            parts.append(rest[near])
-            rest = rest[~near]
-            if len(rest):
-                near = distances(x, rest, rest[0]) <= half
-        if not len(rest) and len(parts) > 1:
-            node.children = []
-            todo += [(p, node) for p in parts]
-    return root
+    def level(self, level: int) -> int:
+        return min(level, self.depth - 1)
+
+    def kids(self, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """Children of every node of a level; a tree whose last level is above stays where it is."""
+        if level < self.depth - 1:
+            return self.child[level]
+        return np.arange(self.sizes[-1] + 1), np.arange(self.sizes[-1])
 
 
 def unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -76,44 +131,123 @@ def unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             label = up
 
 
-def near_pairs(x: np.ndarray, weight: np.ndarray, first: np.ndarray, second: np.ndarray | None, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Weighted links of each row and its class, over pairs inside ``first``, or between ``first`` and ``second``."""
+@dataclass
+class Seen:
+    """What a traversal has looked at: pairs of nodes, and pairs of points below nodes that no bound has decided."""
+
+    nodes: int = 0
+    points: int = 0
+
+
+def _products(p, q, a, b, same):
+    """Chunks of (rows, columns) of children of each pair: large ones as blocks for matrix products, the others side by side.
+
+    Of a pair of a node with itself only column >= row counts. Yields (rows, columns, block): for a block the two
+    are lists to be multiplied, else equally long arrays.
+    """
+    sizes = np.diff(a[0])[p], np.diff(b[0])[q]
+    area = sizes[0] * sizes[1]
+    for k in np.flatnonzero(area >= DENSE).tolist():
+        rows, columns = a[1][a[0][p[k]] : a[0][p[k] + 1]], b[1][b[0][q[k]] : b[0][q[k] + 1]]
+        step = max(1, PAIRS // len(columns))
+        for at in range(0, len(rows), step):
+            yield rows[at : at + step], columns[at:] if same[k] else columns, True, bool(same[k])
+    small = np.flatnonzero(area < DENSE)
+    small = small[area[small] > 0]
+    ends = np.cumsum(area[small])
+    at = 0
+    while at < len(small):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+        k = small[at:to]
+        which = np.repeat(np.arange(len(k)), area[k])
+        nth = np.arange(len(which)) - np.repeat(np.cumsum(area[k]) - area[k], area[k])
+        i, j = nth // sizes[1][k][which], nth % sizes[1][k][which]
+        good = ~same[k][which] | (j >= i)
+        i, j, which = i[good], j[good], which[good]
+        yield a[1][a[0][p[k]][which] + i], b[1][b[0][q[k]][which] + j], False, False
+        at = to
+
+
+def near_pairs(x: np.ndarray, weight: np.ndarray, first: np.ndarray, second: np.ndarray | None, cosine: float, seen: Seen | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted links of each row and its class, over pairs inside ``first``, or between ``first`` and ``second``.
+
+    Two trees are walked level by level together, from the pair of their roots. A pair of nodes goes when its
+    centres are further apart than the covering radii and the threshold allow, and is taken whole when they are
+    so close that all points below must be near; of the others the children meet. Only pairs of points that are
+    left below the last level are decided one by one.
+    """
     links, label, most = np.zeros(len(x), np.int64), np.arange(len(x)), math.sqrt(2 - 2 * cosine)
-    a = build(x, first)
-    todo = [(a, a)] if second is None else [(a, build(x, second))]
-    while todo:
-        p, q = todo.pop()
-        d = 0.0 if p is q else float(distances(x, np.array([p.centre]), q.centre)[0])
-        if d > p.radius + q.radius + most + SLACK:
-            continue
-        if d + p.radius + q.radius < most - SLACK:  # every pair is near
-            both = np.concatenate([p.rows, q.rows])
-            label = unite(label, both[1:], np.full(len(both) - 1, both[0]))
-            links[p.rows] += int(weight[q.rows].sum())
-            if p is q:
-                links[p.rows] -= weight[p.rows]
-            else:
-                links[q.rows] += int(weight[p.rows].sum())
-        elif p.children and (not q.children or p.radius >= q.radius):
-            if p is q:
-                kids = p.children
-                todo += [(kids[s], kids[t]) for s in range(len(kids)) for t in range(s, len(kids))]
+    seen = seen if seen is not None else Seen()
+    floor = most / 4
+    a = CoverTree(x[first], floor)
+    b = a if second is None else CoverTree(x[second], floor)
+    other = first if second is None else second
+    p = q = np.zeros(1, np.int64)
+    for level in range(max(a.depth, b.depth)):
+        if not len(p):
+            return links, label
+        if level:
+            kids_a, kids_b = a.kids(level - 1), b.kids(level - 1)
+        else:
+            kids_a = kids_b = (np.array([0, 1]), np.zeros(1, np.int64))
+        la, lb = a.level(level), b.level(level)
+        far_a, far_b, xa, xb = a.reach[la], b.reach[lb], a.x[a.order[: a.sizes[la]]], b.x[b.order[: b.sizes[lb]]]
+        same = (p == q) if a is b else np.zeros(len(p), bool)
+        open_, taken = [], []
+        for rows, columns, block, diagonal in _products(p, q, kids_a, kids_b, same):
+            if block:
+                dots = xa[rows] @ xb[columns].T
+                keep = 2.0 - 2.0 * dots <= (far_a[rows][:, None] + (far_b[columns] + (most + SLACK))) ** 2
+                seen.nodes += dots.size
+                if diagonal:
+                    keep &= np.arange(len(columns)) >= np.arange(len(rows))[:, None]
+                i, j = np.nonzero(keep)
+                d, i, j = chords(dots[i, j]), rows[i], columns[j]
             else:
-                todo += [(c, q) for c in p.children]
-        elif q.children:
-            todo += [(p, c) for c in q.children]
+                seen.nodes += len(rows)
+                d = chords(np.einsum("ij,ij->i", xa[rows], xb[columns]))
+                keep = d <= far_a[rows] + far_b[columns] + (most + SLACK)
+                d, i, j = d[keep], rows[keep], columns[keep]
+            if a is b:
+                d[i == j] = 0.0
+            every = d + far_a[i] + far_b[j] < most - SLACK
+            taken.append((i[every], j[every]))
+            open_.append((i[~every], j[~every]))
+        i, j = (np.concatenate(c) for c in zip(*taken, strict=True))
+        if len(i):
+            na, nb = a.node[la], b.node[lb]
+            own, others = np.bincount(na, weight[first], a.sizes[la]).astype(np.int64), np.bincount(nb, weight[other], b.sizes[lb]).astype(np.int64)
+            gain_a, gain_b, whole_a, whole_b = np.zeros(len(own), np.int64), np.zeros(len(others), np.int64), np.zeros(len(own), bool), np.zeros(len(others), bool)
+            whole_a[i], whole_b[j] = True, True
+            np.add.at(gain_a, i, others[j])
+            apart = (i != j) if a is b else np.ones(len(i), bool)
+            np.add.at(gain_b, j[apart], own[i[apart]])
+            links[first] += gain_a[na]
+            links[other] += gain_b[nb]
+            if a is b:
+                self_too = np.zeros(len(own), bool)
+                self_too[i[~apart]] = True
+                links[first] -= weight[first] * self_too[na]
+            label = unite(label, first[whole_a[na]], first[a.order[na[whole_a[na]]]])
+            label = unite(label, other[whole_b[nb]], other[b.order[nb[whole_b[nb]]]])
+            label = unite(label, first[a.order[i]], other[b.order[j]])
+        p, q = (np.concatenate(c) for c in zip(*open_, strict=True))
+    same = (p == q) if a is b else np.zeros(len(p), bool)
+    for rows, columns, block, diagonal in _products(p, q, a.child[-1], b.child[-1], same):
+        if block:
+            near = a.x[rows] @ b.x[columns].T >= cosine
+            if diagonal:
+                near &= np.arange(len(columns)) > np.arange(len(rows))[:, None]
+            seen.points += near.size
+            i, j = np.nonzero(near)
+            i, j = rows[i], columns[j]
         else:
-            for at in range(0, len(p.rows), 256):
-                some = p.rows[at : at + 256]
-                others = q.rows if p is not q else p.rows[at:]
-                near = x[some] @ x[others].T >= cosine
-                if p is q:
-                    near &= np.arange(len(others)) > np.arange(len(some))[:, None]
-                if near.any():
-                    links[some] += near @ weight[others]
-                    np.add.at(links, others, near.T @ weight[some])
-                    i, j = np.nonzero(near)
-                    label = unite(label, some[i], others[j])
+            near = (np.einsum("ij,ij->i", a.x[rows], b.x[columns]) >= cosine) & (True if a is not b else rows != columns)
+            seen.points += len(rows)
+            i, j = rows[near], columns[near]
+        np.add.at(links, first[i], weight[other[j]])
+        np.add.at(links, other[j], weight[first[i]])
+        label = unite(label, first[i], other[j])
     return links, label
 
 
@@ -125,19 +259,21 @@ def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.93, block: int = 2048, pivots: int = 4096, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = 0.93, block_bytes: int = 8 << 20, pivot_bytes: int = 32 << 20, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
     """vec_id, n_links, component_id, kept of every row: links at ``cosine`` or more between vectors of one label.
 
-    Equal vectors of a label are one node with a weight, so copies cost nothing. Labels of more than ``block``
-    nodes are dealt to balls around pivots, the trees' top level; a node visits another ball only within the
-    ball's covering radius plus the threshold. Balls and visitors are cut into parts by hash, so a task holds
-    a bounded number of vectors whatever a label's size. ``pivots`` bounds how many are held in memory in
-    all; further labels are cut by hash alone, which prunes less and finds the same pairs. In a task, cover
-    trees are traversed pair by pair; it returns sums of links and a spanning forest, never the pairs.
+    Equal vectors of a label are one node with a weight, so copies cost nothing; they are told apart by 128-bit
+    hashes and get numbers of their own. A block holds as many nodes as fit in ``block_bytes``. Labels of more are
+    dealt to balls around pivots, the top of a tree that no task holds whole: one pivot for each block, so the
+    pivots follow the label. A node visits another ball only within the ball's covering radius plus the threshold,
+    and balls and their visitors are cut into parts by hash, so a task holds a bounded number of vectors whatever a
+    label's size. All pivots together take ``pivot_bytes`` of memory at most, the largest labels first; a label that
+    has none is one ball, which prunes less and finds the same pairs. In a task, cover trees are walked pair by
+    pair (:func:`near_pairs`); it returns sums of links and a spanning forest, never the pairs.
 
     A vector that is null, zero or has a null or non-finite component links with nothing, nor does one with
     a null label; vectors of different sizes don't meet. Rows with equal ids are rows of their own. A null id
-    counts as the smallest. An empty table gives no rows.
+    counts as the smallest. An empty table gives no rows. Other columns are never read, whatever their names.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "vectors")
@@ -145,18 +281,21 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, block: int = 2048, pi
     rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("e"), F.col(label).cast("string").alias("label"))
     finite = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = e.isNotNull() & F.col("label").isNotNull() & F.coalesce(finite, F.lit(False)) & F.coalesce(F.exists("e", lambda x: x != 0), F.lit(False))
-    rows = rows.withColumn("ok", F.coalesce(usable, F.lit(False))).withColumns({"dim": F.size("e"), "h": F.when(F.col("ok"), F.xxhash64("label", "e")), "h2": F.when(F.col("ok"), F.xxhash64("e", "label", F.lit(7)))})
-    nodes = scratch.keep(rows.filter("ok").groupBy("label", "dim", "h", "h2").agg(F.count(F.lit(1)).alias("w"), F.first("e").alias("e")).drop("h2"), "nodes")
-    sizes = scratch.keep(nodes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")), "sizes")
-    big, room = {}, pivots
-    for r in sizes.filter(F.col("n") > block).orderBy(F.desc("n"), "label", "dim").limit(512).collect():
-        want = min(64, -(-r["n"] // block), room)
+    rows = rows.withColumn("ok", F.coalesce(usable, F.lit(False))).withColumns({"dim": F.size("e"), "h": F.when(F.col("ok"), F.xxhash64("label", "e")), "h2": F.when(F.col("ok"), F.xxhash64(F.lit(7), "e", "label"))})
+    kinds = rows.filter("ok").groupBy("label", "dim", "h", "h2").agg(F.count(F.lit(1)).alias("w"), F.min("id").alias("low"), F.max(F.col("id").isNull()).alias("nameless"), F.first("e").alias("e"))
+    nodes = scratch.keep(kinds.withColumn("node", F.monotonically_increasing_id()), "nodes")  # written, so the numbers stay
+    size_of = F.greatest(F.lit(16), F.expr(f"{int(block_bytes)} div (8 * dim)"))
+    sizes = scratch.keep(nodes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).withColumn("block", size_of.cast("long")), "sizes")
+    big, room = {}, pivot_bytes
+    # a label with pivots has two at least, so no more labels than this can have any
+    for r in sizes.filter("n > block").orderBy(F.desc("n"), "label", "dim").limit(max(1, pivot_bytes // 16)).collect():
+        want = min(-(-r["n"] // r["block"]), room // (8 * r["dim"]))
         if want > 1:
             big[r["label"], r["dim"]] = (want, r["n"])
-            room -= want
+            room -= want * 8 * r["dim"]
     centres: dict = {}
     if big:
-        wanted = spark.createDataFrame([(k[0], k[1], max(1, v[1] // (4 * v[0]))) for k, v in big.items()], "label string, dim int, every long")
+        wanted = spark.createDataFrame([(k[0], k[1], max(1, v[1] // (2 * v[0]))) for k, v in big.items()], "label string, dim int, every long")
         for r in nodes.join(F.broadcast(wanted), ["label", "dim"]).filter("pmod(h, every) = 0").select("label", "dim", "h", "e").collect():
             centres.setdefault((r["label"], r["dim"]), []).append((r["h"], r["e"]))
         for k, v in centres.items():
@@ -166,9 +305,6 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, block: int = 2048, pi
             centres[k] = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
     reach = math.sqrt(2 - 2 * cosine) + SLACK
 
-    def chord(x, p):
-        return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (x @ p.T)))
-
     def groups(batch):
         """(label, dim, rows) of a batch."""
         keys = list(zip(batch.column("label").to_pylist(), batch.column("dim").to_pylist(), strict=True))
@@ -182,26 +318,27 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, block: int = 2048, pi
             cell, far = np.zeros(b.num_rows, "i4"), np.zeros(b.num_rows)
             for k, at in groups(b):
                 if k in centres:
-                    d = chord(_matrix(b.column("e").take(pa.array(at)), k[1]), centres[k])
+                    d = chords(_matrix(b.column("e").take(pa.array(at)), k[1]) @ centres[k].T)
                     cell[at], far[at] = d.argmin(axis=1), d.min(axis=1)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell), pa.array(far)], [*b.schema.names, "cell", "far"])
 
+    celled = nodes.join(sizes, ["label", "dim"]).select("label", "dim", "n", "block", "h", "node", "w", "e")
     if centres:
-        celled = scratch.keep(nodes.join(sizes, ["label", "dim"]).select("label", "dim", "n", "h", "w", "e").mapInArrow(assign, "label string, dim int, n long, h long, w long, e array<double>, cell int, far double"), "celled")
+        celled = scratch.keep(celled.mapInArrow(assign, "label string, dim int, n long, block long, h long, node long, w long, e array<double>, cell int, far double"), "celled")
         balls = {(r["label"], r["dim"], r["cell"]): (r["r"], r["m"]) for r in celled.join(F.broadcast(wanted), ["label", "dim"], "left_semi").groupBy("label", "dim", "cell").agg(F.max("far").alias("r"), F.count(F.lit(1)).alias("m")).collect()}
     else:
-        celled, balls = nodes.join(sizes, ["label", "dim"]).select("label", "dim", "n", "h", "w", "e", F.lit(0).alias("cell"), F.lit(0.0).alias("far")), {}
+        celled, balls = celled.withColumns({"cell": F.lit(0), "far": F.lit(0.0)}), {}
 
     def deal(batches):
         for b in batches:
             h = np.asarray(b.column("h")).astype("u8")
-            cells, n = np.asarray(b.column("cell")), np.asarray(b.column("n"))
+            cells, n, blocks = np.asarray(b.column("cell")), np.asarray(b.column("n")), np.asarray(b.column("block"))
             for (name, dim), at in groups(b):
-                k, total = (name, dim), int(n[at[0]])
+                k, total, block = (name, dim), int(n[at[0]]), int(blocks[at[0]])
                 g_all = max(1, -(-total // (8 * block)))
                 own, guest = cells[at], (h[at] >> np.uint64(20)) % np.uint64(g_all)
                 known = [(c, *balls[name, dim, c]) for c in range(len(centres[k])) if (name, dim, c) in balls] if k in centres else [(0, 2.0, total)]
-                d = chord(_matrix(b.column("e").take(pa.array(at)), dim), centres[k]) if k in centres else None
+                d = chords(_matrix(b.column("e").take(pa.array(at)), dim) @ centres[k].T) if k in centres else None
                 for c, radius, m in known:
                     subs = max(1, -(-m // block))
                     sub = (h[at] >> np.uint64(8)) % np.uint64(subs)
@@ -217,31 +354,31 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, block: int = 2048, pi
                             if len(take):
                                 some, size = pa.array(take), len(take)
                                 yield pa.RecordBatch.from_arrays(
-                                    [pa.array([name] * size), *(pa.array([v] * size, pa.int32()) for v in (dim, c, s, g)), pa.array([home] * size), *(b.column(x).take(some) for x in ("h", "w", "e"))],
-                                    ["label", "dim", "cell", "sub", "g", "home", "h", "w", "e"],
+                                    [pa.array([name] * size), *(pa.array([v] * size, pa.int32()) for v in (dim, c, s, g)), pa.array([home] * size), *(b.column(x).take(some) for x in ("node", "w", "e"))],
+                                    ["label", "dim", "cell", "sub", "g", "home", "node", "w", "e"],
                                 )
 
     def work(t: pa.Table) -> pa.Table:
-        h, w, home = np.asarray(t["h"]), np.asarray(t["w"]), np.asarray(t["home"])
+        node, w, home = np.asarray(t["node"]), np.asarray(t["w"]), np.asarray(t["home"])
         x = _matrix(t["e"], t["dim"][0].as_py())
-        links, label_ = np.zeros(len(h), np.int64), np.arange(len(h))
+        links, label_ = np.zeros(len(node), np.int64), np.arange(len(node))
         inside, others = np.flatnonzero(home), np.flatnonzero(~home)
         jobs = [(inside, None)] if t["g"][0].as_py() == 0 and len(inside) else []
         for first, second in jobs + ([(inside, others)] if len(inside) and len(others) else []):
             more, found = near_pairs(x, w, first, second, cosine)
             links += more
-            label_ = unite(label_, np.arange(len(h)), found)
-        some, joined = np.flatnonzero(links), np.flatnonzero(label_ != np.arange(len(h)))
-        return pa.table({"a": pa.array(np.concatenate([h[some], h[joined]])), "b": pa.array(np.concatenate([links[some], h[label_[joined]]])), "edge": pa.array(np.concatenate([np.zeros(len(some), bool), np.ones(len(joined), bool)]))})
+            label_ = unite(label_, np.arange(len(node)), found)
+        some, joined = np.flatnonzero(links), np.flatnonzero(label_ != np.arange(len(node)))
+        return pa.table({"a": pa.array(np.concatenate([node[some], node[joined]])), "b": pa.array(np.concatenate([links[some], node[label_[joined]]])), "edge": pa.array(np.concatenate([np.zeros(len(some), bool), np.ones(len(joined), bool)]))})
 
-    dealt = celled.mapInArrow(deal, "label string, dim int, cell int, sub int, g int, home boolean, h long, w long, e array<double>")
+    dealt = celled.mapInArrow(deal, "label string, dim int, cell int, sub int, g int, home boolean, node long, w long, e array<double>")
     found = scratch.keep(dealt.groupBy("label", "dim", "cell", "sub", "g").applyInArrow(work, "a long, b long, edge boolean"), "found")
-    links = found.filter("not edge").groupBy(F.col("a").alias("h")).agg(F.sum("b").alias("links"))
-    comps = components(found.filter("edge").select("a", "b"), scratch).withColumnsRenamed({"node": "h", "component": "c"})
-    own = rows.filter("ok").groupBy("h").agg(F.min("id").alias("low"), F.max(F.col("id").isNull()).alias("nameless"), F.count(F.lit(1)).alias("copies"))
-    own = scratch.keep(own.join(links, "h", "left").join(comps, "h", "left").withColumn("c", F.coalesce("c", "h")), "own")
+    links = found.filter("not edge").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("links"))
+    comps = components(found.filter("edge").select("a", "b"), scratch).withColumnsRenamed({"component": "c"})
+    own = nodes.select("node", "h", "h2", "w", "low", "nameless").join(links, "node", "left").join(comps, "node", "left").withColumn("c", F.coalesce("c", "node"))
+    own = scratch.keep(own, "own")
     lowest = own.groupBy("c").agg(F.min("low").alias("lowest"), F.max("nameless").alias("nameless")).select("c", F.when(~F.col("nameless"), F.col("lowest")).alias("lowest"))
-    by_node = own.join(lowest, "c").select("h", "lowest", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.lit(True).alias("met"))
-    out = rows.select("id", "h").join(by_node, "h", "left")
+    by_node = own.drop("nameless").join(lowest, "c").select("h", "h2", "lowest", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.lit(True).alias("met"))
+    out = rows.select("id", "h", "h2").join(by_node, ["h", "h2"], "left")
     component = F.when(F.col("met"), F.col("lowest")).otherwise(F.col("id"))
     return out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))

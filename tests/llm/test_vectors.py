@@ -1,9 +1,11 @@
 """Near-duplicate vectors against brute force."""
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.embeddings import build, near_pairs, near_vectors
+from quern.llm.embeddings import CoverTree, Seen, chords, near_pairs, near_vectors
 
 SCHEMA = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("label", T.IntegerType()), T.StructField("n_links", T.StringType())])
 
@@ -58,8 +60,8 @@ def test_whole_labels_in_one_task(spark):
 
 def test_labels_dealt_to_balls_and_parts(spark):
     rows = fixture(7)
-    assert got(near_vectors(spark.createDataFrame(rows, SCHEMA), 0.93, block=16)) == brute(rows, 0.93)
-    assert got(near_vectors(spark.createDataFrame(rows, SCHEMA), 0.93, block=16, pivots=0)) == brute(rows, 0.93)
+    assert got(near_vectors(spark.createDataFrame(rows, SCHEMA), 0.93, block_bytes=16 * 8 * 12)) == brute(rows, 0.93)
+    assert got(near_vectors(spark.createDataFrame(rows, SCHEMA), 0.93, block_bytes=16 * 8 * 12, pivot_bytes=0)) == brute(rows, 0.93)
 
 
 def test_empty_table(spark):
@@ -73,19 +75,62 @@ def test_null_and_repeated_ids(spark):
     assert sorted((str(r.vec_id), r.n_links, str(r.component_id)) for r in found) == [("3", 1, "3"), ("3", 1, "3"), ("3", 1, "None"), ("None", 1, "None")]
 
 
-def test_tree_covers_and_traversal_is_exact():
-    rng = np.random.default_rng(1)
-    x = np.repeat(rng.normal(size=(30, 8)), 20, axis=0) + rng.normal(size=(600, 8)) * 0.2
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    todo, leaves = [build(x, np.arange(600))], []
-    while todo:
-        n = todo.pop()
-        assert np.linalg.norm(x[n.rows] - x[n.centre], axis=1).max() <= n.radius + 1e-7
-        for c in n.children:
-            assert c.radius <= n.radius / 2 + 1e-9
-        todo += n.children
-        leaves += [] if n.children else [n.rows]
-    assert sorted(np.concatenate(leaves)) == list(range(600))
-    links, _ = near_pairs(x, np.ones(600, np.int64), np.arange(600), None, 0.9)
+def test_a_cosine_exactly_at_the_threshold_links(spark):
+    rows = [(1, [1.0, 0.0], 1, None), (2, [3.0, 4.0], 1, None), (3, [2.999, 4.0], 1, None)]
+    assert [r[1] for r in got(near_vectors(spark.createDataFrame(rows, SCHEMA), 0.6))] == [1, 2, 1]
+
+
+def test_spread_vectors_of_64_dimensions_with_copies(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(500, 64))
+    x[250:] = x[:250] + rng.normal(size=(250, 64)) * rng.choice([0.0, 0.3, 0.38, 0.45], 250)[:, None]
+    rows = [(i, [float(y) for y in v], 0, "x") for i, v in enumerate(x)]
+    want = brute(rows, 0.93)
+    assert 50 < sum(r[1] > 0 for r in want) < 450
+    assert got(near_vectors(spark.createDataFrame(rows, SCHEMA), 0.93)) == want
+    assert got(near_vectors(spark.createDataFrame(rows, SCHEMA).withColumns({"node": F.lit("a"), "h": F.lit(None), "n": F.lit(1)}), 0.93, block_bytes=64 * 8 * 64)) == want
+
+
+def clustered(seed, centres, each, dim, width):
+    rng = np.random.default_rng(seed)
+    x = np.repeat(rng.normal(size=(centres, dim)), each, axis=0) + rng.normal(size=(centres * each, dim)) * width
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("dim", [2, 8, 64])
+def test_tree_is_nested_covers_and_separates(dim):
+    x = clustered(1, 30, 20, dim, 0.2)
+    tree = CoverTree(x, 0.05)
+    assert tree.depth > 3
+    for level in range(tree.depth):
+        net, node = tree.order[: tree.sizes[level]], tree.node[level]
+        far = chords(x[net] @ x[net].T) + 10 * np.eye(len(net))
+        assert len(net) == 1 or far.min() > tree.radii[level] - 1e-9  # separation
+        assert chords(x @ x[net].T).min(axis=1).max() <= tree.radii[level] + 1e-9  # covering
+        below = np.linalg.norm(x - x[net[node]], axis=1)
+        assert (below <= tree.reach[level][node] + 1e-7).all()
+        if level:
+            assert (tree.node[level - 1][net] == np.r_[np.arange(tree.sizes[level - 1]), tree.node[level - 1][net[tree.sizes[level - 1] :]]]).all()  # nesting
+            radius = np.linalg.norm(x[net] - x[tree.order[tree.node[level - 1][net]]], axis=1)
+            assert (radius <= tree.radii[level - 1] + 1e-9).all()
+    assert len(set(tree.order.tolist())) == tree.sizes[-1]
+
+
+@pytest.mark.parametrize(("dim", "width"), [(3, 0.2), (8, 0.1), (64, 0.03), (64, 1.0)])
+def test_traversal_is_exact_and_bounds_decide_most_pairs(dim, width):
+    x = clustered(2, 40, 25, dim, width)
+    n, rng, seen = len(x), np.random.default_rng(3), Seen()
+    weight = rng.integers(1, 4, n)
     near = x @ x.T >= 0.9
-    assert (links == near.sum(axis=1) - 1).all()
+    np.fill_diagonal(near, False)
+    links, _ = near_pairs(x, weight, np.arange(n), None, 0.9, seen)
+    assert (links == near @ weight).all()
+    if width < 1:  # clusters: nodes stand for most pairs of points
+        assert seen.nodes + seen.points < 0.2 * n * (n - 1) / 2
+    first = rng.permutation(n)[:300]
+    second = np.setdiff1d(np.arange(n), first)
+    across = np.zeros_like(near)
+    across[np.ix_(first, second)] = near[np.ix_(first, second)]
+    links, label = near_pairs(x, weight, first, second, 0.9)
+    assert (links == (across | across.T) @ weight).all()
+    assert (label[first][:, None] == label[second])[near[np.ix_(first, second)]].all()
