@@ -146,10 +146,12 @@ class Reader:
 def write(docs: DataFrame, to: str, tokenizer: str, end_id: int = 0, width: int = 2, shard_bytes: int = 32 << 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Writes all documents as shards below ``to`` and returns the manifest: part, shard, name, docs, ids, first, last.
 
-    The input is range-partitioned by identifier and sorted, ties by text, so part and shard numbers follow the
-    ascending order. A repeated task writes the same names anew, each by one rename. ``width`` is 2 or 4 bytes
-    per id (2 for vocabularies below 65,536). Null texts are empty; null identifiers come first; an empty
-    table gives an empty manifest.
+    The input is range-partitioned by identifier and sorted, ties by the text's hash, so part and shard numbers follow
+    the ascending order. Rows that share an identifier, or have none, are split by that hash, and equal rows by
+    their number in the input, so no identifier's rows need fit one task. A repeated task writes the same names
+    anew, each by one rename. ``width`` is 2 or 4 bytes per id (2 for vocabularies below 65,536). Null texts are
+    empty; null identifiers come first; an empty table gives an empty manifest. Other columns are never read,
+    whatever their names.
     """
 
     def run(batches):
@@ -180,8 +182,9 @@ def write(docs: DataFrame, to: str, tokenizer: str, end_id: int = 0, width: int
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if j == 2 else pa.int64()) for j, c in enumerate(cols)], ["part", "shard", "name", "docs", "ids", "first", "last"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    return rows.mapInArrow(run, "part long, shard long, name string, docs long, ids long, first long, last long")
+    rows = rows.withColumns({"th": F.xxhash64(F.coalesce("text", F.lit(""))), "nth": F.monotonically_increasing_id()})
+    rows = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id", "th", "nth").sortWithinPartitions("doc_id", "th", "nth")
+    return rows.select("doc_id", "text").mapInArrow(run, "part long, shard long, name string, docs long, ids long, first long, last long")
 
 
 def with_starts(manifest: DataFrame) -> DataFrame:

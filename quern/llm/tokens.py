@@ -2,7 +2,8 @@
 
 Texts are cut before every single space that a visible character follows. Byte-level BPE never merges
 across such a place, so the ids of the parts, joined, are the ids of the text; each distinct part is
-encoded once by the tokenizers library and remembered. Special-token strings in a text are ordinary text.
+encoded once by the tokenizers library and remembered. The library reads the tokenizer's added tokens (special
+ones among them) as one id wherever they stand; texts that hold the string of one go to the library whole.
 """
 
 from __future__ import annotations
@@ -32,8 +33,11 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_file(path)
+        self.whole = Tokenizer.from_file(path)
+        self.tok = Tokenizer.from_file(path)  # for parts, which hold no added token
         self.tok.encode_special_tokens = True
+        added = [t.content for t in self.whole.get_added_tokens_decoder().values() if t.content]
+        self.added = "|".join(re.escape(t) for t in added) if added else None
         self.head: dict[str, bytes] = {}
         self.tail: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}  # the generation before
@@ -79,10 +83,21 @@ class Encoder:
         while at < len(texts):
             base = int(ends[at - 1]) if at else 0
             to = max(at + 1, int(np.searchsorted(ends, base + AT_ONCE, "right")))
-            out += self._slice(texts.slice(at, to - at))
+            out += self._parted(texts.slice(at, to - at))
             at = to
         return out
 
+    def _parted(self, texts: pa.Array) -> list[bytes]:
+        apart = np.flatnonzero(np.asarray(pc.match_substring_regex(texts, self.added))) if self.added else ()
+        if not len(apart):
+            return self._slice(texts)
+        holds = np.zeros(len(texts), bool)
+        holds[apart] = True
+        out = self._slice(pc.if_else(pa.array(holds), "", texts))
+        for i in apart.tolist():
+            out[i] = np.array(self.whole.encode(texts[i].as_py(), add_special_tokens=False).ids, "<u4").tobytes()
+        return out
+
     def _slice(self, texts: pa.Array) -> list[bytes]:
         if len(self.tail) > CACHE:
             self.old, self.tail = self.tail, {}
@@ -172,7 +187,8 @@ def length_histogram(docs: DataFrame, tokenizer: str, text: str = "text", bucket
     see :func:`at_limit`. Null and empty texts have length 0. An empty table gives no rows.
 
     Only lengths are shuffled, added up before the shuffle. Suffix sums go by two levels: buckets of
-    ``bucket`` lengths, then the lengths of each bucket, so that no task holds all lengths.
+    ``bucket`` lengths, then the lengths of each bucket, so that no task holds all lengths. Columns other than
+    ``text`` are never read, whatever their names.
     """
     hist = lengths(docs, tokenizer, text).groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
     hist = Scratch(docs.sparkSession, "lengths").keep(hist, "histogram")  # it is read twice, the texts once
@@ -191,6 +207,11 @@ def length_histogram(docs: DataFrame, tokenizer: str, text: str = "text", bucket
     )
 
 
+def at_quantile(hist: DataFrame, share: float) -> DataFrame:
+    """The smallest length that at least ``share`` of all documents don't exceed, from the histogram's rows alone; null without documents."""
+    return hist.agg(F.min(F.when(F.col("quantile") >= share, F.col("n_tokens"))).alias("n_tokens"))
+
+
 def at_limit(hist: DataFrame, limit: int) -> DataFrame:
     """Total tokens, documents cut and tokens kept under any context limit, from the histogram's rows alone."""
     over = F.col("n_tokens") > limit

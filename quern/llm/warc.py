@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import NULL_ID, Files, Scratch, partitions
+from quern.llm.common import Files, Scratch, partitions
 
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -67,32 +67,30 @@ def parse(member: bytes) -> dict:
     return out | {"payload": payload, "stated": stated}
 
 
-def decide(pages: DataFrame, least: int = 1000, page_id: str = "page_id", html: str = "html") -> DataFrame:
-    """page_id, digest, bytes, is_revisit, refers_to of every page, from narrow columns alone.
+def keepers(pages: DataFrame, least: int = 1000, page_id: str = "page_id", html: str = "html") -> DataFrame:
+    """digest, bytes, keeper of every payload of at least ``least`` bytes that occurs more than once, from narrow columns alone.
 
-    Of equal payloads (length and SHA-1) of at least ``least`` bytes the largest page_id is the response. The
-    largest id of each payload is found with sums before the shuffle; only payloads seen more than once meet
-    the pages again, in a join whose large partitions Spark can split.
+    Of equal payloads (length and SHA-1) the largest page_id is the response. It is found with sums before the
+    shuffle, so a payload that a third of all pages share is a row for each task.
     """
     payload = F.encode(F.coalesce(F.col(html).cast("string"), F.lit("")), "UTF-8")
     narrow = pages.select(F.col(page_id).cast("long").alias("page_id"), F.sha1(payload).alias("digest"), F.length(payload).cast("long").alias("bytes"))
-    groups = narrow.filter(F.col("bytes") >= least).groupBy("digest", "bytes").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").drop("copies")
-    out = narrow.join(groups, ["digest", "bytes"], "left")
-    revisit = F.coalesce(F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper")), F.lit(False))
-    return out.select("page_id", "digest", "bytes", revisit.alias("is_revisit"), F.when(revisit, F.col("keeper")).alias("refers_to"))
+    groups = narrow.filter(F.col("bytes") >= least).groupBy("digest", "bytes").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("copies"))
+    return groups.filter("copies > 1").drop("copies")
 
 
-def write(pages: DataFrame, to: str, decisions: DataFrame, archive_bytes: int = 64 << 20, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def write(pages: DataFrame, to: str, groups: DataFrame, archive_bytes: int = 64 << 20, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Writes a record per page and returns the captures: key, page_id, name, offset, size.
 
-    ``decisions`` are those of :func:`decide`, and may repeat a row: they meet the pages by page_id and digest,
-    once each. Null html is empty, a null url ``about:blank``. A repeated task writes the same names anew.
+    ``groups`` are those of :func:`keepers`, one row for each repeated payload. While they are few, Spark sends them
+    to all tasks and no payload is shuffled; else the pages meet them in a join whose large partitions Spark splits.
+    Null html is empty, a null url ``about:blank``. A repeated task writes the same names anew.
     """
     payload = F.encode(F.coalesce(F.col(html).cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), payload.alias("payload"))
-    rows = rows.withColumns({"k": F.coalesce("page_id", F.lit(NULL_ID)), "digest": F.sha1("payload")})
-    once = decisions.select(F.coalesce("page_id", F.lit(NULL_ID)).alias("k"), "digest", "is_revisit", "refers_to").dropDuplicates(["k", "digest"])
-    rows = rows.join(once, ["k", "digest"]).select("page_id", "url", "payload", "digest", "is_revisit", "refers_to")
+    rows = rows.withColumns({"digest": F.sha1("payload"), "bytes": F.length("payload").cast("long")}).join(groups, ["digest", "bytes"], "left")
+    revisit = F.coalesce(F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper")), F.lit(False))
+    rows = rows.select("page_id", "url", "payload", "digest", revisit.alias("is_revisit"), F.when(revisit, F.col("keeper")).alias("refers_to"))
 
     def run(batches):
         files, part, n = Files(to), TaskContext.get().partitionId(), 0
@@ -227,10 +225,11 @@ def round_trip(pages: DataFrame, least: int = 1000) -> DataFrame:
     """Writes archives and index of all pages, then reads the archives back by the index; one row per page.
 
     Null html is an empty payload; repeated rows are each written. Of rows that also share the largest page_id
-    of a group, each is a response. An empty table gives no rows.
+    of a group, each is a response. An empty table gives no rows. Columns other than page_id, url and html are
+    never read, whatever their names.
     """
     scratch = Scratch(pages.sparkSession, "warc")
-    decisions = scratch.keep(decide(pages, least), "decisions")
-    captures = scratch.keep(write(pages, scratch.path("archives"), decisions), "captures")
+    groups = scratch.keep(keepers(pages, least), "keepers")
+    captures = scratch.keep(write(pages, scratch.path("archives"), groups), "captures")
     directory = scratch.keep(index(captures, scratch.path("index")), "directory")
     return read(directory, scratch.path("index"), scratch.path("archives"))

@@ -14,11 +14,10 @@ from tokenizers import Tokenizer
 from quern.llm import sstable, tokens
 from quern.llm.packing import differencing, pack, windows
 from quern.llm.sstable import Reader, find, key_of, round_trip, with_starts
-from quern.llm.tokens import Encoder, at_limit, length_histogram
+from quern.llm.tokens import Encoder, at_limit, at_quantile, length_histogram
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 TOK = Tokenizer.from_file(PATH)
-TOK.encode_special_tokens = True
 ENC = Encoder(PATH)
 SCHEMA = "doc_id long, text string"
 
@@ -32,7 +31,7 @@ def made(texts):
 
 
 HARD = [
-    "", " ", "  ", "a", " a", "a ", "a  b", "a   b", "\n", " \n", "\n a", "a\n b", "a \nb", "a\n \nb", "a\n\nb", "x.\n\nY z", "it's we'll  I'd 's", "a\tb \t c", "<|endoftext|> <|endoftext|>x",
+    "", " ", "  ", "a", " a", "a ", "a  b", "a   b", "\n", " \n", "\n a", "a\n b", "a \nb", "a\n \nb", "a\n\nb", "x.\n\nY z", "it's we'll  I'd 's", "a\tb \t c", "<|endoftext|> <|endoftext|>x", "a <|endoftext|> b", "x<|endoftext|>\n y  z", "<|endoftext |>",
     "é è ü  　z", "word***,word$$$ a.b", "\x1ca \x1cb", "🙂 🙂🙂  x", "1 22 333 4444a", "a\r\n b", "don’t — “so”", "x" * 300 + " " + "y" * 300, "Ö.Ä, ß!\nÉ", "a .\n b", "  \n  a  \n\n  b\t",
 ]
 
@@ -48,6 +47,17 @@ def test_any_text(t):
     assert made([t]) == [plain(t)]
 
 
+def test_an_added_token_is_one_id():
+    assert made(["a <|endoftext|> b"])[0].count(TOK.token_to_id("<|endoftext|>")) == 1
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|", "endoftext", "|>", " ", "\n", "a", "B."]), max_size=12))
+def test_added_tokens_anywhere(parts):
+    t = "".join(parts)
+    assert made([t, t + " x", "plain " + t]) == [plain(t), plain(t + " x"), plain("plain " + t)]
+
+
 def test_small_memory_changes_nothing(monkeypatch):
     monkeypatch.setattr(tokens, "CACHE", 3)
     monkeypatch.setattr(tokens, "AT_ONCE", 20)
@@ -72,6 +82,8 @@ def test_histogram_answers_every_limit(spark):
         assert r.tokens_upto == sum(x for x in lengths if x <= limit)
         assert r.truncated_total == sum(min(x, limit) for x in lengths)
         assert r["quantile"] == pytest.approx(sum(x <= limit for x in lengths) / len(lengths))
+    for share in (0.0, 0.25, 0.5, 0.99, 1.0):
+        assert at_quantile(hist, share).first().n_tokens == next(x for x in sorted(lengths) if sum(y <= x for y in lengths) >= share * len(lengths))
     for limit in (0, 1, 17, 1000, 10**6):
         r = at_limit(hist, limit).first()
         assert (r.tokens, r.docs_cut, r.tokens_kept) == (sum(lengths), sum(x > limit for x in lengths), sum(min(x, limit) for x in lengths))
@@ -126,16 +138,32 @@ def test_shards_round_trip(spark):
     rows = documents()
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
     got = [tuple(r) for r in round_trip(df, PATH, shard_bytes=3000).collect()]
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
-    want, start = [], 0
-    for d, t in order:
-        ids = plain(t) + [0]
-        want.append((d, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
-        start += len(ids)
-    assert sorted(got, key=lambda r: r[1]) == want
+    got.sort(key=lambda r: r[1])
+    key = lambda r: (r[0] is not None, r[0] or 0)
+    assert [key(r) for r in got] == sorted(key(r) for r in rows)
+    start = 0
+    for r in got:
+        assert r[1] == start
+        start += r[2]
+    want = [(d, len(plain(t)) + 1, zlib.crc32(np.array(plain(t) + [0], "<u4").tobytes())) for d, t in rows]
+    assert Counter((r[0], r[2], r[3]) for r in got) == Counter(want)
     assert round_trip(spark.createDataFrame([], SCHEMA), PATH).collect() == []
 
 
+def test_rows_without_identifier_are_dealt_to_many_tasks(spark, tmp_path):
+    rows = [(None, f"text {i}") for i in range(300)] + [(None, "same")] * 300 + [(5, "x")]
+    manifest = sstable.write(spark.createDataFrame(rows, SCHEMA).repartition(3), f"file://{tmp_path}/s", PATH).collect()
+    assert len({r.part for r in manifest}) == 4 and sum(r.docs for r in manifest) == 601 and max(r.docs for r in manifest) < 400
+
+
+def test_clashing_columns_change_nothing(spark):
+    rows = documents(30)
+    plain_, more = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(*r, 1, "a", 2.0, b"x") for r in rows], SCHEMA + ", start long, ids string, n_tokens double, th binary")
+    for f in (lambda d: length_histogram(d, PATH), lambda d: round_trip(d, PATH).drop("start"), lambda d: pack(d, PATH).drop("sequence_id")):
+        a, b = f(plain_), f(more)
+        assert a.columns == b.columns and Counter(map(tuple, a.collect())) == Counter(map(tuple, b.collect()))
+
+
 def test_lookup_by_bloom_filter_and_search(spark, tmp_path):
     rows = documents()
     to = f"file://{tmp_path}/shards"

@@ -41,10 +41,26 @@ def test_round_trip(spark):
     assert round_trip(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_one_very_long_page_at_production_sizes(spark):
+    long = "<p>é</p>" * 2_000_000
+    rows = [(1, "http://a.org/", long), (2, "http://a.org/2", long), (3, "http://a.org/3", long[:-1])]
+    got = round_trip(spark.createDataFrame(rows, SCHEMA)).drop("url")
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows)
+
+
+def test_payloads_are_not_shuffled_while_repeated_ones_are_few(spark, tmp_path):
+    pages = spark.createDataFrame(fixture(), SCHEMA)
+    pages.write.parquet(f"{tmp_path}/p")
+    groups = warc.keepers(pages)
+    groups.write.parquet(f"{tmp_path}/g")
+    plan = warc.write(spark.read.parquet(f"{tmp_path}/p"), f"file://{tmp_path}/a", spark.read.parquet(f"{tmp_path}/g"))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
 def test_archives_are_gzip_members_and_lookups_find_captures(spark, tmp_path):
     base = f"file://{tmp_path}"
     pages = spark.createDataFrame(fixture(), SCHEMA).repartition(2)
-    captures = warc.write(pages, f"{base}/a", warc.decide(pages), archive_bytes=4000).cache()
+    captures = warc.write(pages, f"{base}/a", warc.keepers(pages), archive_bytes=4000).cache()
     directory = warc.index(captures, f"{base}/i", block_lines=4).cache()
     assert captures.count() == 66 and directory.count() > 8
     names = {r.name for r in captures.collect()}
