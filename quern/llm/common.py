@@ -15,9 +15,15 @@ NULL_ID = -(2**63)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a session that runs in this process alone gets a folder of its own; on a cluster that would
+    be another folder on every machine, so there it is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: the corpus operators need a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quern-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -117,10 +123,10 @@ def spread(spark: SparkSession, n_rows: int) -> int:
     return max(1, min(n_rows, 4 * partitions(spark)))
 
 
-def let_go(encoder: bool = True) -> None:
+def let_go(encoder: bool = True, scorer: bool = False) -> None:
     """Gives back what earlier tasks have left in this Python worker, which Spark uses again for other operators' tasks.
 
-    With ``encoder``, the parts of texts that an encoder remembers go too.
+    With ``encoder``, the parts of texts that an encoder remembers go too; without ``scorer``, so do the words of a scorer.
     """
     import ctypes
     import gc
@@ -128,9 +134,11 @@ def let_go(encoder: bool = True) -> None:
 
     import pyarrow as pa
 
-    tokens = sys.modules.get("quern.llm.tokens")
+    tokens, toxicity = sys.modules.get("quern.llm.tokens"), sys.modules.get("quern.llm.toxicity")
     if encoder and tokens is not None:
         tokens.encoder.cache_clear()
+    if not scorer and toxicity is not None:
+        toxicity._SCORERS.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     with suppress(OSError, AttributeError):  # only the GNU C library has it
