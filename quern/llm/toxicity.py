@@ -1,42 +1,61 @@
-"""Toxicity of texts (operator 9): a subsequence string kernel, Nystroem landmarks and a linear support vector machine.
+"""Toxicity of texts (operator 9): a subsequence string kernel, Nystroem landmarks and a support vector machine on labelled texts.
 
-The kernel of two words sums, over all common subsequences of three characters, the decay to the power of
-the lengths they span in both; inserted characters and gaps only lower the weight. Words of a labelled text
-carry its label as a bag: a text is toxic if one of its words is. A text's score comes from its worst word.
+The kernel of two strings sums, over all common subsequences of three characters that span at most ``SPAN``, the
+decay to the power of the lengths they span in both, normalised, so inserted characters and gaps only lower it. Two
+texts are as alike as their strings match: a text is the sum, over its distinct strings, of how well each matches
+the landmarks, and the machine is a plane over these sums, trained on the texts' labels.
 """
 
 from __future__ import annotations
 
+import math
 import re
+import unicodedata
+import uuid
 from dataclasses import dataclass, field
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import Scratch, let_go
 from quern.llm.shingles import set_hash, sets
 
-P, DECAY, SYMBOLS = 3, 0.6, 64
-#: Longest word; longer ones are cut into overlapping pieces of this length, each of which counts.
-LONGEST = 24
-#: Words whose decision one worker remembers. The bound changes no score.
-CACHE = 400_000
-_STRIP = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+DECAY, SPAN = 0.7, 6
+#: Where a kernel value counts as half a match, how fast it grows to a whole one, and below what it counts nothing.
+MIDDLE, WIDTH, FLOOR = 0.6, 0.05, 0.4
+#: Landmarks of a group on average.
+GROUP = 8
+#: a-z, 0-9, 26 for letters of other scripts, a string's start and end, and the padding between strings.
+START, END, PAD, SYMBOLS = 62, 63, 64, 65
+#: Strings longer than this are also taken as windows of this length, so often that every shorter stretch lies in one.
+WINDOW, STEP = 16, 4
+#: Longest string that may become a landmark.
+LONGEST = 64
+#: Words whose evidence one worker remembers, and characters looked at in one go. Neither changes a score.
+CACHE, POOLED, AT_ONCE = 400_000, 1_000_000, 400_000
 #: Three or more words in a row of one or two characters: what gaps of white space make of a word.
 _GAPPED = re.compile(r"(?<!\S)\S{1,2}(?:\s+\S{1,2}){2,}(?!\S)")
-_SHAPES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_THRICE = re.compile(r"(.)\1{2,}", re.S)
+#: Distances of a subsequence's second and third character from its first, and its weight.
+_SHAPES = [(a, b, DECAY ** (b + 1)) for b in range(2, SPAN) for a in range(1, b)]
 
 
-def symbol(c: str) -> int:
-    """a-z, then 0-9, then everything else dealt to the remaining symbols but two, which stand for a word's start and end."""
-    if "a" <= c <= "z":
-        return ord(c) - 97
-    if "0" <= c <= "9":
-        return 26 + ord(c) - 48
-    return 36 + ord(c) % (SYMBOLS - 38)
+def symbol(c: str) -> str | None:
+    """The character that stands for ``c``, its ordinal one above the symbol's; None for what is no letter or digit.
+
+    Letters with marks count as those without (``é`` as ``e``); those of other scripts share 26 symbols.
+    """
+    if not c.isalnum():
+        return None
+    base = unicodedata.normalize("NFKD", c)[0].lower()
+    if "a" <= base <= "z":
+        return chr(1 + ord(base) - 97)
+    if "0" <= base <= "9":
+        return chr(1 + 26 + ord(base) - 48)
+    return chr(1 + 36 + ord(base) % 26)
 
 
 class _Symbols(dict):
@@ -48,183 +67,280 @@ class _Symbols(dict):
 _TABLE = _Symbols()
 
 
-def shape(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of all subsequences of a word of n characters, and their weights."""
-    if n not in _SHAPES:
-        at = np.array(list(combinations(range(n), P)), np.int64).reshape(-1, P)
-        _SHAPES[n] = at, (DECAY ** (at[:, -1] - at[:, 0] + 1)).astype(np.float64)
-    return _SHAPES[n]
-
-
-def _codes(words: list[str], n: int) -> np.ndarray:
-    x = np.full((len(words), n + 2), SYMBOLS - 1, np.int64)
-    x[:, 0] = SYMBOLS - 2
-    x[:, 1:-1] = [[_TABLE[ord(c)] for c in w] for w in words]
-    at, _ = shape(n + 2)
-    return (x[:, at[:, 0]] * SYMBOLS + x[:, at[:, 1]]) * SYMBOLS + x[:, at[:, 2]]
-
-
-def _norms(codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Square roots of the kernel of each word with itself: equal subsequences of a word add up first."""
-    order = np.argsort(codes, axis=1, kind="stable")
-    c, w = np.take_along_axis(codes, order, 1), weights[order]
-    new = np.ones(c.shape, bool)
-    new[:, 1:] = c[:, 1:] != c[:, :-1]
-    sums = np.add.reduceat(w.ravel(), np.flatnonzero(new.ravel()))
-    rows = np.repeat(np.arange(len(c)), new.sum(axis=1))
-    return np.sqrt(np.bincount(rows, sums * sums, len(c)))
-
-
-def features(word: str) -> dict[int, float]:
-    """The normalised feature map of one word: subsequence code to weight; empty below three characters."""
-    if len(word) < P:
-        return {}
-    codes, weights, out = _codes([word], len(word))[0], shape(len(word) + 2)[1], {}
-    for c, w in zip(codes.tolist(), weights.tolist(), strict=True):
-        out[c] = out.get(c, 0.0) + w
-    norm = sum(v * v for v in out.values()) ** 0.5
-    return {c: v / norm for c, v in out.items()}
+def plain(word: str) -> str:
+    """A word in symbols, without its marks."""
+    return word.lower().translate(_TABLE)
 
 
-def decisions(words: list[str], plane: np.ndarray, bias: float) -> np.ndarray:
-    """``plane`` times each word's normalised features, plus ``bias``: the machine's decision, exact for the kernel."""
-    out = np.full(len(words), bias)
-    by_length: dict[int, list[int]] = {}
-    for i, w in enumerate(words):
-        if len(w) >= P:
-            by_length.setdefault(len(w), []).append(i)
-    for n, rows in by_length.items():
-        weights = shape(n + 2)[1]
-        step = max(1, 300_000 // len(weights))
-        for at in range(0, len(rows), step):
-            some = rows[at : at + step]
-            codes = _codes([words[i] for i in some], n)
-            out[some] += (plane[codes] @ weights) / _norms(codes, weights)
+def pieces(word: str) -> list[str]:
+    """The strings that a word in symbols is taken as: itself, its windows if it is long, and it without characters that come three times in a row or more."""
+    out = [word]
+    single = _THRICE.sub(r"\1", word)
+    for s in (word, single) if single != word else (word,):
+        if s != word:
+            out.append(s)
+        if len(s) > WINDOW:
+            out += [s[i : i + WINDOW] for i in range(0, len(s) - WINDOW + STEP, STEP)]
     return out
 
 
-def tokens(text: str | None) -> set[str]:
-    """Distinct words of a whole text, in lower case without marks at their ends; long ones as overlapping pieces.
+class Reader:
+    """Texts to their distinct words in symbols; a worker remembers those of words."""
+
+    def __init__(self):
+        self.known: dict[str, str] = {}
+
+    def words(self, text: str | None) -> set[str]:
+        """Distinct words of a whole text; runs of words of one or two characters, what gaps of white space make of a word, count joined, too."""
+        text = text or ""
+        found = {*text.split(), *("".join(run.split()) for run in _GAPPED.findall(text))}
+        if len(self.known) > CACHE:
+            self.known.clear()
+        known = self.known
+        for w in found.difference(known):
+            known[w] = plain(w)
+        out = set(map(known.__getitem__, found))
+        out.discard("")
+        return out
+
+
+@dataclass
+class Laid:
+    """Strings in symbols laid end to end with padding: where each begins, its size with its ends, and all their subsequences.
 
-    Words of fewer than three characters have no features of their own, so runs of them count joined, too.
+    ``codes`` has, for each shape, the subsequence that begins at each place; one that would reach beyond its string holds
+    padding.
     """
-    out, low = set(), (text or "").lower()
-    joined = ("".join(w.strip(_STRIP) for w in run.split()) for run in _GAPPED.findall(low))
-    for w in {*low.split(), *joined}:
-        w = w.strip(_STRIP)
-        if len(w) <= LONGEST:
-            out.add(w)
+
+    starts: np.ndarray
+    sizes: np.ndarray
+    symbols: np.ndarray
+    codes: list[np.ndarray]
+
+    @classmethod
+    def of(cls, strings: list[str]) -> Laid:
+        gap = chr(1 + END) + chr(1 + PAD) * (SPAN - 1)
+        raw = np.frombuffer((chr(1 + START) + (gap + chr(1 + START)).join(strings) + gap).encode("latin-1"), np.uint8)
+        c = raw.astype(np.int32) - 1
+        sizes = np.fromiter(map(len, strings), np.int64, len(strings)) + 2
+        n = len(c) - SPAN + 1
+        first, second = c[:n] * (SYMBOLS * SYMBOLS), c * SYMBOLS
+        codes = [first + second[a : a + n] + c[b : b + n] for a, b, _ in _SHAPES]
+        return cls(np.cumsum(sizes + SPAN - 1) - (sizes + SPAN - 1), sizes, c, codes)
+
+    def norms(self) -> np.ndarray:
+        """Lengths of the strings' features: equal subsequences of a string add up first."""
+        n = len(self.codes[0])
+        which = np.repeat(np.arange(len(self.starts)), np.diff(np.r_[self.starts, n]))
+        key, end = which * SYMBOLS**3, (self.starts + self.sizes)[which] - np.arange(n)
+        keys, weights = [], []
+        for (_, b, w), code in zip(_SHAPES, self.codes, strict=True):
+            inside = np.flatnonzero(end > b)
+            keys.append(key[inside] + code[inside])
+            weights.append(np.full(len(inside), w))
+        keys, weights = np.concatenate(keys), np.concatenate(weights)
+        order = np.argsort(keys)
+        keys, weights = keys[order], weights[order]
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        sums = np.add.reduceat(weights, first)
+        return np.sqrt(np.maximum(np.bincount(keys[first] // SYMBOLS**3, sums * sums, len(self.starts)), 1e-12))
+
+
+def _groups(strings: list[str], most: int = AT_ONCE):
+    """Slices of strings of about ``most`` characters."""
+    ends = np.cumsum([len(s) + 2 for s in strings])
+    at = 0
+    while at < len(strings):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield at, to
+        at = to
+
+
+def features(string: str) -> dict[int, float]:
+    """The feature map of one string in symbols: subsequence to weight."""
+    s, out = [START, *(ord(c) - 1 for c in string), END], {}
+    for i in range(len(s)):
+        for a, b, w in _SHAPES:
+            if i + b < len(s):
+                code = (s[i] * SYMBOLS + s[i + a]) * SYMBOLS + s[i + b]
+                out[code] = out.get(code, 0.0) + w
+    norm = sum(v * v for v in out.values()) ** 0.5
+    return {c: v / norm for c, v in out.items()}
+
+
+class _Table:
+    """Weights of subsequences in some columns; those that have none are the last row."""
+
+    def __init__(self, maps: list[dict[int, float]]):
+        codes = np.unique(np.array([c for m in maps for c in m], np.int64))
+        self.row = np.full(SYMBOLS**3, len(codes), np.int32)
+        self.row[codes] = np.arange(len(codes))
+        self.weights = np.zeros((len(codes) + 1, len(maps)), np.float32)
+        for j, m in enumerate(maps):
+            self.weights[self.row[np.fromiter(m, np.int64, len(m))], j] = list(m.values())
+
+    def sums(self, laid: Laid, some: np.ndarray | None = None) -> np.ndarray:
+        """Of each string, or of some: the weights of all its subsequences, added up."""
+        if some is None:
+            at, starts = slice(None), laid.starts
         else:
-            out.update(w[i : i + LONGEST] for i in range(0, len(w) - LONGEST // 2, LONGEST // 2))
-    out.discard("")
-    return out
+            sizes = laid.sizes[some]
+            starts = np.cumsum(sizes) - sizes
+            at = np.arange(int(sizes.sum())) + np.repeat(laid.starts[some] - starts, sizes)
+        total = None
+        for (_, _, w), code in zip(_SHAPES, laid.codes, strict=True):
+            part = self.weights[self.row[code[at]]]
+            part *= np.float32(w)
+            total = part if total is None else np.add(total, part, out=total)
+        return np.add.reduceat(total, starts, axis=0)
+
+
+class Landmarks:
+    """Strings that others are compared with.
+
+    Landmarks that are alike form a group. Of each subsequence a group has the largest weight in any of its landmarks, so
+    one sum for a group bounds the kernel with all of them; only strings whose bound reaches ``FLOOR`` meet the
+    landmarks themselves. Smaller values count nothing (see :func:`soft`), so nothing is lost.
+    """
+
+    def __init__(self, strings: list[str]):
+        self.strings, maps = strings, [features(m) for m in strings]
+        self.groups: list[np.ndarray] = []
+        if not strings:
+            return
+        self.every = _Table(maps)
+        like, own = self.kernel(strings), [0]
+        best = like[:, 0].copy()
+        while len(own) < -(-len(strings) // GROUP):  # the landmark least like those that lead a group
+            own.append(int(best.argmin()))
+            best = np.maximum(best, like[:, own[-1]])
+        nearest = like[:, own].argmax(axis=1)
+        self.groups = [g for g in (np.flatnonzero(nearest == j) for j in range(len(own))) if len(g)]
+        bounds = []
+        for g in self.groups:
+            most: dict[int, float] = {}
+            for j in g.tolist():
+                for code, w in maps[j].items():
+                    most[code] = max(w, most.get(code, 0.0))
+            bounds.append(most)
+        self.bounds, self.parts = _Table(bounds), [_Table([maps[j] for j in g.tolist()]) for g in self.groups]
+
+    def kernel(self, strings: list[str]) -> np.ndarray:
+        """Kernel of every string with every landmark."""
+        out = np.zeros((len(strings), len(self.strings)), np.float32)
+        for at, to in _groups(strings, 10_000):
+            laid = Laid.of(strings[at:to])
+            out[at:to] = self.every.sums(laid) / laid.norms()[:, None]
+        return out
+
+    def matches(self, words: list[str]) -> np.ndarray:
+        """How well each word's best string matches each landmark, from 0 to 1."""
+        out = np.zeros((len(words), len(self.strings)), np.float32)
+        if not self.groups:
+            return out
+        parts, owner = [], []
+        for i, w in enumerate(words):
+            p = pieces(w)
+            parts += p
+            owner += [i] * len(p)
+        owner = np.array(owner, np.int64)
+        for at, to in _groups(parts, 20_000):
+            laid = Laid.of(parts[at:to])
+            norms = laid.norms()
+            reach = self.bounds.sums(laid) >= (FLOOR - 1e-4) * norms[:, None]
+            for g, table, may in zip(self.groups, self.parts, reach.T, strict=True):
+                some = np.flatnonzero(may)
+                if len(some):
+                    k = soft(table.sums(laid, some) / norms[some, None])
+                    own = owner[at + some]
+                    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                    cells = np.ix_(own[first], g)
+                    out[cells] = np.maximum(out[cells], np.maximum.reduceat(k, first, axis=0))
+        return out
+
+
+def soft(k: np.ndarray) -> np.ndarray:
+    """How much of a match a kernel value is; below FLOOR it is none."""
+    return np.where(k < FLOOR, 0, 1 / (1 + np.exp((MIDDLE - k) / WIDTH)))
 
 
 @dataclass
 class Model:
-    """The machine's plane in feature space, its bias, and the logistic curve from decisions to probabilities."""
+    """The landmarks' weights, the machine's bias, and the logistic curve from decisions to probabilities."""
 
-    plane: np.ndarray
-    bias: float
+    landmarks: list[str] = field(default_factory=list)
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    bias: float = -1.0
     slope: float = 4.0
     shift: float = 0.0
-    landmarks: list[str] = field(default_factory=list)
-
-    def word_scores(self, words: list[str]) -> np.ndarray:
-        return decisions(words, self.plane, self.bias)
 
     def probability(self, decision: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * decision + self.shift, -30, 30)))
 
 
 class Scorer:
-    """Decisions of texts; a worker remembers those of words."""
+    """Decisions of texts: the bias and the evidence of each distinct word. A worker remembers that of words."""
 
     def __init__(self, model: Model):
-        self.model, self.known = model, {}
+        self.model, self.landmarks, self.reader = model, Landmarks(model.landmarks), Reader()
+        self.known: dict[str, float] = {}
+
+    def evidence(self, words: list[str]) -> np.ndarray:
+        return self.landmarks.matches(words) @ self.model.weights
 
     def texts(self, texts: list[str | None]) -> np.ndarray:
-        bags = [tokens(t) for t in texts]
+        bags = [self.reader.words(t) for t in texts]
         if len(self.known) > CACHE:
             self.known.clear()
         new = list(set().union(*bags).difference(self.known))
-        self.known.update(zip(new, self.model.word_scores(new).tolist(), strict=True))
+        for at in range(0, len(new), 10_000):
+            some = new[at : at + 10_000]
+            self.known.update(zip(some, self.evidence(some).tolist(), strict=True))
         get = self.known.__getitem__
-        return np.array([max(map(get, b), default=self.model.bias) for b in bags])
+        return np.array([self.model.bias + math.fsum(map(get, b)) for b in bags])
 
+    def probabilities(self, texts: list[str | None]) -> np.ndarray:
+        return self.model.probability(self.texts(texts))
 
-class Words:
-    """Normalised features of many words, computed once."""
 
-    def __init__(self, words: list[str]):
-        self.size, self.parts = len(words), []
-        by_length: dict[int, list[int]] = {}
-        for i, w in enumerate(words):
-            if len(w) >= P:
-                by_length.setdefault(len(w), []).append(i)
-        for n, rows in by_length.items():
-            codes, weights = _codes([words[i] for i in rows], n), shape(n + 2)[1]
-            self.parts.append((np.array(rows), codes, weights, _norms(codes, weights)))
-
-    def times(self, plane: np.ndarray) -> np.ndarray:
-        out = np.zeros(self.size)
-        for rows, codes, weights, norms in self.parts:
-            out[rows] = (plane[codes] @ weights) / norms
-        return out
+_SCORERS: dict[str, Scorer] = {}
 
-    def kernel(self, word: str) -> np.ndarray:
-        """Normalised kernel of every word with one other."""
-        plane = np.zeros(SYMBOLS**P)
-        for c, v in features(word).items():
-            plane[c] = v
-        return self.times(plane)
-
-
-def kernel(a: list[str], b: list[str]) -> np.ndarray:
-    """Normalised kernel of every word of ``a`` with every word of ``b``."""
-    words = Words(a)
-    return np.stack([words.kernel(w) for w in b], axis=1)
-
-
-def fit(positive: list[str], negative: list[str], landmarks: int = 400, penalty: float = 3e-4) -> Model:
-    """Squared-hinge support vector machine on Nystroem features of words, both classes with equal weight."""
-    marks: list[str] = []
-    for group, most in ((positive, landmarks * 3 // 4), (negative, landmarks // 4)):
-        group = [w for w in dict.fromkeys(group) if len(w) >= P]
-        if not group:
-            continue
-        every = Words(group)
-        own, near = [group[0]], every.kernel(group[0])
-        while len(own) < most and near.min() < 0.9:  # the word least like those chosen
-            own.append(group[int(near.argmin())])
-            near = np.maximum(near, every.kernel(own[-1]))
-        marks += own
-    if not marks:
-        return Model(np.zeros(SYMBOLS**P, np.float32), -1.0)
-    values, vectors = np.linalg.eigh(kernel(marks, marks))
-    keep = values > 1e-6
-    root = vectors[:, keep] / np.sqrt(values[keep])
-    words, y = positive + negative, np.r_[np.ones(len(positive)), -np.ones(len(negative))]
-    x = np.c_[kernel(words, marks) @ root, np.ones(len(words))]
-    weight = np.where(y > 0, 0.5 / max(1, len(positive)), 0.5 / max(1, len(negative)))
-    ridge, v, before = penalty * np.eye(x.shape[1]), np.zeros(x.shape[1]), None
-    ridge[-1, -1] = 1e-6
-    for _ in range(50):  # Newton steps over the rows inside the margin
-        active = y * (x @ v) < 1
-        if before is not None and np.array_equal(active, before):
+
+def _scorer(key: str, held: Broadcast) -> Scorer:
+    """The worker's scorer of one run: what one task has learnt of words serves the next."""
+    if key not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[key] = Scorer(held.value)
+    return _SCORERS[key]
+
+
+def unlike(strings: list[str], most: int, alike: float = 0.8) -> list[str]:
+    """The first ``most`` strings of which none is as like an earlier one as ``alike``."""
+    if not strings:
+        return []
+    k, own = Landmarks(strings).kernel(strings), [0]
+    for i in range(1, len(strings)):
+        if len(own) == most:
             break
-        xa, wa = x[active], weight[active]
-        v, before = np.linalg.solve(xa.T @ (wa[:, None] * xa) + ridge, xa.T @ (wa * y[active])), active
-    plane = np.zeros(SYMBOLS**P, np.float64)
-    for c, w in zip((root @ v[:-1]).tolist(), marks, strict=True):
-        for code, value in features(w).items():
-            plane[code] += c * value
-    return Model(plane.astype(np.float32), float(v[-1]), landmarks=marks)
+        if k[i, own].max() < alike:
+            own.append(i)
+    return [strings[i] for i in own]
 
 
-def variants(word: str) -> list[str]:
-    """The word with one character put in at each place, and with a mark between all characters."""
-    return [word[:i] + c + word[i:] for i in range(1, len(word)) for c in ("x", "*")] + ["-".join(word), ".".join(word)]
+def plane(x: np.ndarray, y: np.ndarray, penalty: float) -> np.ndarray:
+    """Weights and bias of the squared-hinge support vector machine, both classes weighing the same; the bias is hardly penalised."""
+    s = np.where(y > 0, 1.0, -1.0)
+    w = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum()))
+    z = np.c_[x, np.ones(len(x))]
+    ridge, v, before = penalty * np.eye(z.shape[1]), np.zeros(z.shape[1]), None
+    ridge[-1, -1] = 1e-6
+    for _ in range(100):  # Newton steps over the rows inside the margin
+        active = s * (z @ v) < 1
+        if before is not None and np.array_equal(active, before):
+            break
+        za, wa = z[active], w[active]
+        v, before = np.linalg.solve(za.T @ (wa[:, None] * za) + ridge, za.T @ (wa * s[active])), active
+    return v
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -241,13 +357,34 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(v[0], 0.1)), float(v[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, least: int = 4, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> Model:
+def fit(sums: np.ndarray, y: np.ndarray, landmarks: list[str], penalty: float = 3e-3, folds: int = 5) -> Model:
+    """The machine over texts, given each text's sum of matches with every landmark, in Nystroem coordinates of the landmarks.
+
+    The logistic curve is fitted to decisions of machines that haven't seen the text: every ``folds``-th row is left out in turn.
+    """
+    values, vectors = np.linalg.eigh(soft(Landmarks(landmarks).kernel(landmarks).astype("f8")))
+    keep = values > 1e-2 * values.max()
+    root = vectors[:, keep] / np.sqrt(values[keep])
+    x, unseen = sums @ root, np.zeros(len(y))
+    v = plane(x, y, penalty)
+    for k in range(folds):
+        out = np.arange(len(y)) % folds == k
+        if out.any() and len(set(y[~out])) == 2:
+            other = plane(x[~out], y[~out], penalty)
+            unseen[out] = x[out] @ other[:-1] + other[-1]
+        else:
+            unseen[out] = x[out] @ v[:-1] + v[-1]
+    return Model(landmarks, root @ v[:-1], float(v[-1]), *logistic(unseen, y))
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, landmarks: int = 250, least: int = 3, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> Model:
     """Fits a model on at most ``sample`` labelled texts of each class (those of smallest hash of the identifier).
 
-    Words are counted over the sample's texts, copies of one label as one. Words seen in at least ``least`` toxic texts
-    and hardly in others explain them: the fewest that cover all toxic texts, words of that kind that are like
-    these, and those seen twice as often are the positive examples, with variants of the first. Negative examples are words of clean texts; after a first fit,
-    those it likes best are added and it is fitted again. Without a label of each kind every word scores low.
+    The landmarks are the strings whose presence separates the two classes most, by the statistic of two shares, and
+    that aren't much like each other: ``landmarks`` at most, each of ``least`` toxic texts and at most LONGEST letters. Every text of the
+    sample is counted whole; texts with equal sets of shingles and one label count once. The machine then learns from
+    the texts' sums of matches. Of a repeated identifier the largest label counts; rows with a null identifier or
+    label teach nothing. Without labels of both kinds, or without a string that separates them, every text scores low.
     """
     spark = docs.sparkSession
     known = labels.select(F.col(doc_id).cast("long").alias("id"), F.col(toxic).cast("int").alias("y")).filter("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
@@ -258,81 +395,58 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, least: int =
     def bags(batches):
         """Each text's words, and the hash of its set of shingles, which copies share."""
         let_go()
+        reader = Reader()
         for b in batches:
             text_ = b.column(1).to_pylist()
             copy = [set_hash(s) if len(s) else None for s in sets(text_, 4)]
-            yield pa.RecordBatch.from_arrays([pa.array(copy, pa.int64()), b.column(0), pa.array([sorted(tokens(t)) for t in text_], pa.list_(pa.string()))], ["copy", "y", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(copy, pa.int64()), b.column(0), pa.array([sorted(reader.words(t)) for t in text_], pa.list_(pa.string()))], ["copy", "y", "words"])
 
     every = texts.select("y", "text").mapInArrow(bags, "copy long, y int, words array<string>")
     bag = Scratch(spark, "toxicity").keep(every.groupBy("copy", "y").agg(F.max("words").alias("words")).select("y", "words"), "bags")
-    counts = bag.select("y", F.explode("words").alias("w")).groupBy("w").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
     total = {r["y"]: r["count"] for r in bag.groupBy("y").count().collect()}
     if not total.get(0) or not total.get(1):
-        return Model(np.zeros(SYMBOLS**P, np.float32), -1.0, shift=-2.0 if total.get(0) else 0.0)
-    pure = counts.filter((F.col("p") >= least) & (F.col("n") * 20 * total[1] <= F.col("p") * total[0])).orderBy(F.desc("p"), "w").limit(4000)
-    pure = {r["w"]: r["p"] for r in pure.collect()}
-    if not pure:
-        return Model(np.zeros(SYMBOLS**P, np.float32), -1.0, shift=-2.0)
-    names = spark.sparkContext.broadcast(frozenset(pure))
-
-    def covered(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([[w for w in x if w in names.value] for x in b.column(0).to_pylist()], pa.list_(pa.string()))], ["words"])
-
-    left = [set(r["words"]) for r in bag.filter("y = 1").select("words").mapInArrow(covered, "words array<string>").collect()]
-    cover: list[str] = []
-    while True:
-        votes: dict[str, int] = {}
-        for ws in left:
-            for w in ws:
-                votes[w] = votes.get(w, 0) + 1
-        best = max(votes, key=lambda w: (votes[w], len(w), w), default=None)
-        if best is None or votes[best] < 3:
-            break
-        cover.append(best)
-        left = [ws for ws in left if best not in ws]
-    if not cover:
-        cover = sorted(pure, key=lambda w: (-pure[w], w))[:1]
-    others = [w for w in pure if w not in set(cover)]
-    alike = [w for w, near in zip(others, kernel(others, cover).max(axis=1), strict=True) if near >= 0.5 or pure[w] >= 2 * least] if others else []
-    positive = cover + alike + [v for w in cover if len(w) <= LONGEST // 2 for v in variants(w)]
-    clean = counts.filter("n > 0 and p * 2 <= n")
-    common = clean.orderBy(F.desc("n"), "w").limit(1500).union(clean.orderBy(F.xxhash64("w"), "w").limit(2500))
-    negative = [r["w"] for r in common.select("w").distinct().collect()]
-    model = fit(positive, sorted(negative))
-    held = spark.sparkContext.broadcast(model)
-
-    def doubtful(batches):
-        for b in batches:
-            words = b.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held.value.word_scores(words))], ["w", "f"])
-
-    hard = clean.select("w").mapInArrow(doubtful, "w string, f double").orderBy(F.desc("f"), "w").limit(4000)
-    model = fit(positive, sorted({*negative, *(r["w"] for r in hard.collect())}))
-    held = spark.sparkContext.broadcast(model)
+        return Model(shift=-2.0 if total.get(0) else 0.0)
+    counts = bag.select("y", F.explode("words").alias("w")).groupBy("w").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
+    both = (F.col("p") + F.col("n")) / (total[0] + total[1])
+    z = (F.col("p") / total[1] - F.col("n") / total[0]) / F.sqrt(F.greatest(both * (1 - both), F.lit(1e-12)) * (1 / total[0] + 1 / total[1]))
+    top = counts.filter((F.col("p") >= least) & (F.length("w") <= LONGEST)).select("w", z.alias("z")).filter("z > 2").orderBy(F.desc("z"), "w").limit(4 * landmarks)
+    marks = unlike([r["w"] for r in top.collect()], landmarks)
+    if not marks:
+        return Model(shift=-2.0)
+    held = spark.sparkContext.broadcast(marks)
 
-    def judged(batches):
+    def pool(batches):
+        let_go()
+        scale, seen = Landmarks(held.value), {}
         for b in batches:
-            scorer = Scorer(held.value)
-            f = [max(scorer.model.word_scores(w), default=scorer.model.bias) for w in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(f, pa.float64()), b.column(1)], ["f", "y"])
-
-    got = bag.select("words", "y").mapInArrow(judged, "f double, y int").toArrow()  # at most 2 * sample rows
-    model.slope, model.shift = logistic(np.asarray(got["f"]), np.asarray(got["y"]).astype(float))
-    return model
+            for at in range(0, b.num_rows, 256):
+                rows = b.slice(at, 256).column(0).to_pylist()
+                if len(seen) > POOLED:
+                    seen.clear()
+                new = list(set().union(*rows).difference(seen))
+                for i in range(0, len(new), 10_000):
+                    # of most words nothing matches: what is remembered are the few that do
+                    m = scale.matches(new[i : i + 10_000])
+                    seen.update(zip(new[i : i + 10_000], (m[j] if hit else None for j, hit in enumerate((m > 1e-3).any(axis=1).tolist())), strict=True))
+                sums = [np.sum([v for v in map(seen.__getitem__, sorted(r)) if v is not None] or [np.zeros(len(held.value))], axis=0, dtype=np.float64) for r in rows]
+                yield pa.RecordBatch.from_arrays([pa.array(sums, pa.list_(pa.float32())), b.slice(at, 256).column(1)], ["sums", "y"])
+
+    got = bag.select("words", "y").mapInArrow(pool, "sums array<float>, y int").toArrow()  # at most 2 * sample rows
+    sums = np.asarray(got["sums"].combine_chunks().flatten()).astype("f8").reshape(-1, len(marks))
+    return fit(sums, np.asarray(got["y"]).astype(float), marks)
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and score of every row, from the whole text. Null and empty texts score as texts without a toxic word."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    """doc_id and score of every row, from the whole text. Null and empty texts score as texts without evidence."""
+    held, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches):
-        let_go()
-        scorer = Scorer(held.value)
+        let_go(scorer=True)
+        scorer = _scorer(key, held)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(held.value.probability(scorer.texts(part.column(1).to_pylist())))], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scorer.probabilities(part.column(1).to_pylist()))], ["doc_id", "score"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
 
@@ -345,23 +459,27 @@ def held_out(doc_id: str = "doc_id"):
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> DataFrame:
     """doc_id, held_out, score, predicted of every row; labels are learnt from rows that aren't held out.
 
-    An empty ``docs`` gives no rows. Rows with equal or null ids are scored each by its text. Columns other
-    than doc_id, text and toxic are never read.
+    An empty ``docs`` gives no rows. Rows with equal or null ids are scored each by its text, and null and empty texts
+    as texts without evidence. Columns other than doc_id, text and toxic are never read, whatever their names.
     """
     model = train(docs, labels.filter(~held_out()), sample)
     return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that score below 0.5."""
-    held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
+    """The rows of ``docs``, all columns, that score below 0.5.
+
+    Null and empty texts have no evidence and stay (unless the labels were such that no evidence means toxic). Rows
+    that repeat stay or go together; an empty table gives no rows.
+    """
+    held, at, key = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text), uuid.uuid4().hex
 
     def run(batches):
-        let_go()
-        scorer = Scorer(held.value)
+        let_go(scorer=True)
+        scorer = _scorer(key, held)
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
-                yield part.filter(pa.array(held.value.probability(scorer.texts(part.column(at).to_pylist())) < 0.5))
+                yield part.filter(pa.array(scorer.probabilities(part.column(at).to_pylist()) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)
