@@ -31,10 +31,17 @@ class Config:
     report_dir_lines: int = 50
     path_chars: int = 30
     batch_rows: int = 20
+    #: Of a run's settings: the version its records carry, where the list of skills is, and the models by kind.
+    version: str = "1"
+    skill_list: str | None = None
+    models: dict[str, list[str]] = field(default_factory=dict)
 
 
 def from_ini(path: str) -> Config:
-    """Reads the limits an INI file sets, from whichever section has them; others keep their defaults."""
+    """Reads what an INI file sets: limits from whichever section has them, others keep their defaults; and every section's models.
+
+    A section's ``path`` is a model's main variant; ``alpha.path`` and ``beta.path`` are further ones.
+    """
     ini = configparser.ConfigParser()
     ini.read(path)
     flat = {k: v for s in ini.sections() for k, v in ini.items(s)}
@@ -43,4 +50,5 @@ def from_ini(path: str) -> Config:
         scores |= {"c2s": float(flat["skill_min_score"]), "i2s": float(flat["skill_min_score"])}
     if "lop_min_score" in flat:
         scores["life_of_py"] = float(flat["lop_min_score"])
-    return Config(min_months=int(flat.get("min_months", 1)), min_scores=scores)
+    models = {s: [ini[s][k] for k in ("path", "alpha.path", "beta.path") if k in ini[s]] for s in ini.sections() if "path" in ini[s]}
+    return Config(min_months=int(flat.get("min_months", 1)), min_scores=scores, version=flat.get("version", "1"), skill_list=flat.get("skill_list"), models=models)

@@ -36,6 +36,11 @@ def strip(x: Text) -> Column:
     return F.regexp_replace(_c(x), r"(?U)^\s+|\s+$", "")
 
 
+def language_names() -> list[str]:
+    """The names of the supported languages, as people write them."""
+    return list(LANGUAGE_NAMES)
+
+
 def email_key(x: Text) -> Column:
     return F.lower(strip(x))
 
@@ -96,8 +101,8 @@ def days_in_month(year_dash_month: Text) -> Column:
 
 
 def short_date(ym: Text) -> Column:
-    """``202403`` as ``Mar 24``."""
-    return F.date_format(F.to_date(_c(ym).cast("string"), "yyyyMM"), "MMM yy")
+    """``202403`` as ``Mar`` and, on a second line, ``2024``."""
+    return F.date_format(F.to_date(_c(ym).cast("string"), "yyyyMM"), "MMM\nyyyy")
 
 
 def truncated(s: Text, most: int) -> Column:
@@ -142,14 +147,19 @@ def quality_bucket(lines: Text) -> Column:
     return F.concat(F.lit("life_of_py_"), (F.least(F.floor(_c(lines) / 20), F.lit(4)) * 20).cast("string"))
 
 
-def changed_chars(diff: Text) -> Column:
-    """Edit distance between what a diff adds and what it removes, white space left out."""
+def changed_sides(diff: Text) -> tuple[Column, Column]:
+    """What a diff adds and what it removes, white space left out."""
 
     def side(sign):
         lines = F.filter(F.split(strip(diff), "\n"), lambda x: x.startswith(sign))
         return F.translate(F.array_join(F.transform(lines, lambda x: F.substring(x, 2, 2**31 - 1)), ""), "\n\t ", "")
 
-    return F.levenshtein(side("+"), side("-"))
+    return side("+"), side("-")
+
+
+def changed_chars(diff: Text) -> Column:
+    """Edit distance between what a diff adds and what it removes, white space left out."""
+    return F.levenshtein(*changed_sides(diff))
 
 
 def distance_below(a: Text, b: Text, limit: int) -> Column:
@@ -183,9 +193,9 @@ def expert(path: Text) -> Column:
 
 
 def flagged_names(flags: Text, names: Text) -> Column:
-    """The names whose flag is 1, joined by commas."""
+    """The names whose flag or score is above 0, joined by commas."""
     both = F.arrays_zip(_c(flags).alias("f"), _c(names).alias("n"))
-    return F.array_join(F.transform(F.filter(both, lambda x: x["f"] == 1), lambda x: x["n"]), ",")
+    return F.array_join(F.transform(F.filter(both, lambda x: x["f"] > 0), lambda x: x["n"]), ",")
 
 
 def top_labels(scores: Text, names: Text, k: int = 10) -> Column:

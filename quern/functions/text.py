@@ -11,10 +11,34 @@ import re
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.functions.scalars import LANGUAGES, SEPARATORS
+from quern.functions.scalars import IMPORT_PREFIXES, LANGUAGES, SEPARATORS
+
+
+@dataclass(frozen=True)
+class Language:
+    """What the engine has to know of a language that isn't among its own: :func:`register` makes it known."""
+
+    ext: str
+    name: str
+    separator: str = "}\n\n"
+    import_prefix: str = "import "
+    import_pattern: str | None = None
+    comments: Comments | None = None
+
+
+def register(language: Language) -> None:
+    """Makes a language known to the functions of this process; call it before a plan is made, which takes it to the workers."""
+    LANGUAGES[language.ext] = language.name
+    SEPARATORS[language.ext] = language.separator
+    IMPORT_PREFIXES[language.ext] = language.import_prefix
+    if language.import_pattern:
+        IMPORTS[language.ext] = language.import_pattern
+    if language.comments:
+        COMMENTS[language.ext] = language.comments
 
 
 def separator_of(ext: str) -> str | None:
@@ -77,6 +101,8 @@ C_LIKE = Comments(("/**", "/*"), "*/", "*/", "//", star=True)
 LUA = Comments(("--[[",), "]]", "", "--", close_at="end")
 RUBY = Comments(("=begin",), "=end", "=end", close_at="start")
 ELIXIR = Comments(("@moduledoc", "@doc"), '"""')
+#: The languages that don't write comments as C does.
+COMMENTS = {"rb": RUBY, "lua": LUA, "ex": ELIXIR, "exs": ELIXIR}
 #: A comment that nothing closes, or of single lines, is documentation only beyond this length.
 LONG = 300
 
@@ -111,36 +137,37 @@ def _block_docs(lines: list[str], how: Comments) -> list[str]:
         elif mark and how.unless and how.unless in line:
             mark = None
         if mark:
-            inside, text = True, text + ("" if how is ELIXIR else line[len(mark) :])
-        elif how.single and line.startswith(how.single) and (how is C_LIKE or not inside):
+            inside, text = True, text + ("" if how == ELIXIR else line[len(mark) :])
+        elif how.single and line.startswith(how.single) and (how == C_LIKE or not inside):
             text += "\n" + line[len(how.single) :]
         elif inside and is_end(line):
             rest = {"in": line[: -len(how.closes)], "end": line[: -len(how.closes)], "start": line[len(how.closes) :]}[how.close_at]
-            out.append((text if how is ELIXIR else f"{text}\n{rest}").strip())
+            out.append((text if how == ELIXIR else f"{text}\n{rest}").strip())
             inside, text = False, ""
         elif inside:
-            text += f"{line}\n" if how is ELIXIR else "\n" + (line[1:] if how.star and line.startswith("*") else line)
+            text += f"{line}\n" if how == ELIXIR else "\n" + (line[1:] if how.star and line.startswith("*") else line)
         elif how.single and len(text) > LONG:
             out.append(text.strip())
             text = ""
-    if inside and len(text) > LONG and how is not RUBY:
+    if inside and len(text) > LONG and how != RUBY:
         out.append(text.strip())
     return out
 
 
-def documentation(lines: list[str], ext: str) -> list[str]:
-    """The documentation comments in lines of code of a language."""
-    if ext not in LANGUAGES:
+def documentation(lines: list[str], ext: str, comments: dict[str, Comments | None] | None = None) -> list[str]:
+    """The documentation comments in lines of code of a language. ``comments`` has the languages that are known, if not those of this process."""
+    known = {e: COMMENTS.get(e) for e in LANGUAGES} if comments is None else comments
+    if ext not in known:
         return []
     if ext == "py":
         return _python_docs(lines)
-    return _block_docs(lines, {"rb": RUBY, "lua": LUA, "ex": ELIXIR, "exs": ELIXIR}.get(ext, C_LIKE))
+    return _block_docs(lines, known[ext] or C_LIKE)
 
 
-def documentation_lines(code: str | None, ext: str | None) -> int:
+def documentation_lines(code: str | None, ext: str | None, comments: dict[str, Comments | None] | None = None) -> int:
     """How many lines of a snippet's documentation count (see :func:`quern.functions.scalars.doc_lines`)."""
     total = 0
-    for doc in documentation((code or "").split("\n"), ext or ""):
+    for doc in documentation((code or "").split("\n"), ext or "", comments):
         if re.search("license|License|LICENSE", doc) or doc.count(" ") < 5 * doc.count("\n"):
             continue
         total += sum(not (x.startswith(("http", "www")) or "author " in x or "param " in x) for x in re.sub("[\t\r]", " ", doc).split("\n"))
@@ -164,6 +191,16 @@ IMPORTS = {
 }
 
 
+# What older reports took for an import of one line, where that differs; those marked True only in lines that begin with ``import``.
+OLD_IMPORTS = {
+    **dict.fromkeys(("js", "ts", "jsx", "tsx", "ex", "exs"), (True, r"import\s+\w+\s+from\s+'([\w-]+)';")),
+    "java": (True, r"import\s+([\w.]+(?:\*|[\w*]+)?);"),
+    "swift": (True, r"import\s+([\w.]+)"),
+    "dart": (True, r"import\s+([\w.]+);"),
+    "php": (False, r"(?:include|require)(?:_once)?\s*[\"']([^\"']+?)[\"'];"),
+}
+
+
 def _statements(lines: list[str], begins: tuple[str, ...], opening: str, closing: str) -> list[str]:
     """Import statements of one line, and those in brackets over several lines as one."""
     out: list[str] = []
@@ -241,9 +278,24 @@ def chunks_udf(code: pd.Series, sep: pd.Series, limit: pd.Series, least: pd.Seri
     return pd.Series([chunks(c, s, int(a), int(b)) for c, s, a, b in zip(_strings(code), _strings(sep), limit, least, strict=True)], dtype=object)
 
 
-@F.pandas_udf(T.IntegerType())
-def documentation_lines_udf(code: pd.Series, ext: pd.Series) -> pd.Series:
-    return pd.Series([documentation_lines(c, e) for c, e in zip(_strings(code), _strings(ext), strict=True)], dtype="int32")
+def documentation_lines_udf(code: Column | str, ext: Column | str) -> Column:
+    known = {e: COMMENTS.get(e) for e in LANGUAGES}
+
+    @F.pandas_udf(T.IntegerType())
+    def count(code: pd.Series, ext: pd.Series) -> pd.Series:
+        return pd.Series([documentation_lines(c, e, known) for c, e in zip(_strings(code), _strings(ext), strict=True)], dtype="int32")
+
+    return count(code, ext)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _documentation_udf(code: pd.Series, ext: pd.Series) -> pd.Series:
+    return pd.Series([documentation((c or "").split("\n"), e or "") for c, e in zip(_strings(code), _strings(ext), strict=True)], dtype=object)
+
+
+def documentation_of(code: Column | str, ext: Column | str) -> Column:
+    """The documentation comments of code of the engine's own languages."""
+    return _documentation_udf(code, ext)
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -251,6 +303,26 @@ def imports_udf(code: pd.Series, ext: pd.Series) -> pd.Series:
     return pd.Series([imports((c or "").split("\n"), e or "") for c, e in zip(_strings(code), _strings(ext), strict=True)], dtype=object)
 
 
+def _every_match(pattern: str):
+    return lambda x: F.regexp_extract_all(x, F.lit(f"(?U){pattern}"), F.lit(1))
+
+
+def imports_of(code: Column, ext: Column, compat: bool = False) -> Column:
+    """The libraries that code imports. Languages whose imports are one line each never leave the JVM.
+
+    With ``compat`` lines are read as older reports read them: of JavaScript only default imports, of Dart and Elixir
+    only what real code hasn't.
+    """
+    lines = F.filter(F.split(code, "\n"), lambda x: x.rlike(r"(?U)\S"))
+    out = F.when(ext.isin("py", "go", "scala"), imports_udf(F.when(ext.isin("py", "go", "scala"), code), ext))
+    patterns = {e: (False, p) for e, p in IMPORTS.items()} | (OLD_IMPORTS if compat else {})
+    for begins, pattern in dict.fromkeys(patterns.values()):
+        some = F.filter(lines, lambda x: x.startswith("import")) if begins else lines
+        found = F.flatten(F.transform(some, _every_match(pattern)))
+        out = out.when(ext.isin([e for e, p in patterns.items() if p == (begins, pattern)]), F.coalesce(found, F.array().cast("array<string>")))
+    return out.otherwise(F.array().cast("array<string>"))
+
+
 @F.pandas_udf(T.StringType())
 def mask_udf(text: pd.Series) -> pd.Series:
     return pd.Series([mask(x) for x in _strings(text)], dtype=object)

@@ -24,6 +24,11 @@ def parse_commits(lines: DataFrame, line: str = "line") -> DataFrame:
     return out.filter("author <> '' and ts is not null")
 
 
+def by_time(commits: DataFrame) -> DataFrame:
+    """Commits from the oldest to the newest, those of one second by hash."""
+    return commits.orderBy("ts", "commit_id")
+
+
 def by_authors(commits: DataFrame, authors: Iterable[str] | DataFrame | None) -> DataFrame:
     """Commits of the given authors, compared exactly in lower case; all where none are given."""
     if authors is None:
@@ -99,10 +104,18 @@ def big_commits(changes: DataFrame, config: Config = _DEFAULT) -> DataFrame:
 
 
 def author_ranking(commits: DataFrame, by: str = "repos", first: str | None = None, most: int = 20) -> DataFrame:
-    """Authors by the number of repositories (each raw spelling counts once in each) or of commits; ``first`` leads."""
+    """Authors by the number of repositories or of commits, the most first; ``first`` leads, even without a commit.
+
+    By repositories each raw spelling counts once in each; spellings that differ in case or in white space at their
+    ends are one author, and empty ones none.
+    """
     if by == "repos":
-        counts = commits.select("repo", F.col("raw_author" if "raw_author" in commits.columns else "author").alias("raw")).distinct().groupBy(F.lower("raw").alias("author")).count()
+        raw = F.col("raw_author" if "raw_author" in commits.columns else "author").cast("string")
+        counts = commits.select("repo", raw.alias("raw")).filter("raw <> ''").distinct().groupBy(S.email_key("raw").alias("author")).count()
     else:
-        counts = commits.groupBy("author").count()
-    lead = [F.when(F.col("author") == F.lit(first), 0).otherwise(1)] if first else []
+        counts = commits.groupBy(F.col("author").cast("string").alias("author")).count()
+    lead = []
+    if first:
+        counts = counts.union(commits.sparkSession.createDataFrame([(first, 0)], "author string, count bigint")).groupBy("author").agg(F.sum("count").alias("count"))
+        lead = [F.when(F.col("author") == F.lit(first), 0).otherwise(1)]
     return counts.orderBy(*lead, F.desc("count"), "author").limit(most)

@@ -40,10 +40,13 @@ def gap_filled(rows: DataFrame, keys: list[str], first: str, last: str, values:
 
 
 def path_prefixes(files: DataFrame, config: Config = _DEFAULT) -> DataFrame:
-    """repo, qtr, depth, prefix, lines, of prefixes of one and of two names; both summed in one pass over the files."""
+    """repo, qtr, depth, prefix, lines, of prefixes of one and of two names; both summed in one pass over the files.
+
+    A file at the top is its own prefix of one name, and one a folder below it its own of two.
+    """
     parts = F.filter(F.split("path", "/"), lambda x: (x != "") & (x != "."))
     level = lambda n: F.struct(F.lit(n).alias("depth"), S.truncated(F.array_join(F.slice(parts, 1, n), "/"), config.path_chars).alias("prefix"))
-    both = F.when(F.size(parts) > 2, F.array(level(1), level(2))).when(F.size(parts) > 1, F.array(level(1)))
+    both = F.when(F.size(parts) >= 2, F.array(level(1), level(2))).when(F.size(parts) == 1, F.array(level(1)))
     out = files.select("repo", "qtr", "lines", F.explode(both).alias("p"))
     return out.groupBy("repo", "qtr", "p.depth", "p.prefix").agg(F.sum("lines").cast("bigint").alias("lines"))
 
@@ -74,8 +77,23 @@ def skill_names(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return rows.join(vocabulary.select("skill", "display_name"), "skill", "left").withColumn("display_name", F.coalesce("display_name", S.title_name("skill")))
 
 
-def user_label(users: DataFrame, author: str = "author", most: int = 255) -> DataFrame:
-    """One row ``label``: a single user as is, else users by domain in order, those of one domain in brackets.
+def quarters_descending(rows: DataFrame, *then: str) -> DataFrame:
+    """Rows by quarter, the last first, and by ``then`` within one."""
+    return rows.orderBy(F.desc("qtr"), *then)
+
+
+def report_facts(changes: DataFrame, author: str, config: Config = _DEFAULT) -> DataFrame:
+    """What one person's report is drawn from, as rows: repo, kind (``file`` or ``big_commit``), qtr, name, lines."""
+    from quern.operators import activity as A
+
+    own = changes.filter(F.col("author") == author.strip().lower())
+    files = A.file_quarters(own).select("repo", F.lit("file").alias("kind"), "qtr", F.col("path").alias("name"), "lines")
+    big = A.big_commits(own, config).select("repo", F.lit("big_commit").alias("kind"), F.lit(None).cast("string").alias("qtr"), F.col("commit_id").cast("string").alias("name"), "lines")
+    return files.unionByName(big)
+
+
+def user_label(users: DataFrame, author: str = "author", most: int = 255, team: str | None = None) -> DataFrame:
+    """One row ``label``: a single user as is, else users by domain in order, those of one domain in brackets; ``team`` where there are none.
 
     Each string and its comma take a character at least, so the first ``most + 2`` users of a domain, and domains,
     are all that the label can show; no more are gathered.
@@ -86,16 +104,22 @@ def user_label(users: DataFrame, author: str = "author", most: int = 255) -> Dat
     shown = F.when(F.col("n") == 1, F.col("us")).otherwise(F.concat(F.lit("("), F.col("us"), F.lit(")@"), F.col("d")))
     groups = groups.select("d", shown.alias("s")).orderBy("d").limit(most + 2)
     out = groups.agg(F.array_sort(F.collect_list(F.struct("d", "s"))).alias("g")).select(F.array_join(F.transform("g", lambda x: x["s"]), ",").alias("label"))
-    return out.select(F.when(F.length("label") > most, F.concat(F.substring("label", 1, most - 3), F.lit("..."))).otherwise(F.col("label")).alias("label"))
+    label = F.when(F.length("label") > most, F.concat(F.substring("label", 1, most - 3), F.lit("..."))).otherwise(F.col("label"))
+    return out.select(F.when(F.col("label") == "", F.lit(team)).otherwise(label).alias("label"))
 
 
 def anonymous(profiles: DataFrame, keep_names: bool) -> DataFrame:
-    """Hides repository names and paths unless they may be kept; a remote is shown only if it contains the name."""
+    """Hides repository names and paths unless they may be kept; a remote counts only if it contains the repository's name.
+
+    A hidden path is the hash of the remote, or of the name where there is no such remote: the key by which copies of a
+    repository at different paths are known as one.
+    """
     from quern.functions.text import mask_udf
 
+    remote = F.when(F.col("remote").contains(F.col("repo")), F.col("remote"))
     if keep_names:
-        return profiles.withColumn("repo_path", F.when(F.col("remote").contains(F.col("repo")), F.col("remote")).otherwise(F.col("repo_path")))
-    return profiles.withColumns({"repo": mask_udf("repo"), "repo_path": S.sha256("repo_path")})
+        return profiles.withColumn("repo_path", F.coalesce(remote, "repo_path"))
+    return profiles.withColumns({"repo_path": S.sha256(F.coalesce(remote, "repo")), "repo": mask_udf("repo")})
 
 
 def public_only(profiles: DataFrame) -> DataFrame:

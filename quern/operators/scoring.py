@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Makes, once in each worker, a function from a batch of chunks to a list of logits for each, one per vocabulary entry.
+#: Makes a function from a batch of chunks to a list of logits for each, one per vocabulary entry.
 Loader = Callable[[], Callable[[list[str]], list[list[float]]]]
 
 
+#: The models that this worker has loaded, by the run that wants them.
+_LOADED: dict[str, Callable] = {}
+
+
 def stub_loader(vocabulary: list[str]) -> Loader:
     """A stand-in for a model: logits that only a hash of chunk and entry decides. It says nothing about skills."""
 
@@ -26,10 +31,16 @@ def stub_loader(vocabulary: list[str]) -> Loader:
 
 
 def logits(chunks: DataFrame, loader: Loader, vocabulary: list[str], keys: list[str], batch: int = 20, text: str = "chunk") -> DataFrame:
-    """keys, skill, logit: every chunk against every entry. The model is loaded once per worker and fed ``batch`` rows at a time."""
+    """keys, skill, logit: every chunk against every entry. The model is loaded once per worker, whatever tasks it runs, and fed ``batch`` rows at a time."""
+    run_id = uuid.uuid4().hex
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        score = loader()
+        from quern.operators.scoring import _LOADED as loaded  # the worker's own
+
+        if run_id not in loaded:
+            loaded.clear()  # one model at a time
+            loaded[run_id] = loader()
+        score = loaded[run_id]
         for df in frames:
             for at in range(0, len(df), batch):
                 part = df.iloc[at : at + batch]

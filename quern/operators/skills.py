@@ -53,13 +53,17 @@ def filter_skills(stats: DataFrame, totals: DataFrame, min_scores: dict[str, flo
     return rows.filter(~gone).select(*stats.columns), left.select(*totals.columns)
 
 
-def default_choices(totals: DataFrame, config: Config = _DEFAULT) -> DataFrame:
-    """skill, lines, choice: skills of less than a fifth of the mean go, those above two fifths are relevant."""
+def default_choices(totals: DataFrame, config: Config = _DEFAULT, saved: DataFrame | None = None) -> DataFrame:
+    """skill, lines, choice: skills of less than a fifth of the mean go, those above two fifths are relevant.
+
+    Where choices (skill, choice) were saved before, these stand instead, for the skills they have and no others.
+    """
     sums = totals.groupBy("skill").agg(F.sum("code_lines").cast("bigint").alias("lines"))
     mean = sums.agg(F.try_divide(F.sum("lines").cast("double"), F.count(F.lit(1))).alias("mean"))
     out = sums.crossJoin(F.broadcast(mean))  # one row
     choice = F.when(F.col("lines") > config.relevant_above_mean * F.col("mean"), "Relevant").otherwise("Not Relevant")
-    return out.filter(F.col("lines") >= config.drop_below_mean * F.col("mean")).select("skill", "lines", choice.alias("choice"))
+    out = out.filter(F.col("lines") >= config.drop_below_mean * F.col("mean")).select("skill", "lines", choice.alias("choice"))
+    return out if saved is None else saved.select("skill", "choice").join(out.drop("choice"), "skill", "left").select("skill", "lines", "choice")
 
 
 def weak_skills(totals: DataFrame, config: Config = _DEFAULT) -> DataFrame:
@@ -67,9 +71,19 @@ def weak_skills(totals: DataFrame, config: Config = _DEFAULT) -> DataFrame:
     return totals.select("skill").distinct().join(default_choices(totals, config).select("skill"), "skill", "left_anti")
 
 
+def either(a: DataFrame, b: DataFrame, key: str = "skill") -> DataFrame:
+    """The keys of both tables, each once: what is hidden by choice or for lack of lines."""
+    return a.select(key).union(b.select(key)).distinct()
+
+
+def missing(a: DataFrame, b: DataFrame, key: str = "skill") -> DataFrame:
+    """The keys of the first table that the second hasn't, each once: the skills of which nothing good is left."""
+    return a.select(key).distinct().join(b.select(key), key, "left_anti")
+
+
 def apply_choices(stats: DataFrame, totals: DataFrame, choices: DataFrame, weak: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Statistics and totals without top-secret and weak skills, and the skills to keep out of reports."""
-    manual = choices.filter("choice = 'Top Secret'").select("skill").union(weak.select("skill")).distinct()
+    manual = either(choices.filter("choice = 'Top Secret'"), weak)
     stats, totals = filter_skills(stats, totals, {}, manual)
     return stats, totals, choices.filter("choice = 'Not Relevant'").select("skill")
 

@@ -66,12 +66,6 @@ def analysed_files(spark, sf):
     return A.analysed_files(changes(spark, sf), Config(max_commit_lines=120)).select("commit_id", "file", "added")
 
 
-@query("SELECT o_orderkey AS commit_id FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity >= 20)")
-def small_commit_anti(spark, sf):
-    big = table(spark, sf, "lineitem").filter("l_quantity >= 20").select(F.col("l_orderkey").alias("commit_id"))
-    return commits(spark, sf).select("commit_id").join(big, "commit_id", "left_anti")
-
-
 @query(f"WITH {_CHANGES} SELECT repo, author, ext AS lang, ym, CAST(sum(CASE WHEN l_tax < 0.02 THEN 0 ELSE added END) AS BIGINT) AS added, CAST(sum(CASE WHEN l_tax < 0.02 THEN 0 ELSE deleted END) AS BIGINT) AS deleted, count(DISTINCT commit_id) AS commits FROM c GROUP BY ALL")
 def reformat_retraction(spark, sf):
     return A.monthly(changes(spark, sf), F.col("l_tax") < 0.02)
@@ -83,12 +77,18 @@ def allow_list_semi(spark, sf):
     return A.allowed(commits(spark, sf), allow).select("commit_id", "author")
 
 
-@query("SELECT o_custkey AS author, count(DISTINCT o_orderstatus) AS count FROM orders GROUP BY 1 ORDER BY 2 DESC, CAST(o_custkey AS VARCHAR) LIMIT 20")
+@query("""
+    WITH r AS (SELECT o_orderstatus AS repo, CASE o_orderkey % 4 WHEN 0 THEN ' User' || o_custkey % 90 || '@X.org' WHEN 1 THEN 'user' || o_custkey % 90 || '@x.org' WHEN 2 THEN '' ELSE 'USER' || o_custkey % 90 || '@x.org ' END AS raw FROM orders),
+    n AS (SELECT lower(trim(raw)) AS author, count(*) AS count FROM (SELECT DISTINCT repo, raw FROM r WHERE raw <> '') GROUP BY 1 UNION ALL SELECT 'new@x.org', 0)
+    SELECT author, CAST(count AS BIGINT) AS count FROM n ORDER BY author <> 'new@x.org', count DESC, author LIMIT 20""")
 def author_rank_repo(spark, sf):
-    return A.author_ranking(commits(spark, sf), "repos").withColumn("author", F.col("author").cast("bigint"))
+    """Spellings that differ in case and white space, empty ones, and somebody without a commit."""
+    k, u = F.col("commit_id") % 4, (F.col("author") % 90).cast("string")
+    raw = F.when(k == 0, F.concat(F.lit(" User"), u, F.lit("@X.org"))).when(k == 1, F.concat(F.lit("user"), u, F.lit("@x.org"))).when(k == 2, "").otherwise(F.concat(F.lit("USER"), u, F.lit("@x.org ")))
+    return A.author_ranking(commits(spark, sf).withColumn("raw_author", raw), "repos", "new@x.org")
 
 
-@query("SELECT o_custkey AS author, count(*) AS count FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+@query("SELECT CAST(o_custkey AS VARCHAR) AS author, count(*) AS count FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
 def author_rank_commit(spark, sf):
     return A.author_ranking(commits(spark, sf), "commits", most=10)
 
@@ -98,15 +98,8 @@ def big_commits(spark, sf):
     return A.big_commits(changes(spark, sf))
 
 
-@query("SELECT lower(trim('  ' || c_name || ' ')) AS author, CAST(c_custkey AS BIGINT) AS ts FROM customer WHERE c_custkey % 3 = 0 OR c_mktsegment = 'BUILDING'")
-def commit_log_parse(spark, sf):
-    c = table(spark, sf, "customer")
-    lines = c.select("c_mktsegment", "c_custkey", F.concat_ws("\x01", F.concat(F.lit("\t "), "c_name", F.lit("  ")), F.col("c_custkey").cast("string"), F.sha1(F.col("c_name"))).alias("line"))
-    return A.parse_commits(lines).filter("c_custkey % 3 = 0 or c_mktsegment = 'BUILDING'").select("author", "ts")
-
-
 @query("SELECT lower(trim('  ' || c_name || ' ')) AS author, CAST(c_custkey AS BIGINT) AS ts FROM customer")
-def commit_log_parse_whole(spark, sf):
+def commit_log_parse(spark, sf):
     c = table(spark, sf, "customer")
     lines = c.select(F.concat_ws("\x01", F.concat(F.lit("\t "), "c_name", F.lit("  ")), F.col("c_custkey").cast("string"), F.sha1(F.col("c_name"))).alias("line"))
     return A.parse_commits(lines).select("author", "ts")
@@ -130,21 +123,15 @@ def numstat_rows(spark, sf):
     SELECT doc_id, string_agg(line, chr(10) ORDER BY no) AS snippet, count(*) AS n_lines FROM p GROUP BY doc_id, g HAVING count(*) >= 10""")
 def added_runs(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    return SN.added_runs(docs, ["doc_id"], "text", 10, F.length("_line") >= 40).drop("run_id")
+    return SN.added_runs(docs, ["doc_id"], "text", 10, lambda x: F.length(x) >= 40).drop("run_id")
 
 
 @query("""
-    SELECT doc_id, levenshtein(regexp_replace(left(text, 300), '[^a-zA-Z]', '', 'g'), regexp_replace(left(right(text, 400), 300), '[^a-zA-Z]', '', 'g')) AS changed,
-           levenshtein(regexp_replace(left(text, 300), '[^a-zA-Z]', '', 'g'), regexp_replace(left(right(text, 400), 300), '[^a-zA-Z]', '', 'g')) < 50 AS reformat
-    FROM documents""")
+    WITH u AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+    p AS (SELECT doc_id, unnest(range(0, len(ls))) AS i, ls FROM u),
+    x AS (SELECT doc_id, CAST(i AS INTEGER) AS line_no, regexp_replace(ls[i + 1], '[^a-zA-Z]', '', 'g') AS a, regexp_replace(coalesce(ls[i + 2], ''), '[^a-zA-Z]', '', 'g') AS b FROM p)
+    SELECT doc_id, line_no, levenshtein(a, b) AS changed, levenshtein(a, b) < 50 AS reformat FROM x""")
 def changed_chars(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.regexp_replace(F.left("text", F.lit(300)), "[^a-zA-Z]", "").alias("a"), F.regexp_replace(F.left(F.right("text", F.lit(400)), F.lit(300)), "[^a-zA-Z]", "").alias("b"))
-    diff = F.concat(F.lit("+"), "a", F.lit("\n context\n-"), "b")
-    return d.select("doc_id", S.changed_chars(diff).cast("bigint").alias("changed"), S.distance_below("a", "b", 50).alias("reformat"))
-
-
-@query()
-def changed_chars_whole(spark, sf):
     """Every line of a whole text against the next (the last against nothing)."""
     d = table(spark, sf, "documents").select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
     d = d.select("doc_id", F.posexplode(F.zip_with("lines", F.slice("lines", F.lit(2), F.size("lines")), lambda a, b: F.struct(a.alias("a"), F.coalesce(b, F.lit("")).alias("b")))).alias("line_no", "p"))
@@ -154,12 +141,6 @@ def changed_chars_whole(spark, sf):
     return d.select("doc_id", "line_no", S.changed_chars(diff).cast("bigint").alias("changed"), S.distance_below("a", "b", 50).alias("reformat"))
 
 
-@query()
-def chunks(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    return docs.select("doc_id", F.posexplode(TX.chunks_udf("text", F.lit("\n"), F.lit(1500), F.lit(100))).alias("chunk_no", "chunk"))
-
-
 @query("""
     WITH d AS (SELECT doc_id, text FROM documents WHERE NOT regexp_matches(text, 'license|License|LICENSE')
                AND length(text) - length(replace(text, ' ', '')) >= 5 * (length(text) - length(replace(text, chr(10), '')))),
@@ -177,12 +158,6 @@ def labeled_flag(spark, sf):
     return SN.labelled(docs, marks).select("doc_id", "is_labeled")
 
 
-@query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")
-def not_relevant_anti(spark, sf):
-    bad = table(spark, sf, "labels").filter("quality = 0").select("doc_id")
-    return table(spark, sf, "documents").select("doc_id", "lang").join(bad, "doc_id", "left_anti")
-
-
 # -- scores and skills ------------------------------------------------------------------------------------
 def _scores(spark, sf):
     """Line items as scored chunks: an order's priority is the skill, its status names the model."""
@@ -278,14 +253,6 @@ def stub_scores(spark, sf):
     return SC.ranked(SC.logits(docs, SC.stub_loader(vocabulary), vocabulary, ["doc_id"]), ["doc_id"], k=10).select("doc_id", "skill", "rank", F.round("score", 6).alias("score"))
 
 
-@query("SELECT author, skill, n FROM (SELECT o_custkey AS author, o_orderpriority AS skill, count(*) AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY count(*) DESC, o_orderpriority) AS r FROM orders GROUP BY 1, 2) WHERE r <= 3")
-def top_skills(spark, sf):
-    from pyspark.sql import Window
-
-    p = commits(spark, sf).groupBy("author", F.col("o_orderpriority").alias("skill")).agg(F.count(F.lit(1)).alias("n"))
-    return p.withColumn("r", F.row_number().over(Window.partitionBy("author").orderBy(F.desc("n"), "skill"))).filter("r <= 3").drop("r")
-
-
 # -- reports ----------------------------------------------------------------------------------------------
 _FILES = f"WITH {_CHANGES}, f AS (SELECT repo, CAST(ym // 100 AS VARCHAR) || 'Q' || CAST(((ym % 100 - 1) // 3 + 1) AS VARCHAR) AS qtr, CAST(sum(added) AS BIGINT) AS lines FROM c GROUP BY ALL)"
 
@@ -319,20 +286,6 @@ def language_quarters(spark, sf):
     return R.language_quarters(A.monthly(changes(spark, sf)))
 
 
-@query(
-    """
-    WITH p AS (SELECT 'r' AS repo, 'q' AS qtr, CAST(length(html) AS BIGINT) AS lines, list_filter(string_split(regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', ''), '/'), lambda x: x <> '' AND x <> '.') AS a FROM pages),
-    l AS (SELECT repo, qtr, lines, 1 AS depth, a[1] AS p FROM p WHERE len(a) > 1 UNION ALL SELECT repo, qtr, lines, 2, a[1] || '/' || a[2] FROM p WHERE len(a) > 2),
-    t AS (SELECT repo, qtr, depth, CASE WHEN length(p) > 27 THEN left(p, 27) || '...' ELSE p END AS prefix, CAST(sum(lines) AS BIGINT) AS lines FROM l GROUP BY ALL),
-    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY repo, qtr, depth ORDER BY lines DESC, prefix) AS INTEGER) AS rank FROM t)
-    SELECT depth, prefix, lines, rank FROM r WHERE rank <= 3 AND lines > 50"""
-)
-def path_prefix_topk(spark, sf):
-    path = F.regexp_replace(F.regexp_replace("url", "^https?://", ""), "[?#].*$", "")
-    files = table(spark, sf, "pages").select(F.lit("r").alias("repo"), F.lit("q").alias("qtr"), F.length("html").cast("bigint").alias("lines"), path.alias("path"))
-    return R.top_prefixes(R.path_prefixes(files)).select("depth", "prefix", "lines", "rank")
-
-
 @query(f"WITH {_CHANGES}, b AS (SELECT repo, commit_id, CAST(sum(added) AS BIGINT) AS lines FROM c GROUP BY ALL HAVING sum(added) > 100) SELECT repo, commit_id, lines, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY lines DESC, commit_id) AS r FROM b) WHERE r <= 10")
 def top_commits(spark, sf):
     return R.top_commits(A.big_commits(changes(spark, sf)))
@@ -348,18 +301,6 @@ def relevant_totals(spark, sf):
     return R.relevant_totals(K.skill_totals(_scores(spark, sf)), spark.createDataFrame([("5-LOW",)], "skill string"))
 
 
-@query(
-    """
-    WITH u AS (SELECT lower(replace(c_name, '#', '')) || '@' || lower(n_name) AS u, lower(n_name) AS d FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey <= 40),
-    g AS (SELECT d, string_agg(u, ',' ORDER BY u) AS us, count(*) AS n FROM u GROUP BY d),
-    l AS (SELECT string_agg(CASE WHEN n = 1 THEN us ELSE '(' || us || ')@' || d END, ',' ORDER BY d) AS label FROM g)
-    SELECT CASE WHEN length(label) > 255 THEN left(label, 252) || '...' ELSE label END AS label FROM l"""
-)
-def user_group_label(spark, sf):
-    c = table(spark, sf, "customer").filter("c_custkey <= 40").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return R.user_label(c.select(F.concat(F.lower(F.replace("c_name", F.lit("#"), F.lit(""))), F.lit("@"), F.lower("n_name")).alias("author")))
-
-
 @query(
     """
     WITH u AS (SELECT lower(replace(c_name, '#', '')) || '@' || lower(n_name) AS u, lower(n_name) AS d FROM customer JOIN nation ON c_nationkey = n_nationkey),
@@ -367,7 +308,7 @@ def user_group_label(spark, sf):
     l AS (SELECT string_agg(CASE WHEN n = 1 THEN us ELSE '(' || us || ')@' || d END, ',' ORDER BY d) AS label FROM g)
     SELECT CASE WHEN length(label) > 255 THEN left(label, 252) || '...' ELSE label END AS label FROM l"""
 )
-def user_group_label_whole(spark, sf):
+def user_group_label(spark, sf):
     c = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return R.user_label(c.select(F.concat(F.lower(F.replace("c_name", F.lit("#"), F.lit(""))), F.lit("@"), F.lower("n_name")).alias("author")))
 
@@ -377,7 +318,7 @@ def user_group_label_whole(spark, sf):
     """
     WITH p AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS path FROM pages), n AS (SELECT page_id, path, regexp_extract(path, '([^/]*)$', 1) AS f FROM p),
     e AS (SELECT page_id, regexp_replace(regexp_extract(f, '^\\.*[^.].*(\\.[^.]*)$', 1), '[^a-zA-Z0-9]', '', 'g') AS e FROM n)
-    SELECT page_id, CASE WHEN e = '' THEN 'unknown' ELSE e END AS ext, e IN ('py','js','ts','jsx','tsx','java','cs','go','cpp','c','h','php','rb','rs','scala','swift','kt','kts','lua','dart','ex','exs') AS supported FROM e"""
+    SELECT page_id, CASE WHEN e = '' THEN 'unknown' ELSE e END AS ext, list_contains({supported}, e) AS supported FROM e""".replace("{supported}", str(list(S.LANGUAGES)))
 )
 def file_ext(spark, sf):
     p = table(spark, sf, "pages").select("page_id", S.file_extension(F.regexp_replace("url", "[?#].*$", "")).alias("ext"))
@@ -414,42 +355,302 @@ def display_names(spark, sf):
 @query(
     """
     SELECT p_partkey, CASE WHEN length(p_name) > 7 THEN left(p_name, 7) || '...' ELSE p_name END AS short, 'life_of_py_' || CAST(least(p_size // 20, 4) * 20 AS VARCHAR) AS bucket,
-           split_part(p_type || '::x', '::', 1) AS kind, CASE WHEN p_partkey % 3 = 0 THEN 'a,c' WHEN p_partkey % 3 = 1 THEN 'b' ELSE '' END AS flagged FROM part"""
+           split_part(p_type || '::x', '::', 1) AS kind, CASE p_partkey % 4 WHEN 0 THEN 'a,c' WHEN 1 THEN 'b' WHEN 2 THEN 'a,b,c' ELSE '' END AS flagged FROM part"""
 )
 def small_scalars(spark, sf):
-    k = F.col("p_partkey") % 3
-    flags = F.array(F.when(k == 0, 1).otherwise(0), F.when(k == 1, 1).otherwise(0), F.when(k == 0, 1).otherwise(0))
+    scores = F.array(*(F.array(*map(F.lit, x)) for x in ((0.7, 0.0, 2.0), (-1.0, 1e-9, -0.5), (1.0, 1.0, 1.0), (0.0, -2.0, 0.0))))
+    flags = F.element_at(scores, (F.col("p_partkey") % 4 + 1).cast("int"))
     return table(spark, sf, "part").select("p_partkey", S.truncated("p_name", 10).alias("short"), S.quality_bucket("p_size").alias("bucket"), S.model_type(F.concat("p_type", F.lit("::x"))).alias("kind"), S.flagged_names(flags, F.array(*map(F.lit, "abc"))).alias("flagged"))
 
 
-@query("SELECT o_orderkey, CAST(strftime(o_orderdate, '%b %y') AS VARCHAR) AS short, CAST(day(last_day(o_orderdate)) AS INTEGER) AS days FROM orders")
-def dates(spark, sf):
-    return table(spark, sf, "orders").select("o_orderkey", S.short_date(S.month_of("o_orderdate")).alias("short"), S.days_in_month(F.date_format("o_orderdate", "yyyy-MM")).alias("days"))
+# -- order, lists and curation ----------------------------------------------------------------------------
+@query("SELECT epoch_ms(o_orderdate) // 1000 AS ts, o_orderkey AS commit_id FROM orders ORDER BY 1, 2")
+def commits_by_time(spark, sf):
+    return A.by_time(commits(spark, sf).select(F.unix_timestamp(F.col("at").cast("timestamp")).alias("ts"), "commit_id"))
 
 
-@query("SELECT DISTINCT doc_id FROM (SELECT doc_id FROM documents WHERE lang = 'en' UNION SELECT doc_id FROM labels)")
-def union_distinct(spark, sf):
-    return table(spark, sf, "documents").filter("lang = 'en'").select("doc_id").union(table(spark, sf, "labels").select("doc_id")).distinct()
+@query(_FILES + " SELECT qtr, repo, lines FROM f ORDER BY qtr DESC, repo")
+def quarters_descending(spark, sf):
+    return R.quarters_descending(R.repo_quarters(_files(spark, sf)), "repo").select("qtr", "repo", "lines")
 
 
-@query("SELECT DISTINCT o_orderpriority AS skill FROM orders EXCEPT SELECT o_orderpriority FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity > 49 AND l_tax > 0.07 AND o_orderstatus = 'P'")
-def skill_difference(spark, sf):
-    c = changes(spark, sf).filter("added > 49 and l_tax > 0.07 and repo = 'P'").select(F.col("o_orderpriority").alias("skill"))
-    return commits(spark, sf).select(F.col("o_orderpriority").alias("skill")).subtract(c)
+def _snippets(spark, sf):
+    """Line items of 30 or more lines as snippets of their commits."""
+    c = changes(spark, sf).filter("added >= 30")
+    return c.select("repo", "author", "ext", "ym", F.unix_timestamp(F.col("at").cast("timestamp")).alias("ts"), "commit_id", F.col("file").cast("string").alias("path"), F.col("deleted").alias("run_id"), F.concat(F.lit("s"), F.col("part").cast("string")).alias("snippet"), F.col("added").alias("n_lines"))
 
 
-@query()
+_SNIPPETS = """
+    WITH s AS (SELECT o_orderstatus AS repo, o_custkey AS author, l_returnflag AS ext, CAST(year(o_orderdate) * 100 + month(o_orderdate) AS INTEGER) AS ym, epoch_ms(o_orderdate) // 1000 AS ts,
+        o_orderkey AS commit_id, CAST(l_suppkey AS VARCHAR) AS path, CAST(l_linenumber AS BIGINT) AS run_id, 's' || CAST(l_partkey AS VARCHAR) AS snippet, CAST(l_quantity AS BIGINT) AS n_lines
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 30)"""
+
+
+@query(_SNIPPETS + " SELECT repo, CAST(sum(n_lines) AS BIGINT) AS snippet_lines FROM s GROUP BY repo")
+def snippet_lines(spark, sf):
+    return SN.snippet_lines(_snippets(spark, sf))
+
+
+@query(_SNIPPETS + " SELECT repo, author, ext, ym, string_agg(snippet, ',' ORDER BY ts, commit_id, path, run_id, snippet) AS snippets FROM s GROUP BY ALL")
+def snippet_lists(spark, sf):
+    got = SN.snippet_lists(_snippets(spark, sf))
+    return got.withColumn("snippets", F.array_join(F.transform("snippets", lambda x: x["snippet"]), ","))
+
+
+@query(_SNIPPETS + " SELECT repo, author, ext, CASE WHEN n_lines >= 40 THEN 'added' ELSE 'deleted' END AS kind, ym, string_agg(snippet, ',' ORDER BY ts, commit_id, snippet) AS libs FROM s GROUP BY ALL")
+def library_lists(spark, sf):
+    rows = _snippets(spark, sf).withColumns({"kind": F.when(F.col("n_lines") >= 40, "added").otherwise("deleted"), "libs": F.col("snippet")})
+    return SN.library_lists(rows).withColumn("libs", F.array_join("libs", ","))
+
+
+@query(_SCORES + " SELECT repo, author, lang, model, skill, string_agg(CAST(ym AS VARCHAR), ',' ORDER BY ym) AS months FROM (SELECT DISTINCT repo, author, lang, model, skill, ym FROM st) GROUP BY ALL")
+def months_as_arrays(spark, sf):
+    return K.months_as_arrays(K.skill_months(_scores(spark, sf))).select("repo", "author", "lang", "model", "skill", F.array_join(F.transform("months", lambda x: x.cast("string")), ",").alias("months"))
+
+
+@query(_CHOICE_TOTALS + ", r AS (SELECT skill, lines FROM t WHERE skill NOT LIKE '%-R') SELECT skill, lines FROM r ORDER BY lines DESC, skill LIMIT 20")
+def top_skills(spark, sf):
+    totals = _choice_totals(spark, sf)
+    return R.top_skills(R.relevant_totals(totals, totals.filter("skill like '%-R'")))
+
+
+@query(_CHOICE_TOTALS + ", ch AS (SELECT skill, CASE WHEN lines > 0.4 * mean THEN 'Relevant' ELSE 'Not Relevant' END AS choice FROM t, m WHERE lines >= 0.2 * mean) SELECT skill FROM ch WHERE choice = 'Not Relevant' UNION SELECT skill FROM t, m WHERE NOT lines >= 0.2 * mean")
+def either_skill(spark, sf):
+    totals = _choice_totals(spark, sf)
+    return K.either(K.default_choices(totals).filter("choice = 'Not Relevant'"), K.weak_skills(totals))
+
+
+@query(_CHOICE_TOTALS + " SELECT skill FROM t EXCEPT SELECT skill FROM t, m WHERE lines >= 0.2 * mean")
+def missing_skill(spark, sf):
+    totals = _choice_totals(spark, sf)
+    return K.missing(totals, K.default_choices(totals))
+
+
+@query(_CHOICE_TOTALS + ", s AS (SELECT DISTINCT skill, 'Top Secret' AS choice FROM t WHERE skill LIKE '%-A' UNION ALL SELECT 'gone', 'Relevant') SELECT s.skill, CASE WHEN t.lines >= 0.2 * mean THEN t.lines END AS lines, s.choice FROM s LEFT JOIN t USING (skill), m")
+def saved_choices(spark, sf):
+    totals = _choice_totals(spark, sf)
+    saved = totals.filter("skill like '%-A'").select("skill").distinct().withColumn("choice", F.lit("Top Secret")).union(spark.createDataFrame([("gone", "Relevant")], "skill string, choice string"))
+    return K.default_choices(totals, saved=saved)
+
+
+@query(
+    _FLAGS.replace("SELECT '5-LOW' AS skill", "SELECT '5-LOW' AS skill UNION ALL SELECT '1-URGENT'").replace("max_score <= 0.05", "max_score <= 0")
+    + """, x AS (SELECT repo, author, skill, sum(CASE WHEN weak THEN code_lines ELSE 0 END) AS less, bool_or(NOT gone AND kind = 'c2s') AS good, bool_or(manual) AS cur FROM g GROUP BY ALL)
+    SELECT 'total' AS what, tot.author, tot.skill, CAST(greatest(0, code_lines - coalesce(less, 0)) AS BIGINT) AS lines FROM tot LEFT JOIN x USING (repo, author, skill) WHERE good IS NULL OR (good AND NOT cur)
+    UNION ALL SELECT 'hidden', NULL, '2-HIGH', NULL"""
+)
+def apply_choices(spark, sf):
+    s = _scores(spark, sf)
+    choices = spark.createDataFrame([("5-LOW", "Top Secret"), ("2-HIGH", "Not Relevant"), ("3-MEDIUM", "Relevant")], "skill string, choice string")
+    weak = spark.createDataFrame([("1-URGENT",)], "skill string")
+    _, totals, hidden = K.apply_choices(K.skill_months(s), K.skill_totals(s), choices, weak)
+    out = totals.select(F.lit("total").alias("what"), "author", "skill", F.col("code_lines").alias("lines"))
+    return out.unionByName(hidden.select(F.lit("hidden").alias("what"), F.lit(None).cast("bigint").alias("author"), "skill", F.lit(None).cast("bigint").alias("lines")))
+
+
+@query(
+    f"""WITH {_CHANGES}, o AS (SELECT *, CAST(ym // 100 AS VARCHAR) || 'Q' || CAST(((ym % 100 - 1) // 3 + 1) AS VARCHAR) AS qtr FROM c WHERE author % 10 = 1)
+    SELECT repo, 'file' AS kind, qtr, CAST(file AS VARCHAR) AS name, CAST(sum(added) AS BIGINT) AS lines FROM o GROUP BY repo, qtr, file
+    UNION ALL SELECT repo, 'big_commit', NULL, CAST(commit_id AS VARCHAR), CAST(sum(added) AS BIGINT) FROM o GROUP BY repo, commit_id HAVING sum(added) > 100"""
+)
+def report_facts(spark, sf):
+    """The report of one person: customers whose numbers end alike stand for one."""
+    rows = changes(spark, sf).withColumns({"path": F.col("file").cast("string"), "author": F.concat((F.col("author") % 10).cast("string"), F.lit("@x"))})
+    return R.report_facts(rows, " 1@X")
+
+
+# -- diffs and text ---------------------------------------------------------------------------------------
+@query("""
+    WITH f AS (SELECT p_partkey, unnest([1, 2]) AS file_no FROM part)
+    SELECT p_partkey, CAST(file_no AS INTEGER) AS file_no, CASE file_no WHEN 1 THEN 'a b/' || p_partkey || '.py' ELSE 'new' || p_partkey || '.go' END AS path,
+           CASE file_no WHEN 1 THEN '@@ -1 +1 @@' || chr(10) || '+diff --git a/x b/x ' || p_partkey || chr(10) ELSE '@@ -0,0 +1 @@' || chr(10) || '+' || p_partkey || chr(10) END AS body
+    FROM f""")
+def file_diffs(spark, sf):
+    k = F.col("p_partkey").cast("string")
+    show = F.concat(
+        F.lit("\ndiff --git S1/a b/"), k, F.lit(".py D2/a b/"), k, F.lit(".py\nindex 1..2 100644\n--- S1/a b/x\n+++ D2/a b/x\n@@ -1 +1 @@\n+diff --git a/x b/x "), k, F.lit("\n"),
+        F.lit("diff --git S1/old.go D2/new"), k, F.lit(".go\nold mode 1\nnew mode 2\nindex 1..2\n--- S1/n\n+++ D2/n\n@@ -0,0 +1 @@\n+"), k, F.lit("\n"),
+    )
+    return SN.file_diffs(table(spark, sf, "part").select("p_partkey", show.alias("show")), "S1", "D2").select("p_partkey", "file_no", "path", "body")
+
+
+@query("""
+    WITH d AS (SELECT p_partkey, p_size, repeat(replace(p_name, ' ', ''), p_partkey % 7) AS a, replace(p_type, ' ', '') AS b, 9990 + p_partkey % 21 AS n FROM part)
+    SELECT p_partkey, CASE WHEN n > 10000 THEN '2big' WHEN p_size < 20 THEN 'small' WHEN levenshtein(a, b) < 50 THEN 'reformat' ELSE 'analysed' END AS verdict FROM d""")
+def verdicts(spark, sf):
+    k = F.col("p_partkey")
+    body = F.concat(F.lit("@@ -1 +1 @@\n+"), F.call_function("repeat", F.col("p_name"), (k % 7).cast("int")), F.lit("\n same\n- "), F.col("p_type"))
+    segment = F.call_function("repeat", F.lit("x"), (9990 + k % 21).cast("int"))
+    return table(spark, sf, "part").select("p_partkey", SN.verdict(F.col("p_size"), segment, body).alias("verdict"))
+
+
+@query("""
+    WITH RECURSIVE d AS (SELECT doc_id, string_split(text, chr(10)) AS ls, text FROM documents WHERE text IS NOT NULL),
+    g AS (SELECT doc_id, ls, 1 AS i, '' AS held, CAST(NULL AS VARCHAR) AS given FROM d WHERE length(text) > 1500
+          UNION ALL
+          SELECT doc_id, ls, i + 1,
+                 CASE WHEN i > len(ls) THEN '' WHEN length(ls[i]) > 1500 THEN held WHEN length(held) + length(ls[i]) > 1500 THEN ls[i] || chr(10) ELSE held || ls[i] || chr(10) END,
+                 CASE WHEN length(held) > 100 AND (i > len(ls) OR (length(ls[i]) <= 1500 AND length(held) + length(ls[i]) > 1500)) THEN held END
+          FROM g WHERE i <= len(ls) + 1),
+    c AS (SELECT doc_id, i, regexp_replace(given, '^\\s+|\\s+$', '', 'g') AS chunk FROM g WHERE given IS NOT NULL UNION ALL SELECT doc_id, 0, text FROM d WHERE length(text) <= 1500)
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS chunk_no, chunk FROM c""")
+def chunks(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return docs.select("doc_id", F.posexplode(TX.chunks_udf("text", F.lit("\n"), F.lit(1500), F.lit(100))).alias("chunk_no", "chunk"))
+
+
+_MASKED = """
+    WITH RECURSIVE n AS (SELECT c_custkey, c_name, length(c_name) AS n, sha256(c_name) AS h FROM customer),
+    m AS (SELECT c_custkey, c_name, n, h, 0 AS i, range(3, n - 1) AS hidden FROM n
+          UNION ALL
+          SELECT c_custkey, c_name, n, h, i + 1, list_concat(hidden[:k], hidden[k + 2:])
+          FROM (SELECT *, CAST('0x' || substr(h, 2 * i + 1, 2) AS INTEGER) % len(hidden) AS k FROM m) WHERE i < greatest(0, CAST(ceil(n * 0.5) AS INTEGER) - 4)),
+    x AS (SELECT c_custkey, c_name, list_transform(range(1, n + 1), lambda j: CASE WHEN list_contains(hidden, j) THEN '*' ELSE c_name[j] END) AS l FROM m WHERE i = greatest(0, CAST(ceil(n * 0.5) AS INTEGER) - 4)),
+    masked AS (SELECT c_custkey, c_name, array_to_string(l, '') AS masked FROM x)"""
+
+
+@query(_MASKED + " SELECT c_custkey, masked FROM masked")
 def anonymized_names(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", TX.mask_udf("c_name").alias("masked"))
 
 
-@query()
-def documentation_of_texts(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", TX.documentation_lines_udf(F.concat(F.lit('"""'), "text", F.lit('\n"""\nx = 1')), F.lit("py")).alias("n"))
+@query(
+    _MASKED
+    + """
+    SELECT c_custkey, masked AS repo, sha256(CASE WHEN c_custkey % 3 = 0 THEN 'git@h:' || c_name || '.git' ELSE c_name END) AS repo_path,
+           CASE WHEN c_custkey % 3 = 0 THEN 'git@h:' || c_name || '.git' ELSE '/src/' || c_name END AS kept_path FROM masked"""
+)
+def anonymous_repositories(spark, sf):
+    """Repositories of which every third has a remote that holds its name, and every third one that doesn't."""
+    k = F.col("c_custkey") % 3
+    c = table(spark, sf, "customer").select("c_custkey", F.col("c_name").alias("repo"), F.concat(F.lit("/src/"), "c_name").alias("repo_path"), F.when(k == 0, F.concat(F.lit("git@h:"), "c_name", F.lit(".git"))).when(k == 1, "git@h:other.git").alias("remote"))
+    kept = R.anonymous(c, True).select("c_custkey", F.col("repo_path").alias("kept_path"))
+    return R.anonymous(c, False).join(kept, "c_custkey").select("c_custkey", "repo", "repo_path", "kept_path")
 
 
-@query()
+@query("""
+    WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+    t AS (SELECT doc_id, array_to_string(list_prepend(regexp_replace(ls[1], '\\s+$', ''), list_transform(ls[2:], lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g'))), chr(10)) AS t FROM d),
+    u AS (SELECT doc_id, t, unnest(string_split(replace(replace(t, chr(9), ' '), chr(13), ' '), chr(10))) AS x FROM t)
+    SELECT doc_id, CAST(count(*) FILTER (NOT regexp_matches(t, 'license|License|LICENSE') AND length(t) - length(replace(t, ' ', '')) >= 5 * (length(t) - length(replace(t, chr(10), '')))
+           AND NOT (starts_with(x, 'http') OR starts_with(x, 'www') OR contains(x, 'author ') OR contains(x, 'param '))) AS INTEGER) AS n
+    FROM u GROUP BY doc_id""")
+def documentation_of_texts(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", TX.documentation_lines_udf(F.concat(F.lit('"""'), F.coalesce("text", F.lit("")), F.lit('\n"""\nx = 1')), F.lit("py")).alias("n"))
+
+
+def _values(rows) -> str:
+    """Rows as SQL values."""
+    quote = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return "VALUES " + ", ".join("(" + ", ".join(map(quote, r)) + ")" for r in rows)
+
+
+_LONG = ("a line of prose that goes on for a while and then some more " * 3).strip()
+#: Code, its language, and the documentation comments it has, joined by a bar.
+_DOCUMENTED = [
+    (1, "java", "/**\n * One.\n * Two.\n */\nint x;", "One.\n Two."),
+    (2, "js", "/* begin\n  more\n*/\nf()", "begin\nmore"),
+    (3, "c", "/* one line */\nint x;", ""),
+    (4, "go", f"// {_LONG}\n// {_LONG}\nx := 1", f"{_LONG}\n {_LONG}"),
+    (5, "go", "// short\nx := 1", ""),
+    (6, "cs", f"/*\n{_LONG}\n{_LONG}", f"{_LONG}\n{_LONG}"),
+    (7, "rs", "/* never closed", ""),
+    (8, "rb", "=begin\nSays a lot.\n=end\ndef x\nend", "Says a lot."),
+    (9, "rb", "# no block\ndef x\nend", ""),
+    (10, "lua", "--[[ first\nsecond ]]\nlocal x", "first\nsecond"),
+    (11, "lua", f"-- {_LONG}\n-- {_LONG}\nlocal x", f"{_LONG}\n {_LONG}"),
+    (12, "ex", '@moduledoc """\nWhat it does.\nAnd how.\n"""\ndef f, do: 1', "What it does.\nAnd how."),
+    (13, "exs", "@doc false\ndef f, do: 1", ""),
+    (14, "py", 'def f():\n    """Says.\n\n    More.\n    """\n    return 1', "Says.\n\nMore."),
+    (15, "py", '"""One line."""\nx = 1', ""),
+    (16, "py", "'''\nold marks\n'''", "\nold marks"),
+    (17, "py", 'a = 1\nthe end of a text"""', "\nthe end of a text"),
+    (18, "unknown", "/* a\nb */", ""),
+]
+
+
+@query("SELECT CAST(n AS INTEGER) AS n, docs FROM (" + _values([(n, d) for n, _, _, d in _DOCUMENTED]) + ") AS t(n, docs)")
+def documentation_comments(spark, sf):
+    cases = spark.createDataFrame([(n, e, c) for n, e, c, _ in _DOCUMENTED], "n int, ext string, code string")
+    return cases.select("n", F.array_join(TX.documentation_of("code", "ext"), "|").alias("docs"))
+
+
+#: Code, its language, and the libraries it imports.
+_IMPORTING = [
+    (1, "java", "import java.util.List;\nimport static x.Y;\nimport a.b.*;\n// import no.no;", "java.util.List,a.b.*"),
+    (2, "js", "import React from 'react';\nimport x from \"y\";\nconst z = 1", "react"),
+    (3, "tsx", "import a from 'b-c'; import d from 'e';", "b-c,e"),
+    (4, "c", '#include <stdio.h>\n#include "own/x.h"', "stdio.h,own/x.h"),
+    (5, "h", "  #include <a.h>", "a.h"),
+    (6, "cs", "using System.IO;\nusing (var x = 1) {}", "System.IO"),
+    (7, "php", "require_once 'a.php';\ninclude(\"b.php\");\ninclude \"c.php\";", "a.php,c.php"),
+    (8, "rb", "require 'json'\nrequire_relative 'x'", "json"),
+    (9, "lua", "local x = require \"socket\"\nrequire('no')", "socket"),
+    (10, "rs", "use std::io;\nuse a::{b, c};", "std::io"),
+    (11, "swift", "import Foundation\n  import No", "Foundation"),
+    (12, "dart", "import dart.io;\nimport 'package:x/x.dart';", "dart.io"),
+    (13, "ex", "import a from 'b';\nalias X.Y", "b"),
+    (14, "py", "import os, sys as system\nfrom a.b import c\nx = 1", "a.b.c,os,sys"),
+    (15, "go", 'import (\n"fmt"\n"net/http"\n)', "fmt,net/http"),
+    (16, "scala", "import scala.io.Source", "scala.io.Source"),
+    (17, "kt", "import kotlin.math.max\nval x = 1", "kotlin.math.max"),
+    (18, "md", "import x", ""),
+]
+
+
+@query("SELECT CAST(n AS INTEGER) AS n, libs FROM (" + _values([(n, x) for n, _, _, x in _IMPORTING]) + ") AS t(n, libs)")
+def import_statements(spark, sf):
+    cases = spark.createDataFrame([(n, e, c) for n, e, c, _ in _IMPORTING], "n int, ext string, code string")
+    return cases.select("n", F.array_join(TX.imports_of(F.col("code"), F.col("ext"), compat=True), ",").alias("libs"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'os,pkg.a,pkg.b' WHEN 1 THEN 'fmt,' || p_brand ELSE 'x.' || replace(p_brand, '#', '') END AS libs FROM part")
 def imports_of_code(spark, sf):
-    p = table(spark, sf, "part")
-    code = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("from pkg import (\n  a,\n  "), F.replace("p_brand", F.lit("#"), F.lit("")), F.lit(")\nimport os"))).otherwise(F.concat(F.lit('import (\n"fmt"\n"'), "p_brand", F.lit('"\n)')))
-    return p.select("p_partkey", TX.imports_udf(code, F.when(F.col("p_partkey") % 2 == 0, "py").otherwise("go")).alias("libs"))
+    k, p = F.col("p_partkey") % 3, table(spark, sf, "part")
+    code = (
+        F.when(k == 0, F.lit("from pkg import (\n  a,\n  b\n)\nimport os"))
+        .when(k == 1, F.concat(F.lit('import (\n"fmt"\n"'), "p_brand", F.lit('"\n)')))
+        .otherwise(F.concat(F.lit("package y;\nimport x."), F.replace("p_brand", F.lit("#"), F.lit("")), F.lit(";")))
+    )
+    ext = F.when(k == 0, "py").when(k == 1, "go").otherwise("java")
+    return p.select("p_partkey", F.array_join(TX.imports_of(code, ext), ",").alias("libs"))
+
+
+_FILES_OF_EXPERTS = [("a/x.py", "python"), ("x.tsx", "javascript"), ("x.JS", "others"), ("b.cs", "java_or_csharp"), ("c.go", "go"), ("d.rs", "others"), ("Makefile", "others"), (".py", "others")]
+
+
+@query("SELECT * FROM (" + _values(_FILES_OF_EXPERTS) + ") AS t(path, expert)")
+def experts(spark, sf):
+    return spark.createDataFrame([(p,) for p, _ in _FILES_OF_EXPERTS], "path string").select("path", S.expert("path").alias("expert"))
+
+
+@query("SELECT o_orderkey, CAST(strftime(o_orderdate, '%b') || chr(10) || strftime(o_orderdate, '%Y') AS VARCHAR) AS short, CAST(day(last_day(o_orderdate)) AS INTEGER) AS days FROM orders")
+def dates(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", S.short_date(S.month_of("o_orderdate")).alias("short"), S.days_in_month(F.date_format("o_orderdate", "yyyy-MM")).alias("days"))
+
+
+@query("""
+    WITH p AS (SELECT 'r' AS repo, 'q' AS qtr, CAST(length(html) AS BIGINT) AS lines, list_filter(string_split(regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', ''), '/'), lambda x: x <> '' AND x <> '.')[: 1 + page_id % 4] AS a FROM pages),
+    l AS (SELECT repo, qtr, lines, 1 AS depth, a[1] AS p FROM p WHERE len(a) >= 1 UNION ALL SELECT repo, qtr, lines, 2, a[1] || '/' || a[2] FROM p WHERE len(a) >= 2),
+    t AS (SELECT repo, qtr, depth, CASE WHEN length(p) > 27 THEN left(p, 27) || '...' ELSE p END AS prefix, CAST(sum(lines) AS BIGINT) AS lines FROM l GROUP BY ALL),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY repo, qtr, depth ORDER BY lines DESC, prefix) AS INTEGER) AS rank FROM t)
+    SELECT depth, prefix, lines, rank FROM r WHERE rank <= 3 AND lines > 50""")
+def path_prefix_topk(spark, sf):
+    """Paths of pages, of one to four names each."""
+    parts = F.filter(F.split(F.regexp_replace(F.regexp_replace("url", "^https?://", ""), "[?#].*$", ""), "/"), lambda x: (x != "") & (x != "."))
+    path = F.array_join(F.slice(parts, F.lit(1), (1 + F.col("page_id") % 4).cast("int")), "/")
+    files = table(spark, sf, "pages").select(F.lit("r").alias("repo"), F.lit("q").alias("qtr"), F.length("html").cast("bigint").alias("lines"), path.alias("path"))
+    return R.top_prefixes(R.path_prefixes(files)).select("depth", "prefix", "lines", "rank")
+
+
+_PATHS = [("README.md", 100), ("src/a.py", 80), ("src/lib/b.py", 70), ("./src/c.py", 60), ("docs/x/y/z.md", 55), ("a_very_long_name_of_a_folder_indeed/x.py", 90), ("tiny.txt", 5)]
+_PREFIXES = [
+    (1, "README.md", 100), (1, "src", 210), (1, "docs", 55), (1, "a_very_long_name_of_a_folde...", 90), (1, "tiny.txt", 5),
+    (2, "src/a.py", 80), (2, "src/lib", 70), (2, "src/c.py", 60), (2, "docs/x", 55), (2, "a_very_long_name_of_a_folde...", 90),
+]
+
+
+@query("SELECT CAST(depth AS INTEGER) AS depth, prefix, CAST(lines AS BIGINT) AS lines FROM (" + _values(_PREFIXES) + ") AS t(depth, prefix, lines)")
+def path_prefixes(spark, sf):
+    files = spark.createDataFrame(_PATHS, "path string, lines bigint").withColumns({"repo": F.lit("r"), "qtr": F.lit("q")})
+    return R.path_prefixes(files).select("depth", "prefix", "lines")

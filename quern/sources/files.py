@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import gzip
 import hashlib
 import os
@@ -69,9 +70,17 @@ def code_file(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("path", F.coalesce(F.split(text, "\n"), F.array().cast("array<string>")).alias("lines"))
 
 
-def profiles(spark: SparkSession, path: str) -> DataFrame:
-    """Profile records of a run, also of an unfinished one; library files are skipped."""
-    return spark.read.schema(PROFILE).json(path, pathGlobFilter="[!_]*.json*").filter(~F.input_file_name().contains("_libs.json"))
+def profiles(spark: SparkSession, path: str, allow: DataFrame | None = None) -> DataFrame:
+    """Profile records of a run, also of an unfinished one, of allowed users only; library files are skipped."""
+    from quern.operators.activity import allowed
+
+    rows = spark.read.schema(PROFILE).json(path, pathGlobFilter="[!_]*.json*").filter(~F.input_file_name().contains("_libs.json"))
+    return allowed(rows, allow)
+
+
+def libraries(spark: SparkSession, path: str) -> DataFrame:
+    """repo_path, repo, file, imports of the records that :func:`write_libraries` writes."""
+    return spark.read.schema("repo_path string, repo string, file string, imports array<string>").json(path)
 
 
 def document(spark: SparkSession, path: str) -> DataFrame:
@@ -89,16 +98,54 @@ def write_profiles(df: DataFrame, path: str) -> None:
     df.withColumn("part", F.col("repo")).write.mode("overwrite").partitionBy("part").json(path)
 
 
+def write_libraries(df: DataFrame, path: str) -> None:
+    """JSON lines of repo_path, repo, file, imports: one record for each file of code."""
+    df.select("repo_path", "repo", "file", "imports").write.mode("overwrite").json(path)
+
+
 def merged(profiles_: DataFrame, label: DataFrame, timestamp: int, team: str | None = None) -> DataFrame:
-    """One JSON document of all profiles. Its size is that of the result people get, not of the input."""
-    one = profiles_.agg(F.array_sort(F.collect_list(F.to_json(F.struct(*profiles_.columns)))).alias("p")).crossJoin(label)
+    """The lines of one JSON document of all profiles, a profile a line, as ``value`` in the order of ``no``.
+
+    The profiles stream through the one task that writes the document; they are never gathered in a row.
+    """
     extra = [F.lit(team).alias("team")] if team else []
     head = F.to_json(F.struct(F.col("label").alias("user"), F.lit(timestamp).alias("timestamp"), *extra))
-    return one.select(F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(',"profiles":['), F.array_join("p", ","), F.lit("]}")).alias("value"))
+    first = label.select(F.lit(0).cast("bigint").alias("no"), F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(',"profiles":[')).alias("value"))
+    rows = profiles_.select(F.to_json(F.struct(*profiles_.columns)).alias("p")).select(F.row_number().over(Window.orderBy("p")).cast("bigint").alias("no"), "p")
+    rows = rows.select("no", F.concat(F.when(F.col("no") > 1, ",").otherwise(""), "p").alias("value"))
+    last = label.select(F.lit(2**62).alias("no"), F.lit("]}").alias("value"))
+    return first.union(rows).union(last)
+
+
+def merged_name(stem: str, day: str | None = None) -> str:
+    """Name of a compressed merged document: the stem, the day (today by default) and ``.gz``."""
+    return f"{stem}_{day or datetime.datetime.now(datetime.UTC).date().isoformat()}.gz"
 
 
 def write_document(df: DataFrame, path: str, compress: bool = False) -> None:
-    df.coalesce(1).write.mode("overwrite").option("compression", "gzip" if compress else "none").text(path)
+    """Writes ``value``, in the order of ``no`` if there is one, as one text file."""
+    rows = df.repartition(1).sortWithinPartitions("no") if "no" in df.columns else df.coalesce(1)
+    rows.select("value").write.mode("overwrite").option("compression", "gzip" if compress else "none").text(path)
+
+
+def report_document(facts: DataFrame) -> DataFrame:
+    """The rows of :func:`quern.operators.report.report_facts` as one JSON object by repository: files by quarter, and big commits."""
+    files = facts.filter("kind = 'file'").groupBy("repo", "qtr").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "lines")))).alias("m"))
+    files = files.groupBy("repo").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("qtr", F.to_json("m").alias("m"))))).alias("q"))
+    quoted = lambda s: F.to_json(F.struct(s.alias("s")))
+    name = lambda s: F.substring(quoted(s), 6, 2**30)
+    entry = lambda k, v: F.concat(F.regexp_replace(name(k), r"\}$", ""), F.lit(":"), v)
+    files = files.select("repo", F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries("q"), lambda x: entry(x["key"], x["value"])), ","), F.lit("}")).alias("files"))
+    big = facts.filter("kind = 'big_commit'").groupBy("repo").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "lines"))))).alias("big"))
+    both = files.join(big, "repo", "full_outer").select("repo", F.concat(F.lit('{"big_commits":'), F.coalesce("big", F.lit("{}")), F.lit(',"files":'), F.coalesce("files", F.lit("{}")), F.lit("}")).alias("v"))
+    out = both.agg(F.array_sort(F.collect_list(F.struct("repo", "v"))).alias("r"))
+    return out.select(F.concat(F.lit("{"), F.array_join(F.transform("r", lambda x: entry(x["repo"], x["v"])), ","), F.lit("}")).alias("value"))
+
+
+def edited(profiles_: DataFrame, not_relevant: DataFrame, timestamp: int) -> DataFrame:
+    """Profiles as they are after curation: each with the list of skills to keep out of reports, and the time of the edit."""
+    names = not_relevant.select("skill").distinct().agg(F.array_sort(F.collect_list("skill")).alias("nr_skills"))
+    return profiles_.drop("nr_skills").crossJoin(names).withColumn("timestamp", F.lit(timestamp).cast("bigint"))  # one row
 
 
 def pretty(df: DataFrame) -> DataFrame:
@@ -128,13 +175,13 @@ def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
 
 
-def signed_name(path: str, email: str, stem: str = "mt_stats") -> str:
-    """Name of the signed copy: the hash of the file's hash and of the key that stands for the e-mail."""
+def signed_name(path: str, email: str, stem: str = "mt_stats", day: str | None = None) -> str:
+    """Name of the signed copy: the day (``2024-03-05``; today by default), and the hash of the file's hash and of the key that stands for the e-mail."""
     key = hashlib.sha256(email.encode()).hexdigest()
-    return f"{stem}_{hashlib.sha256((file_hash(path) + key).encode()).hexdigest()}.json.gz"
+    return f"{stem}_{day or datetime.date.today().isoformat()}_{hashlib.sha256((file_hash(path) + key).encode()).hexdigest()}.json.gz"
 
 
-def sign(path: str, email: str, folder: str) -> str:
-    to = os.path.join(folder, signed_name(path, email))
+def sign(path: str, email: str, folder: str, day: str | None = None) -> str:
+    to = os.path.join(folder, signed_name(path, email, day=day))
     compress_file(path, to)
     return to

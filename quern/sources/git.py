@@ -1,6 +1,7 @@
 """Git repositories as tables. Each repository is one work item; git runs on the executors, never through a shell.
 
-The executors must see the repositories' paths. A failed call gives no rows but one with ``error`` set.
+The executors must see the repositories' paths. A failed call gives one row with ``error`` set and, of what it was
+asked for, only the keys; every source has that column, so a run that missed something can tell.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import subprocess
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -40,10 +41,14 @@ def repositories(spark: SparkSession, root: str | None = None, list_file: str |
     return out.withColumn("repo", S.repo_name("repo_path"))
 
 
-def git(repo: str, *args: str, timeout: int = 600) -> tuple[str, str | None]:
+#: Commits that one git process is asked for.
+COMMITS_AT_ONCE = 500
+
+
+def git(repo: str, *args: str, stdin: str = "", timeout: int = 600) -> tuple[str, str | None]:
     """Output and error of one git call; arguments are passed as they are."""
     try:
-        done = subprocess.run(["git", "-c", "core.quotepath=off", "-c", "safe.directory=*", "-C", repo, *args], capture_output=True, timeout=timeout, check=False)
+        done = subprocess.run(["git", "-c", "core.quotepath=off", "-c", "safe.directory=*", "-C", repo, *args], input=stdin.encode(), capture_output=True, timeout=timeout, check=False)
     except (OSError, subprocess.TimeoutExpired) as e:
         return "", str(e)
     out = done.stdout.decode("utf-8", "replace")
@@ -90,30 +95,50 @@ def log(repos: DataFrame, months: int | None = None, authors: Iterable[str] = ()
 
 
 def numstat(commits: DataFrame) -> DataFrame:
-    """repo_path, repo, commit_id, added, deleted, path: the changed files of each commit as git prints them, deleted files left out.
+    """repo_path, repo, commit_id, added, deleted, path, error: the changed files of each commit as git prints them, deleted files left out.
 
-    A merge is shown against its first parent, so it counts what it merges.
+    A merge is shown against its first parent, so it counts what it merges. Commits of a repository go to git some
+    hundred at a time; where such a call fails, each commit is asked for alone, so one that git can't show is the only
+    one missed.
     """
+    args = ("--numstat", "--diff-filter=d", "--first-parent", "--format=%x01%H")
+    size = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("repo_path", "repo")) / COMMITS_AT_ONCE)
+    dealt = commits.select("repo_path", "repo", "commit_id").distinct().withColumn("_g", F.pmod(F.xxhash64("commit_id"), size))
+    dealt = dealt.groupBy("repo_path", "repo", "_g").agg(F.array_sort(F.collect_list("commit_id")).alias("commits"))
 
-    def read(r):
-        out, _ = git(r.repo_path, "show", "--numstat", "--diff-filter=d", "--first-parent", "--format=", r.commit_id)
+    def rows(r, out):
+        commit = None
         for line in out.split("\n"):
             part = line.split("\t")
-            if len(part) == 3:
-                yield r.repo_path, r.repo, r.commit_id, *part
+            if line.startswith("\x01"):
+                commit = line[1:].strip()
+            elif len(part) == 3:
+                yield r.repo_path, r.repo, commit, *part, None
+
+    def read(r):
+        out, error = git(r.repo_path, "show", *args, "--stdin", stdin="\n".join(r.commits) + "\n")
+        if not error:
+            yield from rows(r, out)
+            return
+        for c in r.commits:
+            out, error = git(r.repo_path, "show", *args, c)
+            yield from rows(r, out) if not error else [(r.repo_path, r.repo, c, None, None, None, error)]
 
-    return _over(commits, "repo_path, repo, commit_id", read, "repo_path string, repo string, commit_id string, added string, deleted string, path string")
+    return _over(dealt, "repo_path, repo, commits", read, "repo_path string, repo string, commit_id string, added string, deleted string, path string, error string")
 
 
 def shows(files: DataFrame, src: str, dst: str) -> DataFrame:
-    """repo_path, repo, commit_id, show: the diff of each commit, only of the given paths, with the given prefixes."""
+    """repo_path, repo, commit_id, show, error: the diff of each commit, only of the given paths, with the given prefixes.
+
+    Every commit has paths of its own, so every commit is a call; the rows of one commit are read once.
+    """
     wanted = files.groupBy("repo_path", "repo", "commit_id").agg(F.array_sort(F.collect_set("path")).alias("paths"))
 
     def read(r):
-        out, _ = git(r.repo_path, "show", "--format=", f"--src-prefix={src}/", f"--dst-prefix={dst}/", r.commit_id, "--", *r.paths)
-        yield r.repo_path, r.repo, r.commit_id, out
+        out, error = git(r.repo_path, "show", "--format=", f"--src-prefix={src}/", f"--dst-prefix={dst}/", r.commit_id, "--", *r.paths)
+        yield r.repo_path, r.repo, r.commit_id, None if error else out, error
 
-    return _over(wanted, "repo_path, repo, commit_id, paths", read, "repo_path string, repo string, commit_id string, show string")
+    return _over(wanted, "repo_path, repo, commit_id, paths", read, "repo_path string, repo string, commit_id string, show string, error string")
 
 
 def prefixes() -> tuple[str, str]:
@@ -147,7 +172,7 @@ class GitLog(DataSource):
         return "git_log"
 
     def schema(self):
-        return "repo_path string, repo string, author string, ts bigint, commit_id string"
+        return "repo_path string, repo string, author string, ts bigint, commit_id string, error string"
 
     def reader(self, schema):
         return _LogReader(self.options)
@@ -162,7 +187,11 @@ class _LogReader(DataSourceReader):
         return [_Part(p) for p in self.paths]
 
     def read(self, partition):
-        for line in git(partition.path, *self.args)[0].split("\n"):
+        name = os.path.basename(partition.path.rstrip("/"))
+        out, error = git(partition.path, *self.args)
+        if error:
+            yield partition.path, name, None, None, None, error
+        for line in out.split("\n"):
             part = line.split("\x01")
             if len(part) == 3 and part[0].strip() and part[1].isdigit():
-                yield partition.path, os.path.basename(partition.path.rstrip("/")), part[0].strip().lower(), int(part[1]), part[2].strip()
+                yield partition.path, name, part[0].strip().lower(), int(part[1]), part[2].strip(), None

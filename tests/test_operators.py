@@ -187,7 +187,7 @@ def test_git_tables_and_the_whole_run(spark, repo, tmp_path):
     assert sorted((r.path, r.n_lines) for r in f.snippets.collect()) == [("new file.go", 31), ("src/a.py", 40)]
     vocabulary = ["sql", "web", "math", "io"]
     tags = {"c2s::m": SC.stub_loader(vocabulary), "life_of_py::m": SC.stub_loader(vocabulary)}
-    scores = P.scored(f.snippets, tags, dict.fromkeys(tags, vocabulary))
+    scores = P.scored(f, tags, dict.fromkeys(tags, vocabulary))
     assert scores.filter("model = 'life_of_py::m'").groupBy("path", "chunk_no").count().filter("count > 3").count() == 0
     out = P.profiles(f, scores, 1700000000)
     FS.write_profiles(out, str(tmp_path / "p"))
@@ -199,15 +199,60 @@ def test_git_tables_and_the_whole_run(spark, repo, tmp_path):
     assert doc["user"] == "dev@x.org" and doc["team"] == "team" and doc["profiles"][0]["repo"] == "one"
 
 
+def test_a_run_goes_on_from_its_folder(spark, repo, tmp_path, monkeypatch):
+    repos = G.repositories(spark, str(repo))
+    first = P.facts(repos, folder=str(tmp_path / "run"))
+    want = rows(first.activity), sorted(r.path for r in first.snippets.collect())
+    assert {x.name for x in (tmp_path / "run").iterdir()} == {"log", "numstat", "shows"}
+    gone = repos.withColumn("repo_path", F.concat("repo_path", F.lit("-moved")))  # git would find nothing any more
+    again = P.facts(gone, folder=str(tmp_path / "run"))
+    assert (rows(again.activity), sorted(r.path for r in again.snippets.collect())) == want and again.errors.count() == 0
+
+
+def test_languages_of_few_months_are_not_scored(spark, repo):
+    f = P.facts(G.repositories(spark, str(repo)))
+    assert rows(P.active_languages(f)) == [("one", "dev@x.org", "go"), ("one", "dev@x.org", "py")]
+    two = Config(min_months=2)  # py has two months of activity, go one
+    assert rows(P.active_languages(f, two)) == [("one", "dev@x.org", "py")]
+    tags = {"c2s::m": SC.stub_loader(["a", "b"]), "i2s::m": SC.stub_loader(["a", "b"])}
+    libraries = spark.createDataFrame([("one", "src/a.py", "import os")], "repo string, path string, libs string")
+    scores = P.scored(f, tags, dict.fromkeys(tags, ["a", "b"]), config=two, libraries=libraries)
+    assert {r.lang for r in scores.select("lang").distinct().collect()} == {"py"}
+    libs = {(r.skill, round(r.sm_score, 9)) for r in scores.filter("model = 'i2s::m'").collect()}
+    score = SC.stub_loader(["a", "b"])()(["import os"])[0]
+    import math
+
+    total = sum(math.exp(x) for x in score)
+    assert libs == {(k, round(math.exp(x) / total, 9)) for k, x in zip("ab", score, strict=True)}
+    assert P.profiles(f, scores, 1, two).count() == 1 and P.profiles(f, scores, 1, Config(min_months=3)).count() == 0
+
+
 def test_git_source_and_errors(spark, repo, tmp_path):
     spark.dataSource.register(G.GitLog)
-    df = spark.read.format("git_log").option("paths", str(repo / "one")).load()
-    assert {(r.repo, r.author) for r in df.collect()} == {("one", "dev@x.org")} and df.count() == 2
+    df = spark.read.format("git_log").option("paths", f"{repo / 'one'},{tmp_path}").load()
+    assert {(r.repo, r.author) for r in df.filter("error is null").collect()} == {("one", "dev@x.org")} and df.filter("error is null").count() == 2
+    (bad_row,) = df.filter("error is not null").collect()
+    assert bad_row.repo_path == str(tmp_path) and bad_row.commit_id is None and "not a git repository" in bad_row.error
     bad = spark.createDataFrame([(str(tmp_path), "none")], "repo_path string, repo string")
-    assert G.log(bad).filter("error is not null").count() == 1 and P.facts(bad).activity.count() == 0
+    assert G.log(bad).filter("error is not null").count() == 1
+    f = P.facts(bad.union(G.repositories(spark, str(repo))))
+    assert {r.repo for r in f.activity.collect()} == {"one"} and [(r.repo, r.step) for r in f.errors.collect()] == [("none", "log")]
     assert G.with_remotes(bad).first()["remote"] is None
 
 
+def test_one_commit_that_git_cannot_show_is_the_only_one_missed(spark, repo):
+    path = str(repo / "one")
+    commits = spark.createDataFrame([(path, "one", c) for c in [*G.git(path, "log", "--format=%H")[0].split(), "0" * 40]], "repo_path string, repo string, commit_id string")
+    got = G.numstat(commits).collect()
+    assert sorted(r.path for r in got if r.error is None) == ["b.bin", "new file.go", "src/a.py", "src/a.py"]
+    (bad,) = [r for r in got if r.error]
+    assert bad.commit_id == "0" * 40 and bad.path is None
+    assert sorted(r.path for r in G.numstat(commits.filter("commit_id not like '000%'")).collect()) == ["b.bin", "new file.go", "src/a.py", "src/a.py"]
+    wanted = commits.withColumn("path", F.lit("src/a.py"))
+    shows = G.shows(wanted, "S", "D").collect()
+    assert sum(r.error is None for r in shows) == 2 and [r.commit_id for r in shows if r.error] == ["0" * 40]
+
+
 def test_small_files(spark, tmp_path):
     (tmp_path / "v.tsv").write_text("ci/cd\tCI/CD\nsql\n")
     assert rows(FS.vocabulary(spark, str(tmp_path / "v.tsv"))) == [("ci/cd", "CI/CD"), ("sql", "Sql")]
@@ -226,10 +271,65 @@ def test_small_files(spark, tmp_path):
     (tmp_path / "bad.py").write_bytes(b"\xff\xfe")
     assert FS.code_file(spark, str(tmp_path / "bad.py")).first()["lines"] == []
     assert FS.decompress(FS.compress(b"x")) == b"x"
-    assert FS.sign(str(tmp_path / "v.tsv"), "a@x", str(tmp_path)).endswith(".json.gz")
+    import hashlib
+
+    key = hashlib.sha256(b"a@x").hexdigest()
+    code = hashlib.sha256((hashlib.sha256((tmp_path / "v.tsv").read_bytes()).hexdigest() + key).encode()).hexdigest()
+    assert FS.sign(str(tmp_path / "v.tsv"), "a@x", str(tmp_path), "2024-03-05") == str(tmp_path / f"mt_stats_2024-03-05_{code}.json.gz")
+    assert FS.merged_name("mt_profile.json", "2024-03-05") == "mt_profile.json_2024-03-05.gz"
     assert FS.file_hashes(spark, str(tmp_path / "v.tsv")).first()["sha256"] == FS.file_hash(str(tmp_path / "v.tsv"))
 
 
+def test_documents_and_libraries(spark, tmp_path):
+    libs = spark.createDataFrame([("/r", "r", "a.py", ["os", "sys"])], "repo_path string, repo string, file string, imports array<string>")
+    FS.write_libraries(libs, str(tmp_path / "x_libs.jsonl"))
+    assert rows(FS.libraries(spark, str(tmp_path / "x_libs.jsonl"))) == [("/r", "r", "a.py", ["os", "sys"])]
+    facts = spark.createDataFrame([("r", "file", "2024Q1", 'a "b".py', 5), ("r", "file", "2024Q2", "c.py", 7), ("r", "big_commit", None, "f00", 900), ("s", "big_commit", None, "b0b", 101)], "repo string, kind string, qtr string, name string, lines bigint")
+    assert json.loads(FS.report_document(facts).first()["value"]) == {"r": {"big_commits": {"f00": 900}, "files": {"2024Q1": {'a "b".py': 5}, "2024Q2": {"c.py": 7}}}, "s": {"big_commits": {"b0b": 101}, "files": {}}}
+    assert FS.report_document(facts.limit(0)).first()["value"] == "{}"
+    profiles = spark.createDataFrame([("r", "a@x", 1), ("s", "a@x", 1)], "repo string, author string, timestamp bigint")
+    edited = FS.edited(profiles, spark.createDataFrame([("b",), ("a",)], "skill string"), 9).collect()
+    assert [(r.repo, r.timestamp, r.nr_skills) for r in sorted(edited)] == [("r", 9, ["a", "b"]), ("s", 9, ["a", "b"])]
+    doc = FS.merged(profiles, spark.createDataFrame([("l",)], "label string"), 3)
+    FS.write_document(doc, str(tmp_path / "d"))
+    text = "\n".join(x.value for x in spark.read.text(str(tmp_path / "d")).collect())
+    assert [p["repo"] for p in json.loads(text)["profiles"]] == ["r", "s"]
+    FS.write_document(FS.merged(profiles.limit(0), spark.createDataFrame([("l",)], "label string"), 3), str(tmp_path / "e"))
+    assert json.loads("\n".join(x.value for x in spark.read.text(str(tmp_path / "e")).collect())) == {"user": "l", "timestamp": 3, "profiles": []}
+
+
+def test_rankings_take_in_spellings_and_people_without_commits(spark):
+    c = spark.createDataFrame([("r", " B@x"), ("r", "b@x"), ("r", ""), ("s", "b@x "), ("s", "a@x")], "repo string, raw_author string")
+    assert [tuple(r) for r in A.author_ranking(c).collect()] == [("b@x", 3), ("a@x", 1)]
+    assert [tuple(r) for r in A.author_ranking(c, first="me@x").collect()] == [("me@x", 0), ("b@x", 3), ("a@x", 1)]
+    assert [r.author for r in A.author_ranking(c, first="a@x", most=1).collect()] == ["a@x"]
+
+
+def test_labels_of_no_users_and_models_of_a_file(spark, tmp_path):
+    none = spark.createDataFrame([], "author string")
+    assert R.user_label(none, team="crew").first()["label"] == "crew" and R.user_label(none).first()["label"] is None
+    (tmp_path / "c.ini").write_text("[run]\nversion = 2024.1\nskill_list = s.txt\n[c2s]\npath = a/b\nbeta.path = c\n[life_of_py]\npath = d\n")
+    c = from_ini(str(tmp_path / "c.ini"))
+    assert (c.version, c.skill_list, c.models) == ("2024.1", "s.txt", {"c2s": ["a/b", "c"], "life_of_py": ["d"]})
+
+
+def test_a_language_can_be_registered(spark):
+    from quern.functions import scalars as S
+    from quern.functions import text as TX
+
+    new = TX.Language("zig", "Zig", "}\n", "const ", r'@import\("([^"]+)"\)', TX.C_LIKE)
+    df = spark.createDataFrame([("x.zig", 'const std = @import("std");\n/* about\nit all in a few words of prose here\n*/')], "path string, code string")
+    before = [dict(d) for d in (S.LANGUAGES, S.SEPARATORS, S.IMPORT_PREFIXES, TX.IMPORTS, TX.COMMENTS)]
+    try:
+        TX.register(new)
+        r = df.select(S.language_name(S.file_extension("path")).alias("l"), S.separator(F.lit("zig")).alias("s"), TX.imports_of(F.col("code"), F.lit("zig")).alias("i"), TX.documentation_lines_udf("code", F.lit("zig")).alias("n")).first()
+        assert (r.l, r.s, r.i, r.n) == ("Zig", "}\n", ["std"], 2)
+    finally:
+        for d, old in zip((S.LANGUAGES, S.SEPARATORS, S.IMPORT_PREFIXES, TX.IMPORTS, TX.COMMENTS), before, strict=True):
+            d.clear()
+            d.update(old)
+
+
 def test_user_label_gathers_no_more_than_it_shows(spark):
     names = [f"u{i:05d}@d{i % 600:03d}.org" for i in range(3000)] + ["@a.org", "z@zz.org"]
     df = R.user_label(spark.createDataFrame([(x,) for x in names], "author string"))
