@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.config import Config
+from quern.functions import crypto as CR
 from quern.functions import scalars as S
 from quern.functions import text as TX
 from quern.operators import activity as A
@@ -624,6 +625,18 @@ def experts(spark, sf):
     return spark.createDataFrame([(p,) for p, _ in _FILES_OF_EXPERTS], "path string").select("path", S.expert("path").alias("expert"))
 
 
+#: What zeros become under a key of zeros, a published vector of the cipher.
+_ZEROS = "66E94BD4EF8A2C3B884CFA59CA342B2EF795BD4A52E29ED713D313FA20E98DBC"
+
+
+@query("SELECT CAST(n AS INTEGER) AS n, c, CAST(NULL AS VARCHAR) AS wrong FROM (" + _values([(n, _ZEROS[: 2 * n]) for n in (0, 5, 16, 31, 32)]) + ") AS t(n, c)")
+def cipher_feedback(spark, sf):
+    key = "00" * 16
+    df = spark.createDataFrame([(n,) for n in (0, 5, 16, 31, 32)], "n int").withColumn("data", F.unhex(F.call_function("repeat", F.lit("00"), F.col("n"))))
+    df = df.withColumn("c", CR.encrypt(F.col("data"), key))
+    return df.select("n", F.hex("c").alias("c"), F.when(CR.decrypt(F.col("c"), key) != F.col("data"), "wrong").alias("wrong"))
+
+
 @query("SELECT o_orderkey, CAST(strftime(o_orderdate, '%b') || chr(10) || strftime(o_orderdate, '%Y') AS VARCHAR) AS short, CAST(day(last_day(o_orderdate)) AS INTEGER) AS days FROM orders")
 def dates(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", S.short_date(S.month_of("o_orderdate")).alias("short"), S.days_in_month(F.date_format("o_orderdate", "yyyy-MM")).alias("days"))
