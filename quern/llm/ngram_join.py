@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.common import NULL_ID, Scratch, let_go, partitions
@@ -29,35 +29,68 @@ LIST = 256
 HELD = 100_000
 
 
-def overlaps(found: list[np.ndarray], columns: int = 2048) -> np.ndarray:
-    """Sizes of all pairwise intersections: the incidence matrix times its transpose.
+def linked(found: list[np.ndarray], percent: int, side: np.ndarray | None = None, columns: int = 2048, sparse: int = 16) -> tuple[np.ndarray, np.ndarray, int]:
+    """Pairs (i, j), i < j, of sets that link, by a blocked sparse product; and how many counters were ever open.
 
-    Columns of few documents add their pairs one by one, the others are multiplied as dense blocks.
+    The incidence matrix of sets by n-grams times its transpose, n-grams in blocks, the rarest first. Two sets of n and
+    m link if they share ``percent * (n + m) / (100 + percent)``. A pair whose sizes alone forbid that is never counted.
+    Along the way a pair is dropped once its count and what the smaller set has left are too few, and a set without
+    open pairs leaves the product. With ``side`` only pairs of different sides count.
     """
     m = len(found)
-    out = np.zeros((m, m), np.int32)
-    flat = out.reshape(-1)
-    doc = np.repeat(np.arange(m, dtype=np.int32), [len(s) for s in found])
+    n = np.array([len(s) for s in found], np.int64)
+    need = percent * (n[:, None] + n[None, :])
+    alive = np.triu((100 + percent) * np.minimum(n[:, None], n[None, :]) >= need, 1) & (n > 0)[:, None]
+    if side is not None:
+        alive &= side[:, None] != side[None, :]
+    doc = np.repeat(np.arange(m, dtype=np.int32), n)
     every = np.concatenate(found) if m else np.zeros(0, np.uint64)
     order = np.argsort(every, kind="stable")
     every, doc = every[order], doc[order]
     starts = np.flatnonzero(np.r_[True, every[1:] != every[:-1]]) if len(every) else np.zeros(0, int)
-    counts = np.diff(np.r_[starts, len(every)])
-    for df in range(2, min(24, m) + 1):
-        at = starts[counts == df]
-        if len(at):
-            docs = doc[at[:, None] + np.arange(df)].astype(np.int64)  # ascending in every row
-            for i in range(df):
-                for j in range(i + 1, df):
-                    np.add.at(flat, docs[:, i] * m + docs[:, j], 1)
-    at, df = starts[counts > 24], counts[counts > 24]
-    for c in range(0, len(at), columns):
-        a, d = at[c : c + columns], df[c : c + columns]
-        dense = np.zeros((m, len(a)), np.float32)
-        rows = np.repeat(a - np.r_[0, np.cumsum(d)[:-1]], d) + np.arange(int(d.sum()))
-        dense[doc[rows], np.repeat(np.arange(len(a)), d)] = 1
-        out += np.triu(dense @ dense.T, 1).astype(np.int32)
-    return out + out.T
+    df = np.diff(np.r_[starts, len(every)])
+    left, count = n.copy(), np.zeros((m, m), np.int32)
+    pi, pj = np.nonzero(alive)
+
+    def drop():
+        """Drops pairs that can no longer reach their bound."""
+        nonlocal pi, pj
+        good = (100 + percent) * (count[pi, pj].astype(np.int64) + np.minimum(left[pi], left[pj])) >= need[pi, pj]
+        alive[pi[~good], pj[~good]] = False
+        pi, pj = pi[good], pj[good]
+
+    left -= np.bincount(doc[starts[df == 1]], minlength=m)  # shared with nobody here
+    drop()
+    opened = len(pi)
+    for d in range(2, min(sparse, m) + 1):  # few sets have them: their pairs one by one
+        docs = doc[starts[df == d][:, None] + np.arange(d)]  # ascending in every row
+        for i in range(d):
+            for j in range(i + 1, d):
+                some = alive[docs[:, i], docs[:, j]]
+                np.add.at(count, (docs[some, i], docs[some, j]), 1)
+        left -= np.bincount(docs.ravel(), minlength=m)
+    drop()
+    at, d = starts[df > sparse], df[df > sparse]
+    by = np.argsort(d, kind="stable")
+    at, d = at[by], d[by]
+    for step, c in enumerate(range(0, len(at), columns), 1):
+        if not len(pi):
+            break
+        a, k = at[c : c + columns], d[c : c + columns]
+        entries = np.repeat(a - np.r_[0, np.cumsum(k)[:-1]], k) + np.arange(int(k.sum()))
+        who, column = doc[entries], np.repeat(np.arange(len(a)), k)
+        rows = np.unique(np.concatenate([pi, pj]))
+        place = np.full(m, -1)
+        place[rows] = np.arange(len(rows))
+        here = place[who] >= 0
+        dense = np.zeros((len(rows), len(a)), np.float32)
+        dense[place[who[here]], column[here]] = 1
+        count[np.ix_(rows, rows)] += (dense @ dense.T).astype(np.int32)
+        left -= np.bincount(who, minlength=m)
+        if step & (step - 1) == 0:  # after 1, 2, 4, ... blocks
+            drop()
+    good = (100 + percent) * count[pi, pj].astype(np.int64) >= need[pi, pj]
+    return pi[good], pj[good], opened
 
 
 def _packed(counts: np.ndarray) -> bytes:
@@ -188,6 +221,10 @@ def edges_of_runs(batches, percent: int, part: int):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*ends, strict=True), [pa.int64()] * 5 + [pa.int32()], strict=True)], fields)
 
 
+def _text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, sketch_bits: int = 24, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, n_links, component_id of every row; links where 100 * intersection >= percent * union.
 
@@ -201,36 +238,44 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, sketch_bits: int
        short run are candidates if the sums of their signatures' smaller counts leave a link possible; equal
        runs count once. All members of a long run are, by edges to its first, linked across the partitions'
        boundaries: a frequent shingle is dealt to many tasks and gives a row per entry, never its pairs. The
-       components of the candidates are groups.
-    4. Groups are multiplied in blocks: large ones are divided by size bands, of which only equal and
-       neighbouring ones can hold links, and by hash. A block returns link counts and a spanning forest.
+       components of the candidates are groups: they say which documents meet in a block, not which link.
+    4. Groups are multiplied in blocks (:func:`linked`): large ones are divided by size bands, of which only equal
+       and neighbouring ones can hold links, and by hash. A block returns link counts and a spanning forest.
 
-    Rows with equal ids are rows of their own. A null id counts as the smallest. An empty table gives no rows.
+    Rows with equal ids are rows of their own. A null id counts as the smallest. An empty table gives no rows. Columns
+    other than those named are never read, whatever their names.
     """
+    out = _joined(docs, k, percent, sketch_bits, doc_id, text)
+    component = F.when(F.col("lowest").isNull(), F.col("id")).when(F.col("lowest") != NULL_ID, F.col("lowest"))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"))
+
+
+def _joined(docs: DataFrame, k: int, percent: int, sketch_bits: int, doc_id: str, text: str) -> DataFrame:
+    """id, th, n, n_links, c, lowest of every row: th is the text's hash, c the group's own number and null without words."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngrams")
-    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"), _text_hash(F.col(text)).alias("th"))
     slots, shift = 1 << sketch_bits, np.uint64(64 - sketch_bits)
     width = min(slots, 1 << 16)
 
     def read(batches):
-        """Rows (id, n, node) of documents, then this task's counters in slices (number of the slice, null, null, counts)."""
+        """Rows (id, th, n, node, signature) of documents, then this task's counters in slices, whose numbers stand in the place of id."""
         let_go()
         counters, waiting = np.zeros(slots, np.int32), []
-        names = ["id", "n", "node", "counts", "signature"]
+        names = ["id", "th", "n", "node", "counts", "signature"]
         for b in batches:
             found = sets(b.column(1).to_pylist(), k)
             waiting += found
             if sum(map(len, waiting)) > 500_000:
                 np.add.at(counters, (np.concatenate(waiting) >> shift).astype(np.int64), 1)
                 waiting = []
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([set_hash(s) if len(s) else None for s in found], pa.int64()), pa.nulls(len(found), pa.binary()), pa.array([_signature(s) for s in found], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(s) for s in found], pa.int64()), pa.array([set_hash(s) if len(s) else None for s in found], pa.int64()), pa.nulls(len(found), pa.binary()), pa.array([_signature(s) for s in found], pa.binary())], names)
         if waiting:
             np.add.at(counters, (np.concatenate(waiting) >> shift).astype(np.int64), 1)
         for i in range(0, slots, 16 * width):
             some = [(j // width, _packed(counters[j : j + width])) for j in range(i, min(slots, i + 16 * width), width)]
             some = [x for x in some if x[1]]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in some], pa.int64()), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64()), pa.array([x[1] for x in some], pa.binary()), pa.nulls(len(some), pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in some], pa.int64()), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64()), pa.array([x[1] for x in some], pa.binary()), pa.nulls(len(some), pa.binary())], names)
 
     def add_up(batches):
         """Sums of each slice that this task has, one slice at a time in memory for each."""
@@ -240,8 +285,8 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, sketch_bits: int
                 _unpack(c, sums.setdefault(i, np.zeros(width, np.int64)))
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([int(x.sum()) for x in sums.values()], pa.int64()), pa.array([_levels(x).tobytes() for x in sums.values()], pa.binary())], ["id", "total", "level"])
 
-    both = scratch.keep(texts.mapInArrow(read, "id long, n long, node long, counts binary, signature binary"), "rows")
-    rows = both.filter("counts is null").select("id", "n", "node", "signature")
+    both = scratch.keep(texts.mapInArrow(read, "id long, th long, n long, node long, counts binary, signature binary"), "rows")
+    rows = both.filter("counts is null").select("id", "th", "n", "node", "signature")
     slices = both.filter("counts is not null").select("id", "counts").repartition(partitions(spark), "id").mapInArrow(add_up, "id long, total long, level binary")
     level = np.zeros(slots, np.uint8)  # of a fixed size, whatever the input
     for r in slices.select("id", "level").toLocalIterator():
@@ -269,7 +314,7 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, sketch_bits: int
             if hs:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(ns)), pa.array(np.concatenate(ids))], ["h", "n", "node"])
 
-    entries = scratch.keep(texts.mapInArrow(prefixes, "h long, n int, node long"), "prefixes")
+    entries = scratch.keep(texts.select("id", "text").mapInArrow(prefixes, "h long, n int, node long"), "prefixes")
 
     def runs(batches):
         return edges_of_runs(batches, percent, TaskContext.get().partitionId())
@@ -309,15 +354,15 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, sketch_bits: int
             yield solve()
 
     ordered = entries.repartitionByRange(partitions(spark), "h", "n", "node").sortWithinPartitions("h", "n", "node")
-    linked = scratch.keep(ordered.mapInArrow(runs, "part long, h long, n long, a long, b long, end int"), "runs")
+    paired = scratch.keep(ordered.mapInArrow(runs, "part long, h long, n long, a long, b long, end int"), "runs")
     scratch.drop("prefixes")
     before = Window.orderBy("part", "end")  # two rows for each partition
-    ends = linked.filter("end < 2").select("end", "h", "n", "a", F.lag("h").over(before).alias("h0"), F.lag("n").over(before).alias("n0"), F.lag("a").over(before).alias("b"))
+    ends = paired.filter("end < 2").select("end", "h", "n", "a", F.lag("h").over(before).alias("h0"), F.lag("n").over(before).alias("n0"), F.lag("a").over(before).alias("b"))
     across = ends.filter(f"end = 0 and h = h0 and 100 * n0 >= {int(percent)} * n").select("a", "b")
-    lists = linked.filter("end = 2").select("h", F.col("b").alias("node")).distinct().join(nodes, "node")
+    lists = paired.filter("end = 2").select("h", F.col("b").alias("node")).distinct().join(nodes, "node")
     lists = lists.select("h", "n", "node", "signature").repartition(partitions(spark), "h").sortWithinPartitions("h")
     sifted = scratch.keep(lists.mapInArrow(sift, "a long, b long"), "sifted")
-    groups = components(linked.filter("end is null").select("a", "b").union(across).union(sifted), scratch, "groups").withColumnsRenamed({"component": "g"})
+    groups = components(paired.filter("end is null").select("a", "b").union(across).union(sifted), scratch, "groups").withColumnsRenamed({"component": "g"})
     scratch.drop("runs")
 
     step = math.log(100 / (percent - 0.1))
@@ -343,7 +388,7 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, sketch_bits: int
     )
     large = large.select("g", F.explode(jobs).alias("j"), "node", "id", "n", "w").select("g", "j.lo", "j.hi", "j.s", "j.t", "j.side", "node", "id", "n", "w")
     work_rows = scratch.keep(small.union(large), "work")
-    wanted = texts.withColumn("id", F.coalesce("id", F.lit(NULL_ID))).join(work_rows.drop("n").hint("merge"), "id").drop("id")  # either side grows with the input
+    wanted = texts.drop("th").withColumn("id", F.coalesce("id", F.lit(NULL_ID))).join(work_rows.drop("n").hint("merge"), "id").drop("id")  # either side grows with the input
 
     def multiply(t: pa.Table) -> pa.Table:
         whole_block = (t["lo"][0], t["s"][0]) == (t["hi"][0], t["t"][0])
@@ -358,18 +403,12 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, sketch_bits: int
                     w.append(weight)
                     found.append(s)
         nodes_, side, w = np.array(nodes_, np.int64), np.array(side, int), np.array(w, np.int64)
-        n = np.array([len(s) for s in found], np.int64)
-        inter = overlaps(found)
-        links, label = np.zeros(len(n), np.int64), np.arange(len(n))
-        for at in range(0, len(n), 256):
-            some = slice(at, at + 256)
-            near = (inter[some] > 0) & ((100 + percent) * inter[some].astype(np.int64) >= percent * (n[some, None] + n[None, :]))
-            if not whole_block:
-                near &= side[some, None] != side[None, :]
-            links[some] = near @ w
-            i, j = np.nonzero(near)
-            label = unite(label, i + at, j)
-        some, joined = np.flatnonzero(links), np.flatnonzero(label != np.arange(len(n)))
+        i, j, _ = linked(found, percent, None if whole_block else side)
+        links, label = np.zeros(len(found), np.int64), np.arange(len(found))
+        np.add.at(links, i, w[j])
+        np.add.at(links, j, w[i])
+        label = unite(label, i, j)
+        some, joined = np.flatnonzero(links), np.flatnonzero(label != np.arange(len(found)))
         return pa.table({"a": pa.array(np.concatenate([nodes_[some], nodes_[joined]]), pa.int64()), "b": pa.array(np.concatenate([links[some], nodes_[label[joined]]]), pa.int64()), "edge": pa.array(np.concatenate([np.zeros(len(some), bool), np.ones(len(joined), bool)]))})
 
     found = scratch.keep(wanted.groupBy("g", "lo", "hi", "s", "t").applyInArrow(multiply, "a long, b long, edge boolean"), "found")
@@ -378,20 +417,24 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, sketch_bits: int
     nodes = nodes.join(links, "node", "left").join(comps, "node", "left").withColumn("c", F.coalesce("c", "node"))
     nodes = scratch.keep(nodes.select("node", "id", "w", "links", "c"), "result")
     lowest = nodes.groupBy("c").agg(F.min("id").alias("lowest"))
-    by_node = nodes.join(lowest, "c").select("node", "lowest", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"))
-    out = rows.join(by_node, "node", "left")
-    component = F.when(F.col("lowest").isNull(), F.col("id")).when(F.col("lowest") != NULL_ID, F.col("lowest"))
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"))
+    by_node = nodes.join(lowest, "c").select("node", "c", "lowest", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"))
+    return rows.join(by_node, "node", "left").select("id", "th", "n", "n_links", "c", "lowest")
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, but one document of each group of :func:`ngram_join`: that of the smallest identifier.
+    """The rows of ``docs``, all columns, but one row of each group of :func:`ngram_join`: that of the smallest (identifier, hash of the text).
 
-    Documents without words are no group and stay. Of rows equal in identifier and text one stays; rows that
-    share an identifier or have none, but differ in text, stay or go together.
+    A null identifier is the smallest. Of rows equal in identifier and text that are a group's smallest one stays, whichever:
+    their other columns may differ. Rows without words (null and empty texts) are no group and all stay. An empty
+    table gives no rows.
     """
-    groups = Scratch(docs.sparkSession, "groups").keep(ngram_join(docs, k, percent, doc_id=doc_id, text=text), "groups")
-    stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__q_id"))
-    twice = not stay.groupBy("__q_id").count().filter("count > 1").isEmpty()
-    out = docs.withColumn("__q_id", F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID))).join(stay.distinct(), "__q_id", "left_semi").drop("__q_id")
-    return out.dropDuplicates([doc_id, text]) if twice else out
+    scratch = Scratch(docs.sparkSession, "groups")
+    rows = scratch.keep(_joined(docs, k, percent, 24, doc_id, text).select(F.coalesce("id", F.lit(NULL_ID)).alias("__q_d"), F.col("th").alias("__q_th"), "c"), "groups")
+    smallest = rows.filter("c is not null").groupBy("c").agg(F.min(F.struct("__q_d", "__q_th")).alias("s")).select("s.*")
+    copies = rows.groupBy("__q_d", "__q_th").agg(F.count(F.lit(1)).alias("copies"), F.max(F.col("c").isNull()).alias("wordless"))
+    stay = scratch.keep(copies.join(smallest.withColumn("first", F.lit(True)), ["__q_d", "__q_th"], "left").filter("wordless or first"), "stay")
+    keyed = docs.withColumns({"__q_d": F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)), "__q_th": _text_hash(F.col(text))})
+    repeated = (F.col("copies") > 1) & ~F.col("wordless")
+    once = keyed.join(stay.filter(~repeated), ["__q_d", "__q_th"], "left_semi")
+    twice = keyed.join(stay.filter(repeated), ["__q_d", "__q_th"], "left_semi").dropDuplicates(["__q_d", "__q_th"])
+    return once.union(twice).drop("__q_d", "__q_th")

@@ -9,7 +9,7 @@ import pytest
 
 from quern.llm import ngram_join as nj
 from quern.llm import shingles
-from quern.llm.ngram_join import ngram_join, overlaps
+from quern.llm.ngram_join import linked, ngram_join
 
 
 def plain_set(text, k):
@@ -85,14 +85,39 @@ def test_words_of_long_texts_do_not_depend_on_the_cut(monkeypatch):
     assert (cut[1][:3000] == one[1][:3000]).all() and (one[0] == cut[0]).all()
 
 
-def test_overlaps():
-    rng = np.random.default_rng(0)
-    found = [np.unique(rng.integers(0, 300, int(rng.integers(0, 200))).astype(np.uint64)) for _ in range(60)]
-    got = overlaps(found, columns=16)
-    for i in range(60):
-        for j in range(60):
-            if i != j:
-                assert got[i, j] == len(np.intersect1d(found[i], found[j]))
+def near_sets(seed=0, groups=12, each=6):
+    rng = np.random.default_rng(seed)
+    out = []
+    for _ in range(groups):
+        base = rng.integers(0, 4000, int(rng.integers(1, 120)))
+        for _ in range(each):
+            s = base.copy()
+            s[rng.random(len(s)) < rng.choice([0.0, 0.02, 0.1, 0.4])] += 10_000
+            out.append(np.unique(s).astype(np.uint64))
+    return [*out, np.zeros(0, np.uint64), np.arange(300, dtype=np.uint64)]
+
+
+@pytest.mark.parametrize(("columns", "sparse"), [(2048, 16), (16, 2), (7, 1)])
+def test_product_finds_all_pairs_and_opens_few(columns, sparse):
+    found = near_sets()
+    want = {(i, j) for i in range(len(found)) for j in range(i + 1, len(found)) if len(found[i]) and 100 * len(np.intersect1d(found[i], found[j])) >= 85 * len(np.union1d(found[i], found[j]))}
+    i, j, opened = linked(found, 85, columns=columns, sparse=sparse)
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == want and len(want) > 20
+    sizes = np.array([len(s) for s in found])
+    allowed = sum(185 * min(a, b) >= 85 * (a + b) for k, a in enumerate(sizes) for b in sizes[k + 1 :])
+    assert len(want) <= opened <= allowed < len(found) * (len(found) - 1) / 2
+    side = np.arange(len(found)) % 2
+    i, j, _ = linked(found, 85, side, columns, sparse)
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == {(a, b) for a, b in want if (a + b) % 2}
+
+
+def test_rows_of_one_group_that_share_or_lack_an_identifier(spark):
+    a, b = " ".join(f"w{i}" for i in range(60)), " ".join(f"w{i}" for i in range(58)) + " x y"
+    rows = [(None, a, 1), (None, b, 2), (None, a, 3), (7, a, 4), (7, b, 5), (8, "other words that stand here alone", 6), (8, "other words that stand here alone", 7), (8, "quite another text of the same number", 8), (9, None, 9), (9, None, 10), (None, "", 11)]
+    got = nj.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, copies int"), 5, 80).collect()
+    by = sorted((str(r.doc_id), r.text or "") for r in got)
+    assert len([x for x in by if x[1] in (a, b)]) == 1 and [x for x in by if x[1] in (a, b)][0][0] == "None"
+    assert [x for x in by if x[0] in ("8", "9")] == [("8", rows[5][1]), ("8", rows[7][1]), ("9", ""), ("9", "")] and ("None", "") in by and len(got) == 6
 
 
 @pytest.mark.parametrize("sizes", [[100] * 12, [100] * 5 + [110, 120, 130, 140, 150, 160, 170]])
