@@ -37,7 +37,8 @@ def vocabulary(spark: SparkSession, path: str) -> DataFrame:
 
 def library_ids(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """lang, library, id from ``<language>.txt`` files, and lang, next_id."""
-    rows = spark.read.text(folder, pathGlobFilter="*.txt").select(F.regexp_extract(F.input_file_name(), r"([^/]*)\.txt$", 1).alias("lang"), F.split("value", "\t").alias("p")).filter("size(p) >= 2")
+    name = F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B")))  # Spark gives the name as a URL
+    rows = spark.read.text(folder, pathGlobFilter="*.txt").select(F.regexp_extract(name, r"([^/]*)\.txt$", 1).alias("lang"), F.split("value", "\t").alias("p")).filter("size(p) >= 2")
     ids = rows.select("lang", F.col("p")[0].alias("library"), F.col("p")[1].try_cast("int").alias("id"))
     return ids, ids.groupBy("lang").agg((F.max("id") + 1).alias("next_id"))
 

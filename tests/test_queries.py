@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+import quern.plans.files  # noqa: F401, adds its queries
 from quern.plans.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
