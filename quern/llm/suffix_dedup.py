@@ -20,7 +20,7 @@ from quern.llm import shingles
 from quern.llm.common import NULL_ID, Scratch, partitions
 
 _PART = 1 << 19
-#: Different segments with one anchor beyond which their strings are compared by hash instead of in one task.
+#: Different segments with one anchor that one task sorts at most; the strings of more are dealt to all tasks by their 128-bit hashes.
 HOT = 4096
 
 
@@ -155,11 +155,12 @@ def suffix_dedup(docs: DataFrame, length: int = 200, k: int = 40, doc_id: str =
        their leading bytes at sampled splitters, sorted, and each bucket sorts its suffixes and prefixes by
        multikey quicksort (:func:`repeated`). A bucket holds every suffix with one leading k-mer, so no equal
        strings lie on two sides of a boundary. An anchor with more than HOT different segments would overfill
-       a bucket: its strings are counted by 128-bit hashes instead, which deals them to all tasks.
+       a bucket: each of its strings is a row of its own instead, keyed by 128 bits of hash (its 200 bytes as the key
+       take twelve times the memory), so equal ones meet however many tasks the anchor is dealt to.
     4. The removed spans meet the texts, and the rest is hashed.
 
-    Rows equal in id and text are repeated texts, like any others. An empty table gives no rows. Equality of
-    whole segments is that of their 64-bit hashes together with their anchors'.
+    Rows equal in id and text are repeated texts, like any others. An empty table gives no rows. Whole segments are
+    equal if their 128-bit hashes are. Columns other than those named are never read, whatever their names.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffixes")
@@ -167,7 +168,7 @@ def suffix_dedup(docs: DataFrame, length: int = 200, k: int = 40, doc_id: str =
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("d"), F.xxhash64(content).alias("th"), F.encode(content, "UTF-8").alias("raw"))
 
     def scan(batches):
-        names = ["d", "th", "lo", "n", "off", "kh", "sh"]
+        names = ["d", "th", "lo", "n", "off", "kh", "sh", "sh2"]
         for batch in batches:
             ids, th = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             for group in _parts(batch.column(2).to_pylist(), length):
@@ -178,20 +179,20 @@ def suffix_dedup(docs: DataFrame, length: int = 200, k: int = 40, doc_id: str =
                 s, n, m, kh = _anchors(b, which, length, k)
                 if not len(s):
                     continue
-                sh = np.fromiter((xxhash.xxh3_64_intdigest(raw[x : x + y]) for x, y in zip(s.tolist(), (n + length - 1).tolist(), strict=True)), np.uint64, len(s))
+                sh = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[x : x + y]) for x, y in zip(s.tolist(), (n + length - 1).tolist(), strict=True)]), np.int64).reshape(-1, 2)
                 g = which[s]
                 text_no, base = np.array([x[0] for x in group])[g], (np.array([x[1] for x in group]) - np.r_[0, np.cumsum(sizes)[:-1]])[g]
-                cols = [ids[text_no], th[text_no], s + base, n.astype(np.int32), (m - s).astype(np.int32), kh.view(np.int64), sh.view(np.int64)]
+                cols = [ids[text_no], th[text_no], s + base, n.astype(np.int32), (m - s).astype(np.int32), kh.view(np.int64), np.ascontiguousarray(sh[:, 0]), np.ascontiguousarray(sh[:, 1])]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
 
-    segments = scratch.keep(rows.select("d", "th", "raw").filter(F.length("raw") >= length).mapInArrow(scan, "d long, th long, lo long, n int, off int, kh long, sh long"), "segments")
+    segments = scratch.keep(rows.select("d", "th", "raw").filter(F.length("raw") >= length).mapInArrow(scan, "d long, th long, lo long, n int, off int, kh long, sh long, sh2 long"), "segments")
     twice = segments.groupBy("kh").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").drop("times")
     candidates = scratch.keep(segments.join(twice, "kh"), "candidates")
     scratch.drop("segments")
-    kinds = candidates.groupBy("kh", "sh").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("d", "th", "lo", "n", "off")).alias("one"))
+    kinds = candidates.groupBy("kh", "sh", "sh2").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("d", "th", "lo", "n", "off")).alias("one"))
     kinds = scratch.keep(kinds, "kinds")
     per_anchor = kinds.groupBy("kh").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    whole = candidates.join(kinds.filter("c > 1").select("kh", "sh"), ["kh", "sh"]).select("d", "th", F.col("lo").alias("a"), (F.col("lo") + F.col("n") + (length - 1)).alias("b"))
+    whole = candidates.join(kinds.filter("c > 1").select("kh", "sh", "sh2"), ["kh", "sh", "sh2"]).select("d", "th", F.col("lo").alias("a"), (F.col("lo") + F.col("n") + (length - 1)).alias("b"))
     whole = scratch.keep(whole, "whole")
     scratch.drop("candidates")
     wanted = kinds.join(per_anchor, "kh").select("one.*", "kh", F.col("c"), (F.col("kinds") > HOT).alias("hot"))
@@ -258,7 +259,7 @@ def suffix_dedup(docs: DataFrame, length: int = 200, k: int = 40, doc_id: str =
     hot = scratch.keep(hot, "strings")
     again = hot.groupBy("h").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").drop("times")
     more = hot.filter("c = 1").join(again, "h").select("d", "th", "a", (F.col("a") + length).alias("b"))
-    gone = whole.select("d", "th", "a", "b").union(edges).union(more).groupBy("d", "th").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    gone = whole.select("d", "th", "a", "b").union(edges).union(more).groupBy("d", "th").agg(F.collect_set(F.struct("a", "b")).alias("spans"))  # rows that repeat have theirs once
 
     def finish(batches):
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text

@@ -67,6 +67,15 @@ def test_empty_table_null_and_repeated_rows(spark):
     assert sorted((str(r.doc_id), r.n_removed, r.n_spans) for r in got) == [("3", 400, 1), ("4", 0, 0), ("None", 700, 1), ("None", 700, 1)]
 
 
+def test_one_very_long_text_and_clashing_columns(spark):
+    rng = np.random.default_rng(6)
+    part = "".join(rng.choice(list("abcdefgh "), 900_000))
+    rows = [(1, part + "#" + part[200_000:201_000] + "#"), (2, part[500_000:500_300] + "!"), (3, "x" * 199)]
+    df = spark.createDataFrame([(*r, 0, b"x", "y") for r in rows], SCHEMA + ", n_bytes int, raw binary, th string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup(df).collect()}
+    assert got == {1: (901_002, 2300, 3), 2: (301, 300, 1), 3: (199, 0, 0)}
+
+
 def test_multikey_sort():
     rng = np.random.default_rng(2)
     words, group = rng.integers(0, 3, (400, 4)).astype(np.uint64), rng.integers(0, 4, 400)
