@@ -15,8 +15,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.config import Config
 from quern.functions import scalars as S
 from quern.operators import activity as A
+from quern.operators import scoring as SC
 from quern.plans import profile as P
 from quern.plans.queries import _CHANGES, QUERIES, query
 from quern.plans.tables import changes, table
@@ -121,12 +123,13 @@ def _nation_files(spark, sf) -> str:
     return f"file://{at}"
 
 
-_NAME = F.regexp_extract("path", r"([^/]*)\.py$", 1).cast("int").alias("n_nationkey")
+def _nation():
+    return F.regexp_extract("path", r"([^/]*)\.py$", 1).cast("int").alias("n_nationkey")
 
 
 @query("SELECT CAST(n_nationkey AS INTEGER) AS n_nationkey, CASE WHEN n_nationkey = 3 THEN '' ELSE n_name || '|key = ' || n_nationkey END AS lines FROM nation")
 def code_files(spark, sf):
-    return FS.code_file(spark, _nation_files(spark, sf)).select(_NAME, F.array_join("lines", "|").alias("lines"))
+    return FS.code_file(spark, _nation_files(spark, sf)).select(_nation(), F.array_join("lines", "|").alias("lines"))
 
 
 @query("""
@@ -134,7 +137,7 @@ def code_files(spark, sf):
     SELECT n_nationkey, h AS sha256, 'mt_stats_2024-03-05_' || sha256(h || sha256('a@x.org')) || '.json.gz' AS signed, true AS whole FROM f""")
 def file_signatures(spark, sf):
     at = _nation_files(spark, sf)
-    rows = FS.file_hashes(spark, at).select(_NAME, "sha256").filter("n_nationkey <> 3")
+    rows = FS.file_hashes(spark, at).select(_nation(), "sha256").filter("n_nationkey <> 3")
     local = at.removeprefix("file://")
     made = []
     for n in range(25):
@@ -304,3 +307,17 @@ def git_authors(spark, sf):
     """The people of a walk over repositories, most repositories first."""
     lines = G.log(G.repositories(spark, _repository(spark, sf))).filter("error is null")
     return A.author_ranking(lines.select("repo", F.split("line", "\x01")[0].alias("raw_author")))
+
+
+@query(_COMMITS + f", m AS (SELECT author, count(DISTINCT {_MONTH}) AS n, max(added) AS most FROM c GROUP BY 1) SELECT 'one' AS repo, author, 'py' AS lang FROM m WHERE n >= 15 AND most >= 20")
+def active_languages(spark, sf):
+    """The languages that are scored: of fifteen months of activity and more, with a snippet."""
+    return P.active_languages(P.facts(G.repositories(spark, _repository(spark, sf))), Config(min_months=15))
+
+
+@query(_COMMITS + ", s AS (SELECT k, author, added, path FROM c WHERE added >= 20) SELECT author, path, CAST(added AS INTEGER) AS line_count, 'c2s::m' AS model, count(*) AS n FROM s, (SELECT unnest(range(2))) GROUP BY k, author, path, added")
+def scored_chunks(spark, sf):
+    """Every snippet here is one chunk, since it is short, and is scored against two skills."""
+    f = P.facts(G.repositories(spark, _repository(spark, sf)))
+    scores = P.scored(f, {"c2s::m": SC.stub_loader(["a", "b"])}, {"c2s::m": ["a", "b"]}, config=Config(chunk_chars=10_000))
+    return scores.groupBy("commit_id", "author", "path", "line_count", "model").agg(F.count(F.lit(1)).alias("n")).drop("commit_id")

@@ -247,11 +247,21 @@ def next_best_prob(spark, sf):
     return SC.ranked(p, ["author"], k=3).select("author", "skill", "rank", F.round("sm_score", 6).alias("sm_score"), F.round("score", 6).alias("score"))
 
 
-@query()
+_STUB = [f"skill-{i}" for i in range(30)]
+
+
+@query(
+    """
+    WITH v AS (SELECT unnest([{skills}]) AS skill), d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+    h AS (SELECT doc_id, skill, sha256(t || chr(0) || skill) AS h FROM d, v),
+    l AS (SELECT doc_id, skill, CAST('0x' || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2) AS BIGINT) / 4294967296.0 * 8 - 4 AS logit FROM h),
+    s AS (SELECT *, exp(logit - m) / sum(exp(logit - m)) OVER (PARTITION BY doc_id) AS sm FROM (SELECT *, max(logit) OVER (PARTITION BY doc_id) AS m FROM l)),
+    r AS (SELECT *, row_number() OVER w AS rank, sum(sm) OVER (PARTITION BY doc_id) - coalesce(sum(sm) OVER (PARTITION BY doc_id ORDER BY logit DESC, skill ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lft FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY logit DESC, skill))
+    SELECT doc_id, skill, CAST(rank AS INTEGER) AS rank, round(sm / lft, 4) AS score FROM r WHERE rank <= 10""".replace("{skills}", ", ".join(f"'{x}'" for x in _STUB))
+)
 def stub_scores(spark, sf):
-    vocabulary = [f"skill-{i}" for i in range(30)]
     docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("chunk"))
-    return SC.ranked(SC.logits(docs, SC.stub_loader(vocabulary), vocabulary, ["doc_id"]), ["doc_id"], k=10).select("doc_id", "skill", "rank", F.round("score", 6).alias("score"))
+    return SC.ranked(SC.logits(docs, SC.stub_loader(_STUB), _STUB, ["doc_id"]), ["doc_id"], k=10).select("doc_id", "skill", "rank", F.round("score", 4).alias("score"))
 
 
 # -- reports ----------------------------------------------------------------------------------------------
@@ -667,3 +677,36 @@ _PREFIXES = [
 def path_prefixes(spark, sf):
     files = spark.createDataFrame(_PATHS, "path string, lines bigint").withColumns({"repo": F.lit("r"), "qtr": F.lit("q")})
     return R.path_prefixes(files).select("depth", "prefix", "lines")
+
+
+@query("""
+    SELECT p_partkey, list_aggregate(list_transform(list_filter([{'s': CAST(p_size % 7 - 2 AS DOUBLE), 'n': 'a'}, {'s': CAST(p_size % 5 - 1 AS DOUBLE), 'n': 'b'}, {'s': CAST(p_size % 3 AS DOUBLE), 'n': 'c'}, {'s': CAST(1 AS DOUBLE), 'n': 'd'}], lambda x: x.s > 0), lambda x: x.n), 'count') AS n,
+           (SELECT string_agg(n, ',' ORDER BY s DESC, n) FROM (SELECT * FROM (SELECT unnest([p_size % 7 - 2, p_size % 5 - 1, p_size % 3, 1]) AS s, unnest(['a', 'b', 'c', 'd']) AS n) WHERE s > 0 ORDER BY s DESC, n LIMIT 2)) AS best
+    FROM part""")
+def top_labels(spark, sf):
+    size = F.col("p_size")
+    scores = F.array(*(x.cast("double") for x in (size % 7 - 2, size % 5 - 1, size % 3, F.lit(1))))
+    names = F.array(*map(F.lit, "abcd"))
+    best = lambda k: F.transform(S.top_labels(scores, names, k), lambda x: x["name"])
+    return table(spark, sf, "part").select("p_partkey", F.size(best(10)).cast("bigint").alias("n"), F.array_join(best(2), ",").alias("best"))
+
+
+@query(_CHOICE_TOTALS + """, ch AS (SELECT skill, lines, CASE WHEN lines > 0.4 * mean THEN 'Relevant' ELSE 'Not Relevant' END AS choice, row_number() OVER (ORDER BY lines DESC, skill) AS no FROM t, m WHERE lines >= 0.2 * mean)
+    SELECT skill, lines, CASE no WHEN 1 THEN 'Top Secret' WHEN 3 THEN 'Not Relevant' ELSE choice END AS choice FROM ch""")
+def update_choices(spark, sf):
+    return K.update_choices(K.default_choices(_choice_totals(spark, sf)), {1: "Top Secret", 3: "Not Relevant"})
+
+
+@query("SELECT c_custkey, c_name AS repo, 'x/' || c_name AS repo_path FROM customer")
+def public_columns(spark, sf):
+    """Without snippets and libraries; the repository's name is the last part of its path."""
+    c = table(spark, sf, "customer").select("c_custkey", F.concat(F.lit("x/"), "c_name").alias("repo_path"), F.lit("code").alias("sig_code_snippets"), F.array(F.lit("os")).alias("libs"))
+    return R.public_only(c).select("c_custkey", S.repo_name("repo_path").alias("repo"), "repo_path")
+
+
+@query("SELECT o_orderkey AS commit_id, o_custkey AS author FROM orders WHERE 'u' || o_custkey IN (SELECT 'u' || c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def requested_authors(spark, sf):
+    """Only the authors of a table that writes them in other cases."""
+    wanted = table(spark, sf, "customer").filter("c_mktsegment = 'BUILDING'").select(F.concat(F.lit("U"), F.col("c_custkey").cast("string")).alias("mail"))
+    rows = commits(spark, sf).select("commit_id", F.col("author").alias("k"), F.concat(F.lit("u"), F.col("author").cast("string")).alias("author"))
+    return A.by_authors(rows, wanted).select("commit_id", F.col("k").alias("author"))
