@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import shingles
-from quern.llm.common import NULL_ID, Scratch, partitions
+from quern.llm.common import NULL_ID, Scratch, let_go, partitions
 
 _PART = 1 << 19
 #: Different segments with one anchor that one task sorts at most; the strings of more are dealt to all tasks by their 128-bit hashes.
@@ -148,19 +148,20 @@ def suffix_dedup(docs: DataFrame, length: int = 200, k: int = 40, doc_id: str =
     Removes each byte that is covered by a string of ``length`` bytes of one text that also starts anywhere
     else, in this text or another; judged on the input. Null texts are empty; shorter texts lose nothing.
 
-    1. Every segment gives a narrow row: place, anchor's hash, hash of its bytes. Anchors seen once are unique.
-    2. Segments that are equal as a whole are repeated as a whole. They are counted with sums before the
-       shuffle and joined in a way whose large partitions Spark splits.
-    3. Where one anchor has different segments, one of each kind is fetched. They are range-partitioned by
-       their leading bytes at sampled splitters, sorted, and each bucket sorts its suffixes and prefixes by
-       multikey quicksort (:func:`repeated`). A bucket holds every suffix with one leading k-mer, so no equal
-       strings lie on two sides of a boundary. An anchor with more than HOT different segments would overfill
+    1. Every segment gives a narrow row: place, anchor's hash, 128-bit hash of its bytes, which names its kind. Anchors
+       seen once are unique.
+    2. Of each kind that repeats two segments are fetched, and one of each other kind of an anchor that has several;
+       kinds are counted with sums before the shuffle, so thousands of copies are two rows.
+    3. They are range-partitioned by their leading bytes at sampled splitters, sorted, and each bucket sorts its
+       suffixes and prefixes by multikey quicksort (:func:`repeated`), which alone says what is repeated. A bucket
+       holds every suffix with one leading k-mer, so no equal strings lie on two sides of a boundary. An anchor with more than HOT different segments would overfill
        a bucket: each of its strings is a row of its own instead, keyed by 128 bits of hash (its 200 bytes as the key
        take twelve times the memory), so equal ones meet however many tasks the anchor is dealt to.
-    4. The removed spans meet the texts, and the rest is hashed.
+    4. What is repeated in a kind goes to all its segments, in a join whose large partitions Spark splits; the removed
+       spans meet the texts, and the rest is hashed.
 
-    Rows equal in id and text are repeated texts, like any others. An empty table gives no rows. Whole segments are
-    equal if their 128-bit hashes are. Columns other than those named are never read, whatever their names.
+    Rows equal in id and text are repeated texts, like any others. An empty table gives no rows. Segments are of one kind
+    if their 128-bit hashes are equal. Columns other than those named are never read, whatever their names.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffixes")
@@ -168,6 +169,7 @@ def suffix_dedup(docs: DataFrame, length: int = 200, k: int = 40, doc_id: str =
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("d"), F.xxhash64(content).alias("th"), F.encode(content, "UTF-8").alias("raw"))
 
     def scan(batches):
+        let_go()
         names = ["d", "th", "lo", "n", "off", "kh", "sh", "sh2"]
         for batch in batches:
             ids, th = np.asarray(batch.column(0)), np.asarray(batch.column(1))
@@ -189,51 +191,58 @@ def suffix_dedup(docs: DataFrame, length: int = 200, k: int = 40, doc_id: str =
     twice = segments.groupBy("kh").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").drop("times")
     candidates = scratch.keep(segments.join(twice, "kh"), "candidates")
     scratch.drop("segments")
-    kinds = candidates.groupBy("kh", "sh", "sh2").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("d", "th", "lo", "n", "off")).alias("one"))
+    kinds = candidates.groupBy("kh", "sh", "sh2").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("d", "th", "lo", "n", "off")).alias("one"), F.max(F.struct("d", "th", "lo", "n", "off")).alias("other"))
     kinds = scratch.keep(kinds, "kinds")
-    per_anchor = kinds.groupBy("kh").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    whole = candidates.join(kinds.filter("c > 1").select("kh", "sh", "sh2"), ["kh", "sh", "sh2"]).select("d", "th", F.col("lo").alias("a"), (F.col("lo") + F.col("n") + (length - 1)).alias("b"))
-    whole = scratch.keep(whole, "whole")
-    scratch.drop("candidates")
-    wanted = kinds.join(per_anchor, "kh").select("one.*", "kh", F.col("c"), (F.col("kinds") > HOT).alias("hot"))
-    wanted = wanted.groupBy("d", "th").agg(F.collect_list(F.struct("lo", "n", "off", "kh", "c", "hot")).alias("parts"))
+    per_anchor = kinds.groupBy("kh").agg(F.count(F.lit(1)).alias("kinds"))
+    wanted = kinds.join(per_anchor, "kh").filter("kinds > 1 or c > 1")
+    # a row that repeats as a whole has one place only, though it is there twice
+    own = F.struct("kh", "sh", "sh2", ((F.col("c") > 1) & (F.col("one") == F.col("other"))).alias("again"), (F.col("kinds") > HOT).alias("hot"))
+    places = F.when((F.col("c") > 1) & (F.col("one") != F.col("other")), F.array("one", "other")).otherwise(F.array("one"))
+    wanted = wanted.select(F.explode(places).alias("p"), own.alias("k")).select("p.*", "k.*")
+    wanted = wanted.groupBy("d", "th").agg(F.collect_list(F.struct("lo", "n", "off", "kh", "sh", "sh2", "again", "hot")).alias("parts"))
 
     def fetch(batches):
-        names = ["d", "th", "lo", "n", "off", "kh", "c", "hot", "lead", "bytes"]
+        let_go()
+        names = ["lo", "n", "off", "kh", "sh", "sh2", "again", "hot", "lead", "bytes"]
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary(), pa.binary()]
         for batch in batches:
             cols: list[list] = [[] for _ in names]
-            seen = set()
+            seen, size = set(), 0
             for d, th, raw, parts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if (d, th) in seen:  # a repeated row
                     continue
                 seen.add((d, th))
                 for p in parts:
-                    lo, n, off = p["lo"], p["n"], p["off"]
-                    piece = raw[lo : lo + n + length - 1]
-                    for c, v in zip(cols, (d, th, lo, n, off, p["kh"], p["c"], p["hot"], piece[off : off + k], piece), strict=True):
+                    piece = raw[p["lo"] : p["lo"] + p["n"] + length - 1]
+                    for c, v in zip(cols, (*p.values(), piece[p["off"] : p["off"] + k], piece), strict=True):
                         c.append(v)
+                    size += len(piece)
+                if size > 4_000_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+                    cols, size = [[] for _ in names], 0
             if cols[0]:
-                types = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.int64()] * 2 + [pa.bool_(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
-    fetched = rows.select("d", "th", "raw").join(wanted, ["d", "th"]).select("d", "th", "raw", "parts").mapInArrow(fetch, "d long, th long, lo long, n int, off int, kh long, c long, hot boolean, lead binary, bytes binary")
-    fetched = scratch.keep(fetched, "fetched").dropDuplicates(["d", "th", "lo", "n"])
+    fetched = rows.select("d", "th", "raw").join(wanted, ["d", "th"]).select("d", "th", "raw", "parts").mapInArrow(fetch, "lo long, n int, off int, kh long, sh long, sh2 long, again boolean, hot boolean, lead binary, bytes binary")
+    fetched = scratch.keep(fetched, "fetched")  # rows that repeat give theirs in each task that has one: equal, like any copies
 
     def compare(batches):
+        let_go()
         held: list[list] = []
         size = 0
 
         def solve():
-            _, d, th, lo, n, off, c, parts = (list(x) for x in zip(*held, strict=True))
-            lead = [x[0] for x in held]
+            lead, kh, sh, sh2, n, off, again, parts = (list(x) for x in zip(*held, strict=True))
             group = np.cumsum(np.r_[0, [x != y for x, y in zip(lead[1:], lead, strict=False)]]).astype(np.int64)
-            n, off, lo = np.array(n), np.array(off), np.array(lo)
-            found = repeated(parts, group, n, off, length, k) & (np.array(c) == 1)[:, None]
+            n, off = np.array(n), np.array(off)
+            found = repeated(parts, group, n, off, length, k)
+            every = np.arange(found.shape[1])
+            found |= np.array(again)[:, None] & (every > (off - n)[:, None]) & (every <= off[:, None])
             edge = np.diff(np.pad(found.astype(np.int8), ((0, 0), (1, 1))), axis=1)
             row, first = np.nonzero(edge == 1)
             last = np.nonzero(edge == -1)[1] - 1
-            d, th = np.array(d, np.int64), np.array(th, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(d[row]), pa.array(th[row]), pa.array(lo[row] + off[row] - last), pa.array(lo[row] + off[row] - first + length)], ["d", "th", "a", "b"])
+            names = [np.array(x, np.int64)[row] for x in (kh, sh, sh2)]
+            return pa.RecordBatch.from_arrays([*map(pa.array, names), pa.array(off[row] - last, pa.int64()), pa.array(off[row] - first + length, pa.int64())], ["kh", "sh", "sh2", "a", "b"])
 
         for batch in batches:
             for x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -245,23 +254,27 @@ def suffix_dedup(docs: DataFrame, length: int = 200, k: int = 40, doc_id: str =
         if held:
             yield solve()
 
-    spans = "d long, th long, a long, b long"
-    ordered = fetched.filter("not hot").select("lead", "d", "th", "lo", "n", "off", "c", "bytes").repartitionByRange(partitions(spark), "lead").sortWithinPartitions("lead")
-    edges = scratch.keep(ordered.mapInArrow(compare, spans), "edges")
+    spans = "kh long, sh long, sh2 long, a long, b long"
+    ordered = fetched.filter("not hot").select("lead", "kh", "sh", "sh2", "n", "off", "again", "bytes").repartitionByRange(partitions(spark), "lead").sortWithinPartitions("lead")
+    edges = ordered.mapInArrow(compare, spans)
 
     def strings(batches):
+        let_go()
         for batch in batches:
-            for d, th, lo, n, c, piece in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            for kh, sh, sh2, n, again, piece in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 h = [xxhash.xxh3_128_digest(piece[i : i + length]) for i in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array([d] * n), pa.array([th] * n), pa.array(range(lo, lo + n), pa.int64()), pa.array([c] * n, pa.int64()), pa.array(h, pa.binary())], ["d", "th", "a", "c", "h"])
+                yield pa.RecordBatch.from_arrays([*(pa.array([v] * n, pa.int64()) for v in (kh, sh, sh2)), pa.array(range(n), pa.int64()), pa.array([again] * n), pa.array(h, pa.binary())], ["kh", "sh", "sh2", "a", "again", "h"])
 
-    hot = fetched.filter("hot").select("d", "th", "lo", "n", "c", "bytes").mapInArrow(strings, "d long, th long, a long, c long, h binary")
+    hot = fetched.filter("hot").select("kh", "sh", "sh2", "n", "again", "bytes").mapInArrow(strings, "kh long, sh long, sh2 long, a long, again boolean, h binary")
     hot = scratch.keep(hot, "strings")
-    again = hot.groupBy("h").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").drop("times")
-    more = hot.filter("c = 1").join(again, "h").select("d", "th", "a", (F.col("a") + length).alias("b"))
-    gone = whole.select("d", "th", "a", "b").union(edges).union(more).groupBy("d", "th").agg(F.collect_set(F.struct("a", "b")).alias("spans"))  # rows that repeat have theirs once
+    twice = hot.groupBy("h").agg(F.count(F.lit(1)).alias("times"), F.max("again").alias("any")).filter("times > 1 or any").select("h")
+    more = hot.join(twice, "h").select("kh", "sh", "sh2", "a", (F.col("a") + length).alias("b"))
+    found = scratch.keep(edges.union(more).distinct(), "found")
+    gone = candidates.join(found, ["kh", "sh", "sh2"]).select("d", "th", (F.col("lo") + F.col("a")).alias("a"), (F.col("lo") + F.col("b")).alias("b"))
+    gone = gone.groupBy("d", "th").agg(F.collect_set(F.struct("a", "b")).alias("spans"))  # rows that repeat have theirs once
 
     def finish(batches):
+        let_go()
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
         types = [pa.int64()] * 4 + [pa.string()] + [pa.binary()] * with_text
         for batch in batches:
