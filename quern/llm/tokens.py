@@ -122,16 +122,12 @@ class Encoder:
         for x in fresh:
             if len(x) > LONGEST:
                 self.tail.pop(x, None)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        starts = np.cumsum(sizes) - sizes
-        n = np.where(follows, sizes[codes], 0)
-        total = np.cumsum(n)
-        every = np.frombuffer(b"".join(ids), "<u4")
-        raw = every[np.repeat(starts[codes] - (total - n), n) + np.arange(int(total[-1]))].tobytes()
         heads = [parts[c] for c in codes[firsts].tolist()]
         self._each(self.head, list(set(heads).difference(self.head)), "")
-        cuts = 4 * np.r_[0, total[ends - 1]]
-        out = [self.head[h] + raw[a:b] for h, a, b in zip(heads, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        pieces = list(map(ids.__getitem__, codes.tolist()))
+        for i, h in zip(firsts.tolist(), heads, strict=True):
+            pieces[i] = self.head[h]
+        out = [b"".join(pieces[x:y]) for x, y in zip(firsts.tolist(), ends.tolist(), strict=True)]
         for i in slow.tolist():
             out[i] = self._hard(texts[i].as_py())
         for h in heads:
