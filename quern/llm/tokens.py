@@ -8,6 +8,7 @@ ones among them) as one id wherever they stand; texts that hold the string of on
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,7 +25,9 @@ _CUT = re.compile(r" (?=\S)")
 #: Empty, or beginning with white space of any kind.
 _ODD = r"^$|^[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 #: Parts kept in memory by one worker, longest part kept, and bytes handled at once. None changes the ids.
-CACHE, LONGEST, AT_ONCE = 500_000, 64, 4_000_000
+CACHE, LONGEST, AT_ONCE = 700_000, 64, 4_000_000
+#: Marks that end a word and are no part of a contraction.
+MARKS = ".,!?;:"
 
 
 class Encoder:
@@ -40,10 +43,13 @@ class Encoder:
         self.added = "|".join(re.escape(t) for t in added) if added else None
         self.head: dict[str, bytes] = {}
         self.tail: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}  # the generation before
+        self.marks: dict[str, bytes] = {"": b""}
         vocabulary = self.tok.get_vocab()
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that begin with a space
         self.opens[[i for t, i in vocabulary.items() if t[0] == "\u0120"]] = True
+        # the pattern of byte-level BPE ends a word before a mark, and marks before a space
+        how = json.loads(self.whole.to_str()).get("pre_tokenizer") or {}
+        self.apart = how.get("type") == "ByteLevel" and how.get("use_regex", True) and not how.get("add_prefix_space", True)
 
     def _each(self, into: dict, parts: list[str], prefix: str) -> None:
         for i in range(0, len(parts), 1000):
@@ -51,25 +57,47 @@ class Encoder:
             for part, enc in zip(some, self.tok.encode_batch_fast([prefix + x for x in some], add_special_tokens=False), strict=True):
                 into[part] = np.array(enc.ids, "<u4").tobytes()
 
-    def _learn(self, parts: list[str], into: dict) -> None:
-        """Encodes parts that follow a space. Many at once, joined by their spaces, are told apart by the tokens that begin with one."""
-        plain = [x for x in parts if " " not in x]
-        if len(plain) < len(parts):
-            self._each(into, [x for x in parts if " " in x], " ")
-        for i in range(0, len(plain), 10_000):
-            some = plain[i : i + 10_000]
+    def _ids(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts without spaces that follow one; a word with marks at its end is known by the word and by the marks."""
+        if not self.apart:
+            return self._remembered(parts)
+        words, marks = [], []
+        for p in parts:
+            w = p.rstrip(MARKS)
+            apart = len(w) < len(p) and w[-1:].isalpha()
+            words.append(w if apart else p)
+            marks.append(p[len(w) :] if apart else "")
+        some = {m for m in marks if m not in self.marks}
+        if len(self.marks) > 10_000:
+            self.marks = {"": b""}
+            some = set(marks) - {""}
+        self._each(self.marks, list(some), "")
+        ids = list(map(self.tail.get, words))
+        unknown = list(dict.fromkeys(w for w, v in zip(words, ids, strict=True) if v is None))
+        fresh = dict(zip(unknown, self._remembered(unknown), strict=True))
+        return [(v if v is not None else fresh[w]) + self.marks[m] for w, v, m in zip(words, ids, marks, strict=True)]
+
+    def _remembered(self, parts: list[str]) -> list[bytes]:
+        """Encodes parts, and remembers them while there is room: what is frequent comes early."""
+        out = self._encoded(parts)
+        if len(self.tail) < CACHE:
+            self.tail.update((p, v) for p, v in zip(parts, out, strict=True) if len(p) <= LONGEST)
+        return out
+
+    def _encoded(self, parts: list[str]) -> list[bytes]:
+        """Many at once, joined by their spaces, are told apart by the tokens that begin with one."""
+        out: list[bytes] = []
+        for i in range(0, len(parts), 10_000):
+            some = parts[i : i + 10_000]
             ids = np.array(self.tok.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             at = np.flatnonzero(self.opens[ids])
             if len(at) != len(some):
-                self._each(into, some, " ")
+                alone: dict[str, bytes] = {}
+                self._each(alone, some, " ")
+                out += map(alone.__getitem__, some)
                 continue
             raw, cuts = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
-            into.update(zip(some, map(raw.__getitem__, map(slice, cuts[:-1], cuts[1:])), strict=True))
-
-    def _new(self, parts: set[str]) -> dict[str, bytes]:
-        """Ids of parts that aren't in the younger generation of what is known."""
-        out = {x: v for x in parts if (v := self.old.get(x)) is not None}
-        self._learn([x for x in parts if x not in out], out)
+            out += map(raw.__getitem__, map(slice, cuts[:-1], cuts[1:]))
         return out
 
     def many(self, texts: list[str | None]) -> list[bytes]:
@@ -99,8 +127,6 @@ class Encoder:
         return out
 
     def _slice(self, texts: pa.Array) -> list[bytes]:
-        if len(self.tail) > CACHE:
-            self.old, self.tail = self.tail, {}
         if len(self.head) > CACHE // 8:
             self.head.clear()
         lists = pc.split_pattern(texts, " ")
@@ -114,14 +140,14 @@ class Encoder:
         slow = np.unique(np.searchsorted(ends, np.flatnonzero(odd[codes] & follows), "right"))  # a space next to white space
         wanted = np.zeros(len(parts), bool)
         wanted[codes[follows]] = True
-        ids = list(map(self.tail.get, parts))
-        new = {x for x, v, want in zip(parts, ids, (wanted & ~odd).tolist(), strict=True) if want and v is None}
-        fresh = self._new(new)
-        ids = [v if v is not None else fresh.get(x, b"") for x, v in zip(parts, ids, strict=True)]
-        self.tail.update(fresh)
-        for x in fresh:
-            if len(x) > LONGEST:
-                self.tail.pop(x, None)
+        wanted[odd] = False
+        ids: list[bytes | None] = list(map(self.tail.get, parts))
+        new = [i for i, (v, want) in enumerate(zip(ids, wanted.tolist(), strict=True)) if want and v is None]
+        names = [parts[i] for i in new]
+        for i, v in zip(new, self._ids(names), strict=True):
+            ids[i] = v
+        for i in np.flatnonzero(odd).tolist():  # of slow texts, which are encoded apart
+            ids[i] = b""
         heads = [parts[c] for c in codes[firsts].tolist()]
         self._each(self.head, list(set(heads).difference(self.head)), "")
         pieces = list(map(ids.__getitem__, codes.tolist()))
@@ -139,7 +165,10 @@ class Encoder:
         """Ids of a text that has a space next to other white space."""
         first, *rest = _CUT.split(text)
         known = {x: v for x in set(rest) if (v := self.tail.get(x)) is not None}
-        self._learn([x for x in set(rest) if x not in known], known)
+        new = [x for x in set(rest) if x not in known]
+        plain = [x for x in new if " " not in x]
+        known.update(zip(plain, self._ids(plain), strict=True))
+        self._each(known, [x for x in new if " " in x], " ")
         head: dict[str, bytes] = {}
         self._each(head, [first], "")
         return head[first] + b"".join(map(known.__getitem__, rest))
