@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from quern.llm.common import NULL_ID, Scratch, let_go, partitions
 from quern.llm.components import components
 from quern.llm.embeddings import unite
-from quern.llm.shingles import mix, set_hash, sets
+from quern.llm.shingles import mix, set_hashes, sets
 
 #: A block holds at most about so many documents, and so many shingles.
 BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1_000_000
@@ -231,7 +231,9 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, sketch_bits: int
     Words are maximal runs of characters other than space and 9 to 13, A-Z in lower case. A text of fewer than
     ``k`` words has its whole sequence as its one shingle; without words (empty, null) it links with nothing.
 
-    1. Documents with equal sets are one node with a weight, so exact copies cost nothing more.
+    1. Documents with equal sets, by 128 bits of hash, are one node with a weight, so exact copies cost nothing more.
+       Nodes have numbers of their own; candidates are named by 64 of the bits, so nodes that share these meet in one block,
+       where their sets are told apart.
     2. Shingles are ordered by frequency, then hash, so prefixes hold rare ones. Frequencies come from counters
        of a fixed number (2^sketch_bits); any order gives the same links, a good one only fewer candidates.
     3. Prefix entries are range-sorted by (shingle, size), which makes runs of compatible sizes. Members of a
@@ -259,23 +261,24 @@ def _joined(docs: DataFrame, k: int, percent: int, sketch_bits: int, doc_id: str
     width = min(slots, 1 << 16)
 
     def read(batches):
-        """Rows (id, th, n, node, signature) of documents, then this task's counters in slices, whose numbers stand in the place of id."""
+        """Rows (id, th, n, node, node2, signature) of documents, then this task's counters in slices, whose numbers stand in the place of id."""
         let_go()
         counters, waiting = np.zeros(slots, np.int32), []
-        names = ["id", "th", "n", "node", "counts", "signature"]
+        names = ["id", "th", "n", "node", "node2", "counts", "signature"]
         for b in batches:
             found = sets(b.column(1).to_pylist(), k)
             waiting += found
             if sum(map(len, waiting)) > 500_000:
                 np.add.at(counters, (np.concatenate(waiting) >> shift).astype(np.int64), 1)
                 waiting = []
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(s) for s in found], pa.int64()), pa.array([set_hash(s) if len(s) else None for s in found], pa.int64()), pa.nulls(len(found), pa.binary()), pa.array([_signature(s) for s in found], pa.binary())], names)
+            keys = [set_hashes(s) if len(s) else (None, None) for s in found]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(s) for s in found], pa.int64()), pa.array([x for x, _ in keys], pa.int64()), pa.array([x for _, x in keys], pa.int64()), pa.nulls(len(found), pa.binary()), pa.array([_signature(s) for s in found], pa.binary())], names)
         if waiting:
             np.add.at(counters, (np.concatenate(waiting) >> shift).astype(np.int64), 1)
         for i in range(0, slots, 16 * width):
             some = [(j // width, _packed(counters[j : j + width])) for j in range(i, min(slots, i + 16 * width), width)]
             some = [x for x in some if x[1]]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in some], pa.int64()), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64()), pa.array([x[1] for x in some], pa.binary()), pa.nulls(len(some), pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in some], pa.int64()), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64()), pa.array([x[1] for x in some], pa.binary()), pa.nulls(len(some), pa.binary())], names)
 
     def add_up(batches):
         """Sums of each slice that this task has, one slice at a time in memory for each."""
@@ -285,14 +288,15 @@ def _joined(docs: DataFrame, k: int, percent: int, sketch_bits: int, doc_id: str
                 _unpack(c, sums.setdefault(i, np.zeros(width, np.int64)))
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([int(x.sum()) for x in sums.values()], pa.int64()), pa.array([_levels(x).tobytes() for x in sums.values()], pa.binary())], ["id", "total", "level"])
 
-    both = scratch.keep(texts.mapInArrow(read, "id long, th long, n long, node long, counts binary, signature binary"), "rows")
-    rows = both.filter("counts is null").select("id", "th", "n", "node", "signature")
+    both = scratch.keep(texts.mapInArrow(read, "id long, th long, n long, node long, node2 long, counts binary, signature binary"), "rows")
+    rows = both.filter("counts is null").select("id", "th", "n", "node", "node2", "signature")
     slices = both.filter("counts is not null").select("id", "counts").repartition(partitions(spark), "id").mapInArrow(add_up, "id long, total long, level binary")
     level = np.zeros(slots, np.uint8)  # of a fixed size, whatever the input
     for r in slices.select("id", "level").toLocalIterator():
         level[r["id"] * width : (r["id"] + 1) * width] = np.frombuffer(r["level"], np.uint8)
     levels = spark.sparkContext.broadcast(level)
-    nodes = scratch.keep(rows.filter("n > 0").groupBy("node").agg(F.min(F.coalesce("id", F.lit(NULL_ID))).alias("id"), F.first("n").alias("n"), F.count(F.lit(1)).alias("w"), F.first("signature").alias("signature")), "nodes")
+    nodes = rows.filter("n > 0").groupBy("node", "node2").agg(F.min(F.coalesce("id", F.lit(NULL_ID))).alias("id"), F.first("n").alias("n"), F.count(F.lit(1)).alias("w"), F.first("signature").alias("signature"))
+    nodes = scratch.keep(nodes.withColumn("no", F.monotonically_increasing_id()), "nodes")  # written, so the numbers stay
     rows = rows.drop("signature")
 
     def prefixes(batches):
@@ -303,14 +307,14 @@ def _joined(docs: DataFrame, k: int, percent: int, sketch_bits: int, doc_id: str
             for s in sets(b.column(1).to_pylist(), k):
                 if not len(s):
                     continue
-                node = set_hash(s)
+                node = set_hashes(s)
                 if node not in seen:
                     seen.add(node)
                     n = len(s)
                     first = s[np.argsort(ranks[(s >> shift).astype(np.int64)], kind="stable")[: n + (-percent * n // 100) + 1]]
                     hs.append(first)
                     ns.append(np.full(len(first), n, np.int32))
-                    ids.append(np.full(len(first), node, np.int64))
+                    ids.append(np.full(len(first), node[0], np.int64))
             if hs:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(ns)), pa.array(np.concatenate(ids))], ["h", "n", "node"])
 
@@ -370,14 +374,14 @@ def _joined(docs: DataFrame, k: int, percent: int, sketch_bits: int, doc_id: str
     members = scratch.keep(nodes.join(groups, "node").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / step).cast("int")), "members")
     whole = members.groupBy("g").agg(F.sum("n").alias("gn"), F.count(F.lit(1)).alias("gm")).withColumn("small", (F.col("gm") <= 2 * BLOCK_DOCS) & (F.col("gn") <= 2 * BLOCK_SHINGLES)).select("g", "small")
     members = members.join(whole, "g")
-    small = members.filter("small").select("g", F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(0).alias("s"), F.lit(0).alias("t"), F.lit(0).alias("side"), "node", "id", "n", "w")
+    small = members.filter("small").select("g", F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(0).alias("s"), F.lit(0).alias("t"), F.lit(0).alias("side"), "no", "node", "node2", "id", "n", "w")
     large = members.filter("not small")
     parts = large.groupBy("g", "band").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_DOCS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"))
     around = parts.select("g", "band", "parts").union(parts.select("g", F.col("band") + 1, "parts")).union(parts.select("g", F.col("band") - 1, "parts")).select("g", "band").distinct()
     table = around.join(parts, ["g", "band"], "left")
     other = lambda by, name: parts.select("g", (F.col("band") + by).alias("band"), F.col("parts").alias(name))
     table = table.join(other(-1, "above"), ["g", "band"], "left").join(other(1, "below"), ["g", "band"], "left").filter("parts is not null").na.fill(0)
-    large = large.join(table, ["g", "band"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    large = large.join(table, ["g", "band"]).withColumn("own", F.pmod(F.xxhash64("no"), F.col("parts")).cast("int"))
     upto = lambda c: F.expr(f"if({c} > 0, sequence(0, {c} - 1), cast(array() as array<int>))")
     as_task = lambda lo, hi, s, t, side: F.struct(lo.alias("lo"), hi.alias("hi"), s.alias("s"), t.alias("t"), side.alias("side"))
     band, own = F.col("band"), F.col("own")
@@ -386,7 +390,8 @@ def _joined(docs: DataFrame, k: int, percent: int, sketch_bits: int, doc_id: str
         F.transform(upto("above"), lambda x: as_task(band, band + 1, own, x, F.lit(0))),
         F.transform(upto("below"), lambda x: as_task(band - 1, band, x, own, F.lit(1))),
     )
-    large = large.select("g", F.explode(jobs).alias("j"), "node", "id", "n", "w").select("g", "j.lo", "j.hi", "j.s", "j.t", "j.side", "node", "id", "n", "w")
+    own_columns = ["no", "node", "node2", "id", "n", "w"]
+    large = large.select("g", F.explode(jobs).alias("j"), *own_columns).select("g", "j.lo", "j.hi", "j.s", "j.t", "j.side", *own_columns)
     work_rows = scratch.keep(small.union(large), "work")
     wanted = texts.drop("th").withColumn("id", F.coalesce("id", F.lit(NULL_ID))).join(work_rows.drop("n").hint("merge"), "id").drop("id")  # either side grows with the input
 
@@ -395,10 +400,10 @@ def _joined(docs: DataFrame, k: int, percent: int, sketch_bits: int, doc_id: str
         nodes_, side, w, found, known = [], [], [], [], set()
         for at in range(0, t.num_rows, 256):
             part = t.slice(at, 256)
-            for s, node, one, weight in zip(sets(part["text"].to_pylist(), k), part["node"].to_pylist(), part["side"].to_pylist(), part["w"].to_pylist(), strict=True):
-                if node not in known and len(s) and set_hash(s) == node:  # another row may have the same id
-                    known.add(node)
-                    nodes_.append(node)
+            for s, no, *key, one, weight in zip(sets(part["text"].to_pylist(), k), *(part[c].to_pylist() for c in ("no", "node", "node2", "side", "w")), strict=True):
+                if no not in known and len(s) and set_hashes(s) == tuple(key):  # another row may have the same id
+                    known.add(no)
+                    nodes_.append(no)
                     side.append(one)
                     w.append(weight)
                     found.append(s)
@@ -412,13 +417,13 @@ def _joined(docs: DataFrame, k: int, percent: int, sketch_bits: int, doc_id: str
         return pa.table({"a": pa.array(np.concatenate([nodes_[some], nodes_[joined]]), pa.int64()), "b": pa.array(np.concatenate([links[some], nodes_[label[joined]]]), pa.int64()), "edge": pa.array(np.concatenate([np.zeros(len(some), bool), np.ones(len(joined), bool)]))})
 
     found = scratch.keep(wanted.groupBy("g", "lo", "hi", "s", "t").applyInArrow(multiply, "a long, b long, edge boolean"), "found")
-    links = found.filter("not edge").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("links"))
-    comps = components(found.filter("edge").select("a", "b"), scratch, "links").withColumnsRenamed({"component": "c"})
-    nodes = nodes.join(links, "node", "left").join(comps, "node", "left").withColumn("c", F.coalesce("c", "node"))
-    nodes = scratch.keep(nodes.select("node", "id", "w", "links", "c"), "result")
+    links = found.filter("not edge").groupBy(F.col("a").alias("no")).agg(F.sum("b").alias("links"))
+    comps = components(found.filter("edge").select("a", "b"), scratch, "links").withColumnsRenamed({"node": "no", "component": "c"})
+    nodes = nodes.join(links, "no", "left").join(comps, "no", "left").withColumn("c", F.coalesce("c", "no"))
+    nodes = scratch.keep(nodes.select("node", "node2", "id", "w", "links", "c"), "result")
     lowest = nodes.groupBy("c").agg(F.min("id").alias("lowest"))
-    by_node = nodes.join(lowest, "c").select("node", "c", "lowest", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"))
-    return rows.join(by_node, "node", "left").select("id", "th", "n", "n_links", "c", "lowest")
+    by_node = nodes.join(lowest, "c").select("node", "node2", "c", "lowest", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"))
+    return rows.join(by_node, ["node", "node2"], "left").select("id", "th", "n", "n_links", "c", "lowest")
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

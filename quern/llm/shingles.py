@@ -114,3 +114,9 @@ def sets(texts: list[str | None], k: int) -> list[np.ndarray]:
 
 def set_hash(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
+def set_hashes(s: np.ndarray) -> tuple[int, int]:
+    """128 bits that tell sets apart, as two numbers."""
+    raw = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+    return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
