@@ -104,12 +104,13 @@ def write_libraries(df: DataFrame, path: str) -> None:
     df.select("repo_path", "repo", "file", "imports").write.mode("overwrite").json(path)
 
 
-def merged(profiles_: DataFrame, label: DataFrame, timestamp: int, team: str | None = None) -> DataFrame:
-    """The lines of one JSON document of all profiles, a profile a line, as ``value`` in the order of ``no``.
+def merged(profiles_: DataFrame, label: DataFrame, timestamp: int, team: str | None = None, program: str | None = None) -> DataFrame:
+    """The lines of one JSON document of all profiles, a profile a line, as ``value`` in the order of ``no``; with the hash of a program's file, if one is given.
 
     The profiles stream through the one task that writes the document; they are never gathered in a row.
     """
     extra = [F.lit(team).alias("team")] if team else []
+    extra += [F.lit(file_hash(program)).alias("hc")] if program else []
     head = F.to_json(F.struct(F.col("label").alias("user"), F.lit(timestamp).alias("timestamp"), *extra))
     first = label.select(F.lit(0).cast("bigint").alias("no"), F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(',"profiles":[')).alias("value"))
     rows = profiles_.select(F.to_json(F.struct(*profiles_.columns)).alias("p")).select(F.row_number().over(Window.orderBy("p")).cast("bigint").alias("no"), "p")

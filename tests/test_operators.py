@@ -290,10 +290,10 @@ def test_documents_and_libraries(spark, tmp_path):
     profiles = spark.createDataFrame([("r", "a@x", 1), ("s", "a@x", 1)], "repo string, author string, timestamp bigint")
     edited = FS.edited(profiles, spark.createDataFrame([("b",), ("a",)], "skill string"), 9).collect()
     assert [(r.repo, r.timestamp, r.nr_skills) for r in sorted(edited)] == [("r", 9, ["a", "b"]), ("s", 9, ["a", "b"])]
-    doc = FS.merged(profiles, spark.createDataFrame([("l",)], "label string"), 3)
+    doc = FS.merged(profiles, spark.createDataFrame([("l",)], "label string"), 3, program=__file__)
     FS.write_document(doc, str(tmp_path / "d"))
     text = "\n".join(x.value for x in spark.read.text(str(tmp_path / "d")).collect())
-    assert [p["repo"] for p in json.loads(text)["profiles"]] == ["r", "s"]
+    assert [p["repo"] for p in json.loads(text)["profiles"]] == ["r", "s"] and json.loads(text)["hc"] == FS.file_hash(__file__)
     FS.write_document(FS.merged(profiles.limit(0), spark.createDataFrame([("l",)], "label string"), 3), str(tmp_path / "e"))
     assert json.loads("\n".join(x.value for x in spark.read.text(str(tmp_path / "e")).collect())) == {"user": "l", "timestamp": 3, "profiles": []}
 
