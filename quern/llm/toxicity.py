@@ -35,7 +35,7 @@ WINDOW, STEP = 16, 4
 #: Longest string that may become a landmark.
 LONGEST = 64
 #: Words whose evidence one worker remembers, and characters looked at in one go. Neither changes a score.
-CACHE, POOLED, AT_ONCE = 400_000, 1_000_000, 400_000
+CACHE, POOLED, AT_ONCE = 400_000, 200_000, 400_000
 #: Three or more words in a row of one or two characters: what gaps of white space make of a word.
 _GAPPED = re.compile(r"(?<!\S)\S{1,2}(?:\s+\S{1,2}){2,}(?!\S)")
 _THRICE = re.compile(r"(.)\1{2,}", re.S)
@@ -173,7 +173,7 @@ class _Table:
 
     def __init__(self, maps: list[dict[int, float]]):
         codes = np.unique(np.array([c for m in maps for c in m], np.int64))
-        self.row = np.full(SYMBOLS**3, len(codes), np.int32)
+        self.row = np.full(SYMBOLS**3, len(codes), np.int16 if len(codes) < 2**15 else np.int32)
         self.row[codes] = np.arange(len(codes))
         self.weights = np.zeros((len(codes) + 1, len(maps)), np.float32)
         for j, m in enumerate(maps):
@@ -206,6 +206,7 @@ class Landmarks:
     def __init__(self, strings: list[str]):
         self.strings, maps = strings, [features(m) for m in strings]
         self.groups: list[np.ndarray] = []
+        self.every: _Table | None = None
         if not strings:
             return
         self.every = _Table(maps)
@@ -283,6 +284,7 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model, self.landmarks, self.reader = model, Landmarks(model.landmarks), Reader()
+        self.landmarks.every = None  # texts only meet the groups' tables
         self.known: dict[str, float] = {}
 
     def evidence(self, words: list[str]) -> np.ndarray:
@@ -327,19 +329,25 @@ def unlike(strings: list[str], most: int, alike: float = 0.8) -> list[str]:
     return [strings[i] for i in own]
 
 
-def plane(x: np.ndarray, y: np.ndarray, penalty: float) -> np.ndarray:
-    """Weights and bias of the squared-hinge support vector machine, both classes weighing the same; the bias is hardly penalised."""
+def plane(x: np.ndarray, y: np.ndarray, penalty: float, use: np.ndarray | None = None, block: int = 2048) -> np.ndarray:
+    """Weights and bias of the squared-hinge support vector machine over the rows in use, both classes weighing the same; the bias is hardly penalised."""
+    use = np.ones(len(x), bool) if use is None else use
     s = np.where(y > 0, 1.0, -1.0)
-    w = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum()))
-    z = np.c_[x, np.ones(len(x))]
-    ridge, v, before = penalty * np.eye(z.shape[1]), np.zeros(z.shape[1]), None
+    w = np.where(y > 0, 0.5 / max(1, ((y > 0) & use).sum()), 0.5 / max(1, ((y <= 0) & use).sum()))
+    ridge, v, before = penalty * np.eye(x.shape[1] + 1), np.zeros(x.shape[1] + 1), None
     ridge[-1, -1] = 1e-6
     for _ in range(100):  # Newton steps over the rows inside the margin
-        active = s * (z @ v) < 1
+        active = use & (s * (x @ v[:-1] + v[-1]) < 1)
         if before is not None and np.array_equal(active, before):
             break
-        za, wa = z[active], w[active]
-        v, before = np.linalg.solve(za.T @ (wa[:, None] * za) + ridge, za.T @ (wa * s[active])), active
+        left, right = ridge.copy(), np.zeros(len(v))
+        for at in range(0, len(x), block):
+            rows = at + np.flatnonzero(active[at : at + block])
+            z = np.c_[x[rows], np.ones(len(rows))]
+            wz = w[rows, None] * z
+            left += wz.T @ z
+            right += wz.T @ s[rows]
+        v, before = np.linalg.solve(left, right), active
     return v
 
 
@@ -365,12 +373,14 @@ def fit(sums: np.ndarray, y: np.ndarray, landmarks: list[str], penalty: float =
     values, vectors = np.linalg.eigh(soft(Landmarks(landmarks).kernel(landmarks).astype("f8")))
     keep = values > 1e-2 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
-    x, unseen = sums @ root, np.zeros(len(y))
+    x, unseen = np.empty((len(y), root.shape[1])), np.zeros(len(y))
+    for at in range(0, len(y), 2048):
+        x[at : at + 2048] = sums[at : at + 2048] @ root
     v = plane(x, y, penalty)
     for k in range(folds):
         out = np.arange(len(y)) % folds == k
         if out.any() and len(set(y[~out])) == 2:
-            other = plane(x[~out], y[~out], penalty)
+            other = plane(x, y, penalty, ~out)
             unseen[out] = x[out] @ other[:-1] + other[-1]
         else:
             unseen[out] = x[out] @ v[:-1] + v[-1]
@@ -418,6 +428,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, landmarks: i
     def pool(batches):
         let_go()
         scale, seen = Landmarks(held.value), {}
+        scale.every = None  # texts only meet the groups' tables
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 rows = b.slice(at, 256).column(0).to_pylist()
@@ -432,7 +443,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, landmarks: i
                 yield pa.RecordBatch.from_arrays([pa.array(sums, pa.list_(pa.float32())), b.slice(at, 256).column(1)], ["sums", "y"])
 
     got = bag.select("words", "y").mapInArrow(pool, "sums array<float>, y int").toArrow()  # at most 2 * sample rows
-    sums = np.asarray(got["sums"].combine_chunks().flatten()).astype("f8").reshape(-1, len(marks))
+    sums = np.asarray(got["sums"].combine_chunks().flatten()).reshape(-1, len(marks))
     return fit(sums, np.asarray(got["y"]).astype(float), marks)
 
 
