@@ -85,6 +85,14 @@ def op10_line_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passage_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from quern.llm.bpe import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op3_near_vectors": op3_near_vectors,
@@ -97,6 +105,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_line_dedup": op10_line_dedup,
     "op10_line_passages": op10_line_passages,
+    "op12_byte_bpe": op12_byte_bpe,
 }
 
 ORACLES = {
