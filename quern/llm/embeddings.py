@@ -53,18 +53,22 @@ class CoverTree:
                 loose = self._take(loose, centres[at : at + BATCH * 8], at, least, owner, dot)
             while len(loose):
                 first, loose = loose[:BATCH], loose[BATCH:]
-                near = x[first] @ x[first].T >= least
+                dots = x[first] @ x[first].T
+                near = dots >= least
                 free, new = np.ones(len(first), bool), []
                 for i in range(len(first)):
                     if free[i]:
                         new.append(i)
                         free &= ~near[i]
+                refused = np.flatnonzero(~np.isin(np.arange(len(first)), new))
+                if len(refused):  # by the product that refused them: another one may round another way
+                    theirs = dots[new][:, refused]
+                    nearest = theirs.argmax(axis=0)
+                    owner[first[refused]], dot[first[refused]] = size + nearest, theirs[nearest, np.arange(len(refused))]
                 new = first[new]
                 place[new] = np.arange(size, size + len(new))
                 order.append(new)
                 parent.append(before[new])
-                left = self._take(first[place[first] < 0], new, size, least, owner, dot)
-                assert not len(left)
                 loose = self._take(loose, new, size, least, owner, dot)
                 owner[new], dot[new] = place[new], 1.0
                 size += len(new)
@@ -267,7 +271,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, block_bytes: int = 8
     dealt to balls around pivots, the top of a tree that no task holds whole: one pivot for each block, so the
     pivots follow the label. A node visits another ball only within the ball's covering radius plus the threshold,
     and balls and their visitors are cut into parts by hash, so a task holds a bounded number of vectors whatever a
-    label's size. All pivots together take ``pivot_bytes`` of memory at most, the largest labels first; a label that
+    label's size; a ball is sent as often as its own visitors, not the label, fill tasks. All pivots together take ``pivot_bytes`` of memory at most, the largest labels first; a label that
     has none is one ball, which prunes less and finds the same pairs. In a task, cover trees are walked pair by
     pair (:func:`near_pairs`); it returns sums of links and a spanning forest, never the pairs.
 
@@ -329,26 +333,46 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, block_bytes: int = 8
     else:
         celled, balls = celled.withColumns({"cell": F.lit(0), "far": F.lit(0.0)}), {}
 
+    def guests(batches):
+        """How many vectors of this task visit each ball."""
+        found: dict = {}
+        for b in batches:
+            cells = np.asarray(b.column("cell"))
+            for (name, dim), at in groups(b):
+                if (name, dim) in centres:
+                    d = chords(_matrix(b.column("e").take(pa.array(at)), dim) @ centres[name, dim].T)
+                    for c in range(d.shape[1]):
+                        if (name, dim, c) in balls:
+                            comes = int(((cells[at] < c) & (d[:, c] <= balls[name, dim, c][0] + reach)).sum())
+                            found[name, dim, c] = found.get((name, dim, c), 0) + comes
+        names, dims, cs = zip(*found, strict=True) if found else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(dims, pa.int32()), pa.array(cs, pa.int32()), pa.array(found.values(), pa.int64())], ["label", "dim", "cell", "visits"])
+
+    visits: dict = {}
+    if centres:
+        counted = celled.mapInArrow(guests, "label string, dim int, cell int, visits long").groupBy("label", "dim", "cell").agg(F.sum("visits").alias("visits"))
+        visits = {(r["label"], r["dim"], r["cell"]): r["visits"] for r in counted.collect()}
+
     def deal(batches):
         for b in batches:
             h = np.asarray(b.column("h")).astype("u8")
             cells, n, blocks = np.asarray(b.column("cell")), np.asarray(b.column("n")), np.asarray(b.column("block"))
             for (name, dim), at in groups(b):
                 k, total, block = (name, dim), int(n[at[0]]), int(blocks[at[0]])
-                g_all = max(1, -(-total // (8 * block)))
-                own, guest = cells[at], (h[at] >> np.uint64(20)) % np.uint64(g_all)
-                known = [(c, *balls[name, dim, c]) for c in range(len(centres[k])) if (name, dim, c) in balls] if k in centres else [(0, 2.0, total)]
+                own = cells[at]
+                known = [(c, *balls[name, dim, c], visits.get((name, dim, c), 0)) for c in range(len(centres[k])) if (name, dim, c) in balls] if k in centres else [(0, 2.0, total, 0)]
                 d = chords(_matrix(b.column("e").take(pa.array(at)), dim) @ centres[k].T) if k in centres else None
-                for c, radius, m in known:
-                    subs = max(1, -(-m // block))
+                for c, radius, m, v in known:
+                    subs, g_all = max(1, -(-m // block)), max(1, -(-(m + v) // (8 * block)))
+                    guest = (h[at] >> np.uint64(20)) % np.uint64(g_all)
                     sub = (h[at] >> np.uint64(8)) % np.uint64(subs)
                     here = own == c
-                    visits = own < c
+                    visitors = own < c
                     if d is not None:
-                        visits &= d[:, c] <= radius + reach
+                        visitors &= d[:, c] <= radius + reach
                     for s in range(subs):
                         sent = [(at[here & (sub == s)], g, True) for g in range(g_all)]
-                        comes = visits | (here & (sub < s))
+                        comes = visitors | (here & (sub < s))
                         sent += [(at[comes & (guest == g)], g, False) for g in range(g_all)]
                         for take, g, home in sent:
                             if len(take):

@@ -64,6 +64,60 @@ def test_labels_dealt_to_balls_and_parts(spark):
     assert got(near_vectors(spark.createDataFrame(rows, SCHEMA), 0.93, block_bytes=16 * 8 * 12, pivot_bytes=0)) == brute(rows, 0.93)
 
 
+@pytest.mark.parametrize("entries", [(-1, 0, 1), (0, 1), (-1, 1)])
+def test_quantised_vectors(entries):
+    """Points lie exactly on the nets' radii, where products of different shapes round differently."""
+    for seed in range(500):
+        rng = np.random.default_rng(seed)
+        dim = int(rng.choice([3, 4, 7, 16, 64]))
+        x = np.unique(rng.choice(entries, size=(int(rng.integers(2, 120)), dim)).astype("f8"), axis=0)
+        x = x[np.abs(x).max(axis=1) > 0]
+        if not len(x):
+            continue
+        x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+        exact = x @ x.T
+        cosine = 0.93 if dim > 16 else float(rng.choice([0.5, 0.7, 0.93]))
+        sure = np.abs(exact - cosine) > 1e-12
+        if not sure.all():
+            cosine -= 1e-9
+        near = exact >= cosine
+        np.fill_diagonal(near, False)
+        links, _ = near_pairs(x, np.ones(len(x), np.int64), np.arange(len(x)), None, cosine)
+        assert (links == near.sum(axis=1)).all()
+
+
+def test_quantised_labels_in_the_query(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(y) for y in rng.choice([-1, 0, 1], 12)], int(i % 40), "x") for i in range(900)]
+    assert got(near_vectors(spark.createDataFrame(rows, SCHEMA), 0.93)) == brute(rows, 0.93)
+    assert got(near_vectors(spark.createDataFrame([(a, b, 0, d) for a, b, _, d in rows], SCHEMA), 0.81, block_bytes=20 * 8 * 12)) == brute([(a, b, 0, d) for a, b, _, d in rows], 0.81)
+
+
+def dealt(spark, n, monkeypatch):
+    """Rows that near_vectors deals out, as its tasks get them: clusters of one label, more of them the larger n."""
+    from quern.llm import embeddings
+
+    seen = spark.sparkContext.accumulator(0)
+    whole = embeddings.near_pairs
+
+    def counting(x, w, first, second, cosine):
+        seen.add(len(first) + (0 if second is None else len(second)))
+        return whole(x, w, first, second, cosine)
+
+    monkeypatch.setattr(embeddings, "near_pairs", counting)
+    x = clustered(4, n // 50, 50, 4, 0.001)
+    rows = [(i, [float(y) for y in v], 0, "x") for i, v in enumerate(x)]
+    near_vectors(spark.createDataFrame(rows, SCHEMA), 0.9999, block_bytes=200 * 8 * 4).write.format("noop").mode("overwrite").save()
+    monkeypatch.undo()
+    return seen.value
+
+
+def test_what_is_dealt_grows_with_the_label(spark, monkeypatch):
+    """Once by the label's size, not by its square: a ball is repeated for its visitors alone."""
+    small, large = dealt(spark, 4000, monkeypatch), dealt(spark, 16000, monkeypatch)
+    assert large < 8 * small
+
+
 def test_empty_table(spark):
     df = near_vectors(spark.createDataFrame([], SCHEMA))
     assert df.columns == ["vec_id", "n_links", "component_id", "kept"] and df.collect() == []
