@@ -257,6 +257,7 @@ def _joined(docs: DataFrame, k: int, percent: int, sketch_bits: int, doc_id: str
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngrams")
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"), _text_hash(F.col(text)).alias("th"))
+    texts = texts.withColumn("th2", F.xxhash64(F.lit(7), F.coalesce("text", F.lit(""))))  # rows without an identifier, or of one, are told apart by their texts
     slots, shift = 1 << sketch_bits, np.uint64(64 - sketch_bits)
     width = min(slots, 1 << 16)
 
@@ -264,7 +265,7 @@ def _joined(docs: DataFrame, k: int, percent: int, sketch_bits: int, doc_id: str
         """Rows (id, th, n, node, node2, signature) of documents, then this task's counters in slices, whose numbers stand in the place of id."""
         let_go()
         counters, waiting = np.zeros(slots, np.int32), []
-        names = ["id", "th", "n", "node", "node2", "counts", "signature"]
+        names = ["id", "th", "th2", "n", "node", "node2", "counts", "signature"]
         for b in batches:
             found = sets(b.column(1).to_pylist(), k)
             waiting += found
@@ -272,13 +273,13 @@ def _joined(docs: DataFrame, k: int, percent: int, sketch_bits: int, doc_id: str
                 np.add.at(counters, (np.concatenate(waiting) >> shift).astype(np.int64), 1)
                 waiting = []
             keys = [set_hashes(s) if len(s) else (None, None) for s in found]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(s) for s in found], pa.int64()), pa.array([x for x, _ in keys], pa.int64()), pa.array([x for _, x in keys], pa.int64()), pa.nulls(len(found), pa.binary()), pa.array([_signature(s) for s in found], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array([len(s) for s in found], pa.int64()), pa.array([x for x, _ in keys], pa.int64()), pa.array([x for _, x in keys], pa.int64()), pa.nulls(len(found), pa.binary()), pa.array([_signature(s) for s in found], pa.binary())], names)
         if waiting:
             np.add.at(counters, (np.concatenate(waiting) >> shift).astype(np.int64), 1)
         for i in range(0, slots, 16 * width):
             some = [(j // width, _packed(counters[j : j + width])) for j in range(i, min(slots, i + 16 * width), width)]
             some = [x for x in some if x[1]]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in some], pa.int64()), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64()), pa.array([x[1] for x in some], pa.binary()), pa.nulls(len(some), pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in some], pa.int64()), *[pa.nulls(len(some), pa.int64())] * 5, pa.array([x[1] for x in some], pa.binary()), pa.nulls(len(some), pa.binary())], names)
 
     def add_up(batches):
         """Sums of each slice that this task has, one slice at a time in memory for each."""
@@ -288,16 +289,17 @@ def _joined(docs: DataFrame, k: int, percent: int, sketch_bits: int, doc_id: str
                 _unpack(c, sums.setdefault(i, np.zeros(width, np.int64)))
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([int(x.sum()) for x in sums.values()], pa.int64()), pa.array([_levels(x).tobytes() for x in sums.values()], pa.binary())], ["id", "total", "level"])
 
-    both = scratch.keep(texts.mapInArrow(read, "id long, th long, n long, node long, node2 long, counts binary, signature binary"), "rows")
-    rows = both.filter("counts is null").select("id", "th", "n", "node", "node2", "signature")
+    both = scratch.keep(texts.mapInArrow(read, "id long, th long, th2 long, n long, node long, node2 long, counts binary, signature binary"), "rows")
+    rows = both.filter("counts is null").select("id", "th", "th2", "n", "node", "node2", "signature")
     slices = both.filter("counts is not null").select("id", "counts").repartition(partitions(spark), "id").mapInArrow(add_up, "id long, total long, level binary")
     level = np.zeros(slots, np.uint8)  # of a fixed size, whatever the input
     for r in slices.select("id", "level").toLocalIterator():
         level[r["id"] * width : (r["id"] + 1) * width] = np.frombuffer(r["level"], np.uint8)
     levels = spark.sparkContext.broadcast(level)
-    nodes = rows.filter("n > 0").groupBy("node", "node2").agg(F.min(F.coalesce("id", F.lit(NULL_ID))).alias("id"), F.first("n").alias("n"), F.count(F.lit(1)).alias("w"), F.first("signature").alias("signature"))
+    nodes = rows.filter("n > 0").groupBy("node", "node2").agg(F.min(F.struct(F.coalesce("id", F.lit(NULL_ID)).alias("id"), "th", "th2")).alias("row"), F.first("n").alias("n"), F.count(F.lit(1)).alias("w"), F.first("signature").alias("signature"))
+    nodes = nodes.select("node", "node2", "row.*", "n", "w", "signature")
     nodes = scratch.keep(nodes.withColumn("no", F.monotonically_increasing_id()), "nodes")  # written, so the numbers stay
-    rows = rows.drop("signature")
+    rows = rows.drop("signature", "th2")
 
     def prefixes(batches):
         let_go()
@@ -374,7 +376,8 @@ def _joined(docs: DataFrame, k: int, percent: int, sketch_bits: int, doc_id: str
     members = scratch.keep(nodes.join(groups, "node").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / step).cast("int")), "members")
     whole = members.groupBy("g").agg(F.sum("n").alias("gn"), F.count(F.lit(1)).alias("gm")).withColumn("small", (F.col("gm") <= 2 * BLOCK_DOCS) & (F.col("gn") <= 2 * BLOCK_SHINGLES)).select("g", "small")
     members = members.join(whole, "g")
-    small = members.filter("small").select("g", F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(0).alias("s"), F.lit(0).alias("t"), F.lit(0).alias("side"), "no", "node", "node2", "id", "n", "w")
+    own_columns = ["no", "node", "node2", "id", "th", "th2", "w"]
+    small = members.filter("small").select("g", F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(0).alias("s"), F.lit(0).alias("t"), F.lit(0).alias("side"), *own_columns)
     large = members.filter("not small")
     parts = large.groupBy("g", "band").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_DOCS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"))
     around = parts.select("g", "band", "parts").union(parts.select("g", F.col("band") + 1, "parts")).union(parts.select("g", F.col("band") - 1, "parts")).select("g", "band").distinct()
@@ -390,19 +393,19 @@ def _joined(docs: DataFrame, k: int, percent: int, sketch_bits: int, doc_id: str
         F.transform(upto("above"), lambda x: as_task(band, band + 1, own, x, F.lit(0))),
         F.transform(upto("below"), lambda x: as_task(band - 1, band, x, own, F.lit(1))),
     )
-    own_columns = ["no", "node", "node2", "id", "n", "w"]
     large = large.select("g", F.explode(jobs).alias("j"), *own_columns).select("g", "j.lo", "j.hi", "j.s", "j.t", "j.side", *own_columns)
     work_rows = scratch.keep(small.union(large), "work")
-    wanted = texts.drop("th").withColumn("id", F.coalesce("id", F.lit(NULL_ID))).join(work_rows.drop("n").hint("merge"), "id").drop("id")  # either side grows with the input
+    row_of = ["id", "th", "th2"]
+    once = texts.withColumn("id", F.coalesce("id", F.lit(NULL_ID))).groupBy(*row_of).agg(F.first("text").alias("text"))  # of equal rows, however many, one
+    wanted = once.join(work_rows.hint("merge"), row_of).drop(*row_of)  # either side grows with the input
 
     def multiply(t: pa.Table) -> pa.Table:
         whole_block = (t["lo"][0], t["s"][0]) == (t["hi"][0], t["t"][0])
-        nodes_, side, w, found, known = [], [], [], [], set()
+        nodes_, side, w, found = [], [], [], []
         for at in range(0, t.num_rows, 256):
             part = t.slice(at, 256)
             for s, no, *key, one, weight in zip(sets(part["text"].to_pylist(), k), *(part[c].to_pylist() for c in ("no", "node", "node2", "side", "w")), strict=True):
-                if no not in known and len(s) and set_hashes(s) == tuple(key):  # another row may have the same id
-                    known.add(no)
+                if len(s) and set_hashes(s) == tuple(key):
                     nodes_.append(no)
                     side.append(one)
                     w.append(weight)

@@ -129,3 +129,29 @@ def test_a_run_that_is_a_star_stays_one(monkeypatch, sizes):
     got = [r for b in nj.edges_of_runs(batches, 85, 0) for r in b.to_pylist()]
     assert {(r["a"], r["b"]) for r in got if r["end"] is None} == {(10, 10 + i) for i in range(1, len(sizes))}
     assert not [r for r in got if r["end"] == 2]
+
+
+def test_rows_without_own_ids_cost_what_others_do(spark):
+    """Null, or equal, ids for thousands of near copies: the same links in about the same time, and repeated rows are read once."""
+    import time
+
+    rng = np.random.default_rng(9)
+    vocabulary = np.array(["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(5000)])
+    texts = []
+    for _ in range(700):
+        w = list(rng.choice(vocabulary, 120))
+        texts += [" ".join(w), " ".join([*w[:60], "other", *w[61:]])]
+    texts += [texts[0]] * 1000
+
+    def run(ids):
+        docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(4)
+        began = time.time()
+        found = sorted((r.n_shingles, r.n_links) for r in ngram_join(docs).collect())
+        return found, time.time() - began
+
+    run(range(len(texts)))
+    own, took = run(range(len(texts)))
+    assert own.count((117, 1)) == 1398 and own.count((117, 1001)) == 1002
+    for ids in ([None] * len(texts), [7] * len(texts)):
+        found, longer = run(ids)
+        assert found == own and longer < 2 * took + 2
