@@ -157,14 +157,47 @@ def changed_sides(diff: Text) -> tuple[Column, Column]:
     return side("+"), side("-")
 
 
+def _let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _shared(x: Column, part) -> Column:
+    """How many characters ``part`` of both sides of x has in common: the largest power of two first, then the next."""
+    steps = F.array(*[F.lit(1 << k) for k in range(30, -1, -1)])
+    grown = lambda n, step: F.when((n + step <= x["n"]) & (part(x["a"], n + step) == part(x["b"], n + step)), n + step).otherwise(n)
+    return F.aggregate(F.filter(steps, lambda s: s <= x["n"]), F.lit(0), grown)
+
+
+def _sides(a: Column, b: Column) -> Column:
+    return F.struct(a.alias("a"), b.alias("b"), F.least(F.length(a), F.length(b)).alias("n"))
+
+
+def _trimmed(a: Column, b: Column, f) -> Column:
+    """``f`` of both texts without what they begin and end with alike, which no shortest way of edits touches."""
+    rest = lambda s, n: F.substring(s, n + 1, F.length(s))
+    cut = lambda s, n: F.substring(s, F.lit(1), F.length(s) - n)
+    begun = lambda x: _let(_shared(x, F.left), lambda n: _sides(rest(x["a"], n), rest(x["b"], n)))
+    ended = lambda x: _let(_shared(x, F.right), lambda n: F.struct(cut(x["a"], n).alias("a"), cut(x["b"], n).alias("b")))
+    return _let(_let(_let(_sides(a, b), begun), ended), lambda x: f(x["a"], x["b"]))
+
+
+def edit_distance(a: Text, b: Text) -> Column:
+    """Edit distance, counted over what the texts don't begin and end with alike; null for a null."""
+    a, b = _c(a), _c(b)
+    return F.when(a == b, 0).when(a.isNotNull() & b.isNotNull(), _trimmed(a, b, F.levenshtein))
+
+
 def changed_chars(diff: Text) -> Column:
     """Edit distance between what a diff adds and what it removes, white space left out."""
-    return F.levenshtein(*changed_sides(diff))
+    return edit_distance(*changed_sides(diff))
 
 
 def distance_below(a: Text, b: Text, limit: int) -> Column:
-    """Whether the edit distance is below ``limit``; stops counting there."""
-    return F.levenshtein(_c(a), _c(b), limit - 1) >= 0
+    """Whether the edit distance is below ``limit``: lengths that differ by as much decide alone, and counting stops there."""
+    a, b = _c(a), _c(b)
+    far = F.abs(F.length(a) - F.length(b)) >= limit
+    return F.when(a == b, limit > 0).when(far, False).when(a.isNotNull() & b.isNotNull(), _trimmed(a, b, lambda x, y: F.levenshtein(x, y, limit - 1) >= 0))
 
 
 def is_documentation(s: Text) -> Column:

@@ -89,14 +89,17 @@ def apply_choices(stats: DataFrame, totals: DataFrame, choices: DataFrame, weak:
 
 
 def update_choices(choices: DataFrame, numbers: dict[int, str]) -> DataFrame:
-    """Sets choices by position in the list by lines, from 1, as a person picks them."""
-    from pyspark.sql import Window
+    """Sets choices by position in the list by lines, from 1, as a person picks them; skills are distinct.
 
-    numbered = choices.withColumn("_no", F.row_number().over(Window.orderBy(F.desc("lines"), "skill")))
+    No more of the list is looked at than the largest position picked.
+    """
+    most = max((n for n in numbers if n > 0), default=0)
+    shown = [r["skill"] for r in choices.orderBy(F.desc("lines"), "skill").limit(most).collect()] if most else []
     new = F.col("choice")
     for no, choice in numbers.items():
-        new = F.when(F.col("_no") == no, F.lit(choice)).otherwise(new)
-    return numbered.withColumn("choice", new).drop("_no")
+        if 0 < no <= len(shown):
+            new = F.when(F.col("skill").eqNullSafe(F.lit(shown[no - 1])), F.lit(choice)).otherwise(new)
+    return choices.withColumn("choice", new)
 
 
 def months_as_arrays(stats: DataFrame) -> DataFrame:

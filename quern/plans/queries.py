@@ -139,7 +139,8 @@ def changed_chars(spark, sf):
     side = lambda c: F.regexp_replace(F.col(f"p.{c}"), "[^a-zA-Z]", "")
     d = d.select("doc_id", "line_no", side("a").alias("a"), side("b").alias("b"))
     diff = F.concat(F.lit("+"), "a", F.lit("\n context\n-"), "b")
-    return d.select("doc_id", "line_no", S.changed_chars(diff).cast("bigint").alias("changed"), S.distance_below("a", "b", 50).alias("reformat"))
+    d = d.select("doc_id", "line_no", S.changed_chars(diff).cast("bigint").alias("changed"))
+    return d.withColumn("reformat", F.col("changed") < 50)
 
 
 @query("""

@@ -5,13 +5,17 @@ from __future__ import annotations
 import datetime
 import gzip
 import hashlib
+import itertools
 import os
 import shutil
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import scalars as S
+from quern.operators.numbering import numbered
 
 #: A profile record. Values of a month are of two kinds, so they are two columns here.
 PROFILE = """version string, timestamp bigint, repo_path string, repo string, author string,
@@ -52,16 +56,27 @@ def public_imports(imports: DataFrame, public: DataFrame) -> DataFrame:
 
 
 def lines(spark: SparkSession, path: str, distinct: bool = False) -> DataFrame:
-    """The lines of a text file, also gzipped (by suffix), with their numbers from 0 unless ``distinct``."""
+    """The lines of a text file, also gzipped (by suffix), with their numbers from 0 unless ``distinct``.
+
+    The parts that the file is read in are counted, and each numbers its own lines from where those before it end. How a
+    file is cut depends on the cluster at that time, so the cut lines are kept (on disk) between the two.
+    """
     rows = spark.read.text(path).select(S.strip("value").alias("value"))
     if distinct:
         return rows.distinct()
-    return rows.withColumn("_m", F.monotonically_increasing_id()).withColumn("no", F.row_number().over(Window.orderBy("_m")) - 1).drop("_m")
+    at = F.monotonically_increasing_id()  # the part in the upper bits, the place in it in the lower 33
+    rows = rows.select("value", at.alias("_at")).select("value", F.shiftright("_at", 33).cast("int").alias("_part"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)).alias("_place"))
+    rows = rows.persist(StorageLevel.DISK_ONLY)
+    sizes = {r["_part"]: r["n"] for r in rows.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    starts = list(itertools.accumulate((sizes.get(p, 0) for p in range(max(sizes, default=0))), initial=0))
+    before = F.element_at(F.array(*[F.lit(s).cast("bigint") for s in starts]), F.col("_part") + 1)
+    return rows.select("value", (before + F.col("_place")).alias("no"))
 
 
 def indexed(values: DataFrame, column: str, ordered: bool = True) -> DataFrame:
-    """Distinct values with their places from 0, in order of the values."""
-    return values.select(column).distinct().withColumn("no", F.row_number().over(Window.orderBy(column if ordered else F.xxhash64(column))) - 1)
+    """Distinct values with their places from 0, in order of the values, or of their hashes."""
+    found = values.select(column).distinct()
+    return numbered(found, column) if ordered else numbered(found.withColumn("_h", F.xxhash64(column)), "_h", column).drop("_h")
 
 
 def code_file(spark: SparkSession, path: str) -> DataFrame:
@@ -104,21 +119,66 @@ def write_libraries(df: DataFrame, path: str) -> None:
     df.select("repo_path", "repo", "file", "imports").write.mode("overwrite").json(path)
 
 
+def _head(timestamp: int, team: str | None, program: str | None) -> Column:
+    """How a merged document begins, given its ``label``."""
+    extra = [F.lit(team).alias("team")] if team else []
+    extra += [F.lit(file_hash(program)).alias("hc")] if program else []
+    head = F.to_json(F.struct(F.col("label").alias("user"), F.lit(timestamp).alias("timestamp"), *extra))
+    return F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(',"profiles":['))
+
+
 def merged(profiles_: DataFrame, label: DataFrame, timestamp: int, team: str | None = None, program: str | None = None) -> DataFrame:
     """The lines of one JSON document of all profiles, a profile a line, as ``value`` in the order of ``no``; with the hash of a program's file, if one is given.
 
     The profiles stream through the one task that writes the document; they are never gathered in a row.
     """
-    extra = [F.lit(team).alias("team")] if team else []
-    extra += [F.lit(file_hash(program)).alias("hc")] if program else []
-    head = F.to_json(F.struct(F.col("label").alias("user"), F.lit(timestamp).alias("timestamp"), *extra))
-    first = label.select(F.lit(0).cast("bigint").alias("no"), F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(',"profiles":[')).alias("value"))
+    first = label.select(F.lit(0).cast("bigint").alias("no"), _head(timestamp, team, program).alias("value"))
     rows = profiles_.select(F.to_json(F.struct(*profiles_.columns)).alias("p")).select(F.row_number().over(Window.orderBy("p")).cast("bigint").alias("no"), "p")
     rows = rows.select("no", F.concat(F.when(F.col("no") > 1, ",").otherwise(""), "p").alias("value"))
     last = label.select(F.lit(2**62).alias("no"), F.lit("]}").alias("value"))
     return first.union(rows).union(last)
 
 
+def write_merged(profiles_: DataFrame, label: DataFrame, timestamp: int, path: str, team: str | None = None, program: str | None = None, order: tuple[str, ...] = ("repo", "author"), parts: int | None = None) -> None:
+    """The document of :func:`merged` as one gzip file at ``path``, made by many tasks, in the order of the columns ``order``.
+
+    Each task writes a range of profiles as a gzip member; Spark's committer keeps those of the attempts that succeeded.
+    The members, with the document's beginning, its end and the commas between, are then copied one after another, as
+    bytes, beside ``path`` and renamed: a reader sees a whole document or none, and a failed run leaves neither parts
+    nor a piece of it.
+    """
+    spark = profiles_.sparkSession
+    at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    conf = spark._jsc.hadoopConfiguration()
+    fs, aside = at(path).getFileSystem(conf), f"{path}.{uuid.uuid4().hex}"
+    head = label.select(_head(timestamp, team, program).alias("v")).first()["v"]
+    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = profiles_.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(order)], F.to_json(F.struct(*profiles_.columns)).alias("p"))
+    keys = [f"_{i}" for i in range(len(order))]
+    rows = rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys, "p")
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    try:
+        rows.select(F.concat(F.when(first, "").otherwise(","), "p").alias("value")).write.option("compression", "gzip").option("maxRecordsPerFile", 0).text(f"{aside}.parts")
+        found = sorted((f.getPath().getName(), f.getLen()) for f in fs.globStatus(at(f"{aside}.parts/part-*")))
+        names = [name for name, size in found if size > len(gzip.compress(b""))]  # a task without rows leaves an empty member or none
+        out = fs.create(at(aside), True)
+        out.write(bytearray(gzip.compress(head.encode())))
+        for i, name in enumerate(names):
+            if i:
+                out.write(bytearray(gzip.compress(b",")))
+            part = fs.open(at(f"{aside}.parts/{name}"))
+            spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, 1 << 20, False)
+            part.close()
+        out.write(bytearray(gzip.compress(b"]}\n")))
+        out.close()
+        fs.delete(at(path), True)
+        if not fs.rename(at(aside), at(path)):
+            raise OSError(f"{path} could not be put in its place")
+    finally:
+        fs.delete(at(f"{aside}.parts"), True)
+        fs.delete(at(aside), True)
+
+
 def merged_name(stem: str, day: str | None = None) -> str:
     """Name of a compressed merged document: the stem, the day (today by default) and ``.gz``."""
     return f"{stem}_{day or datetime.datetime.now(datetime.UTC).date().isoformat()}.gz"

@@ -137,3 +137,17 @@ def test_cipher_feedback(spark):
         got = df.withColumn("c", encrypt(F.col("data"), key)).select("n", "data", "c", decrypt(F.col("c"), key).alias("p")).collect()
         assert all(r.p == r.data and (r.c is None) == (r.data is None) and (r.data is None or len(r.c) == len(r.data)) for r in got)
         assert all(r.c != r.data for r in got if r.n > 0)
+
+
+def test_edit_distance_over_what_differs(spark):
+    import random
+
+    r = random.Random(4)
+    rows = [(None, "a"), ("a", None), ("", ""), ("", "abc"), ("abc", "abc"), ("aé\U0001f642b", "aé\U0001f642xb"), ("a" * 5000 + "x" + "b" * 3000, "a" * 5000 + "b" * 3000), ("aa", "aaa"), ("abab", "ab")]
+    for _ in range(400):
+        a = "".join(r.choice("abé") for _ in range(r.randrange(30)))
+        rows.append((a, "".join(c for c in a if r.random() < 0.9) if r.random() < 0.6 else "".join(r.choice("abé") for _ in range(r.randrange(30)))))
+    df = spark.createDataFrame(rows, "a string, b string")
+    got = df.select(S.edit_distance("a", "b").alias("d"), F.levenshtein("a", "b").alias("w"), *[S.distance_below("a", "b", n).alias(f"b{n}") for n in (1, 3, 10)]).collect()
+    for x in got:
+        assert x.d == x.w and all(x[f"b{n}"] == (None if x.w is None else x.w < n) for n in (1, 3, 10))
