@@ -6,24 +6,31 @@ Files go to a folder of their own below ``spark.checkpoint.dir``, or a temporary
 from __future__ import annotations
 
 import atexit
+import itertools
 import os
 import shutil
 import subprocess
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.config import Config
 from quern.functions import scalars as S
 from quern.operators import activity as A
+from quern.operators import distinct as D
 from quern.operators import scoring as SC
+from quern.operators import skills as K
+from quern.operators.numbering import numbered
 from quern.plans import profile as P
-from quern.plans.queries import _CHANGES, QUERIES, query
+from quern.plans.queries import _CHANGES, ORACLES, QUERIES, _scores, query
 from quern.plans.tables import changes, table
 from quern.sources import files as FS
 from quern.sources import git as G
+from quern.streaming import resume as RS
 
 
 def folder(spark: SparkSession) -> str:
@@ -97,7 +104,7 @@ def public_imports(spark, sf):
     return FS.public_imports(rows, FS.public_libraries(spark, _library_files(spark, sf))).select("c_custkey", "lang", "library")
 
 
-@query("SELECT s_name AS value, CAST(row_number() OVER (ORDER BY s_suppkey) - 1 AS INTEGER) AS no FROM supplier")
+@query("SELECT s_name AS value, row_number() OVER (ORDER BY s_suppkey) - 1 AS no FROM supplier")
 def numbered_lines(spark, sf):
     s = table(spark, sf, "supplier").coalesce(1).sortWithinPartitions("s_suppkey").select(F.concat(F.lit("  "), "s_name", F.lit("\t ")))
     return FS.lines(spark, _text(s, f"{folder(spark)}/lines", compression="gzip"))
@@ -109,11 +116,34 @@ def distinct_lines(spark, sf):
     return FS.lines(spark, _text(s.select(F.concat("n_name", F.lit(" "))), f"{folder(spark)}/lines"), distinct=True)
 
 
-@query("SELECT p_brand, CAST(row_number() OVER (ORDER BY p_brand) - 1 AS INTEGER) AS no FROM (SELECT DISTINCT p_brand FROM part)")
+@query("SELECT p_brand, row_number() OVER (ORDER BY p_brand) - 1 AS no FROM (SELECT DISTINCT p_brand FROM part)")
 def indexed_values(spark, sf):
     return FS.indexed(table(spark, sf, "part"), "p_brand")
 
 
+@query("SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber) - 1 AS no FROM lineitem")
+def numbered_rows(spark, sf):
+    """Every line item's place by ship date, in ranges of some ten thousand."""
+    rows = table(spark, sf, "lineitem").select("l_shipdate", "l_orderkey", "l_linenumber")
+    return numbered(rows, "l_shipdate", "l_orderkey", "l_linenumber", rows_a_range=20_000).drop("l_shipdate")
+
+
+@query(ORACLES["merge_summary"])
+def merge_summary_by_bitmaps(spark, sf):
+    """The summary from tables written by repository (codes, bitmaps, lines), the second half of the repositories coded after the first."""
+    at = f"file://{folder(spark)}"
+    activity, totals = A.monthly(changes(spark, sf)), K.skill_totals(_scores(spark, sf))
+    D.summary_values(activity, totals).distinct().write.parquet(f"{at}/values")
+    activity.groupBy("repo").agg(F.sum("added").alias("lines")).write.parquet(f"{at}/lines")
+    values = spark.read.parquet(f"{at}/values")
+    known = None
+    for half in (F.col("repo") < "O", F.col("repo") >= "O"):
+        D.codes(values.filter(half), known).write.parquet(to := f"{at}/codes-{known is None}")
+        known = spark.read.parquet(to)
+        D.bitmaps(values.filter(half), known).write.mode("append").partitionBy("repo").parquet(f"{at}/bitmaps")
+    return D.merged_summary(spark.read.parquet(f"{at}/bitmaps"), spark.read.parquet(f"{at}/lines"))
+
+
 def _nation_files(spark, sf) -> str:
     """One file for each nation: its name and its key, a line each; that of nation 3 isn't UTF-8."""
     at = folder(spark)
@@ -190,8 +220,8 @@ def profile_files(spark, sf):
 
 @query(f"WITH {_CHANGES} SELECT 'label' AS user, 9 AS timestamp, 'crew' AS team, repo, 'c' || author || '@x.org' AS author, o_orderpriority AS skill, CAST(sum(added) AS BIGINT) AS code_lines FROM c GROUP BY ALL")
 def merged_document(spark, sf):
-    at = f"file://{folder(spark)}/merged"
-    FS.write_document(FS.merged(_profiles(spark, sf), spark.createDataFrame([("label",)], "label string"), 9, "crew"), at, compress=True)
+    at = f"file://{folder(spark)}/{FS.merged_name('merged.json', '2024-03-05')}"
+    FS.write_merged(_profiles(spark, sf), spark.createDataFrame([("label",)], "label string"), 9, at, "crew")
     doc = FS.document(spark, at).select("user", F.col("timestamp").cast("int").alias("timestamp"), "team", F.explode("profiles").alias("p"))
     return doc.select("user", "timestamp", "team", "p.repo", "p.author", F.explode("p.skills").alias("s")).select("user", "timestamp", "team", "repo", "author", "s.skill", "s.code_lines")
 
@@ -219,105 +249,222 @@ def report_document(spark, sf):
 
 
 # -- git --------------------------------------------------------------------------------------------------
-def _repository(spark, sf) -> str:
-    """A folder with one repository that has a commit for each supplier, of one of seven people, every five days.
+def _history(nation: int, suppliers) -> Iterator[bytes]:
+    """A repository's commits as git's import format: of each supplier k, in their order, an hour apart, five days from one supplier to the next.
+
+    0. ``src/f<k % 4>.py`` anew with k % 40 + 5 lines; every tenth adds a binary file. By Dev<k % 7>.
+    1. every fifth (k % 5 = 1): ``side/b<k>.py`` on a branch, by Dev<(k + 1) % 7>, and 2. its merge.
+    3. k % 6 = 2: ``lib/r<k>.py`` of 30 lines, which 4. becomes ``lib/s<k>.py``, with one line changed.
+    5. k % 7 = 3: the lines of 0 are indented. 6. k % 8 = 4: ``big/g<k>.py`` of 400 lines.
+    """
+
+    def text(k: int, n: int, indent: str = "", other: int = -1) -> bytes:
+        return "".join(f"{indent}value_{k}_{i} = compute({k * 7919 + i + (i == other)})\n" for i in range(n)).encode()
 
-    Supplier k writes ``src/f<k % 10>.py`` anew with k % 40 + 5 lines; every tenth adds a binary file.
+    def inline(path: str, data: bytes) -> bytes:
+        return f"M 100644 inline {path}\ndata {len(data)}\n".encode() + data + b"\n"
+
+    def commit(k: int, event: int, *files: bytes, by: int = 0, branch: str = "main", parents: str = "") -> bytes:
+        who = f"n <Dev{(k + by) % 7}@X.org> {1577836800 + 432000 * k + 3600 * event} +0000"
+        return f"commit refs/heads/{branch}\nmark :{8 * k + event + 1}\nauthor {who}\ncommitter {who}\ndata 1\nx\n{parents}".encode() + b"".join(files)
+
+    for k in suppliers:
+        path = f"src/f{k % 4}.py"
+        yield commit(k, 0, inline(path, text(k, k % 40 + 5)), *([inline(f"b{k}.bin", b"\x00\x01\x02")] if k % 10 == 0 else []))
+        if k % 5 == 1:
+            side = inline(f"side/b{k}.py", text(k, 12))
+            yield commit(k, 1, side, by=1, branch="side", parents=f"from :{8 * k + 1}\n")
+            yield commit(k, 2, side, parents=f"from :{8 * k + 1}\nmerge :{8 * k + 2}\n")
+        if k % 6 == 2:
+            yield commit(k, 3, inline(f"lib/r{k}.py", text(k, 30)))
+            yield commit(k, 4, f"R lib/r{k}.py lib/s{k}.py\n".encode(), inline(f"lib/s{k}.py", text(k, 30, other=7)))
+        if k % 7 == 3:
+            yield commit(k, 5, inline(path, text(k, k % 40 + 5, indent="    ")))
+        if k % 8 == 4:
+            yield commit(k, 6, inline(f"big/g{k}.py", text(k, 400)))
+
+
+def _repositories(spark, sf) -> DataFrame:
+    """repo_path, repo: a repository of each nation that has suppliers, made by the tasks that have its suppliers, in one pass over them.
+
+    A repository is made aside and moved, so a task that runs again leaves a whole one.
     """
     at = folder(spark)
-    path = f"{at}/team/one"
-    os.makedirs(path)
-    subprocess.run(["git", "init", "-q", "-b", "main", path], check=True, capture_output=True)
-
-    def stream():
-        rows = table(spark, sf, "supplier").select("s_suppkey").orderBy("s_suppkey").toLocalIterator()
-        for (k,) in rows:
-            who = f"n <Dev{k % 7}@X.org> {1577836800 + 432000 * k} +0000"
-            text = "".join(f"value_{k}_{i} = compute({k * 7919 + i})\n" for i in range(k % 40 + 5)).encode()
-            yield f"commit refs/heads/main\nauthor {who}\ncommitter {who}\ndata 1\nx\nM 100644 inline src/f{k % 10}.py\ndata {len(text)}\n".encode() + text
-            if k % 10 == 0:
-                yield f"M 100644 inline b{k}.bin\ndata 3\n".encode() + b"\x00\x01\x02\n"
-
-    with subprocess.Popen(["git", "-C", path, "fast-import", "--quiet"], stdin=subprocess.PIPE) as p:
-        for x in stream():
-            p.stdin.write(x)
-        p.stdin.close()
-    if p.returncode:
-        raise RuntimeError("git fast-import failed")
-    os.makedirs(f"{at}/team/.hidden")
-    return f"{at}/team"
-
-
-_COMMITS = """
-    WITH k AS (SELECT s_suppkey AS k FROM supplier),
-    c AS (SELECT k, 'dev' || k % 7 || '@x.org' AS author, CAST(1577836800 + 432000 * k AS BIGINT) AS ts, CAST(k % 40 + 5 AS BIGINT) AS added, CAST(coalesce(lag(k % 40 + 5) OVER (PARTITION BY k % 10 ORDER BY k), 0) AS BIGINT) AS deleted, 'src/f' || k % 10 || '.py' AS path FROM k)"""
-
-
-@query(_COMMITS + " SELECT 'one' AS repo, author, ts FROM c")
+
+    def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = ((int(n), int(k)) for df in frames for n, k in zip(df["s_nationkey"], df["s_suppkey"], strict=True))
+        for nation, some in itertools.groupby(rows, lambda r: r[0]):
+            aside, path = f"{at}/.making-{uuid.uuid4().hex}", f"{at}/team/n{nation}"
+            subprocess.run(["git", "init", "-q", "-b", "main", aside], check=True, capture_output=True)
+            with subprocess.Popen(["git", "-C", aside, "fast-import", "--quiet", "--force"], stdin=subprocess.PIPE) as p:
+                for x in _history(nation, (k for _, k in some)):
+                    p.stdin.write(x)
+                p.stdin.close()
+            if p.returncode:
+                raise RuntimeError("git fast-import failed")
+            for key, value in (("remote.origin.url", f"git@h:team/n{nation}.git"), ("user.email", f"n{nation}@x.org")):
+                subprocess.run(["git", "-C", aside, "config", key, value], check=True)
+            os.makedirs(f"{at}/team", exist_ok=True)
+            if not os.path.isdir(path):
+                os.rename(aside, path)
+            yield pd.DataFrame([(path, f"n{nation}")], columns=["repo_path", "repo"])
+
+    rows = table(spark, sf, "supplier").select("s_nationkey", "s_suppkey").dropna()
+    rows = rows.repartition("s_nationkey").sortWithinPartitions("s_nationkey", "s_suppkey").mapInPandas(make, "repo_path string, repo string")
+    rows.write.parquet(f"file://{at}/made")  # once
+    return spark.read.parquet(f"file://{at}/made")
+
+
+def _commits(spark, sf) -> DataFrame:
+    return A.parse_commits(G.log(_repositories(spark, sf)).filter("error is null").drop("error"))
+
+
+#: Every changed file of text of :func:`_history`; of a merge what it merges. ``event`` tells the commits of a supplier apart.
+_EVENTS = """
+    WITH k AS (SELECT s_suppkey AS k, 'n' || s_nationkey AS repo, CAST(s_suppkey % 40 + 5 AS BIGINT) AS n FROM supplier),
+    f AS (SELECT *, coalesce(lag(n) OVER (PARTITION BY repo, k % 4 ORDER BY k), 0) AS was FROM k),
+    e AS (
+        SELECT k, repo, 0 AS event, 0 AS by_, 'src/f' || k % 4 || '.py' AS path, n AS added, was AS deleted FROM f
+        UNION ALL SELECT k, repo, 1, 1, 'side/b' || k || '.py', 12, 0 FROM f WHERE k % 5 = 1
+        UNION ALL SELECT k, repo, 2, 0, 'side/b' || k || '.py', 12, 0 FROM f WHERE k % 5 = 1
+        UNION ALL SELECT k, repo, 3, 0, 'lib/r' || k || '.py', 30, 0 FROM f WHERE k % 6 = 2
+        UNION ALL SELECT k, repo, 4, 0, 'lib/s' || k || '.py', 1, 1 FROM f WHERE k % 6 = 2
+        UNION ALL SELECT k, repo, 5, 0, 'src/f' || k % 4 || '.py', n, n FROM f WHERE k % 7 = 3
+        UNION ALL SELECT k, repo, 6, 0, 'big/g' || k || '.py', 400, 0 FROM f WHERE k % 8 = 4),
+    c AS (SELECT *, 'dev' || (k + by_) % 7 || '@x.org' AS author, CAST(1577836800 + 432000 * k + 3600 * event AS BIGINT) AS ts,
+                 event IN (0, 3) AND added >= 20 AS is_new, event = 5 AND added >= 20 AS is_reformat FROM e)"""
+
+
+@query(_EVENTS + " SELECT repo, author, ts FROM c")
 def git_commits(spark, sf):
-    repos = G.repositories(spark, _repository(spark, sf), prune_hidden=True)
+    """A walk over the folder that the repositories lie in."""
+    paths = _repositories(spark, sf)
+    root = os.path.dirname(paths.first()["repo_path"])
+    os.makedirs(f"{root}/.hidden", exist_ok=True)
+    repos = G.repositories(spark, root, prune_hidden=True)
     return A.parse_commits(G.log(repos).filter("error is null").drop("error")).select("repo", "author", "ts")
 
 
-@query(_COMMITS + " SELECT author, ts FROM c WHERE author IN ('dev1@x.org', 'dev4@x.org')")
+@query(_EVENTS + " SELECT repo, author, ts FROM c WHERE author IN ('dev1@x.org', 'dev4@x.org') AND ts >= 1577923200 AND repo <> 'n3'")
 def git_commits_of_some(spark, sf):
-    """The data source, and git's own filter by author; a name of the root and a file with the list of repositories."""
-    root = _repository(spark, sf)
-    with open(f"{root}/list.txt", "w") as f:
-        f.write(f"{root}/one\n\n")
-    (r,) = G.repositories(spark, root, f"{root}/list.txt", "one").collect()
-    spark.dataSource.register(G.GitLog)
-    return spark.read.format("git_log").option("paths", r.repo_path).option("authors", "dev1@x.org,DEV4@x.org").load().select("author", "ts")
+    """The data source in ranges of ten commits, its filters in git's arguments; repositories of a file with their list."""
+    at = f"file://{folder(spark)}/list"
+    _repositories(spark, sf).select("repo_path").write.text(at)
+    paths = [r.repo_path for r in G.repositories(spark, list_file=at).collect()]  # a name each, as the source's option
+    G.register(spark)
+    rows = spark.read.format("git_log").option("paths", ",".join(paths)).option("commits", 10).load()
+    return rows.filter(F.col("author").isin("dev1@x.org", "dev4@x.org") & (F.col("ts") >= 1577836800 + 86400) & (F.col("repo") != "n3")).select("repo", "author", "ts")
 
 
-@query(_COMMITS + " SELECT path, added, deleted, 'py' AS ext FROM c")
+@query(_EVENTS + " SELECT repo, author, ts, path, added, deleted, 'py' AS ext FROM c")
 def git_changes(spark, sf):
-    """Every change of a file of text; git gives no numbers for the binary ones."""
-    commits = A.parse_commits(G.log(G.repositories(spark, _repository(spark, sf))).filter("error is null").drop("error"))
-    return A.supported_changes(A.valid_changes(G.numstat(commits).filter("error is null"))).select("path", "added", "deleted", "ext")
+    """Every change of a file of text, with renames and merges; git gives no numbers for the binary ones."""
+    commits = _commits(spark, sf)
+    rows = A.supported_changes(A.valid_changes(G.numstat(commits).filter("error is null").drop("error")))
+    return rows.join(commits.select("repo_path", "commit_id", "author", "ts"), ["repo_path", "commit_id"]).select("repo", "author", "ts", "path", "added", "deleted", "ext")
+
+
+@query(_EVENTS + " SELECT repo, author, ts, path, added, deleted FROM c WHERE ts < 1609459200")
+def git_changes_in_ranges(spark, sf):
+    """The same numbers by the data source: ranges of seven commits, each one git process, of the time before 2021."""
+    paths = [r.repo_path for r in _repositories(spark, sf).collect()]
+    G.register(spark)
+    rows = spark.read.format("git_numstat").option("paths", ",".join(paths)).option("commits", 7).load().filter(F.col("ts") < 1609459200)
+    return A.supported_changes(A.valid_changes(rows)).select("repo", "author", "ts", "path", "added", "deleted")
 
 
 _MONTH = "CAST(year(make_timestamp(ts * 1000000)) * 100 + month(make_timestamp(ts * 1000000)) AS INTEGER)"
+_ACTIVITY = f"""
+    SELECT repo, author, 'py' AS lang, {_MONTH} AS ym, CAST(sum(CASE WHEN is_reformat THEN 0 ELSE added END) AS BIGINT) AS added,
+           CAST(sum(CASE WHEN is_reformat THEN 0 ELSE deleted END) AS BIGINT) AS deleted, count(*) AS commits,
+           count(*) FILTER (is_new) AS sig_cont, count(*) FILTER (event = 6) AS too_big FROM c GROUP BY ALL"""
 
 
-@query(_COMMITS + f" SELECT author, 'py' AS lang, {_MONTH} AS ym, CAST(sum(added) AS BIGINT) AS added, CAST(sum(deleted) AS BIGINT) AS deleted, count(*) AS commits, count(*) FILTER (added >= 20) AS sig_cont, CAST(0 AS BIGINT) AS too_big FROM c GROUP BY ALL")
+@query(_EVENTS + _ACTIVITY)
 def git_activity(spark, sf):
-    """The whole run: log, numbers, diffs, verdicts, snippets, months."""
-    return P.facts(G.repositories(spark, _repository(spark, sf))).activity.drop("repo")
+    """The whole run: log, numbers, diffs, verdicts (reformats are taken back, too large files counted), snippets, months."""
+    return P.facts(_repositories(spark, sf)).activity
+
+
+@query(_EVENTS + _ACTIVITY)
+def git_activity_resumed(spark, sf):
+    """The same by two runs that go on: the first stops each repository's branch in the middle, the second reads the rest."""
+    at, repos = folder(spark), _repositories(spark, sf)
+    paths = [r.repo_path for r in repos.collect()]
+
+    def move(frames: Iterator[pd.DataFrame], back: bool) -> Iterator[pd.DataFrame]:
+        for df in frames:
+            for path in df["repo_path"]:
+                if back:  # to the middle one of the branch's own commits
+                    own = G.git(path, "rev-list", "--first-parent", "main")[0].split()
+                    G.git(path, "update-ref", "refs/heads/end", own[0])
+                    G.git(path, "update-ref", "refs/heads/main", own[len(own) // 2])
+                else:
+                    G.git(path, "update-ref", "refs/heads/main", "refs/heads/end")
+            yield df[["repo_path"]]
 
+    for back in (True, False):
+        repos.select("repo_path").mapInPandas(lambda frames, back=back: move(frames, back), "repo_path string").write.mode("overwrite").parquet(f"file://{at}/moved")
+        state = RS.advance(spark, paths, f"file://{at}/state", commits=16)
+    return RS.results(state).activity
 
-@query(_COMMITS + " SELECT author, path, added AS n_lines, sha256(string_agg('value_' || k || '_' || i || ' = compute(' || (k * 7919 + i) || ')', chr(10) ORDER BY i)) AS snippet FROM (SELECT *, unnest(range(0, added)) AS i FROM c WHERE added >= 20) GROUP BY k, author, path, added")
+
+@query(
+    _EVENTS
+    + """ SELECT repo, author, path, added AS n_lines, sha256(string_agg('value_' || k || '_' || i || ' = compute(' || (k * 7919 + i) || ')', chr(10) ORDER BY i)) AS snippet
+    FROM (SELECT *, unnest(range(0, added)) AS i FROM c WHERE is_new) GROUP BY k, event, repo, author, path, added"""
+)
 def git_snippets(spark, sf):
-    """The snippets of all diffs: of files of 20 added lines and more, the whole file."""
-    f = P.facts(G.repositories(spark, _repository(spark, sf)), folder=f"{folder(spark)}/run")
-    return f.snippets.select("author", "path", "n_lines", S.sha256("snippet").alias("snippet"))
+    """The snippets of all diffs: of new files of 20 added lines and more, the whole file."""
+    f = P.facts(_repositories(spark, sf), folder=f"file://{folder(spark)}/run")
+    return f.snippets.select("repo", "author", "path", "n_lines", S.sha256("snippet").alias("snippet"))
 
 
-@query("SELECT 'one' AS repo, 'git@h:team/one.git' AS remote, 'dev@x.org' AS email")
+@query("SELECT DISTINCT 'n' || s_nationkey AS repo, 'git@h:team/n' || s_nationkey || '.git' AS remote, 'n' || s_nationkey || '@x.org' AS email FROM supplier")
 def git_settings(spark, sf):
-    root = _repository(spark, sf)
-    for key, value in (("remote.origin.url", "git@h:team/one.git"), ("user.email", "dev@x.org")):
-        subprocess.run(["git", "-C", f"{root}/one", "config", key, value], check=True)
-    rows = G.with_remotes(G.repositories(spark, root)).select("repo", "remote")
-    return rows.withColumn("email", F.lit(G.config_value(f"{root}/one", "user.email")))
+    return G.settings(_repositories(spark, sf), remote="remote.origin.url", email="user.email").select("repo", "remote", "email")
 
 
-@query(_COMMITS + " SELECT author, count(DISTINCT author) AS count FROM c GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
+@query(_EVENTS + " SELECT author, count(DISTINCT repo) AS count FROM c GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
 def git_authors(spark, sf):
-    """The people of a walk over repositories, most repositories first."""
-    lines = G.log(G.repositories(spark, _repository(spark, sf))).filter("error is null")
+    """The people of all repositories, those of most repositories first."""
+    lines = G.log(_repositories(spark, sf)).filter("error is null")
     return A.author_ranking(lines.select("repo", F.split("line", "\x01")[0].alias("raw_author")))
 
 
-@query(_COMMITS + f", m AS (SELECT author, count(DISTINCT {_MONTH}) AS n, max(added) AS most FROM c GROUP BY 1) SELECT 'one' AS repo, author, 'py' AS lang FROM m WHERE n >= 15 AND most >= 20")
+@query(_EVENTS + f", m AS (SELECT repo, author, count(DISTINCT {_MONTH}) AS n, count(*) FILTER (is_new) AS news FROM c GROUP BY ALL) SELECT repo, author, 'py' AS lang FROM m WHERE n >= 2 AND news > 0")
 def active_languages(spark, sf):
-    """The languages that are scored: of fifteen months of activity and more, with a snippet."""
-    return P.active_languages(P.facts(G.repositories(spark, _repository(spark, sf))), Config(min_months=15))
+    """The languages that are scored: of two months of activity and more, with a snippet."""
+    return P.active_languages(P.facts(_repositories(spark, sf)), Config(min_months=2))
 
 
-@query(_COMMITS + ", s AS (SELECT k, author, added, path FROM c WHERE added >= 20) SELECT author, path, CAST(added AS INTEGER) AS line_count, 'c2s::m' AS model, count(*) AS n FROM s, (SELECT unnest(range(2))) GROUP BY k, author, path, added")
+_SCORED = ", s AS (SELECT * FROM c WHERE is_new)"
+
+
+@query(_EVENTS + _SCORED + " SELECT repo, author, path, CAST(added AS INTEGER) AS line_count, model, count(*) AS n FROM s, (SELECT unnest(['c2s::m', 'i2s::m']) AS model), (SELECT unnest(range(2))) GROUP BY k, event, repo, author, path, added, model")
 def scored_chunks(spark, sf):
-    """Every snippet here is one chunk, since it is short, and is scored against two skills."""
-    f = P.facts(G.repositories(spark, _repository(spark, sf)))
-    scores = P.scored(f, {"c2s::m": SC.stub_loader(["a", "b"])}, {"c2s::m": ["a", "b"]}, config=Config(chunk_chars=10_000))
-    return scores.groupBy("commit_id", "author", "path", "line_count", "model").agg(F.count(F.lit(1)).alias("n")).drop("commit_id")
+    """Every snippet here is one chunk, since it is short, and is scored against two skills by two models, one of them fed with the file's libraries."""
+    f = P.facts(_repositories(spark, sf))
+    libraries = f.changes.select("repo", "path", F.concat(F.lit("import "), F.split("path", "/")[0]).alias("libs")).distinct()
+    tags = {"c2s::m": SC.stub_loader(["a", "b"]), "i2s::m": SC.stub_loader(["a", "b"])}
+    scores = P.scored(f, tags, dict.fromkeys(tags, ["a", "b"]), config=Config(chunk_chars=10_000), libraries=libraries)
+    return scores.groupBy("repo", "commit_id", "author", "path", "line_count", "model").agg(F.count(F.lit(1)).alias("n")).drop("commit_id")
+
+
+@query(
+    _EVENTS
+    + f""", a AS ({_ACTIVITY}),
+    m AS (SELECT repo, author, count(*) AS n, CAST(sum(added) AS BIGINT) AS added, CAST(sum(sig_cont) AS BIGINT) AS sig_cont FROM a GROUP BY ALL HAVING count(*) >= 2 AND sum(sig_cont) > 0),
+    w AS (SELECT repo, author, min({_MONTH}) AS st, max({_MONTH}) AS et FROM c WHERE added > 10 GROUP BY ALL)
+    SELECT repo, author, CAST(7 AS BIGINT) AS timestamp, 'py' AS lang, st, et, CAST(n AS INTEGER) AS months, added, sig_cont FROM m JOIN w USING (repo, author)"""
+)
+def repository_profiles(spark, sf):
+    """The end of a run: a record for each repository and author with a language of two months, written as JSON lines and read back."""
+    config = Config(min_months=1)
+    f = P.facts(_repositories(spark, sf))
+    scores = P.scored(f, {"c2s::m": SC.stub_loader(["a", "b"])}, {"c2s::m": ["a", "b"]}, config=config)
+    at = f"file://{folder(spark)}/profiles"
+    FS.write_profiles(P.profiles(f, scores, 7, Config(min_months=2)), at)
+    rows = FS.profiles(spark, at).select("repo", "author", F.col("timestamp").cast("long").alias("timestamp"), F.explode("langs").alias("l"))
+    total = lambda c: F.aggregate(F.col("l.months"), F.lit(0).cast("long"), lambda s, x: s + x[c])
+    return rows.select("repo", "author", "timestamp", "l.lang", "l.st", "l.et", F.size("l.months").alias("months"), total("added").alias("added"), total("sig_cont").alias("sig_cont"))

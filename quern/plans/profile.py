@@ -31,8 +31,8 @@ class Facts:
     errors: DataFrame
 
 
-class _Steps:
-    """Makes every table that git is run for once: written below ``folder``, from where an interrupted run goes on, or kept on the executors' disks."""
+class Steps:
+    """Makes every table that git is run for, or that is read more than once, one time: written below ``folder``, from where an interrupted run goes on, or kept on the executors' disks."""
 
     def __init__(self, folder: str | None):
         self.folder = folder
@@ -53,18 +53,23 @@ def facts(repos: DataFrame, authors: Iterable[str] | None = None, months: int |
     Git runs once for each table: log, changes, then diffs. With ``folder`` (which driver and executors share) these are
     written there, and a run that finds one whole reads it instead of running git again.
     """
-    steps = _Steps(folder)
+    steps = Steps(folder)
     lines = steps.once("log", G.log(repos, months, authors or ()))
     commits = A.allowed(A.active_authors(A.by_authors(A.parse_commits(lines.filter("error is null").drop("error")), authors), config), allow)
+    return facts_of(commits, lines.filter("error is not null").select("repo_path", "repo", "error"), steps, config, compat)
+
+
+def facts_of(commits: DataFrame, unread: DataFrame, steps: Steps, config: Config = Config(), compat: bool = False) -> Facts:  # noqa: B008
+    """The tables of a run over ``commits`` (repo_path, repo, author, ts, commit_id); ``unread`` (repo_path, repo, error) has no log."""
     numbers = steps.once("numstat", G.numstat(commits))
     stats = A.supported_changes(A.valid_changes(numbers.filter("error is null").drop("error")))
     changes = A.without_huge_commits(stats, config.huge_commit_lines).join(commits.select("repo_path", "repo", "commit_id", "author", "ts"), ["repo_path", "repo", "commit_id"])
-    changes = changes.withColumn("ym", S.year_month("ts"))
+    changes = steps.once("changes", changes.withColumn("ym", S.year_month("ts")))
     wanted = A.analysed_files(changes, config)
     src, dst = G.prefixes()
     shows = steps.once("shows", G.shows(wanted, src, dst).withColumns({"src": F.lit(src), "dst": F.lit(dst)}))
     diffs = SN.file_diffs(shows.filter("error is null").drop("error"), "src", "dst", compat).drop("src", "dst").join(wanted.select("repo_path", "commit_id", "path", "author", "ext", "ym", "added"), ["repo_path", "commit_id", "path"])
-    diffs = diffs.withColumn("verdict", SN.verdict(F.col("added"), F.col("segment"), F.col("body"), config))
+    diffs = steps.once("diffs", diffs.withColumn("verdict", SN.verdict(F.col("added"), F.col("segment"), F.col("body"), config)))
     keys = ["repo_path", "repo", "commit_id", "path", "author", "ext", "ym"]
     snippets = SN.added_runs(diffs.filter("verdict = 'analysed'"), keys, "body", config.min_snippet_lines)
     seen = diffs.select("repo_path", "commit_id", "path", (F.col("verdict") == "reformat").alias("reformat"), (F.col("verdict") == "2big").cast("bigint").alias("too_big"))
@@ -73,7 +78,8 @@ def facts(repos: DataFrame, authors: Iterable[str] | None = None, months: int |
     runs = snippets.groupBy("repo", "author", F.col("ext").alias("lang"), "ym").agg(F.count(F.lit(1)).alias("sig_cont"))
     on = ["repo", "author", "lang", "ym"]
     activity = A.monthly(counted, F.col("reformat")).join(big, on, "left").join(runs, on, "left").na.fill(0, ["sig_cont", "too_big"])
-    failed = [t.filter("error is not null").select("repo_path", "repo", F.lit(n).alias("step"), c.alias("commit_id"), "error") for t, n, c in ((lines, "log", F.lit(None).cast("string")), (numbers, "numstat", F.col("commit_id")), (shows, "show", F.col("commit_id")))]
+    failed = [unread.select("repo_path", "repo", F.lit("log").alias("step"), F.lit(None).cast("string").alias("commit_id"), "error")]
+    failed += [t.filter("error is not null").select("repo_path", "repo", F.lit(n).alias("step"), "commit_id", "error") for t, n in ((numbers, "numstat"), (shows, "show"))]
     return Facts(commits, changes, diffs, snippets, activity, A.spans(changes, config), failed[0].union(failed[1]).union(failed[2]))
 
 
@@ -101,7 +107,7 @@ def scored(f: Facts, loaders: dict[str, SC.Loader], vocabularies: dict[str, list
     for tag, loader in loaders.items():
         k = config.top_quality if tag.startswith("life_of_py") else config.top_skills
         text = "libs" if tag.startswith("i2s") else "chunk"
-        part = SC.ranked(SC.logits(chunks, loader, vocabularies[tag], keys, config.batch_rows, text), keys, k=k).withColumn("model", F.lit(tag))
+        part = SC.best(chunks, loader, vocabularies[tag], keys, k, config.batch_rows, text).withColumn("model", F.lit(tag))
         out = part if out is None else out.unionByName(part)
     return out.withColumnRenamed("ext", "lang")
 

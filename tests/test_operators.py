@@ -203,7 +203,7 @@ def test_a_run_goes_on_from_its_folder(spark, repo, tmp_path, monkeypatch):
     repos = G.repositories(spark, str(repo))
     first = P.facts(repos, folder=str(tmp_path / "run"))
     want = rows(first.activity), sorted(r.path for r in first.snippets.collect())
-    assert {x.name for x in (tmp_path / "run").iterdir()} == {"log", "numstat", "shows"}
+    assert {x.name for x in (tmp_path / "run").iterdir()} == {"log", "numstat", "changes", "shows", "diffs"}
     gone = repos.withColumn("repo_path", F.concat("repo_path", F.lit("-moved")))  # git would find nothing any more
     again = P.facts(gone, folder=str(tmp_path / "run"))
     assert (rows(again.activity), sorted(r.path for r in again.snippets.collect())) == want and again.errors.count() == 0
@@ -228,7 +228,7 @@ def test_languages_of_few_months_are_not_scored(spark, repo):
 
 
 def test_git_source_and_errors(spark, repo, tmp_path):
-    spark.dataSource.register(G.GitLog)
+    G.register(spark)
     df = spark.read.format("git_log").option("paths", f"{repo / 'one'},{tmp_path}").load()
     assert {(r.repo, r.author) for r in df.filter("error is null").collect()} == {("one", "dev@x.org")} and df.filter("error is null").count() == 2
     (bad_row,) = df.filter("error is not null").collect()
