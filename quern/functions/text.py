@@ -288,14 +288,15 @@ def documentation_lines_udf(code: Column | str, ext: Column | str) -> Column:
     return count(code, ext)
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _documentation_udf(code: pd.Series, ext: pd.Series) -> pd.Series:
-    return pd.Series([documentation((c or "").split("\n"), e or "") for c, e in zip(_strings(code), _strings(ext), strict=True)], dtype=object)
+def documentation_of(code: Column | str, ext: Column | str) -> Column:
+    """The documentation comments of code, also of languages that are registered when the plan is made."""
+    known = {e: COMMENTS.get(e) for e in LANGUAGES}
 
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def found(code: pd.Series, ext: pd.Series) -> pd.Series:
+        return pd.Series([documentation((c or "").split("\n"), e or "", known) for c, e in zip(_strings(code), _strings(ext), strict=True)], dtype=object)
 
-def documentation_of(code: Column | str, ext: Column | str) -> Column:
-    """The documentation comments of code of the engine's own languages."""
-    return _documentation_udf(code, ext)
+    return found(code, ext)
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -323,9 +324,18 @@ def imports_of(code: Column, ext: Column, compat: bool = False) -> Column:
     return out.otherwise(F.array().cast("array<string>"))
 
 
-@F.pandas_udf(T.StringType())
-def mask_udf(text: pd.Series) -> pd.Series:
-    return pd.Series([mask(x) for x in _strings(text)], dtype=object)
+def mask_of(text: Column | str, share: float = 0.5) -> Column:
+    """:func:`mask` in the JVM: a fold over the hash's bytes takes one place after another out of those that are hidden."""
+    text = F.col(text) if isinstance(text, str) else text
+    n, digest = F.length(text), F.sha2(text.cast("binary"), 256)
+    byte = lambda i: F.conv(F.substring(digest, 2 * i + 1, F.lit(2)), 16, 10).cast("int")
+    shown = F.least(F.lit(32), F.greatest(F.lit(0), F.ceil(n * share).cast("int") - 4))
+    without = lambda places, k: F.concat(F.slice(places, F.lit(1), k), F.slice(places, k + 2, F.size(places)))
+    steps = F.when(shown > 0, F.sequence(F.lit(0), shown - 1)).otherwise(F.array().cast("array<int>"))
+    hidden = F.aggregate(steps, F.sequence(F.lit(2), n - 3), lambda places, i: without(places, byte(i) % F.size(places)))
+    # an array of the one value, so that the fold is done once and not for every character
+    chars = F.transform(F.array(hidden), lambda gone: F.array_join(F.transform(F.split(text, ""), lambda c, i: F.when(F.array_contains(gone, i), "*").otherwise(c)), ""))
+    return F.when(n == 0, text).when(n <= 2, F.concat(F.left(text, F.lit(1)), F.lit("*"))).when(n <= 6, F.rpad(F.left(text, F.lit(2)), n, F.lit("*"))).when(n.isNotNull(), chars[0])
 
 
 @F.pandas_udf(T.StringType())

@@ -114,12 +114,12 @@ def anonymous(profiles: DataFrame, keep_names: bool) -> DataFrame:
     A hidden path is the hash of the remote, or of the name where there is no such remote: the key by which copies of a
     repository at different paths are known as one.
     """
-    from quern.functions.text import mask_udf
+    from quern.functions.text import mask_of
 
     remote = F.when(F.col("remote").contains(F.col("repo")), F.col("remote"))
     if keep_names:
         return profiles.withColumn("repo_path", F.coalesce(remote, "repo_path"))
-    return profiles.withColumns({"repo_path": S.sha256(F.coalesce(remote, "repo")), "repo": mask_udf("repo")})
+    return profiles.withColumns({"repo_path": S.sha256(F.coalesce(remote, "repo")), "repo": mask_of("repo")})
 
 
 def public_only(profiles: DataFrame) -> DataFrame:

@@ -523,7 +523,7 @@ _MASKED = """
 
 @query(_MASKED + " SELECT c_custkey, masked FROM masked")
 def anonymized_names(spark, sf):
-    return table(spark, sf, "customer").select("c_custkey", TX.mask_udf("c_name").alias("masked"))
+    return table(spark, sf, "customer").select("c_custkey", TX.mask_of("c_name").alias("masked"))
 
 
 @query(
@@ -551,69 +551,79 @@ def documentation_of_texts(spark, sf):
     return table(spark, sf, "documents").select("doc_id", TX.documentation_lines_udf(F.concat(F.lit('"""'), F.coalesce("text", F.lit("")), F.lit('\n"""\nx = 1')), F.lit("py")).alias("n"))
 
 
-def _values(rows) -> str:
-    """Rows as SQL values."""
-    quote = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
-    return "VALUES " + ", ".join("(" + ", ".join(map(quote, r)) + ")" for r in rows)
-
-
 _LONG = ("a line of prose that goes on for a while and then some more " * 3).strip()
 #: Code, its language, and the documentation comments it has, joined by a bar.
 _DOCUMENTED = [
-    (1, "java", "/**\n * One.\n * Two.\n */\nint x;", "One.\n Two."),
-    (2, "js", "/* begin\n  more\n*/\nf()", "begin\nmore"),
-    (3, "c", "/* one line */\nint x;", ""),
+    (1, "java", "/**\n * One @.\n * Two.\n */\nint x;", "One @.\n Two."),
+    (2, "js", "/* begin\n  more @\n*/\nf()", "begin\nmore @"),
+    (3, "c", "/* one line @ */\nint x;", ""),
     (4, "go", f"// {_LONG}\n// {_LONG}\nx := 1", f"{_LONG}\n {_LONG}"),
     (5, "go", "// short\nx := 1", ""),
     (6, "cs", f"/*\n{_LONG}\n{_LONG}", f"{_LONG}\n{_LONG}"),
     (7, "rs", "/* never closed", ""),
-    (8, "rb", "=begin\nSays a lot.\n=end\ndef x\nend", "Says a lot."),
+    (8, "rb", "=begin\nSays a lot of @.\n=end\ndef x\nend", "Says a lot of @."),
     (9, "rb", "# no block\ndef x\nend", ""),
-    (10, "lua", "--[[ first\nsecond ]]\nlocal x", "first\nsecond"),
+    (10, "lua", "--[[ first\nsecond @ ]]\nlocal x", "first\nsecond @"),
     (11, "lua", f"-- {_LONG}\n-- {_LONG}\nlocal x", f"{_LONG}\n {_LONG}"),
-    (12, "ex", '@moduledoc """\nWhat it does.\nAnd how.\n"""\ndef f, do: 1', "What it does.\nAnd how."),
-    (13, "exs", "@doc false\ndef f, do: 1", ""),
-    (14, "py", 'def f():\n    """Says.\n\n    More.\n    """\n    return 1', "Says.\n\nMore."),
+    (12, "ex", '~moduledoc """\nWhat @ does.\nAnd how.\n"""\ndef f, do: 1', "What @ does.\nAnd how."),
+    (13, "exs", "~doc false\ndef @, do: 1", ""),
+    (14, "py", 'def f():\n    """Says @.\n\n    More.\n    """\n    return 1', "Says @.\n\nMore."),
     (15, "py", '"""One line."""\nx = 1', ""),
-    (16, "py", "'''\nold marks\n'''", "\nold marks"),
+    (16, "py", "'''\nold @ marks\n'''", "\nold @ marks"),
     (17, "py", 'a = 1\nthe end of a text"""', "\nthe end of a text"),
-    (18, "unknown", "/* a\nb */", ""),
+    (18, "unknown", "/* a\n@ */", ""),
 ]
 
 
-@query("SELECT CAST(n AS INTEGER) AS n, docs FROM (" + _values([(n, d) for n, _, _, d in _DOCUMENTED]) + ") AS t(n, docs)")
+_BRAND = "replace(p_brand, '#', '')"
+
+
+def _case(cases: list[tuple], i: int) -> str:
+    """In SQL: a part's case by its key, with its brand in the place of each @, and of ~ the @ of a language."""
+    quoted = ", ".join("'" + c[i].replace("'", "''") + "'" for c in cases)
+    return f"replace(replace(list_extract([{quoted}], CAST(p_partkey % {len(cases)} + 1 AS INTEGER)), '@', {_BRAND}), '~', '@')"
+
+
+def _of_part(cases: list[tuple], i: int):
+    """The same as a column of ``part``."""
+    text = F.element_at(F.array(*[F.lit(c[i]) for c in cases]), (F.col("p_partkey") % len(cases) + 1).cast("int"))
+    return F.replace(F.replace(text, F.lit("@"), F.replace("p_brand", F.lit("#"), F.lit(""))), F.lit("~"), F.lit("@"))
+
+
+@query(f"SELECT p_partkey, {_case(_DOCUMENTED, 3)} AS docs FROM part")
 def documentation_comments(spark, sf):
-    cases = spark.createDataFrame([(n, e, c) for n, e, c, _ in _DOCUMENTED], "n int, ext string, code string")
-    return cases.select("n", F.array_join(TX.documentation_of("code", "ext"), "|").alias("docs"))
+    """Every part has a piece of code, by its key, that names its brand."""
+    p = table(spark, sf, "part").select("p_partkey", _of_part(_DOCUMENTED, 2).alias("code"), _of_part(_DOCUMENTED, 1).alias("ext"))
+    return p.select("p_partkey", F.array_join(TX.documentation_of("code", "ext"), "|").alias("docs"))
 
 
 #: Code, its language, and the libraries it imports.
 _IMPORTING = [
-    (1, "java", "import java.util.List;\nimport static x.Y;\nimport a.b.*;\n// import no.no;", "java.util.List,a.b.*"),
-    (2, "js", "import React from 'react';\nimport x from \"y\";\nconst z = 1", "react"),
-    (3, "tsx", "import a from 'b-c'; import d from 'e';", "b-c,e"),
-    (4, "c", '#include <stdio.h>\n#include "own/x.h"', "stdio.h,own/x.h"),
-    (5, "h", "  #include <a.h>", "a.h"),
-    (6, "cs", "using System.IO;\nusing (var x = 1) {}", "System.IO"),
-    (7, "php", "require_once 'a.php';\ninclude(\"b.php\");\ninclude \"c.php\";", "a.php,c.php"),
-    (8, "rb", "require 'json'\nrequire_relative 'x'", "json"),
-    (9, "lua", "local x = require \"socket\"\nrequire('no')", "socket"),
-    (10, "rs", "use std::io;\nuse a::{b, c};", "std::io"),
-    (11, "swift", "import Foundation\n  import No", "Foundation"),
-    (12, "dart", "import dart.io;\nimport 'package:x/x.dart';", "dart.io"),
-    (13, "ex", "import a from 'b';\nalias X.Y", "b"),
-    (14, "py", "import os, sys as system\nfrom a.b import c\nx = 1", "a.b.c,os,sys"),
-    (15, "go", 'import (\n"fmt"\n"net/http"\n)', "fmt,net/http"),
-    (16, "scala", "import scala.io.Source", "scala.io.Source"),
-    (17, "kt", "import kotlin.math.max\nval x = 1", "kotlin.math.max"),
+    (1, "java", "import java.util.List;\nimport static x.Y;\nimport a.@.*;\n// import no.no;", "java.util.List,a.@.*"),
+    (2, "js", "import React from '@';\nimport x from \"y\";\nconst z = 1", "@"),
+    (3, "tsx", "import a from 'b-c'; import d from '@';", "b-c,@"),
+    (4, "c", '#include <stdio.h>\n#include "own/@.h"', "stdio.h,own/@.h"),
+    (5, "h", "  #include <@.h>", "@.h"),
+    (6, "cs", "using System.@;\nusing (var x = 1) {}", "System.@"),
+    (7, "php", "require_once 'a.php';\ninclude(\"b.php\");\ninclude \"@.php\";", "a.php,@.php"),
+    (8, "rb", "require '@'\nrequire_relative 'x'", "@"),
+    (9, "lua", "local x = require \"@\"\nrequire('no')", "@"),
+    (10, "rs", "use std::@;\nuse a::{b, c};", "std::@"),
+    (11, "swift", "import @\n  import No", "@"),
+    (12, "dart", "import dart.@;\nimport 'package:x/x.dart';", "dart.@"),
+    (13, "ex", "import a from '@';\nalias X.Y", "@"),
+    (14, "py", "import os, sys as system\nfrom a.b import @\nx = 1", "a.b.@,os,sys"),
+    (15, "go", 'import (\n"fmt"\n"net/@"\n)', "fmt,net/@"),
+    (16, "scala", "import scala.@.Source", "scala.@.Source"),
+    (17, "kt", "import kotlin.@.max\nval x = 1", "kotlin.@.max"),
     (18, "md", "import x", ""),
 ]
 
 
-@query("SELECT CAST(n AS INTEGER) AS n, libs FROM (" + _values([(n, x) for n, _, _, x in _IMPORTING]) + ") AS t(n, libs)")
+@query(f"SELECT p_partkey, {_case(_IMPORTING, 3)} AS libs FROM part")
 def import_statements(spark, sf):
-    cases = spark.createDataFrame([(n, e, c) for n, e, c, _ in _IMPORTING], "n int, ext string, code string")
-    return cases.select("n", F.array_join(TX.imports_of(F.col("code"), F.col("ext"), compat=True), ",").alias("libs"))
+    p = table(spark, sf, "part").select("p_partkey", _of_part(_IMPORTING, 2).alias("code"), _of_part(_IMPORTING, 1).alias("ext"))
+    return p.select("p_partkey", F.array_join(TX.imports_of(F.col("code"), F.col("ext"), compat=True), ",").alias("libs"))
 
 
 @query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'os,pkg.a,pkg.b' WHEN 1 THEN 'fmt,' || p_brand ELSE 'x.' || replace(p_brand, '#', '') END AS libs FROM part")
@@ -628,24 +638,45 @@ def imports_of_code(spark, sf):
     return p.select("p_partkey", F.array_join(TX.imports_of(code, ext), ",").alias("libs"))
 
 
-_FILES_OF_EXPERTS = [("a/x.py", "python"), ("x.tsx", "javascript"), ("x.JS", "others"), ("b.cs", "java_or_csharp"), ("c.go", "go"), ("d.rs", "others"), ("Makefile", "others"), (".py", "others")]
+_FILES_OF_EXPERTS = [("a/@.py", "python"), ("@.tsx", "javascript"), ("@.JS", "others"), ("b.@.cs", "java_or_csharp"), ("@/c.go", "go"), ("@.rs", "others"), ("@", "others"), (".py", "others")]
 
 
-@query("SELECT * FROM (" + _values(_FILES_OF_EXPERTS) + ") AS t(path, expert)")
+@query(f"SELECT p_partkey, {_case(_FILES_OF_EXPERTS, 0)} AS path, {_case(_FILES_OF_EXPERTS, 1)} AS expert FROM part")
 def experts(spark, sf):
-    return spark.createDataFrame([(p,) for p, _ in _FILES_OF_EXPERTS], "path string").select("path", S.expert("path").alias("expert"))
+    return table(spark, sf, "part").select("p_partkey", _of_part(_FILES_OF_EXPERTS, 0).alias("path")).withColumn("expert", S.expert("path"))
 
 
 #: What zeros become under a key of zeros, a published vector of the cipher.
 _ZEROS = "66E94BD4EF8A2C3B884CFA59CA342B2EF795BD4A52E29ED713D313FA20E98DBC"
 
 
-@query("SELECT CAST(n AS INTEGER) AS n, c, CAST(NULL AS VARCHAR) AS wrong FROM (" + _values([(n, _ZEROS[: 2 * n]) for n in (0, 5, 16, 31, 32)]) + ") AS t(n, c)")
+@query(f"""
+    SELECT c_custkey, left('{_ZEROS}', CAST(2 * (c_custkey % 33) AS INTEGER)) AS zeros,
+           hex(CAST(xor(CAST(encode(left(c_name, 16)) AS BIT), CAST(unhex('{_ZEROS[:32]}') AS BIT)) AS BLOB)) AS first, c_name AS plain, true AS other FROM customer""")
 def cipher_feedback(spark, sf):
+    """Of every customer as many zeros as its key says and its name, under a key of zeros; and its name there and back under a key of its own, of one of the three sizes."""
     key = "00" * 16
-    df = spark.createDataFrame([(n,) for n in (0, 5, 16, 31, 32)], "n int").withColumn("data", F.unhex(F.call_function("repeat", F.lit("00"), F.col("n"))))
-    df = df.withColumn("c", CR.encrypt(F.col("data"), key))
-    return df.select("n", F.hex("c").alias("c"), F.when(CR.decrypt(F.col("c"), key) != F.col("data"), "wrong").alias("wrong"))
+    c = table(spark, sf, "customer").select("c_custkey", F.col("c_name").cast("binary").alias("name"))
+    own = F.substring(F.sha2("name", 256), F.lit(1), F.element_at(F.array(F.lit(32), F.lit(48), F.lit(64)), (F.col("c_custkey") % 3 + 1).cast("int")))
+    zeros = F.unhex(F.call_function("repeat", F.lit("00"), (F.col("c_custkey") % 33).cast("int")))
+    c = c.withColumns({"zeros": CR.encrypt(zeros, key), "first": CR.encrypt(F.col("name"), key), "own": own})
+    c = c.withColumn("made", CR.encrypt(F.col("name"), F.col("own")))
+    return c.select("c_custkey", F.hex("zeros").alias("zeros"), F.left(F.hex("first"), F.lit(32)).alias("first"), CR.decrypt(F.col("made"), F.col("own")).cast("string").alias("plain"), (F.col("made") != F.col("name")).alias("other"))
+
+
+@query("SELECT lower(trim(c_name)) AS author, CAST(c_custkey AS BIGINT) AS ts FROM customer WHERE c_custkey % 4 <> 0 AND c_custkey % 5 <> 0")
+def blank_emails(spark, sf):
+    """Lines of a log of which some have no e-mail, or nothing but white space there."""
+    c = table(spark, sf, "customer")
+    who = F.when(F.col("c_custkey") % 4 == 0, " \t ").when(F.col("c_custkey") % 5 == 0, "").otherwise(F.col("c_name"))
+    return A.parse_commits(c.select(F.concat_ws("\x01", who, F.col("c_custkey").cast("string"), F.lit("f00")).alias("line"))).select("author", "ts")
+
+
+@query("SELECT c_mktsegment, count(*) AS n, true AS hex FROM customer GROUP BY c_mktsegment")
+def salted_hashes(spark, sf):
+    """A value that many rows have is another hash in each."""
+    c = table(spark, sf, "customer").select("c_mktsegment", TX.salted_hash("c_mktsegment").alias("h"))
+    return c.groupBy("c_mktsegment").agg(F.count_distinct("h").alias("n"), F.min(F.col("h").rlike("^[0-9a-f]{64}$") & (F.col("h") != F.sha2("c_mktsegment", 256))).alias("hex"))
 
 
 @query("SELECT o_orderkey, CAST(strftime(o_orderdate, '%b') || chr(10) || strftime(o_orderdate, '%Y') AS VARCHAR) AS short, CAST(day(last_day(o_orderdate)) AS INTEGER) AS days FROM orders")
@@ -653,31 +684,30 @@ def dates(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", S.short_date(S.month_of("o_orderdate")).alias("short"), S.days_in_month(F.date_format("o_orderdate", "yyyy-MM")).alias("days"))
 
 
-@query("""
+_PREFIXES = """
     WITH p AS (SELECT 'r' AS repo, 'q' AS qtr, CAST(length(html) AS BIGINT) AS lines, list_filter(string_split(regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', ''), '/'), lambda x: x <> '' AND x <> '.')[: 1 + page_id % 4] AS a FROM pages),
     l AS (SELECT repo, qtr, lines, 1 AS depth, a[1] AS p FROM p WHERE len(a) >= 1 UNION ALL SELECT repo, qtr, lines, 2, a[1] || '/' || a[2] FROM p WHERE len(a) >= 2),
-    t AS (SELECT repo, qtr, depth, CASE WHEN length(p) > 27 THEN left(p, 27) || '...' ELSE p END AS prefix, CAST(sum(lines) AS BIGINT) AS lines FROM l GROUP BY ALL),
-    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY repo, qtr, depth ORDER BY lines DESC, prefix) AS INTEGER) AS rank FROM t)
-    SELECT depth, prefix, lines, rank FROM r WHERE rank <= 3 AND lines > 50""")
-def path_prefix_topk(spark, sf):
+    t AS (SELECT repo, qtr, depth, CASE WHEN length(p) > 27 THEN left(p, 27) || '...' ELSE p END AS prefix, CAST(sum(lines) AS BIGINT) AS lines FROM l GROUP BY ALL)"""
+
+
+def _page_files(spark, sf):
     """Paths of pages, of one to four names each."""
     parts = F.filter(F.split(F.regexp_replace(F.regexp_replace("url", "^https?://", ""), "[?#].*$", ""), "/"), lambda x: (x != "") & (x != "."))
     path = F.array_join(F.slice(parts, F.lit(1), (1 + F.col("page_id") % 4).cast("int")), "/")
-    files = table(spark, sf, "pages").select(F.lit("r").alias("repo"), F.lit("q").alias("qtr"), F.length("html").cast("bigint").alias("lines"), path.alias("path"))
-    return R.top_prefixes(R.path_prefixes(files)).select("depth", "prefix", "lines", "rank")
+    return table(spark, sf, "pages").select(F.lit("r").alias("repo"), F.lit("q").alias("qtr"), F.length("html").cast("bigint").alias("lines"), path.alias("path"))
 
 
-_PATHS = [("README.md", 100), ("src/a.py", 80), ("src/lib/b.py", 70), ("./src/c.py", 60), ("docs/x/y/z.md", 55), ("a_very_long_name_of_a_folder_indeed/x.py", 90), ("tiny.txt", 5)]
-_PREFIXES = [
-    (1, "README.md", 100), (1, "src", 210), (1, "docs", 55), (1, "a_very_long_name_of_a_folde...", 90), (1, "tiny.txt", 5),
-    (2, "src/a.py", 80), (2, "src/lib", 70), (2, "src/c.py", 60), (2, "docs/x", 55), (2, "a_very_long_name_of_a_folde...", 90),
-]
+@query(_PREFIXES + """,
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY repo, qtr, depth ORDER BY lines DESC, prefix) AS INTEGER) AS rank FROM t)
+    SELECT depth, prefix, lines, rank FROM r WHERE rank <= 3 AND lines > 50""")
+def path_prefix_topk(spark, sf):
+    return R.top_prefixes(R.path_prefixes(_page_files(spark, sf))).select("depth", "prefix", "lines", "rank")
 
 
-@query("SELECT CAST(depth AS INTEGER) AS depth, prefix, CAST(lines AS BIGINT) AS lines FROM (" + _values(_PREFIXES) + ") AS t(depth, prefix, lines)")
+@query(_PREFIXES + " SELECT depth, prefix, lines FROM t")
 def path_prefixes(spark, sf):
-    files = spark.createDataFrame(_PATHS, "path string, lines bigint").withColumns({"repo": F.lit("r"), "qtr": F.lit("q")})
-    return R.path_prefixes(files).select("depth", "prefix", "lines")
+    """All prefixes of the pages' paths."""
+    return R.path_prefixes(_page_files(spark, sf)).select("depth", "prefix", "lines")
 
 
 @query("""

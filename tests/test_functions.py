@@ -119,7 +119,7 @@ def test_imports():
 
 def test_udfs_take_nulls(spark):
     df = spark.createDataFrame([(None, None), ("x", "py")], "c string, e string")
-    r = df.select(TX.chunks_udf("c", F.lit("\n"), F.lit(1500), F.lit(100)).alias("a"), TX.documentation_lines_udf("c", "e").alias("b"), TX.imports_udf("c", "e").alias("i"), TX.mask_udf("c").alias("m")).collect()
+    r = df.select(TX.chunks_udf("c", F.lit("\n"), F.lit(1500), F.lit(100)).alias("a"), TX.documentation_lines_udf("c", "e").alias("b"), TX.imports_udf("c", "e").alias("i"), TX.mask_of("c").alias("m")).collect()
     assert [tuple(x) for x in r] == [([], 0, [], None), (["x"], 0, [], "x*")]
     assert df.select(TX.salted_hash("c").alias("h")).filter("h is not null").count() == 1
 
