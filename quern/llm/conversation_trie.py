@@ -303,3 +303,22 @@ def conversation_trie(turns: DataFrame) -> DataFrame:
     """
     scratch = Scratch(turns.sparkSession, "conversations")
     return trie(regrafted(scratch.keep(sequences(turns.select("conv_id", "turn", "role", "text")), "conversations")))
+
+
+#: h is the crc32 of a conversation's digits, byte by byte and bit by bit.
+ORACLE = """
+    WITH t AS (SELECT conv_id, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS x,
+                      CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS words, turn FROM conversations WHERE conv_id IS NOT NULL),
+    own AS (SELECT conv_id, list({'x': x, 'w': words} ORDER BY turn NULLS FIRST, x) AS ts FROM t GROUP BY conv_id),
+    h AS (SELECT *, CAST(xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+              lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, CAST(3988292384 AS BIGINT)) ELSE v >> 1 END)), CAST(4294967295 AS BIGINT)) % 4 AS INTEGER) AS h FROM own),
+    c AS (SELECT h.conv_id, list_concat(coalesce(b.ts[1 : h.h], []), h.ts[h.h + 1 :]) AS ts FROM h LEFT JOIN own b ON b.conv_id = h.conv_id - h.conv_id % 20),
+    p AS (SELECT conv_id, len(ts) AS n, unnest(range(0, len(ts) + 1)) AS depth, ts FROM c),
+    m AS (SELECT conv_id, depth, n = depth AS ends, list_transform(ts[1 : depth], lambda v: v.x) AS path, CASE WHEN depth > 0 THEN ts[depth].w ELSE 0 END AS w FROM p),
+    q AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(w) AS w, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM m GROUP BY path, depth),
+    k AS (SELECT path[1 : depth - 1] AS path, count(*) AS n_children FROM q WHERE depth > 0 GROUP BY 1),
+    a AS (SELECT q.*, coalesce(n_children, 0) AS n_children, (n_convs - 1) * w AS own FROM q LEFT JOIN k USING (path)),
+    e AS (SELECT path[1 : up] AS path, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(own) AS saved FROM (SELECT *, unnest(range(0, depth + 1)) AS up FROM a) GROUP BY 1)
+    SELECT a.conv_id, CAST(a.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, a.n_convs, CAST(a.n_children AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+           CAST(saved AS BIGINT) AS saved_tokens, a.ends_sha256
+    FROM a JOIN e USING (path) LEFT JOIN q u ON a.depth > 0 AND u.path = a.path[1 : a.depth - 1]"""

@@ -7,100 +7,91 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import NULL_ID, Scratch
 
-#: Factor of the rolling hash for each line further back.
-FACTOR = 31
+#: Kinds that lines are told into by their hashes.
+KINDS = 64
 
 
 def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text.cast("string"), F.lit("")), "\n", -1)
 
 
-def _times(factor: int):
-    return lambda x: x * F.lit(factor)
-
-
-def _ends(hashes: Column, window: int, divisor: int) -> Column:
-    """Last line of each chunk: where the rolling hash over ``window`` line hashes is a multiple of ``divisor``, and the last line."""
-    rolling, shifted, size = hashes, hashes, F.size(hashes)
-    for k in range(1, window):
-        shifted = F.concat(F.array(F.lit(0).cast("bigint")), F.slice(shifted, F.lit(1), size - 1))
-        rolling = F.zip_with(rolling, F.transform(shifted, _times(FACTOR**k)), lambda a, b: a + b)
-    marked = F.transform(rolling, lambda x, i: F.when((x % divisor == 0) | (i == size - 1), i))
-    return F.filter(marked, lambda x: x.isNotNull())
-
+def _text_of(span: Column) -> Column:
+    return F.array_join(F.slice(F.col("__q_lines"), span["first"] + 1, span["last"] - span["first"] + 1), "\n")
 
-def _chunked(docs: DataFrame, text: str, window: int, divisor: int) -> DataFrame:
-    """Adds ``__q_lines`` and ``__q_spans``, the array of (first, last) lines of each chunk.
 
-    Each step's column is used more than once by the next, which keeps Catalyst from computing it again for
-    every element.
-    """
+def _paired(docs: DataFrame, text: str) -> DataFrame:
+    """Adds ``__q_lines`` and ``__q_pairs``, (first, last) of every two neighbouring lines that aren't blank, with the blank lines between them."""
     df = docs.withColumn("__q_lines", _lines(F.col(text)))
-    hashed = F.transform("__q_lines", lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("bigint"))
-    df = df.withColumns({"__q_hash": hashed, "__q_n": F.size("__q_lines")})
-    df = df.withColumn("__q_ends", _ends(F.col("__q_hash"), window, divisor))
-    starts = F.concat(F.array(F.lit(0)), F.transform(F.slice("__q_ends", F.lit(1), F.size("__q_ends") - 1), lambda e: e + 1))
-    return df.withColumn("__q_spans", F.arrays_zip(starts.alias("first"), F.col("__q_ends").alias("last"))).drop("__q_hash", "__q_ends")
+    marked = F.transform("__q_lines", lambda x, i: F.when(x.rlike(r"\S"), i))
+    df = df.withColumn("__q_full", F.filter(marked, lambda x: x.isNotNull()))
+    size = F.greatest(F.size("__q_full") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("__q_full", F.lit(1), size), F.slice("__q_full", F.lit(2), size), lambda a, b: F.struct(a.alias("first"), b.alias("last")))
+    return df.withColumn("__q_pairs", pairs).drop("__q_full")
 
 
-def _text_of(span: Column) -> Column:
-    return F.array_join(F.slice(F.col("__q_lines"), span["first"] + 1, span["last"] - span["first"] + 1), "\n")
+def _name(chunk: Column) -> Column:
+    """What a chunk is known by before its bytes are compared."""
+    return F.xxhash64(chunk)
 
 
-def line_dedup(docs: DataFrame, window: int = 2, divisor: int = 4, doc_id: str = "doc_id", text: str = "text", counts: bool = True) -> DataFrame:
+def _chunked(docs: DataFrame, text: str, kinds: int) -> DataFrame:
+    """Adds ``__q_lines`` and ``__q_pairs``, (first, last) line of each chunk of two or more lines that aren't blank.
+
+    A line's hash tells its kind. For each of the ``kinds`` there is a chunking of its own, in which every line of
+    another kind, and the last, ends a chunk. Its chunks of more than a line are the runs of lines of that kind, each with
+    the line that ends it; so one pass over the runs has the chunks of all chunkings, about one a line.
+    """
+    df = docs.withColumn("__q_lines", _lines(F.col(text)))
+    kind = lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("bigint") % kinds
+    full = F.filter(F.transform("__q_lines", lambda x, i: F.when(x.rlike(r"\S"), F.struct(i.alias("i"), kind(x).alias("kind")))), lambda x: x.isNotNull())
+    df = df.withColumn("__q_full", full)
+    before = F.concat(F.array(F.lit(-1).cast("bigint")), F.transform("__q_full", lambda x: x["kind"]))
+    df = df.withColumn("__q_starts", F.filter(F.zip_with("__q_full", F.slice(before, F.lit(1), F.size("__q_full")), lambda x, k: F.when(x["kind"] != k, x["i"])), lambda i: i.isNotNull()))
+    last = F.try_element_at("__q_full", F.lit(-1))["i"]  # the end of the last run's chunk
+    ends = F.concat(F.slice("__q_starts", F.lit(2), F.size("__q_starts")), F.array(last))
+    pairs = F.filter(F.zip_with("__q_starts", ends, lambda a, b: F.struct(a.alias("first"), b.alias("last"))), lambda s: s["last"] > s["first"])
+    return df.withColumn("__q_pairs", pairs).drop("__q_full", "__q_starts")
+
+
+def line_dedup(docs: DataFrame, kinds: int = KINDS, doc_id: str = "doc_id", text: str = "text", counts: bool = True) -> DataFrame:
     """Removes every repeated chunk of two or more lines but its first occurrence; returns all rows and columns.
 
-    A line ends a chunk where the rolling hash over its hash and those of the ``window - 1`` lines before is a
-    multiple of ``divisor`` (the mean chunk has ``divisor`` lines), so an insertion moves only the boundaries
-    next to it. First means the smallest (doc_id, hash of the text, chunk number); null ids come first. Chunks
-    of one line, and blank ones, stay.
+    Boundaries depend on a line's own hash (:func:`_chunked`), so what is around a passage moves at most the chunk at
+    each end of it, where the line next to the passage is by chance (one of ``kinds``) of the kind of the first or last.
+    A line goes if it lies in a chunk that occurs earlier, in the order of (doc_id, hash of the text, line); null ids come
+    first. Chunks of one text that overlap are no copies of each other. A line that repeats alone, and blank ones, stay.
 
-    Candidates come from narrow hashes counted before the shuffle; then the candidates' texts are grouped by
-    their bytes, so equal hashes alone never remove anything. A frequent chunk is one row for each task after
-    partial aggregation, and the joins are of a kind whose large partitions Spark splits.
+    Hashes only name candidates: of chunks with a hash and length that occur twice the bytes are read again and the least and
+    the largest of each hash compared, which partial aggregation does before the shuffle. Where they are one, all are; where
+    they differ, chunks are told apart by their bytes. So equal hashes alone never remove anything, no text of a chunk
+    that occurs once is shuffled, and a frequent chunk is one row for each task.
 
     A null text stays null; an empty text has one empty line. Rows equal in id and text are treated alike: all
-    keep or lose the same chunks. With ``counts``, the columns n_lines, n_removed (lines) and chunks_removed
-    are added (those of the input with these names go).
+    keep or lose the same chunks. With ``counts``, the columns n_lines, n_removed (lines that go) and chunks_removed (their
+    runs) are added (those of the input with these names go).
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    key = [F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("d"), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("th")]
-    narrow = docs.select(*key, F.col(text).cast("string").alias("text"))
-    cut = _chunked(narrow, "text", window, divisor)
-    cut = cut.withColumn("chunks", F.transform("__q_spans", lambda s: F.struct(_text_of(s).alias("chunk"), (s["last"] - s["first"] + 1).alias("n")))).drop("text", "__q_lines")
+    key = _row_of(doc_id, text)
+    narrow = _chunked(docs.select(*key, F.col(text).cast("string").alias("text")), "text", kinds)
+    named = F.transform("__q_pairs", lambda s: F.struct(s["first"].alias("no"), s["last"].alias("to"), _name(_text_of(s)).alias("h"), F.length(_text_of(s)).alias("size")))
     # the outer form, lest Catalyst derive a filter on the array's size and compute all of it again below
-    rows = cut.select("d", "th", F.posexplode_outer("chunks").alias("no", "c")).select("d", "th", "no", F.col("c.n").alias("n"), F.col("c.chunk").alias("chunk"))
-    rows = rows.filter((F.col("n") > 1) & F.col("chunk").rlike(r"\S")).withColumns({"h": F.xxhash64("chunk"), "size": F.length("chunk")})
+    rows = narrow.select("d", "th", named.alias("chunks")).select("d", "th", F.explode_outer("chunks").alias("c")).select("d", "th", "c.*")
+    rows = scratch.keep(rows.filter("h is not null"), "chunks")
     seen = rows.groupBy("h", "size").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").drop("times")
     candidates = scratch.keep(rows.join(seen, ["h", "size"]), "candidates")
-    first = candidates.groupBy("h", "chunk").agg(F.min(F.struct("d", "th", "no")).alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1").drop("times")
-    extra = candidates.join(first, ["h", "chunk"]).filter(F.struct("d", "th", "no") > F.col("first"))
-    gone = scratch.keep(extra.groupBy("d", "th").agg(F.collect_set("no").alias("__q_gone"), F.count_distinct("no").alias("__q_chunks")), "gone")
-    scratch.drop("candidates")
+    scratch.drop("chunks")
 
-    old = [c for c in docs.columns if not counts or c not in ("n_lines", "n_removed", "chunks_removed")]
-    all_rows = docs.select(*[F.col(f"`{c}`") for c in old], key[0].alias("__q_d"), key[1].alias("__q_th"))
-    met = all_rows.join(gone.withColumnsRenamed({"d": "__q_d", "th": "__q_th"}), ["__q_d", "__q_th"], "left")
-    met = _chunked(met, text, window, divisor)
-    kept = F.array_except(F.sequence(F.lit(0), F.size("__q_spans") - 1), F.col("__q_gone"))
-    met = met.withColumn("__q_kept", F.when(F.col("__q_gone").isNotNull(), kept))
-    new = F.array_join(F.transform("__q_kept", lambda i: _text_of(F.col("__q_spans")[i])), "\n")
-    left = F.aggregate(F.transform("__q_kept", lambda i: F.col("__q_spans")[i]["last"] - F.col("__q_spans")[i]["first"] + 1), F.lit(0), lambda a, x: a + x)
-    met = met.withColumns({"__q_text": F.when(F.col("__q_kept").isNull(), F.col(text)).otherwise(new), "__q_left": F.coalesce(left, F.col("__q_n"))})
-    out = [F.col("__q_text").alias(c) if c == text else F.col(f"`{c}`") for c in old]
-    if counts:
-        out += [F.col("__q_n").cast("long").alias("n_lines"), (F.col("__q_n") - F.col("__q_left")).cast("long").alias("n_removed"), F.coalesce("__q_chunks", F.lit(0)).cast("long").alias("chunks_removed")]
-    return met.select(*out)
-
-
-def _paired(docs: DataFrame, text: str) -> DataFrame:
-    """Adds ``__q_lines`` and ``__q_pairs``, (first, last) of every two neighbouring lines that aren't blank, with the blank lines between them."""
-    df = docs.withColumn("__q_lines", _lines(F.col(text)))
-    marked = F.transform("__q_lines", lambda x, i: F.when(x.rlike(r"\S"), i))
-    df = df.withColumn("__q_full", F.filter(marked, lambda x: x.isNotNull()))
-    size = F.greatest(F.size("__q_full") - 1, F.lit(0))
-    pairs = F.zip_with(F.slice("__q_full", F.lit(1), size), F.slice("__q_full", F.lit(2), size), lambda a, b: F.struct(a.alias("first"), b.alias("last")))
-    return df.withColumn("__q_pairs", pairs).drop("__q_full")
+    spans = candidates.groupBy("d", "th").agg(F.collect_set(F.struct(F.col("no").alias("first"), F.col("to").alias("last"), "h", "size")).alias("spans"))
+    texts = docs.select(*key, F.col(text).cast("string").alias("text")).join(spans.hint("merge"), ["d", "th"]).withColumn("__q_lines", _lines(F.col("text"))).drop("text")
+    whole = F.transform("spans", lambda s: F.struct(s["first"].alias("no"), s["last"].alias("to"), s["h"].alias("h"), s["size"].alias("size"), _text_of(s).alias("chunk")))
+    whole = texts.select("d", "th", F.explode_outer(whole).alias("c")).select("d", "th", "c.*")
+    compared = scratch.keep(whole.groupBy("h", "size").agg((F.min("chunk") == F.max("chunk")).alias("one")), "compared")
+    clash = compared.filter("not one").drop("one")
+    alike = candidates.join(compared.filter("one").drop("one"), ["h", "size"]).withColumn("chunk", F.lit(""))
+    both, columns = alike, ["d", "th", "no", "to", "h", "size", "chunk"]
+    if clash.head(1):
+        both = alike.select(columns).union(whole.join(clash, ["h", "size"]).select(columns))
+    return _without(docs, _gone(both, ["h", "size", "chunk"], scratch), doc_id, text, counts)
 
 
 def passage_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", counts: bool = True) -> DataFrame:
@@ -113,19 +104,30 @@ def passage_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", c
     rows and ``counts`` are as in :func:`line_dedup`; n_removed counts the lines that go and chunks_removed their runs.
     """
     scratch = Scratch(docs.sparkSession, "passages")
-    key = [F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("d"), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("th")]
-    narrow = _paired(docs.select(*key, F.col(text).cast("string").alias("text")), "text")
+    narrow = _paired(docs.select(*_row_of(doc_id, text), F.col(text).cast("string").alias("text")), "text")
     # the windows with their digests are one column, so that Catalyst computes them once
     cut = narrow.select("d", "th", F.transform("__q_pairs", lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last"), F.unhex(F.sha2(_text_of(s), 256)).alias("h"))).alias("chunks"))
     rows = cut.select("d", "th", F.explode_outer("chunks").alias("c")).select("d", "th", F.col("c.first").alias("no"), F.col("c.last").alias("to"), F.col("c.h").alias("h"))
     rows = scratch.keep(rows.filter("h is not null"), "windows")
-    first = rows.groupBy("h").agg(F.min(F.struct("d", "th", "no", "to")).alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1").drop("times")
+    return _without(docs, _gone(rows, ["h"], scratch), doc_id, text, counts)
+
+
+def _row_of(doc_id: str, text: str) -> list[Column]:
+    return [F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("d"), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("th")]
+
+
+def _gone(rows: DataFrame, same: list[str], scratch: Scratch) -> DataFrame:
+    """(d, th, __q_gone) of the texts that repeat (no, to) of ``rows``: what is equal in ``same`` repeats its first."""
+    first = rows.groupBy(*same).agg(F.min(F.struct("d", "th", "no", "to")).alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1").drop("times")
     later = F.struct("d", "th") != F.struct("first.d", "first.th")
-    extra = rows.join(first, "h").filter(later | (F.col("no") > F.col("first.to")))
-    gone = scratch.keep(extra.groupBy("d", "th").agg(F.collect_set(F.struct("no", "to")).alias("__q_gone")), "gone")
-    scratch.drop("windows")
+    extra = rows.join(first, same).filter(later | (F.col("no") > F.col("first.to")))
+    return scratch.keep(extra.groupBy("d", "th").agg(F.collect_set(F.struct("no", "to")).alias("__q_gone")), "gone")
+
 
+def _without(docs: DataFrame, gone: DataFrame, doc_id: str, text: str, counts: bool) -> DataFrame:
+    """``docs`` without the lines of ``gone``."""
     old = [c for c in docs.columns if not counts or c not in ("n_lines", "n_removed", "chunks_removed")]
+    key = _row_of(doc_id, text)
     all_rows = docs.select(*[F.col(f"`{c}`") for c in old], key[0].alias("__q_d"), key[1].alias("__q_th"))
     met = all_rows.join(gone.withColumnsRenamed({"d": "__q_d", "th": "__q_th"}).hint("merge"), ["__q_d", "__q_th"], "left")  # either side grows with the input
     met = met.withColumn("__q_lines", _lines(F.col(text)))
@@ -141,16 +143,29 @@ def passage_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", c
     return met.select(*out)
 
 
-ORACLE = """
-    WITH d AS (SELECT doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-    u AS (SELECT doc_id, unnest(ls) AS x, unnest(range(1, len(ls) + 1)) AS i FROM d),
-    h AS (SELECT *, CAST('0x' || substr(md5(x), 1, 8) AS BIGINT) AS h FROM u),
-    b AS (SELECT *, CASE WHEN (h + 31 * coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0)) % 4 = 0 THEN 1 ELSE 0 END AS b FROM h),
-    n AS (SELECT *, coalesce(sum(b) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS no FROM b),
-    c AS (SELECT doc_id, no, string_agg(x, chr(10) ORDER BY i) AS chunk, count(*) AS n FROM n GROUP BY doc_id, no),
-    r AS (SELECT *, n > 1 AND regexp_matches(chunk, '[^ \\t\\n\\r\\f\\x0B]') AND row_number() OVER (PARTITION BY chunk, n ORDER BY doc_id, no) > 1 AS gone FROM c)
-    SELECT doc_id, coalesce(string_agg(chunk, chr(10) ORDER BY no) FILTER (NOT gone), '') AS text,
-           CAST(sum(n) AS BIGINT) AS n_lines, CAST(coalesce(sum(n) FILTER (gone), 0) AS BIGINT) AS n_removed,
-           CAST(count(*) FILTER (gone) AS BIGINT) AS chunks_removed
-    FROM r GROUP BY doc_id
-"""
+
+
+_SPANS = {
+    # runs of lines of one kind, each with the line after it
+    "line_dedup": f"""k AS (SELECT *, CAST('0x' || substr(md5(x), 1, 8) AS BIGINT) % {KINDS} AS kind FROM f),
+    b AS (SELECT *, kind IS DISTINCT FROM lag(kind) OVER (PARTITION BY doc_id ORDER BY i) AS begins FROM k),
+    s AS (SELECT doc_id, i AS no, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i), m) AS to_ FROM (SELECT * FROM b JOIN (SELECT doc_id, max(i) AS m FROM f GROUP BY doc_id) USING (doc_id) WHERE begins))""",
+    # every two neighbouring lines
+    "passage_dedup": "s AS (SELECT doc_id, i AS no, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS to_ FROM f)",
+}
+ORACLES = {
+    name: f"""
+    WITH d AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+    u AS (SELECT doc_id, unnest(ls) AS x, unnest(range(0, len(ls))) AS i FROM d),
+    f AS (SELECT * FROM u WHERE regexp_matches(x, '[^ \\t\\n\\r\\f\\x0B]')),
+    {spans},
+    c AS (SELECT s.*, array_to_string(ls[no + 1 : to_ + 1], chr(10)) AS chunk FROM s JOIN d USING (doc_id) WHERE to_ > no),
+    o AS (SELECT chunk, min({{'d': doc_id, 'no': no, 'to_': to_}}) AS first FROM c GROUP BY chunk HAVING count(*) > 1),
+    g AS (SELECT DISTINCT doc_id, unnest(range(no, to_ + 1)) AS i FROM c JOIN o USING (chunk) WHERE doc_id <> first.d OR no > first.to_),
+    r AS (SELECT doc_id, count(*) AS n, count(*) FILTER (run) AS runs FROM (SELECT *, i - 1 IS DISTINCT FROM lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g) GROUP BY doc_id),
+    l AS (SELECT doc_id, coalesce(string_agg(x, chr(10) ORDER BY i), '') AS t FROM u ANTI JOIN g USING (doc_id, i) GROUP BY doc_id)
+    SELECT doc_id, CASE WHEN n IS NULL THEN text ELSE coalesce(t, '') END AS text, CAST(len(ls) AS BIGINT) AS n_lines,
+           CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(runs, 0) AS BIGINT) AS chunks_removed
+    FROM d LEFT JOIN r USING (doc_id) LEFT JOIN l USING (doc_id)"""
+    for name, spans in _SPANS.items()
+}

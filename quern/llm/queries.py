@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import line_dedup
+from quern.llm import conversation_trie, line_dedup
 
 
 def tokenizer_path() -> str:
@@ -123,7 +123,9 @@ QUERIES = {
 }
 
 ORACLES = {
-    "op10_line_dedup": line_dedup.ORACLE,
+    "op10_line_dedup": line_dedup.ORACLES["line_dedup"],
+    "op10_line_passages": line_dedup.ORACLES["passage_dedup"],
+    "op11_conversation_trie": conversation_trie.ORACLE,
     "op7_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
         q AS (SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest FROM p),

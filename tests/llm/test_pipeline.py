@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_decontamination import brute as leaks_of
-from test_line_dedup import passages
+from test_line_dedup import deduped as passages
 from test_ngram_join import brute as links_of
 from test_tokens import plain as ids_of
 
