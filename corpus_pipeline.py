@@ -17,8 +17,8 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without repeated passages of two or more lines but for the first of each."""
-    return line_dedup.passage_dedup(docs, counts=False)
+    """All documents, without repeated chunks of two or more lines but for the first of each."""
+    return line_dedup.line_dedup(docs, counts=False)
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
