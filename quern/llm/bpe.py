@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from quern.llm.common import varint
 
 #: Matches kept in memory by one worker, longest match kept, and characters handled at once. None changes the ids.
-CACHE, LONGEST, AT_ONCE = 700_000, 48, 4_000_000
+CACHE, LONGEST, AT_ONCE = 450_000, 48, 2_000_000
 #: Bytes that are their own character; the others take the characters from 256 on.
 _VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _HIDDEN = [b for b in range(256) if b not in set(_VISIBLE)]
