@@ -443,8 +443,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, landmarks: i
                 yield pa.RecordBatch.from_arrays([pa.array(sums, pa.list_(pa.float32())), b.slice(at, 256).column(1)], ["sums", "y"])
 
     got = bag.select("words", "y").mapInArrow(pool, "sums array<float>, y int").toArrow()  # at most 2 * sample rows
-    sums = np.asarray(got["sums"].combine_chunks().flatten()).reshape(-1, len(marks))
-    return fit(sums, np.asarray(got["y"]).astype(float), marks)
+    sums, y = np.array(got["sums"].combine_chunks().flatten()).reshape(-1, len(marks)), np.array(got["y"]).astype(float)
+    del got
+    let_go(scorer=True)  # on the driver: what the rows came in, before the machine needs room of its own
+    model = fit(sums, y, marks)
+    del sums, y
+    let_go(scorer=True)
+    return model
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
