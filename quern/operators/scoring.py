@@ -6,9 +6,11 @@ import hashlib
 import heapq
 import math
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
+from pyspark.resource import ResourceProfile
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,35 +34,92 @@ def stub_loader(vocabulary: list[str]) -> Loader:
     return load
 
 
-def logits(chunks: DataFrame, loader: Loader, vocabulary: list[str], keys: list[str], batch: int = 20, text: str = "chunk") -> DataFrame:
-    """keys, skill, logit: every chunk against every entry. The model is loaded once per worker, whatever tasks it runs, and fed ``batch`` rows at a time."""
-    run_id = uuid.uuid4().hex
+@dataclass(frozen=True)
+class Batches:
+    """How rows are cut into the batches that a model is fed.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from quern.operators.scoring import _LOADED as loaded  # the worker's own
+    ``rows`` is the most of a batch; ``padded``, if given, the most that its rows times its longest text may be, so that
+    a batch of long texts fits where one of short ones does (a text that is longer by itself goes alone). A task
+    gathers ``window`` batches' rows and cuts them in the order of ``length``, which counts a text's characters if not
+    its tokens. Every batch then begins where the one before it ended, so padding every text to its batch's longest
+    adds less than ``rows`` times the window's longest text to a whole window, whatever the order of the rows;
+    nothing is shuffled for it. A window of 1 leaves rows as they come. No score depends on any of this.
+    """
 
-        if run_id not in loaded:
-            loaded.clear()  # one model at a time
-            loaded[run_id] = loader()
-        score = loaded[run_id]
+    rows: int = 20
+    window: int = 100
+    padded: int | None = None
+    length: Callable[[str], int] = len
+
+    def ends(self, sizes: list[int]) -> Iterator[int]:
+        """Where the batches of texts of these lengths, in order, end."""
+        begin, longest = 0, 0
+        for i, n in enumerate(sizes):
+            longest = max(longest, n)
+            if i > begin and (i - begin == self.rows or (self.padded is not None and (i - begin + 1) * longest > self.padded)):
+                yield i
+                begin, longest = i, n
+        if len(sizes) > begin:
+            yield len(sizes)
+
+    def window_of(self, df: pd.DataFrame, text: str) -> Iterator[pd.DataFrame]:
+        sizes = [self.length(t or "") for t in df[text]]
+        order = sorted(range(len(sizes)), key=sizes.__getitem__) if self.window > 1 else range(len(sizes))
+        begin = 0
+        for end in self.ends([sizes[i] for i in order]):
+            yield df.iloc[list(order[begin:end])]
+            begin = end
+
+    def of(self, frames: Iterable[pd.DataFrame], text: str) -> Iterator[pd.DataFrame]:
+        """The batches of all frames of a task, one window held at a time."""
+        held, most = None, max(1, self.rows * self.window)
         for df in frames:
-            for at in range(0, len(df), batch):
-                part = df.iloc[at : at + batch]
-                rows = part[keys].copy()
-                rows["skill"] = [vocabulary] * len(part)
-                rows["logit"] = score([t or "" for t in part[text]])
-                yield rows.explode(["skill", "logit"]).astype({"logit": "float64"})
+            held = df if held is None or held.empty else pd.concat([held, df], ignore_index=True)
+            whole = len(held) // most * most
+            for at in range(0, whole, most):
+                yield from self.window_of(held.iloc[at : at + most], text)
+            held = held.iloc[whole:]
+        if held is not None:
+            yield from self.window_of(held, text)
+
+
+def _model(run_id: str, loader: Loader) -> Callable[[list[str]], list[list[float]]]:
+    """The worker's model of one run; it holds one at a time."""
+    from quern.operators.scoring import _LOADED as loaded  # the worker's own
+
+    if run_id not in loaded:
+        loaded.clear()
+        loaded[run_id] = loader()
+    return loaded[run_id]
+
+
+def logits(chunks: DataFrame, loader: Loader, vocabulary: list[str], keys: list[str], batch: int | Batches = 20, text: str = "chunk", profile: ResourceProfile | None = None) -> DataFrame:
+    """keys, skill, logit: every chunk against every entry. The model is loaded once per worker, whatever tasks it runs.
+
+    It is fed batches of texts of about equal lengths (:class:`Batches`, or their number of rows). ``profile`` says what a
+    task needs, such as an accelerator, where the cluster deals resources; a local session has none to deal.
+    """
+    run_id, cut = uuid.uuid4().hex, batch if isinstance(batch, Batches) else Batches(batch)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        score = _model(run_id, loader)
+        for part in cut.of(frames, text):
+            rows = part[keys].copy()
+            rows["skill"] = [vocabulary] * len(part)
+            rows["logit"] = score([t or "" for t in part[text]])
+            yield rows.explode(["skill", "logit"]).astype({"logit": "float64"})
 
     fields = {f.name: f.dataType.simpleString() for f in chunks.schema.fields}
-    return chunks.select(*keys, text).mapInPandas(run, ", ".join(f"`{k}` {fields[k]}" for k in keys) + ", skill string, logit double")
+    return chunks.select(*keys, text).mapInPandas(run, ", ".join(f"`{k}` {fields[k]}" for k in keys) + ", skill string, logit double", profile=profile)
 
 
-def best(chunks: DataFrame, loader: Loader, vocabulary: list[str], keys: list[str], k: int = 10, batch: int = 20, text: str = "chunk") -> DataFrame:
+def best(chunks: DataFrame, loader: Loader, vocabulary: list[str], keys: list[str], k: int = 10, batch: int | Batches = 20, text: str = "chunk", profile: ResourceProfile | None = None) -> DataFrame:
     """:func:`ranked` of :func:`logits` for each row, made where the row is scored: of the vocabulary only the best ``k`` leave the worker.
 
-    A heap of ``k`` entries is kept a row; nothing is shuffled. Rows with equal keys are ranked apart.
+    A heap of ``k`` entries is kept a row; nothing is shuffled. Rows with equal keys are ranked apart. ``batch`` and
+    ``profile`` are those of :func:`logits`.
     """
-    run_id = uuid.uuid4().hex
+    run_id, cut = uuid.uuid4().hex, batch if isinstance(batch, Batches) else Batches(batch)
 
     def top(scores: list[float]) -> list[tuple[str, float, float, int, float]]:
         first = heapq.nsmallest(k, zip(scores, vocabulary, strict=True), key=lambda x: (-x[0], x[1]))
@@ -79,23 +138,17 @@ def best(chunks: DataFrame, loader: Loader, vocabulary: list[str], keys: list[st
         return out
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from quern.operators.scoring import _LOADED as loaded  # the worker's own
-
-        if run_id not in loaded:
-            loaded.clear()
-            loaded[run_id] = loader()
-        for df in frames:
-            for at in range(0, len(df), batch):
-                part = df.iloc[at : at + batch]
-                rows = part[keys].copy()
-                rows["_best"] = [top([float(x) for x in s]) for s in loaded[run_id]([t or "" for t in part[text]])]
-                rows = rows.explode("_best").dropna(subset=["_best"])
-                for i, (c, kind) in enumerate((("skill", object), ("logit", "float64"), ("sm_score", "float64"), ("rank", "int32"), ("score", "float64"))):
-                    rows[c] = pd.Series([x[i] for x in rows["_best"]], index=rows.index, dtype=kind)
-                yield rows.drop(columns="_best")
+        score = _model(run_id, loader)
+        for part in cut.of(frames, text):
+            rows = part[keys].copy()
+            rows["_best"] = [top([float(x) for x in s]) for s in score([t or "" for t in part[text]])]
+            rows = rows.explode("_best").dropna(subset=["_best"])
+            for i, (c, kind) in enumerate((("skill", object), ("logit", "float64"), ("sm_score", "float64"), ("rank", "int32"), ("score", "float64"))):
+                rows[c] = pd.Series([x[i] for x in rows["_best"]], index=rows.index, dtype=kind)
+            yield rows.drop(columns="_best")
 
     fields = {f.name: f.dataType.simpleString() for f in chunks.schema.fields}
-    return chunks.select(*keys, text).mapInPandas(run, ", ".join(f"`{c}` {fields[c]}" for c in keys) + ", skill string, logit double, sm_score double, rank int, score double")
+    return chunks.select(*keys, text).mapInPandas(run, ", ".join(f"`{c}` {fields[c]}" for c in keys) + ", skill string, logit double, sm_score double, rank int, score double", profile=profile)
 
 
 def softmax(x: str | Column, keys: list[str]) -> Column:
