@@ -14,8 +14,11 @@ import threading
 from collections.abc import Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
+from functools import reduce
+from itertools import islice
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
@@ -35,15 +38,81 @@ def discover(root: str, prune_hidden: bool = False) -> list[str]:
     return sorted(found)
 
 
+#: Folders that a task of a walk lists before it hands the others on.
+FOLDERS_AT_ONCE = 2_000
+
+
+def _listed(paths: Iterable[str], prune_hidden: bool, most: int) -> Iterator[tuple[str, bool]]:
+    """(path, True) of repositories at or below folders, (path, False) of folders that are left for another task.
+
+    Every given folder is listed, those below it while fewer than ``most`` are listed or waiting. A folder's entries
+    are read one by one, so one with very many is never held.
+    """
+    listed = 0
+    for path in paths:
+        ahead = [path]
+        while ahead:
+            at = ahead.pop()
+            listed += 1
+            if os.path.isdir(os.path.join(at, ".git")):
+                yield at, True
+                continue
+            try:
+                with os.scandir(at) as entries:
+                    for e in entries:
+                        if not e.is_dir(follow_symlinks=False) or (prune_hidden and e.name.startswith(".")):
+                            continue
+                        try:
+                            e.name.encode()
+                        except UnicodeEncodeError:
+                            continue
+                        if listed + len(ahead) < most:
+                            ahead.append(e.path)
+                        else:
+                            yield e.path, False
+            except OSError:
+                continue
+
+
+def walk(roots: DataFrame, prune_hidden: bool = False, most: int = FOLDERS_AT_ONCE, path: str = "repo_path") -> DataFrame:
+    """repo_path of the repositories at or below the folders of ``roots`` (a column ``path``), each once: what :func:`discover` finds.
+
+    Executors list the folders. Those that a task doesn't come to are dealt to all tasks in the next round, which
+    goes at least one level deeper, so a folder that holds most of the tree is listed by many and there are no more
+    rounds than levels. The driver learns only whether folders are left. Rounds are checkpointed where the session has
+    a folder for that, else kept on the executors' disks. Links aren't followed; folders that can't be read, or whose
+    names aren't Unicode, are left out, as are null roots and those that aren't there.
+    """
+
+    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = _listed((p for df in frames for p in df["repo_path"]), prune_hidden, most)
+        while got := list(islice(found, 1000)):
+            yield pd.DataFrame(got, columns=["repo_path", "found"])
+
+    out, ahead = [], roots.select(F.col(path).cast("string").alias("repo_path")).filter("repo_path is not null").distinct()
+    saved = roots.sparkSession.sparkContext.getCheckpointDir() is not None
+    while True:
+        rows = ahead.mapInPandas(search, "repo_path string, found boolean")
+        rows = rows.checkpoint() if saved else rows.persist(StorageLevel.DISK_ONLY)
+        out.append(rows.filter("found").select("repo_path"))
+        ahead = rows.filter("not found").select("repo_path")
+        if ahead.isEmpty():
+            return reduce(DataFrame.union, out).distinct()
+        ahead = ahead.repartition("repo_path")
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
-def repositories(spark: SparkSession, root: str | None = None, list_file: str | None = None, name: str | None = None, prune_hidden: bool = False) -> DataFrame:
-    """repo_path, repo: walked, listed in a file (one path a line), both together without repetition, or a single one."""
-    paths = [os.path.join(root, name)] if root and name else discover(root, prune_hidden) if root else []
-    out = spark.createDataFrame([(p,) for p in paths], "repo_path string")
+def repositories(spark: SparkSession, root: str | DataFrame | None = None, list_file: str | None = None, name: str | None = None, prune_hidden: bool = False) -> DataFrame:
+    """repo_path, repo: walked, listed in a file (one path a line), both together without repetition, or a single one.
+
+    ``root`` is a folder or a table of folders (``repo_path``); executors walk it.
+    """
+    given = root if isinstance(root, DataFrame) else spark.createDataFrame([(os.path.join(root, name) if name else root,)] if root else [], "repo_path string")
+    out = given.select("repo_path") if name or root is None else walk(given, prune_hidden)
     if list_file and _exists(spark, list_file):
         listed = spark.read.text(list_file).select(S.strip("value").alias("repo_path")).filter("repo_path <> ''")
         out = out.union(listed).distinct()
