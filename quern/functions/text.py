@@ -278,6 +278,47 @@ def chunks_udf(code: pd.Series, sep: pd.Series, limit: pd.Series, least: pd.Seri
     return pd.Series([chunks(c, s, int(a), int(b)) for c, s, a, b in zip(_strings(code), _strings(sep), limit, least, strict=True)], dtype=object)
 
 
+def _stripped(x: Column) -> Column:
+    return F.regexp_replace(x, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+
+
+def _first_of_lines(part: Column, limit: Column, least: Column) -> Column:
+    """The first chunk of a text that is cut at line ends, as an array of one or none."""
+    start = F.struct(F.lit(None).cast("string").alias("given"), F.lit("").alias("gathered"), F.lit(0).alias("size"))
+
+    def step(s: Column, line: Column) -> Column:
+        n = F.length(line)
+        begun = F.struct(F.when(s["size"] > least, s["gathered"]).alias("given"), F.concat(line, F.lit("\n")).alias("gathered"), (n + 1).alias("size"))
+        grown = F.struct(s["given"].alias("given"), F.concat(s["gathered"], line, F.lit("\n")).alias("gathered"), (s["size"] + n + 1).alias("size"))
+        return F.when(s["given"].isNotNull() | (n > limit), s).when(s["size"] + n > limit, begun).otherwise(grown)
+
+    def finish(s: Column) -> Column:
+        found = F.coalesce(s["given"], F.when(s["size"] > least, s["gathered"]))
+        return F.when(found.isNotNull(), F.array(_stripped(found))).otherwise(F.array().cast("array<string>"))
+
+    return F.aggregate(F.split(part, "\n"), start, step, finish)
+
+
+def chunks_of(code: Column | str, sep: Column | str, limit: int = 1500, least: int = 100) -> Column:
+    """:func:`chunks` in the JVM: a fold over the parts between separators, whose state is what has been given out and what is gathering."""
+    code, sep = (F.col(x) if isinstance(x, str) else x for x in (code, sep))
+    limit, least = F.lit(limit), F.lit(least)
+    none = F.array().cast("array<string>")
+    start = F.struct(none.alias("given"), F.lit("").alias("gathered"), F.lit(0).alias("size"))
+    give = lambda s: F.when(s["size"] > least, F.array_append(s["given"], _stripped(s["gathered"]))).otherwise(s["given"])
+
+    def step(s: Column, part: Column) -> Column:
+        n = F.length(part)
+        cut = F.struct(F.concat(s["given"], F.when(sep == "\n", none).otherwise(_first_of_lines(part, limit, least))).alias("given"), s["gathered"].alias("gathered"), s["size"].alias("size"))
+        begun = F.struct(give(s).alias("given"), F.concat(part, sep).alias("gathered"), (n + F.length(sep)).alias("size"))
+        grown = F.struct(s["given"].alias("given"), F.concat(s["gathered"], part, sep).alias("gathered"), (s["size"] + n + F.length(sep)).alias("size"))
+        return F.when(n > limit, cut).when(s["size"] + n > limit, begun).otherwise(grown)
+
+    mark = F.concat(F.lit("\\Q"), F.replace(sep, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    long = F.aggregate(F.split(code, mark), start, step, give)
+    return F.when(code.isNull() | sep.isNull(), none).when(F.length(code) <= limit, F.array(code)).otherwise(long)
+
+
 def documentation_lines_udf(code: Column | str, ext: Column | str) -> Column:
     known = {e: COMMENTS.get(e) for e in LANGUAGES}
 

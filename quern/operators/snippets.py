@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.config import Config
 from quern.functions import scalars as S
-from quern.functions.text import chunks_udf, documentation_lines_udf
+from quern.functions.text import chunks_of, documentation_lines_udf
 
 _DEFAULT = Config()
 
@@ -78,7 +78,7 @@ def library_lists(rows: DataFrame, keys: tuple[str, ...] = ("repo", "author", "e
 
 def chunked(snippets: DataFrame, ext: str = "ext", config: Config = _DEFAULT) -> DataFrame:
     """One row per chunk: chunk_no, chunk, line_count, doc_lines. Snippets of unsupported languages give none."""
-    parts = chunks_udf(F.col("snippet"), S.separator(ext), F.lit(config.chunk_chars), F.lit(config.min_chunk_chars))
+    parts = chunks_of("snippet", S.separator(ext), config.chunk_chars, config.min_chunk_chars)
     out = snippets.select("*", F.posexplode(parts).alias("chunk_no", "chunk"))
     return out.withColumns({"line_count": F.size(F.split("chunk", "\n")), "doc_lines": documentation_lines_udf("chunk", F.col(ext))})
 

@@ -508,7 +508,7 @@ def verdicts(spark, sf):
     SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS chunk_no, chunk FROM c""")
 def chunks(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    return docs.select("doc_id", F.posexplode(TX.chunks_udf("text", F.lit("\n"), F.lit(1500), F.lit(100))).alias("chunk_no", "chunk"))
+    return docs.select("doc_id", F.posexplode(TX.chunks_of("text", F.lit("\n"))).alias("chunk_no", "chunk"))
 
 
 _MASKED = """
