@@ -25,7 +25,7 @@ from quern.llm.shingles import set_hash, sets
 
 DECAY, SPAN = 0.7, 6
 #: Where a kernel value counts as half a match, how fast it grows to a whole one, and below what it counts nothing.
-MIDDLE, WIDTH, FLOOR = 0.6, 0.05, 0.4
+MIDDLE, WIDTH, FLOOR = 0.55, 0.05, 0.4
 #: Landmarks of a group on average.
 GROUP = 8
 #: a-z, 0-9, 26 for letters of other scripts, a string's start and end, and the padding between strings.
