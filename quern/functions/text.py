@@ -302,7 +302,11 @@ def _first_of_lines(part: Column, limit: Column, least: Column) -> Column:
 def chunks_of(code: Column | str, sep: Column | str, limit: int = 1500, least: int = 100) -> Column:
     """:func:`chunks` in the JVM: a fold over the parts between separators, whose state is what has been given out and what is gathering."""
     code, sep = (F.col(x) if isinstance(x, str) else x for x in (code, sep))
-    limit, least = F.lit(limit), F.lit(least)
+    # an array of the one row, so that the separator is looked up once and not for every part
+    return F.transform(F.array(F.struct(code.alias("code"), sep.alias("sep"))), lambda x: _chunks(x["code"], x["sep"], F.lit(limit), F.lit(least)))[0]
+
+
+def _chunks(code: Column, sep: Column, limit: Column, least: Column) -> Column:
     none = F.array().cast("array<string>")
     start = F.struct(none.alias("given"), F.lit("").alias("gathered"), F.lit(0).alias("size"))
     give = lambda s: F.when(s["size"] > least, F.array_append(s["given"], _stripped(s["gathered"]))).otherwise(s["given"])
