@@ -2,33 +2,27 @@
 
 from __future__ import annotations
 
+import itertools
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows that one range should have, and rows of the sample for each of its bounds.
-ROWS, SAMPLE = 500_000, 64
+#: Rows that one range should have.
+ROWS = 500_000
 
 
 def numbered(rows: DataFrame, *order: str, into: str = "no", rows_a_range: int = ROWS) -> DataFrame:
     """``rows`` with their places from 0 in the order of the columns ``order``, nulls first; equal rows come in any order.
 
-    Bounds from a sample, chosen by hash, cut the order into ranges; each is counted, and numbered on its own from where
-    those before it end. Driver and tasks hold the bounds and counts, a few for each range, never rows. ``rows`` are
-    computed three times: write what is dear, and let it be the same each time.
+    Spark deals the rows to ranges of about ``rows_a_range``, by bounds that it samples and searches in halves; the ranges
+    are kept (on disk), counted, and each is numbered on its own from where those before it end. The driver holds a count
+    for each range, never rows. ``rows`` are computed three times: write what is dear, and let it be the same each time.
     """
     n = -(-rows.count() // rows_a_range)
-    where = F.lit(0)
-    if n > 1:
-        key = F.struct(*[F.col(c) for c in order])
-        kinds = {f.name: f.dataType for f in rows.select(*order).schema.fields}
-        sample = rows.select(*order).filter(F.pmod(F.xxhash64(*order), F.lit(max(1, rows_a_range // SAMPLE))) == 0).distinct().orderBy(*order).collect()
-        bounds = [sample[len(sample) * i // n] for i in range(1, n)] if sample else []
-        if bounds:
-            literal = [F.struct(*[F.lit(b[c]).cast(kinds[c]).alias(c) for c in order]) for b in bounds]
-            where = F.size(F.filter(F.array(*literal), lambda b: b <= key))
-    dealt = rows.withColumn("__range", where)
+    dealt = rows.repartitionByRange(n, *order).withColumn("__range", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY) if n > 1 else rows.withColumn("__range", F.lit(0))
     counts = {r["__range"]: r["count"] for r in dealt.groupBy("__range").count().collect()}
-    starts = [sum(c for k, c in counts.items() if k < r) for r in range(max(counts, default=0) + 1)]
-    before = F.element_at(F.array(*[F.lit(s).cast("bigint") for s in starts]), F.col("__range") + 1)
+    starts = list(itertools.accumulate((counts.get(r, 0) for r in range(max(counts, default=0))), initial=0))
+    before = F.element_at(F.split(F.lit(",".join(map(str, starts))), ","), F.col("__range") + 1).cast("bigint")
     own = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
     return dealt.withColumn(into, before + own - 1).drop("__range")

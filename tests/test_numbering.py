@@ -111,3 +111,11 @@ def test_the_best_few_are_those_of_all(spark):
             assert r.skill == want[key].skill and math.isclose(r.sm_score, want[key].sm_score) and math.isclose(r.score, want[key].score, rel_tol=1e-6)
     ties = SC.best(df, lambda: lambda texts: [[1.0, 1.0, 800.0] for _ in texts], ["z", "y", "x"], ["i"], 3)
     assert {(r.skill, r["rank"]) for r in ties.collect()} == {("x", 1), ("y", 2), ("z", 3)}
+
+
+def test_ranges_are_not_searched_one_by_one(spark):
+    df = spark.range(4000).select(F.col("id"), F.pmod(F.col("id") * 7919, F.lit(4001)).alias("x"))
+    out = numbered(df, "x", rows_a_range=20)
+    assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()  # a row is not compared with each of the 199 bounds
+    rows = sorted(out.collect(), key=lambda r: r.no)
+    assert [r.no for r in rows] == list(range(4000)) and [r.x for r in rows] == sorted(r.x for r in rows)
