@@ -141,6 +141,24 @@ class Seen:
 
     nodes: int = 0
     points: int = 0
+    #: The most open pairs of one level that were held together.
+    held: int = 0
+
+
+class _Taken:
+    """What the pairs of nodes of one level that were taken whole give to the points below either: summed up by node."""
+
+    def __init__(self, own: np.ndarray, others: np.ndarray):
+        self.own, self.others = own, others
+        self.gain_a, self.gain_b = np.zeros(len(own), np.int64), np.zeros(len(others), np.int64)
+        self.whole_a, self.whole_b, self.itself = np.zeros(len(own), bool), np.zeros(len(others), bool), np.zeros(len(own), bool)
+
+    def add(self, i: np.ndarray, j: np.ndarray, one: bool) -> None:
+        self.whole_a[i], self.whole_b[j] = True, True
+        np.add.at(self.gain_a, i, self.others[j])
+        apart = (i != j) if one else np.ones(len(i), bool)
+        np.add.at(self.gain_b, j[apart], self.own[i[apart]])
+        self.itself[i[~apart]] = True
 
 
 def _products(p, q, a, b, same):
@@ -175,10 +193,11 @@ def _products(p, q, a, b, same):
 def near_pairs(x: np.ndarray, weight: np.ndarray, first: np.ndarray, second: np.ndarray | None, cosine: float, seen: Seen | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Weighted links of each row and its class, over pairs inside ``first``, or between ``first`` and ``second``.
 
-    Two trees are walked level by level together, from the pair of their roots. A pair of nodes goes when its
-    centres are further apart than the covering radii and the threshold allow, and is taken whole when they are
-    so close that all points below must be near; of the others the children meet. Only pairs of points that are
-    left below the last level are decided one by one.
+    Two trees are walked down together, from the pair of their roots. A pair of nodes goes when its centres are
+    further apart than the covering radii and the threshold allow, and is taken whole when they are so close that
+    all points below must be near; of the others the children meet. Only pairs of points that are left below the
+    last level are decided one by one. As soon as some ``PAIRS`` pairs of a level are open they are walked to the end,
+    so a level's open pairs, which may be a share of all pairs, are never held together.
     """
     links, label, most = np.zeros(len(x), np.int64), np.arange(len(x)), math.sqrt(2 - 2 * cosine)
     seen = seen if seen is not None else Seen()
@@ -186,18 +205,50 @@ def near_pairs(x: np.ndarray, weight: np.ndarray, first: np.ndarray, second: np.
     a = CoverTree(x[first], floor)
     b = a if second is None else CoverTree(x[second], floor)
     other = first if second is None else second
-    p = q = np.zeros(1, np.int64)
-    for level in range(max(a.depth, b.depth)):
-        if not len(p):
-            return links, label
+    depth = max(a.depth, b.depth)
+    xa = a.x[a.order]
+    xb = xa if b is a else b.x[b.order]
+    taken: dict[int, _Taken] = {}
+
+    def meet(level: int, p: np.ndarray, q: np.ndarray) -> None:
+        """Of the children of these pairs of nodes, which are of level ``level``, or points."""
+        nonlocal label
+        same = (p == q) if a is b else np.zeros(len(p), bool)
+        if level == depth:
+            for rows, columns, block, diagonal in _products(p, q, a.child[-1], b.child[-1], same):
+                if block:
+                    near = a.x[rows] @ b.x[columns].T >= cosine
+                    if diagonal:
+                        near &= np.arange(len(columns)) > np.arange(len(rows))[:, None]
+                    seen.points += near.size
+                    i, j = np.nonzero(near)
+                    i, j = rows[i], columns[j]
+                else:
+                    near = (np.einsum("ij,ij->i", a.x[rows], b.x[columns]) >= cosine) & (True if a is not b else rows != columns)
+                    seen.points += len(rows)
+                    i, j = rows[near], columns[near]
+                np.add.at(links, first[i], weight[other[j]])
+                np.add.at(links, other[j], weight[first[i]])
+                label = unite(label, first[i], other[j])
+            return
         if level:
             kids_a, kids_b = a.kids(level - 1), b.kids(level - 1)
         else:
             kids_a = kids_b = (np.array([0, 1]), np.zeros(1, np.int64))
         la, lb = a.level(level), b.level(level)
-        far_a, far_b, xa, xb = a.reach[la], b.reach[lb], a.x[a.order[: a.sizes[la]]], b.x[b.order[: b.sizes[lb]]]
-        same = (p == q) if a is b else np.zeros(len(p), bool)
-        open_, taken = [], []
+        far_a, far_b = a.reach[la], b.reach[lb]
+        open_, waiting, whole, gathered = [], 0, [], 0
+
+        def take() -> None:
+            nonlocal label, gathered
+            i, j = (np.concatenate(c) for c in zip(*whole, strict=True))
+            whole.clear()
+            gathered = 0
+            if level not in taken:
+                taken[level] = _Taken(np.bincount(a.node[la], weight[first], a.sizes[la]).astype(np.int64), np.bincount(b.node[lb], weight[other], b.sizes[lb]).astype(np.int64))
+            taken[level].add(i, j, a is b)
+            label = unite(label, first[a.order[i]], other[b.order[j]])
+
         for rows, columns, block, diagonal in _products(p, q, kids_a, kids_b, same):
             if block:
                 dots = xa[rows] @ xb[columns].T
@@ -215,43 +266,35 @@ def near_pairs(x: np.ndarray, weight: np.ndarray, first: np.ndarray, second: np.
             if a is b:
                 d[i == j] = 0.0
             every = d + far_a[i] + far_b[j] < most - SLACK
-            taken.append((i[every], j[every]))
-            open_.append((i[~every], j[~every]))
-        i, j = (np.concatenate(c) for c in zip(*taken, strict=True))
-        if len(i):
-            na, nb = a.node[la], b.node[lb]
-            own, others = np.bincount(na, weight[first], a.sizes[la]).astype(np.int64), np.bincount(nb, weight[other], b.sizes[lb]).astype(np.int64)
-            gain_a, gain_b, whole_a, whole_b = np.zeros(len(own), np.int64), np.zeros(len(others), np.int64), np.zeros(len(own), bool), np.zeros(len(others), bool)
-            whole_a[i], whole_b[j] = True, True
-            np.add.at(gain_a, i, others[j])
-            apart = (i != j) if a is b else np.ones(len(i), bool)
-            np.add.at(gain_b, j[apart], own[i[apart]])
-            links[first] += gain_a[na]
-            links[other] += gain_b[nb]
-            if a is b:
-                self_too = np.zeros(len(own), bool)
-                self_too[i[~apart]] = True
-                links[first] -= weight[first] * self_too[na]
-            label = unite(label, first[whole_a[na]], first[a.order[na[whole_a[na]]]])
-            label = unite(label, other[whole_b[nb]], other[b.order[nb[whole_b[nb]]]])
-            label = unite(label, first[a.order[i]], other[b.order[j]])
-        p, q = (np.concatenate(c) for c in zip(*open_, strict=True))
-    same = (p == q) if a is b else np.zeros(len(p), bool)
-    for rows, columns, block, diagonal in _products(p, q, a.child[-1], b.child[-1], same):
-        if block:
-            near = a.x[rows] @ b.x[columns].T >= cosine
-            if diagonal:
-                near &= np.arange(len(columns)) > np.arange(len(rows))[:, None]
-            seen.points += near.size
-            i, j = np.nonzero(near)
-            i, j = rows[i], columns[j]
-        else:
-            near = (np.einsum("ij,ij->i", a.x[rows], b.x[columns]) >= cosine) & (True if a is not b else rows != columns)
-            seen.points += len(rows)
-            i, j = rows[near], columns[near]
-        np.add.at(links, first[i], weight[other[j]])
-        np.add.at(links, other[j], weight[first[i]])
-        label = unite(label, first[i], other[j])
+            if every.any():
+                whole.append((i[every], j[every]))
+                gathered += len(whole[-1][0])
+                if gathered >= PAIRS:
+                    take()
+            if not every.all():
+                open_.append((i[~every], j[~every]))
+                waiting += len(open_[-1][0])
+                seen.held = max(seen.held, waiting)
+                if waiting >= PAIRS:
+                    now = [np.concatenate(c) for c in zip(*open_, strict=True)]
+                    open_, waiting = [], 0
+                    meet(level + 1, *now)
+        if whole:
+            take()
+        if open_:
+            now = [np.concatenate(c) for c in zip(*open_, strict=True)]
+            open_.clear()
+            meet(level + 1, *now)
+
+    meet(0, np.zeros(1, np.int64), np.zeros(1, np.int64))
+    for level, t in taken.items():
+        na, nb = a.node[a.level(level)], b.node[b.level(level)]
+        links[first] += t.gain_a[na]
+        links[other] += t.gain_b[nb]
+        if a is b:
+            links[first] -= weight[first] * t.itself[na]
+        label = unite(label, first[t.whole_a[na]], first[a.order[na[t.whole_a[na]]]])
+        label = unite(label, other[t.whole_b[nb]], other[b.order[nb[t.whole_b[nb]]]])
     return links, label
 
 

@@ -188,3 +188,18 @@ def test_traversal_is_exact_and_bounds_decide_most_pairs(dim, width):
     links, label = near_pairs(x, weight, first, second, 0.9)
     assert (links == (across | across.T) @ weight).all()
     assert (label[first][:, None] == label[second])[near[np.ix_(first, second)]].all()
+
+
+def test_open_pairs_are_not_held_together(monkeypatch):
+    from quern.llm import embeddings
+
+    rng = np.random.default_rng(8)
+    x = np.repeat(rng.normal(size=(300, 64)), 4, axis=0) + rng.normal(size=(1200, 64)) * 0.35
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.93
+    for first, second in ((np.arange(1200), None), (np.arange(400), np.arange(400, 1200))):
+        monkeypatch.setattr(embeddings, "PAIRS", 1 << 10)
+        seen = Seen()
+        links, label = near_pairs(x, np.ones(1200, np.int64), first, second, 0.93, seen)
+        met = near & ~np.eye(1200, dtype=bool) if second is None else near & ((np.arange(1200) < 400)[:, None] != (np.arange(1200) < 400))
+        assert links.tolist() == met.sum(axis=1).tolist() and seen.held <= 4 * (1 << 10)
