@@ -160,3 +160,12 @@ def test_settings_of_repositories(spark, huge):
     got = {r.repo: (r.remote, r.email) for r in G.settings(df, remote="remote.origin.url", email="user.email").collect()}
     assert got["huge"] == (None, "me@x.org") and got["none"][0] is None
     assert G.with_remotes(df).filter(F.col("remote").isNull()).count() == 2
+
+
+def test_work_for_git_is_not_joined_into_one_task(spark, huge):
+    """Adaptive execution joins small partitions; the few short rows that git works for are dealt by number instead."""
+    repos = spark.createDataFrame([(huge, "huge")], "repo_path string, repo string")
+    commits = G.log(repos).select("repo_path", "repo", F.split("line", "\x01")[2].alias("commit_id")).persist()
+    groups = G._dealt(commits, F.col("commit_id"), 4)
+    held = groups.select(F.spark_partition_id().alias("p"), F.size("commits").alias("n")).collect()
+    assert sum(r.n for r in held) == commits.count() and len({r.p for r in held}) > 8
