@@ -169,3 +169,13 @@ def test_work_for_git_is_not_joined_into_one_task(spark, huge):
     groups = G._dealt(commits, F.col("commit_id"), 4)
     held = groups.select(F.spark_partition_id().alias("p"), F.size("commits").alias("n")).collect()
     assert sum(r.n for r in held) == commits.count() and len({r.p for r in held}) > 8
+
+
+def test_ranges_do_not_follow_the_commits(huge, monkeypatch):
+    total = len(plain(huge, "rev-list", "HEAD").split())
+    monkeypatch.setattr(G, "MOST_RANGES", 7)
+    for reader in (G._Reader({"paths": huge, "commits": "2"}, G._Commits), None):
+        tips = G._Tips({"paths": huge, "commits": "2"}, G._Commits)
+        parts = reader.partitions() if reader else tips.partitions({}, tips.latestOffset())
+        got = [r[4] for p in parts for r in (reader or tips).read(p)]
+        assert len(parts) <= 7 and sorted(got) == sorted(plain(huge, "rev-list", "HEAD").split()) and len(got) == total
