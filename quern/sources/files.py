@@ -103,6 +103,22 @@ def document(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path, multiLine=True)
 
 
+def document_profiles(spark: SparkSession, path: str, schema: str = PROFILE) -> DataFrame:
+    """user, timestamp, team, profile of each profile of a document of :func:`merged` or :func:`write_merged`, which have a profile a line.
+
+    The one task that inflates the file passes line after line on, and all tasks parse them: nobody holds the document,
+    as :func:`document` does, which takes any layout.
+    """
+    v, mark = F.col("value"), '"profiles":['
+    begin = F.concat(F.substring_index(v, mark, 1), F.lit(mark + "]}"))
+    head = spark.read.text(path).limit(1).select(F.from_json(begin, "user string, timestamp bigint, team string").alias("h"))
+    first = v.startswith('{"user":') & v.contains(mark)  # a quotation mark inside a string is written with a backslash
+    one = F.when(v.startswith(","), F.substring(v, 2, 2**31 - 1)).when(first, F.substr(v, F.instr(v, mark) + len(mark))).otherwise(v)
+    rows = spark.read.text(path).select(one.alias("p")).filter(~F.col("p").isin("", "]}"))
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p").select(F.from_json("p", schema).alias("profile"))
+    return rows.crossJoin(F.broadcast(head)).select("h.user", "h.timestamp", "h.team", "profile")  # one row
+
+
 def choices(spark: SparkSession, path: str) -> DataFrame:
     """skill, choice from a JSON object of skills to choices."""
     return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string, string>")).alias("skill", "choice"))

@@ -119,3 +119,18 @@ def test_ranges_are_not_searched_one_by_one(spark):
     assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()  # a row is not compared with each of the 199 bounds
     rows = sorted(out.collect(), key=lambda r: r.no)
     assert [r.no for r in rows] == list(range(4000)) and [r.x for r in rows] == sorted(r.x for r in rows)
+
+
+def test_a_document_is_read_line_by_line(spark, tmp_path):
+    rows = [(f"r{i % 7}", f"a{i}@x", 'é\n,]}"profiles":[' * (i % 3)) for i in range(300)]
+    df = spark.createDataFrame(rows, "repo string, author string, note string").repartition(6)
+    label = spark.createDataFrame([('l"profiles":[',)], "label string")
+    kind = "repo string, author string, note string"
+    for parts in (1, 7, 40):
+        FS.write_merged(df, label, 3, at := str(tmp_path / f"d{parts}.json.gz"), "crew", parts=parts)
+        got = FS.document_profiles(spark, at, kind)
+        assert sorted(got.select("profile.*").collect()) == sorted(rows) and {(x.user, x.timestamp, x.team) for x in got.collect()} == {('l"profiles":[', 3, "crew")}
+    FS.write_document(FS.merged(df, label, 3), at := str(tmp_path / "lines"), compress=True)
+    assert sorted(FS.document_profiles(spark, at, kind).select("profile.*").collect()) == sorted(rows)
+    FS.write_merged(df.limit(0), label, 3, at := str(tmp_path / "none.gz"))
+    assert FS.document_profiles(spark, at, kind).collect() == []
