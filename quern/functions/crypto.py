@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quern.functions.scalars import _let as let
+
 _BLOCK = 32  # hexadecimal digits of a block
 _ZERO = "0" * _BLOCK
 
@@ -22,6 +24,11 @@ def _xor(a: Column, b: Column) -> Column:
     return F.substr(F.concat(*parts), F.lit(1), F.length(a))
 
 
+def _stream(block: Column, before: Column, key: Column) -> Column:
+    """A block met with the cipher of the one before it, which is made once: inside a lambda Spark finds no common parts."""
+    return let(_cipher(before, key), lambda c: _xor(block, c))
+
+
 def _blocks(data: Column) -> Column:
     return F.regexp_extract_all(F.hex(data), F.lit(".{1,%d}" % _BLOCK), F.lit(0))
 
@@ -32,15 +39,17 @@ def encrypt(data: Column, key_hex: str | Column) -> Column:
     start = F.struct(F.lit(_ZERO).alias("last"), F.lit("").alias("out"))
 
     def step(state, block):
-        made = _xor(block, _cipher(state["last"], key))
-        return F.struct(made.alias("last"), F.concat(state["out"], made).alias("out"))
+        return let(_stream(block, state["last"], key), lambda made: F.struct(made.alias("last"), F.concat(state["out"], made).alias("out")))
 
     return F.when(data.isNotNull(), F.unhex(F.aggregate(_blocks(data), start, step)["out"]))
 
 
 def decrypt(data: Column, key_hex: str | Column) -> Column:
     """What :func:`encrypt` made of it; the blocks don't depend on each other."""
-    key, blocks = F.unhex(F.lit(key_hex) if isinstance(key_hex, str) else key_hex), _blocks(data)
-    before = F.concat(F.array(F.lit(_ZERO)), blocks)
-    plain = F.transform(F.arrays_zip(blocks.alias("b"), F.slice(before, F.lit(1), F.size(blocks)).alias("p")), lambda x: _xor(x["b"], _cipher(x["p"], key)))
-    return F.when(data.isNotNull(), F.unhex(F.array_join(plain, "")))
+    key = F.unhex(F.lit(key_hex) if isinstance(key_hex, str) else key_hex)
+
+    def plain(blocks):
+        before = F.concat(F.array(F.lit(_ZERO)), F.slice(blocks, F.lit(1), F.greatest(F.size(blocks) - 1, F.lit(0))))
+        return F.array_join(F.zip_with(blocks, F.slice(before, F.lit(1), F.size(blocks)), lambda b, p: _stream(b, p, key)), "")
+
+    return F.when(data.isNotNull(), F.unhex(let(_blocks(data), plain)))

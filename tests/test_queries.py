@@ -75,3 +75,19 @@ def test_changed_chars_of_whole_texts(spark, tmp_path):
         lines = ["".join(c for c in x if c.isascii() and c.isalpha()) for x in (t or "").split("\n")]
         want += [(d, i, k := distance(a, b), k < 50) for i, (a, b) in enumerate(zip(lines, [*lines[1:], ""]))]
     assert sorted(tuple(r) for r in QUERIES["changed_chars"](spark, str(tmp_path)).collect()) == want
+
+
+def test_dear_rows_are_dealt_and_texts_come_in_small_batches(spark, tmp_path):
+    from quern.plans import tables
+
+    spark.range(50).selectExpr("id AS c_custkey", "concat('Customer#', id) AS c_name").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    spark.range(50).selectExpr("id AS doc_id", "'a b' AS text").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    for name, n in (("cipher_feedback", 50), ("changed_chars", 50)):
+        rows = QUERIES[name](spark, str(tmp_path))
+        assert rows.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism and rows.count() == n
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+        assert tables.texts(spark, str(tmp_path)).count() == 50 and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1000"
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
