@@ -38,6 +38,18 @@ def test_query(spark, con, name):
         assert sorted(repr([plain(r[i]) for i in order]) for r in cur.fetchall()) == sorted(repr([plain(v) for v in r]) for r in rows)
 
 
+@pytest.mark.parametrize("name", ["huge_commit_drop"])
+def test_joins_are_dealt_by_rows(spark, con, monkeypatch, name):
+    from pyspark.sql import functions as F
+
+    from quern.plans import tables
+
+    monkeypatch.setattr(tables, "ROWS", 100, raising=False)
+    tasks = tables.changes(spark, SF).groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) >= 50 and max(r["count"] for r in tasks) < 300  # else one task has all
+    test_query(spark, con, name)
+
+
 def test_entry_imports_without_the_optional_parts():
     import __spark_entry__ as e
 
