@@ -38,7 +38,7 @@ def test_query(spark, con, name):
         assert sorted(repr([plain(r[i]) for i in order]) for r in cur.fetchall()) == sorted(repr([plain(v) for v in r]) for r in rows)
 
 
-@pytest.mark.parametrize("name", ["huge_commit_drop", "lang_month_activity"])
+@pytest.mark.parametrize("name", ["huge_commit_drop", "lang_month_activity", "reformat_retraction", "quarter_rollup", "quarter_gapfill", "quarters_descending"])
 def test_joins_are_dealt_by_rows(spark, con, monkeypatch, name):
     from pyspark.sql import functions as F
 
