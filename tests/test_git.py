@@ -162,6 +162,46 @@ def test_settings_of_repositories(spark, huge):
     assert G.with_remotes(df).filter(F.col("remote").isNull()).count() == 2
 
 
+@pytest.fixture
+def odd(spark, tmp_path, monkeypatch):
+    """repo_path, repo: one that is whole, and folders of whose settings git tells nothing or another's."""
+    (tmp_path / "gitconfig").write_text("[user]\n\temail = own@x.org\n")
+    monkeypatch.setenv("GIT_CONFIG_GLOBAL", str(tmp_path / "gitconfig"))
+    whole, bad, outer = (made(tmp_path / n, range(1, 3)) for n in ("whole", "bad", "outer"))
+    (tmp_path / "bad/.git/config").write_text("[remote\n")
+    plain(outer, "config", "remote.origin.url", "outer.git")
+    for n in ("plain", "outer/inner/.git"):
+        (tmp_path / n).mkdir(parents=True)
+    paths = [whole, bad, f"{outer}/inner", *(str(tmp_path / n) for n in ("plain", "missing"))]
+    return spark.createDataFrame([(p, os.path.basename(p)) for p in paths], "repo_path string, repo string")
+
+
+def test_a_setting_that_git_cannot_tell_is_no_result(odd):
+    keys = {"remote": "remote.origin.url", "email": "user.email"}
+    got = {}
+    for r in odd.collect():
+        try:
+            got[r.repo] = [G.config_value(r.repo_path, k) for k in keys.values()]
+        except G.GitError as e:
+            got[r.repo] = str(e)
+    assert got.pop("whole") == [None, "own@x.org"]  # not set, and the user's own
+    assert "bad config" in got["bad"] and "cannot change to" in got["missing"] and all("not a git repository" in got[n] for n in ("inner", "plain"))
+    rows = {r.repo: r for r in G.settings(odd, **keys).collect()}
+    assert rows.keys() == {"whole", *got} and rows["whole"].error is None
+    assert all((rows[n].remote, rows[n].email, rows[n].error) == (None, None, e) for n, e in got.items())
+    with pytest.raises(G.GitError, match="section"):
+        G.config_value(odd.first().repo_path, "nothing")
+
+
+def test_settings_that_git_cannot_tell_end_the_query(spark, odd, monkeypatch):
+    monkeypatch.setattr(PF, "_repositories", lambda *_: odd.filter("repo = 'whole'"))
+    assert [(r.repo, r.remote) for r in PF.git_settings(spark, "").collect()] == [("whole", None)]
+    monkeypatch.setattr(PF, "_repositories", lambda *_: odd.filter("repo in ('whole', 'bad')"))
+    for run in (lambda df: df.collect(), lambda df: df.count(), lambda df: df.select("repo").collect()):
+        with pytest.raises(Exception, match="bad config"):
+            run(PF.git_settings(spark, ""))
+
+
 def test_work_for_git_is_not_joined_into_one_task(spark, huge):
     """Adaptive execution joins small partitions; the few short rows that git works for are dealt by number instead."""
     repos = spark.createDataFrame([(huge, "huge")], "repo_path string, repo string")
